@@ -67,8 +67,9 @@ def seeds_of(words: Column) -> Column:
 def _seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, at, seed) of rows(keys, w)."""
     span = max(map(len, MASKS))
-    rows = rows.filter(F.size("w") >= span).select(*keys, (F.size("w") - span + 1).alias("each"), seeds_of(F.col("w")).alias("seeds"))
-    rows = rows.select(*keys, "each", F.posexplode("seeds").alias("at", "seed"))
+    rows = rows.select(*keys, (F.size("w") - span + 1).alias("each"), seeds_of(F.col("w")).alias("seeds"))
+    # outer: else a filter on the number of seeds, with all that they are made of, goes down to the scan
+    rows = rows.select(*keys, "each", F.posexplode_outer("seeds").alias("at", "seed"))
     return rows.select(*keys, (F.col("at") % F.col("each")).alias("at"), "seed")
 
 

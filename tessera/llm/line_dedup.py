@@ -71,8 +71,9 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     rows = keyed_documents(docs.select("doc_id", "text")).filter("text IS NOT NULL")
-    lines = rows.select("__d", "__k", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.select("__d", "__k", "pos", _words(F.col("line")).alias("w")).withColumn("n", F.size("w"))
+    # outer: no filter on the number of lines, which would split every text twice
+    words = F.transform(F.split("text", "\n", -1), _words)
+    lines = rows.select("__d", "__k", F.posexplode_outer(words).alias("pos", "w")).withColumn("n", F.size("w"))
     lines = lines.filter(F.col("n") >= LEAST_WORDS)
     lines = lines.select(
         F.col("__d").alias("d"), F.col("__k").alias("k"), "pos", _line_id(F.col("w")).alias("id"),
@@ -99,7 +100,7 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_
 
 def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) of the lines that have an earlier line one edit away."""
-    halves = first.filter("halves IS NOT NULL").select("a", "b", "at", F.explode("halves").alias("half"))
+    halves = first.filter("halves IS NOT NULL").select("at", F.explode("halves").alias("half"))
     shared = halves.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("half"))).filter("m > 1")
     shared = shared.select("at.d", "at.k", "at.pos").distinct()
     wanted = shared.groupBy("d", "k").agg(F.collect_list("pos").alias("wanted"))
@@ -116,7 +117,7 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
         F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.xxhash64(F.concat(F.slice("w", 1, i - 1), F.slice("w", i + 1, F.size("w"))))),
     )
     # place 0: the line itself; place i: without word i
-    emitted = texts.select("at", F.posexplode(variants).alias("i", "variant"))
+    emitted = texts.select("at", F.posexplode_outer(variants).alias("i", "variant"))
     group, deleted = Window.partitionBy("variant"), Window.partitionBy("variant", "i")
     emitted = emitted.select(
         "at", "i",
