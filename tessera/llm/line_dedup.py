@@ -107,8 +107,9 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
     wanted = scratch.save(wanted, "wanted")
     # the words of those lines, from the document where each occurs first
     texts = rows.join(wanted, [F.col("__d") == F.col("d"), F.col("__k") == F.col("k")])
-    texts = texts.dropDuplicates(["d", "k"]).select("d", "k", F.explode("wanted").alias("pos"), F.split("text", "\n", -1).alias("l"))
-    texts = texts.select(F.struct("d", "k", "pos").alias("at"), _words(F.get("l", F.col("pos"))).alias("w"))
+    numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.when(F.array_contains("wanted", i), F.struct(i.alias("pos"), line.alias("line"))))
+    texts = texts.dropDuplicates(["d", "k"]).select("d", "k", F.explode_outer(F.array_compact(numbered)).alias("l"))
+    texts = texts.select(F.struct("d", "k", "l.pos").alias("at"), _words(F.col("l.line")).alias("w"))
     texts = scratch.save(texts, "words")
     scratch.drop("wanted")
 
