@@ -14,6 +14,7 @@ import heapq
 import re
 import struct
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -305,8 +306,8 @@ class Codec:
             out.append(_utf8(run))
         return "".join(out)
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, hex SHA-256 of the ids joined by commas, and of the decoded text.
+    def digest(self, text: str | None) -> tuple[int, str, str, str]:
+        """Number of ids, hex SHA-256 of the ids joined by commas, and of the decoded text; and the joined ids.
 
         Ids and decoded text are those of encode() and decode(), put together from the cached parts.
         """
@@ -328,11 +329,8 @@ class Codec:
         decoded = "".join([x[2] for x in got])
         if (self.dummy or self.trim) and decoded.startswith(" ") and parts and parts[0].startswith(MARK):
             decoded = decoded[1:]
-        return (
-            sum([x[1] for x in got]),
-            hashlib.sha256(",".join([x[0] for x in got]).encode()).hexdigest(),
-            hashlib.sha256(decoded.encode()).hexdigest(),
-        )
+        ids = ",".join([x[0] for x in got])
+        return sum([x[1] for x in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids
 
 
 def _utf8(run: bytearray) -> str:
@@ -387,24 +385,32 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>")
 
 
-def digest_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of docs(doc_id, text), null as empty."""
+def digest_documents(docs: DataFrame, model: str | None = None, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of docs(doc_id, text), null as empty.
+
+    with_ids adds the ids themselves as an array `ids`.
+    """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches):
         c = codec(model or default_model())
         for batch in batches:
             rows = [c.digest(t.as_py()) for t in batch.column("text")]
-            cols = [
-                batch.column("doc_id"),
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([r[1] for r in rows], pa.string()),
-                pa.array([r[2] for r in rows], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+            cols = [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64())]
+            cols += [pa.array([r[k] for r in rows], pa.string()) for k in (1, 2)]
+            if with_ids:
+                ids = [np.fromstring(r[3], np.int32, sep=",") if r[3] else np.zeros(0, np.int32) for r in rows]
+                cols.append(pa.array(ids, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last: the ids of every document, with their number and digests."""
+    return digest_documents(docs, with_ids=True)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(documents(spark, sf_dir))
