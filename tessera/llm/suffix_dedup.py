@@ -30,8 +30,8 @@ LENGTH, GRAM = 100, 24
 REACH = LENGTH - GRAM
 #: batches that a whole table is added in
 BATCHES = 2
-#: rows of strings that are compared at once in a task
-CHUNK = 20_000
+#: bytes of text that are hashed at once in a task
+SLICE = 1 << 20
 
 _SYMBOL = _mix(np.arange(1, 258, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -94,7 +94,7 @@ def suffixes(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 w = Windows(*text_bytes(batch.column("text")))
                 anchor, text, _, _ = w.anchors()
                 which = pa.array(text)
@@ -157,7 +157,7 @@ def _edge_strings(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 w = Windows(*text_bytes(batch.column("text")))
                 anchor, text, first, n = w.anchors()
                 pos = anchor - w.starts[text]
