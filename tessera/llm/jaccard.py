@@ -10,8 +10,8 @@ leads most of its keys, if its distance to it is within the radius. Regions beco
 members. Level 2: the regions themselves are joined in the same way, through their pivots: where documents of two
 regions share a key, the pivots' distance is taken. Level 3: by the triangle inequality two documents of regions P and
 Q can be within the radius only if d(P, Q) <= radius + d(x, P) + d(y, Q); just the documents in this window beside the
-boundary are replicated to the other region and compared. Each test is made on whole sets, and no pair within the
-radius that matters to the components is left out.
+boundary are replicated to the other region and compared there. Each test is made on whole sets, and no pair within
+the radius that matters to the components is left out.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ RADIUS = 1 - PERCENT / 100
 #: documents whose sets show which elements are frequent, and the most elements kept
 SAMPLE_DOCUMENTS = 4096
 HOT_ELEMENTS = 200_000
+#: ids that are broadcast to find their texts
+BROADCAST_IDS = 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -151,21 +153,32 @@ def frequent_elements(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return e[order], np.floor(np.log2(np.maximum(c[order], 1))).astype(np.int64)
 
 
-def _measure(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(x, y, inter, nx, ny) of pairs(x, y) with texts(id, text)."""
+def texts_of(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(id, text) of docs(d, text) for the distinct ids; few ids, as counted, are broadcast, else both sides shuffled."""
+    ids = scratch.save(ids.distinct(), f"{name}-ids")
+    few = ids.count() <= BROADCAST_IDS
+    found = docs.join(F.broadcast(ids) if few else ids, docs["d"] == ids["id"]).select("id", "text")
+    return scratch.save(found, name)
+
+
+def _measure(pairs: DataFrame, texts: DataFrame, outside: bool = False) -> DataFrame:
+    """(x, y, inter, nx, ny) of pairs(x, y) with texts(id, text); outside: also `out`, the elements of x not in y."""
     left = texts.select(F.col("id").alias("x"), F.col("text").alias("tx"))
     right = texts.select(F.col("id").alias("y"), F.col("text").alias("ty"))
+    names = ["x", "y", "inter", "nx", "ny", *["out"] * outside]
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "tx", 2 << 20):
                 sets = [shingle_sets(*text_bytes(batch.column(c))) for c in ("tx", "ty")]
                 inter = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sets)]
-                counts = [pa.array(v, pa.int64()) for v in (inter, *([len(s) for s in side] for side in sets))]
-                yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), *counts], ["x", "y", "inter", "nx", "ny"])
+                cols = [pa.array(v, pa.int64()) for v in (inter, *([len(s) for s in side] for side in sets))]
+                if outside:
+                    cols.append(pa.array([np.setdiff1d(a, b, assume_unique=True).view(np.int64) for a, b in zip(*sets)], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), *cols], names)
 
     joined = pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty")
-    return joined.mapInArrow(run, "x long, y long, inter long, nx long, ny long")
+    return joined.mapInArrow(run, "x long, y long, inter long, nx long, ny long" + ", out array<long>" * outside)
 
 
 def _linked(inter="inter", nx="nx", ny="ny"):
@@ -177,9 +190,14 @@ def _distance():
     return 1 - F.col("inter") / (F.col("nx") + F.col("ny") - F.col("inter"))
 
 
+def _overlap_needed(nx, ny):
+    """Common elements that a linked pair of sets has at least, from its sizes."""
+    return F.ceil((nx + ny) * (PERCENT / (100 + PERCENT)) - 1e-9)
+
+
 def _keys_needed(nx, ny):
     """Common keys that a linked pair of sets has at least, from its sizes."""
-    overlap = F.ceil((nx + ny) * (PERCENT / (100 + PERCENT)) - 1e-9)
+    overlap = _overlap_needed(nx, ny)
     rest = [n - (n - F.ceil(n * (PERCENT / 100) - 1e-9) + 1) for n in (nx, ny)]
     return F.greatest(F.lit(1), overlap - F.greatest(*rest))
 
@@ -200,32 +218,34 @@ def class_links(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple
     doors = rows.withColumns({"g": F.count(F.lit(1)).over(key), "leader": F.min("id").over(key)}).filter("g > 1")
     doors = scratch.save(doors.select("key", "id", "n", "leader"), "doors")
     scratch.tidy()
-    active = scratch.save(doors.select("id").distinct(), "active")
-    texts = docs.join(active, docs["d"] == active["id"]).select("id", "text")
-    texts = scratch.save(texts, "texts")
+    pair_ids = lambda pairs: pairs.select(F.explode(F.array("x", "y")).alias("id"))
 
-    # level 1: the pivot of each document, and whether it is in its region
-    led = doors.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("c"))
+    # level 1: the pivot of each document, and whether it is in its region; few common keys can't be a near copy's
+    led = doors.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    led = led.filter(2 * F.col("c") >= _keys_needed(F.col("n"), F.col("n")))
     led = led.groupBy("id").agg(F.max(F.struct("c", (-F.col("leader")).alias("l"))).alias("m"))
-    stars = led.select(F.col("id").alias("x"), (-F.col("m.l")).alias("y"))
-    stars = scratch.save(_measure(stars, texts).filter(_linked()).select("x", "y", _distance().alias("dist")), "stars")
+    led = scratch.save(led.select(F.col("id").alias("x"), (-F.col("m.l")).alias("y")), "led")
+    texts = texts_of(docs, pair_ids(led), scratch, "texts1")
+    stars = scratch.save(_measure(led, texts).filter(_linked()).select("x", "y", _distance().alias("dist")), "stars")
     links = stars.select("x", "y")
     comp = components(spark, links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, "level1")
     # a document in two regions by repeated ids belongs to the nearer pivot
     region = stars.groupBy("x").agg(F.min(F.struct("dist", "y")).alias("m")).select(F.col("x").alias("id"), F.col("m.y").alias("pivot"), F.col("m.dist").alias("dist"))
+    active = doors.select("id").distinct()
     place = active.join(region, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
     place = place.select("id", F.coalesce("pivot", "id").alias("pivot"), F.coalesce("dist", F.lit(0.0)).alias("dist"), F.coalesce("component", "id").alias("comp"))
     place = scratch.save(place, "place")
+    scratch.drop("texts1")
 
     # level 2: keys that documents of different components share
     mixed = doors.select("key", "id", "n").join(place, "id")
     mixed = mixed.withColumns({"low": F.min("comp").over(key), "high": F.max("comp").over(key)}).filter("low <> high")
-    mixed = scratch.save(mixed.drop("low", "high"), "mixed")
-    scratch.drop("doors")
-    scratch.tidy()
     by_region = mixed.groupBy("key", "pivot", "comp").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("id") != F.col("pivot")).alias("core")
     )
+    by_region = scratch.save(by_region, "regions")
+    scratch.drop("doors")
+    scratch.tidy()
     one, two = by_region.alias("one"), by_region.alias("two")
     met = one.join(two, F.col("one.key") == F.col("two.key")).filter("one.pivot < two.pivot AND one.comp <> two.comp")
     met = met.filter("100 * one.most >= %d * two.least AND 100 * two.most >= %d * one.least" % (PERCENT, PERCENT))
@@ -234,28 +254,62 @@ def class_links(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple
         F.max("one.most").alias("nx"), F.max("two.most").alias("ny"),
     )
     met = met.filter(F.col("core") | (F.col("c") >= _keys_needed(F.col("nx"), F.col("ny"))))
-    measured = scratch.save(_measure(met.select("x", "y"), texts).withColumn("dist", _distance()), "measured")
+    met = scratch.save(met.select("x", "y"), "met")
+    texts = texts_of(docs, pair_ids(met), scratch, "texts2")
+    measured = scratch.save(_measure(met, texts).withColumn("dist", _distance()), "measured")
     links = links.unionByName(measured.filter(_linked()).select("x", "y"))
-
-    # level 3: documents in the window beside the boundary of two regions that aren't linked themselves
-    reach = place.groupBy("pivot").agg(F.max("dist").alias("reach"))
-    near = measured.filter(~_linked()).join(reach.select(F.col("pivot").alias("x"), F.col("reach").alias("rx")), "x")
-    near = near.join(reach.select(F.col("pivot").alias("y"), F.col("reach").alias("ry")), "y")
-    near = near.filter((F.col("rx") + F.col("ry") > 0) & (F.col("dist") <= RADIUS + F.col("rx") + F.col("ry") + 1e-9))
-    near = near.select(F.col("x").alias("p"), F.col("y").alias("q"), F.col("dist").alias("apart"))
-    of_p = mixed.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pivot").alias("p"), F.col("dist").alias("dx"), F.col("comp").alias("cx"))
-    of_q = mixed.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pivot").alias("q"), F.col("dist").alias("dy"), F.col("comp").alias("cy"))
-    beside = near.join(of_p, "p").filter(F.col("apart") <= 2 * RADIUS + F.col("dx") + 1e-9).join(of_q, ["q", "key"])
-    beside = beside.filter((F.col("cx") != F.col("cy")) & (F.col("apart") <= RADIUS + F.col("dx") + F.col("dy") + 1e-9) & _sizes_fit(F.col("nx"), F.col("ny")))
-    beside = beside.groupBy("x", "y").agg(F.count_distinct("key").alias("c"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
-    beside = beside.filter(F.col("c") >= _keys_needed(F.col("nx"), F.col("ny"))).select("x", "y")
-    window = scratch.save(_measure(beside, texts).filter(_linked()).select("x", "y"), "window")
+    scratch.drop("texts2", "regions")
+    window = _window_links(docs, measured.filter(~_linked()), place, scratch)
     links = scratch.save(links.unionByName(window), "links")
-    scratch.drop("texts", "mixed", "measured")
     scratch.tidy()
     return sets, links
 
 
+def _window_links(docs: DataFrame, measured: DataFrame, place: DataFrame, scratch: Scratch) -> DataFrame:
+    """Level 3: links between documents of two regions whose pivots aren't linked, by the triangle inequality.
+
+    The documents of the smaller region are measured against the larger one's pivot P; those in the window around P
+    are set against the members of its region. Two sets X and Y share at most min(|X and P|, |Y and P|) elements of P,
+    so what is lacking to a link they must share outside P: pairs meet through such elements, or, if nothing is
+    lacking, through their sizes.
+    """
+    regions = place.groupBy("pivot").agg(F.max("dist").alias("reach"), F.count(F.lit(1)).alias("members"))
+    near = measured.select("x", "y", "dist").join(regions.toDF("x", "rx", "mx"), "x").join(regions.toDF("y", "ry", "my"), "y")
+    near = near.filter((F.col("rx") + F.col("ry") > 0) & (F.col("dist") <= RADIUS + F.col("rx") + F.col("ry") + 1e-9))
+    swap = (F.col("my") > F.col("mx")) | ((F.col("my") == F.col("mx")) & (F.col("ry") > F.col("rx")))
+    near = near.select(
+        F.when(swap, F.col("y")).otherwise(F.col("x")).alias("p"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("q"),
+        F.when(swap, F.col("ry")).otherwise(F.col("rx")).alias("reach"),
+    )
+    near = scratch.save(near, "near")
+    of = place.select("id", "pivot", "comp")
+    outer = near.join(of, F.col("q") == F.col("pivot")).select(F.col("id").alias("x"), F.col("p").alias("y"), "reach").distinct()
+    outer = scratch.save(outer, "outer")
+    inner = near.select("p").distinct().join(of, F.col("p") == F.col("pivot")).filter("id <> p").select(F.col("id").alias("x"), F.col("p").alias("y"))
+    inner = scratch.save(inner, "inner")
+    ids = outer.select("x", "y").unionByName(inner).select(F.explode(F.array("x", "y")).alias("id"))
+    texts = texts_of(docs, ids, scratch, "texts3")
+    sized = ["x", "y", "inter", "nx", "ny", "out"]
+    outer = scratch.save(_measure(outer.select("x", "y"), texts, True).select(*sized).join(outer, ["x", "y"]), "outer3")
+    inner = scratch.save(_measure(inner, texts, True).select(*sized), "inner3")
+    links = outer.filter(_linked()).select("x", "y")
+    comp = place.select(F.col("id").alias("x"), "comp")
+    member = inner.join(comp, "x").select(F.col("x").alias("a"), F.col("y").alias("p"), F.col("inter").alias("sa"), F.col("nx").alias("na"), F.col("ny").alias("np"), F.col("out").alias("oa"), F.col("comp").alias("ca"))
+    beside = outer.filter(~_linked() & (_distance() <= RADIUS + F.col("reach") + 1e-9)).join(comp, "x")
+    beside = beside.select(F.col("x").alias("b"), F.col("y").alias("p"), F.col("inter").alias("sb"), F.col("nx").alias("nb"), F.col("out").alias("ob"), F.col("comp").alias("cb"))
+    lacking = _overlap_needed(F.col("na"), F.col("nb")) - F.least("sa", "sb")
+    fits = (F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"))
+    # nothing lacking: only members smaller than the pivot can have that
+    direct = member.filter("na < np").drop("oa").join(beside.drop("ob"), "p").filter(fits & (lacking <= 0)).select("a", "b")
+    through = member.select("a", "p", "sa", "na", "ca", F.explode("oa").alias("e"))
+    through = through.join(beside.select("b", "p", "sb", "nb", "cb", F.explode("ob").alias("e")), ["p", "e"]).filter(fits)
+    through = through.groupBy("a", "b", "p").agg(F.count(F.lit(1)).alias("c"), F.first(lacking).alias("l")).filter("c >= l")
+    pairs = direct.unionByName(through.select("a", "b")).distinct().select(F.col("a").alias("x"), F.col("b").alias("y"))
+    found = scratch.save(_measure(scratch.save(pairs, "beside"), texts).filter(_linked()).select("x", "y"), "window")
+    scratch.drop("texts3", "inner3", "outer")
+    return links.unionByName(found)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text).
 
