@@ -95,7 +95,7 @@ def find_overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sc
 
     # words of the documents with hits, once each; then one row for each diagonal
     lists = hits.groupBy("d", "k").agg(F.collect_list(F.struct("item", "shift")).alias("lists"))
-    found = keyed.join(lists, ["d", "k"]).select("d", "k", words_of(F.col("text")).alias("w"), F.explode("lists").alias("hit"))
+    found = keyed.join(lists.hint("merge"), ["d", "k"]).select("d", "k", words_of(F.col("text")).alias("w"), F.explode("lists").alias("hit"))
     found = found.select("d", "k", "w", "hit.item", "hit.shift")
     found = found.join(F.broadcast(items) if small else items, "item")
     n = F.size("iw")
@@ -128,4 +128,4 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = find_overlaps(spark, docs, table(spark, sf_dir, "benchmark"), scratch)
     bad = scratch.save(found.select(F.col("d").alias("__d"), F.col("k").alias("__k")).distinct(), "bad")
     keyed = docs.withColumns({"__d": F.coalesce("doc_id", F.lit(NULL_ID)), "__k": F.xxhash64("doc_id", "text")})
-    return keyed.join(bad, ["__d", "__k"], "left_anti").select(*docs.columns)
+    return keyed.join(bad.hint("merge"), ["__d", "__k"], "left_anti").select(*docs.columns)
