@@ -26,7 +26,8 @@ MAX_EDITS = 1
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACE_CLASS + "+"), "")
+    """Hashes of the words of a line: lines are compared by them, as words are hashed but once."""
+    return F.transform(F.array_remove(F.split(line, SPACE_CLASS + "+"), ""), lambda w: F.xxhash64(w))
 
 
 def _line_id(words: Column) -> Column:
@@ -89,9 +90,9 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_
     some = first.filter("n > 1").select("a", "b", "at", F.lit(False).alias("near"))
     if near is not None:
         near = near.select("a", "b", F.lit(True).alias("is_near"))
-        some = first.join(near, ["a", "b"], "left").filter("n > 1 OR is_near").select("a", "b", "at", F.coalesce("is_near", F.lit(False)).alias("near"))
+        some = first.join(near.hint("merge"), ["a", "b"], "left").filter("n > 1 OR is_near").select("a", "b", "at", F.coalesce("is_near", F.lit(False)).alias("near"))
     some = scratch.save(some, "some")
-    drops = lines.drop("halves").join(some, ["a", "b"]).filter(F.col("near") | (place != F.col("at")))
+    drops = lines.drop("halves").join(some.hint("merge"), ["a", "b"]).filter(F.col("near") | (place != F.col("at")))
     drops = drops.select("d", "k", "pos", "near").distinct().groupBy("d", "k").agg(F.collect_list(F.struct("pos", "near")).alias("drops"))
     drops = scratch.save(drops, "drops")
     scratch.drop("lines", "first", "some")
@@ -106,7 +107,7 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
     wanted = shared.groupBy("d", "k").agg(F.collect_list("pos").alias("wanted"))
     wanted = scratch.save(wanted, "wanted")
     # the words of those lines, from the document where each occurs first
-    texts = rows.join(wanted, [F.col("__d") == F.col("d"), F.col("__k") == F.col("k")])
+    texts = rows.join(wanted.hint("merge"), [F.col("__d") == F.col("d"), F.col("__k") == F.col("k")])
     numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.when(F.array_contains("wanted", i), F.struct(i.alias("pos"), line.alias("line"))))
     texts = texts.dropDuplicates(["d", "k"]).select("d", "k", F.explode_outer(F.array_compact(numbered)).alias("l"))
     texts = texts.select(F.struct("d", "k", "l.pos").alias("at"), _words(F.col("l.line")).alias("w"))
@@ -131,7 +132,7 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
     pairs = scratch.save(pairs, "pairs")
     left = texts.select(F.col("at"), F.col("w").alias("x"))
     right = texts.select(F.col("at").alias("other"), F.col("w").alias("y"))
-    checked = pairs.join(left, "at").join(right, "other").filter(within_one_edit(F.col("x"), F.col("y")))
+    checked = pairs.hint("merge").join(left, "at").join(right.hint("merge"), "other").filter(within_one_edit(F.col("x"), F.col("y")))
     checked = scratch.save(checked.select(_line_id(F.col("x")).alias("id")).select("id.a", "id.b").distinct(), "near")
     scratch.drop("words", "pairs")
     return checked
@@ -144,7 +145,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_edit
     """
     drops = duplicate_lines(spark, docs, scratch, max_edits).select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.col("drops").alias("__drops"))
     plain = docs.drop("n_lines", "n_exact", "n_near", "n_kept")
-    out = keyed_documents(plain).join(drops, ["__d", "__k"], "left")
+    out = keyed_documents(plain).join(drops.hint("merge"), ["__d", "__k"], "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__drops.pos"), i))
     size = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
