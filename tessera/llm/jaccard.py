@@ -177,7 +177,7 @@ def _measure(pairs: DataFrame, texts: DataFrame, outside: bool = False) -> DataF
                     cols.append(pa.array([np.setdiff1d(a, b, assume_unique=True).view(np.int64) for a, b in zip(*sets)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), *cols], names)
 
-    joined = pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty")
+    joined = pairs.hint("merge").join(left, "x").join(right.hint("merge"), "y").select("x", "y", "tx", "ty")
     return joined.mapInArrow(run, "x long, y long, inter long, nx long, ny long" + ", out array<long>" * outside)
 
 
@@ -232,13 +232,13 @@ def class_links(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple
     # a document in two regions by repeated ids belongs to the nearer pivot
     region = stars.groupBy("x").agg(F.min(F.struct("dist", "y")).alias("m")).select(F.col("x").alias("id"), F.col("m.y").alias("pivot"), F.col("m.dist").alias("dist"))
     active = doors.select("id").distinct()
-    place = active.join(region, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    place = active.join(region.hint("merge"), "id", "left").join(comp.withColumnRenamed("node", "id").hint("merge"), "id", "left")
     place = place.select("id", F.coalesce("pivot", "id").alias("pivot"), F.coalesce("dist", F.lit(0.0)).alias("dist"), F.coalesce("component", "id").alias("comp"))
     place = scratch.save(place, "place")
     scratch.drop("texts1")
 
     # level 2: keys that documents of different components share
-    mixed = doors.select("key", "id", "n").join(place, "id")
+    mixed = doors.select("key", "id", "n").join(place.hint("merge"), "id")
     mixed = mixed.withColumns({"low": F.min("comp").over(key), "high": F.max("comp").over(key)}).filter("low <> high")
     by_region = mixed.groupBy("key", "pivot", "comp").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("id") != F.col("pivot")).alias("core")
@@ -247,7 +247,7 @@ def class_links(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple
     scratch.drop("doors")
     scratch.tidy()
     one, two = by_region.alias("one"), by_region.alias("two")
-    met = one.join(two, F.col("one.key") == F.col("two.key")).filter("one.pivot < two.pivot AND one.comp <> two.comp")
+    met = one.join(two.hint("merge"), F.col("one.key") == F.col("two.key")).filter("one.pivot < two.pivot AND one.comp <> two.comp")
     met = met.filter("100 * one.most >= %d * two.least AND 100 * two.most >= %d * one.least" % (PERCENT, PERCENT))
     met = met.groupBy(F.col("one.pivot").alias("x"), F.col("two.pivot").alias("y")).agg(
         F.count(F.lit(1)).alias("c"), F.max(F.col("one.core") | F.col("two.core")).alias("core"),
@@ -321,9 +321,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> D
     sets, links = class_links(spark, rows, scratch)
     comp = components(spark, links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, "all")
     classes = sets.filter("n > 0").groupBy("a", "b").agg(F.min("d").alias("id"))
-    classes = classes.join(comp.withColumnRenamed("node", "id"), "id", "left")
+    classes = classes.join(comp.withColumnRenamed("node", "id").hint("merge"), "id", "left")
     classes = scratch.save(classes.select("a", "b", F.coalesce("component", "id").alias("component")), "classes")
-    out = sets.select("d", "n", "a", "b").join(classes, ["a", "b"], "left")
+    out = sets.select("d", "n", "a", "b").join(classes.hint("merge"), ["a", "b"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("d"))
     null = F.lit(NULL_ID)
     return out.select(F.nullif("d", null).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, null).alias("component_id"))
@@ -339,4 +339,4 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     found = near_duplicates(spark, docs, scratch).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = scratch.save(found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__d")).distinct(), "gone")
     keyed = docs.withColumn("__d", F.coalesce("doc_id", F.lit(NULL_ID)))
-    return keyed.join(gone, "__d", "left_anti").select(*docs.columns)
+    return keyed.join(gone.hint("merge"), "__d", "left_anti").select(*docs.columns)
