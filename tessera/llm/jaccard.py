@@ -240,9 +240,7 @@ def class_links(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple
     # level 2: keys that documents of different components share
     mixed = doors.select("key", "id", "n").join(place.hint("merge"), "id")
     mixed = mixed.withColumns({"low": F.min("comp").over(key), "high": F.max("comp").over(key)}).filter("low <> high")
-    by_region = mixed.groupBy("key", "pivot", "comp").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("id") != F.col("pivot")).alias("core")
-    )
+    by_region = mixed.groupBy("key", "pivot", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     by_region = scratch.save(by_region, "regions")
     scratch.drop("doors")
     scratch.tidy()
@@ -250,10 +248,12 @@ def class_links(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple
     met = one.join(two.hint("merge"), F.col("one.key") == F.col("two.key")).filter("one.pivot < two.pivot AND one.comp <> two.comp")
     met = met.filter("100 * one.most >= %d * two.least AND 100 * two.most >= %d * one.least" % (PERCENT, PERCENT))
     met = met.groupBy(F.col("one.pivot").alias("x"), F.col("two.pivot").alias("y")).agg(
-        F.count(F.lit(1)).alias("c"), F.max(F.col("one.core") | F.col("two.core")).alias("core"),
-        F.max("one.most").alias("nx"), F.max("two.most").alias("ny"),
+        F.count(F.lit(1)).alias("c"), F.min("one.least").alias("x0"), F.max("one.most").alias("x1"),
+        F.min("two.least").alias("y0"), F.max("two.most").alias("y1"),
     )
-    met = met.filter(F.col("core") | (F.col("c") >= _keys_needed(F.col("nx"), F.col("ny"))))
+    # what a pair needs is concave in its sizes, so the least is at a corner; 2 for rounding
+    corners = [_keys_needed(F.col(i), F.col(j)) for i in ("x0", "x1") for j in ("y0", "y1")]
+    met = met.filter(F.col("c") >= F.least(*corners) - 2)
     met = scratch.save(met.select("x", "y"), "met")
     texts = texts_of(docs, pair_ids(met), scratch, "texts2")
     measured = scratch.save(_measure(met, texts).withColumn("dist", _distance()), "measured")
