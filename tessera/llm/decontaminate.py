@@ -127,5 +127,6 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     scratch = Scratch(spark, "seeds")
     found = find_overlaps(spark, docs, table(spark, sf_dir, "benchmark"), scratch)
     bad = scratch.save(found.select(F.col("d").alias("__d"), F.col("k").alias("__k")).distinct(), "bad")
-    keyed = docs.withColumns({"__d": F.coalesce("doc_id", F.lit(NULL_ID)), "__k": F.xxhash64("doc_id", "text")})
-    return keyed.join(bad.hint("merge"), ["__d", "__k"], "left_anti").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.coalesce("doc_id", F.lit(NULL_ID)).alias("__d"), F.xxhash64("doc_id", "text").alias("__k"))
+    return keyed.join(bad.hint("merge"), ["__d", "__k"], "left_anti").select("row.*")

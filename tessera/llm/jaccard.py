@@ -338,5 +338,5 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     scratch = Scratch(spark, "jaccard")
     found = near_duplicates(spark, docs, scratch).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = scratch.save(found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__d")).distinct(), "gone")
-    keyed = docs.withColumn("__d", F.coalesce("doc_id", F.lit(NULL_ID)))
-    return keyed.join(gone.hint("merge"), "__d", "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("__d"))
+    return keyed.join(gone.hint("merge"), "__d", "left_anti").select("row.*")

@@ -138,41 +138,46 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
     return checked
 
 
+def _with_kept_lines(spark: SparkSession, rows: DataFrame, scratch: Scratch, max_edits: int) -> DataFrame:
+    """rows(doc_id, text, row) with `kept` text and the counts n_lines, n_exact, n_near, n_kept."""
+    drops = duplicate_lines(spark, rows, scratch, max_edits).select(F.col("d").alias("__d"), F.col("k").alias("__k"), "drops")
+    out = keyed_documents(rows).join(drops.hint("merge"), ["__d", "__k"], "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("drops.pos"), i))
+    none = F.col("drops").isNull()
+    size = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    near = F.when(none, 0).otherwise(F.size(F.filter("drops", lambda x: x["near"])))
+    every = F.when(none, 0).otherwise(F.size("drops"))
+    text = F.when(none, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return out.select(
+        "doc_id", "text", "row", text.alias("kept"), size.alias("n_lines"), (every - near).alias("n_exact"), near.alias("n_near"), (size - every).alias("n_kept")
+    )
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_edits: int = MAX_EDITS) -> DataFrame:
-    """docs with `text` without the dropped lines, and n_lines, n_exact, n_near, n_kept.
+    """(doc_id, n_lines, n_exact, n_near, n_kept, text) of every row of docs(doc_id, text), text without dropped lines.
 
-    Columns of these four names are replaced. A null text stays null and has no lines; an empty one has one line.
+    A null text stays null and has no lines; an empty one has one line. Other columns are not read.
     """
-    drops = duplicate_lines(spark, docs, scratch, max_edits).select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.col("drops").alias("__drops"))
-    plain = docs.drop("n_lines", "n_exact", "n_near", "n_kept")
-    out = keyed_documents(plain).join(drops.hint("merge"), ["__d", "__k"], "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__drops.pos"), i))
-    size = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    near = F.coalesce(F.size(F.filter("__drops", lambda x: x["near"])), F.lit(0))
-    every = F.coalesce(F.size("__drops"), F.lit(0))
-    near, every = (F.when(F.col("__drops").isNull(), 0).otherwise(x) for x in (near, every))
-    text = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumns({"n_lines": size, "n_near": near, "n_exact": every - near, "n_kept": size - every, "__text": text})
-    names = [F.col("__text").alias("text") if c == "text" else F.col(c) for c in plain.columns]
-    return out.select(*names, *[F.col(c).cast("int") for c in ("n_lines", "n_exact", "n_near", "n_kept")])
+    rows = docs.select("doc_id", "text", F.lit(None).cast("string").alias("row"))
+    out = _with_kept_lines(spark, rows, scratch, max_edits)
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", "n_kept", F.col("kept").alias("text"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_exact, n_near, n_kept, text) of every document."""
-    out = dedup_lines(spark, documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "lines"))
-    return out.select("doc_id", "n_lines", "n_exact", "n_near", "n_kept", "text")
+    return dedup_lines(spark, documents(spark, sf_dir), Scratch(spark, "lines"))
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without repeated lines. A document of which no word is left goes, if it had any.
 
-    n_chars, where it is a column, is counted again for the texts that changed.
+    n_chars, where it is a column, is counted again for the texts that changed; all other columns stay as they were,
+    whatever their names.
     """
-    before = docs.withColumn("__had", F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    out = dedup_lines(spark, before, Scratch(spark, "lines"))
-    out = out.filter(~F.coalesce("__had", F.lit(False)) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    if "n_chars" in docs.columns:
-        changed = F.col("n_kept") < F.col("n_lines")
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = _with_kept_lines(spark, rows, Scratch(spark, "lines"), MAX_EDITS)
+    word = r"[^\x20\x09-\x0D]"
+    out = out.filter(~F.coalesce(F.col("text").rlike(word), F.lit(False)) | F.col("kept").rlike(word))
+    new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_kept") < F.col("n_lines"), F.length("kept").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else None)}
+    return out.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, table, text_bytes
 
@@ -172,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     picked = [ids.filter(F.col("y") == k).orderBy("h", "doc_id").limit(per_class) for k in (0, 1)]
     picked = picked[0].unionByName(picked[1]).select("doc_id", "y")
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
-    sample = sample.dropDuplicates(["doc_id"]).select("y", "text")
+    sample = sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
     rows = sample.mapInArrow(_features, "y int, x binary").collect()
     rows = sorted((bytes(r["x"]), r["y"]) for r in rows)  # the order of rows must not depend on tasks
     order = np.random.default_rng(3).permutation(len(rows))
@@ -180,19 +181,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     return fit(x, [rows[i][1] for i in order], prior)
 
 
-def score_documents(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs and `score` by its `text`; null texts score as empty ones, at the prior."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes) + ", score double"
+def score_documents(docs: DataFrame, model: Model, payload) -> DataFrame:
+    """(row, score): the column `payload` of docs as it is, and the score of its text; null texts score as empty ones."""
+    rows = docs.select(payload.alias("row"), F.col("text").alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         stamp, m = np.zeros(SIZE, np.int32), shared.value
         for batch in batches:
-            data, at = text_bytes(batch.column("__text"))
+            data, at = text_bytes(batch.column("t"))
             score = [m.score(indicators(data[at[i] : at[i + 1]], stamp)) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score, pa.float64())], ["row", "score"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id):
@@ -206,11 +207,11 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    out = score_documents(docs, quality_model(spark, docs, sf_dir), ["doc_id"])
+    out = score_documents(docs, quality_model(spark, docs, sf_dir), F.col("doc_id")).withColumnRenamed("row", "doc_id")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose score is at least 0.7, with their columns as they were."""
-    scored = score_documents(docs, quality_model(spark, docs, sf_dir), docs.columns)
-    return scored.filter(F.col("score") >= ACCEPT).drop("score")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return score_documents(docs, quality_model(spark, docs, sf_dir), row).filter(F.col("score") >= ACCEPT).select("row.*")
