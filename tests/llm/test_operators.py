@@ -1,0 +1,250 @@
+"""The corpus operators against brute force, the library, round trips and held-out accuracy."""
+
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+
+import corpus_pipeline
+from tessera.llm import decontaminate, jaccard, line_dedup, quality, sharding
+from tessera.llm.html_extract import Page, align, fold, infer, stream
+from tessera.llm.queries import QUERIES, SQL
+from tessera.llm.sentencepiece_codec import codec, default_model
+
+
+def docs_of(folder):
+    docs = pd.read_parquet(f"{folder}/documents.parquet")
+    return [(None if pd.isna(i) else int(i), None if pd.isna(t) else t) for i, t in zip(docs["doc_id"], docs["text"])]
+
+
+def run(name, spark, folder):
+    return QUERIES[name](spark, folder).toPandas()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_empty_tables(spark, empty_dir, name):
+    assert len(run(name, spark, empty_dir)) == 0
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n not in ("op9_decontaminate", "op5_html")])
+def test_one_row_for_each_document(spark, edge_dir, name):
+    got = run(name, spark, edge_dir)
+    key = lambda x: -1 if pd.isna(x) else int(x)
+    assert sorted(map(key, got["doc_id"])) == sorted(-1 if i is None else i for i, _ in docs_of(edge_dir))
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def groups(rows):
+    """Smallest id of each id's component, a null id as the largest."""
+    big, sets = 1 << 63, {}
+    for i, t in rows:
+        sets.setdefault(big if i is None else i, []).append(shingles(t))
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    flat = [(i, s) for i, many in sets.items() for s in many if s]
+    for n, (i, a) in enumerate(flat):
+        for j, b in flat[:n]:
+            if 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in parent}
+
+
+def test_jaccard_components(spark, edge_dir):
+    rows = docs_of(edge_dir)
+    expected = groups(rows)
+    got = run("op3_jaccard", spark, edge_dir)
+    big = 1 << 63
+    for r in got.itertuples():
+        i, c = (big if pd.isna(x) else int(x) for x in (r.doc_id, r.component_id))
+        assert c == expected[i]
+    sizes = sorted(len(shingles(t)) for _, t in rows)
+    assert sorted(got["n_shingles"]) == sizes
+
+
+def test_suffix_dedup(spark, edge_dir):
+    rows, big = docs_of(edge_dir), 1 << 63
+    order = sorted({(big if i is None else i, t or "") for i, t in rows}, key=lambda x: x[0])
+    seen, expected = set(), {}
+    for i, t in order:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for at in range(len(b) - 99):
+            if b[at : at + 100] in seen:
+                gone[at : at + 100] = b"\1" * 100
+            seen.add(b[at : at + 100])
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        spans = sum(1 for at in range(len(gone)) if gone[at] and (at == 0 or not gone[at - 1]))
+        expected[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    for r in run("op4_suffix_dedup", spark, edge_dir).itertuples():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[big if pd.isna(r.doc_id) else int(r.doc_id)]
+
+
+def near(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    front = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[front + (len(a) >= len(b)) :] == b[front + (len(b) >= len(a)) :] or a == b
+
+
+def test_line_dedup(spark, edge_dir):
+    big, order = 1 << 63, {}
+    for i, t in docs_of(edge_dir):
+        if t is not None:
+            order[(big if i is None else i, t)] = None
+    before, expected = [], {}
+    for i, t in sorted(order):
+        kept = []
+        for line in t.split("\n"):
+            w = [x for x in re.split(r"[\x20\x09-\x0D]+", line) if x]
+            gone = len(w) >= 5 and any(w == o or (len(w) >= 10 and len(o) >= 10 and near(w, o)) for o in before)
+            if len(w) >= 5:
+                before.append(w)
+            if not gone:
+                kept.append(line)
+        expected[i] = "\n".join(kept)
+    for r in run("op2_line_dedup", spark, edge_dir).itertuples():
+        if not pd.isna(r.text):
+            assert r.text == expected[big if pd.isna(r.doc_id) else int(r.doc_id)]
+
+
+def overlaps(rows, items):
+    out, split = {}, lambda t: [w for w in re.split(r"[^a-z0-9]+", (t or "").lower()) if w]
+    for i, t in rows:
+        d = split(t)
+        for k, x in items:
+            w = split(x)
+            if len(w) < decontaminate.LEAST_WORDS:
+                continue
+            n = min(len(w), decontaminate.WINDOW)
+            best = 0
+            for s in range(1 - len(w), len(d)):
+                eq = [int(0 <= s + j < len(d) and d[s + j] == w[j]) for j in range(len(w))]
+                best = max(best, max(sum(eq[j : j + n]) for j in range(len(w) - n + 1)))
+            if best >= n - decontaminate.tolerance(n):
+                out[i, k] = best
+    return out
+
+
+def test_decontamination(spark, edge_dir):
+    rows = [(i, t) for i, t in docs_of(edge_dir) if len(t or "") < 5000 and (t or "").isascii()]
+    items = pd.read_parquet(f"{edge_dir}/benchmark.parquet")
+    expected = overlaps(rows, [(int(k), None if pd.isna(t) else t) for k, t in zip(items["item_id"], items["text"])])
+    got = run("op9_decontaminate", spark, edge_dir)
+    assert {(None if pd.isna(r.doc_id) else int(r.doc_id), r.item_id): r.matches for r in got.itertuples()} == expected
+    assert expected
+
+
+def test_masks_are_lossless():
+    assert decontaminate.tolerance(24) == 3
+
+
+def test_codec_is_the_librarys(spark, edge_dir):
+    import sentencepiece
+
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=default_model()), codec(default_model())
+    for _, t in docs_of(edge_dir):
+        t = t or ""
+        ids = lib.encode(t)
+        assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids)
+        spans = own.encode_spans(t)
+        assert spans[0] == ids and b"".join(t.encode()[a:b] for a, b in zip(*spans[1:])) == t.encode()
+        n, a, b, _ = own.digest(t)
+        assert (n, a) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert b == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
+def test_exact_dedup_matches_sql(spark, edge_dir):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{edge_dir}/documents.parquet'")
+    key = lambda f: sorted(map(str, f[sorted(f.columns)].astype({c: "Int64" for c in ("doc_id", "keep_id", "group_size")}).itertuples(index=False)))
+    assert key(run("op8_exact_dedup", spark, edge_dir)) == key(con.sql(SQL["op8_exact_dedup"]).df())
+
+
+def test_sharding_is_even_and_stable():
+    names = [f"s{i}" for i in range(7)]
+    one = sharding.lookup_table(names, 1009)
+    counts = np.bincount(one)
+    assert counts.max() - counts.min() <= 1
+    less = sharding.lookup_table(names[:-1], 1009)
+    stayed = one != 6
+    assert (less[stayed] == one[stayed]).mean() > 0.8
+
+
+def test_html(spark, edge_dir):
+    got = {int(r.page_id): r.text for r in run("op5_html", spark, edge_dir).itertuples()}
+    assert got[0] == "" and got[1] == "" and got[2] == "plain & text"
+    assert got[3] == "Head Onetwo< three four"
+    assert [got[i] for i in range(4, 16)] == [f"Page {i}" for i in range(12)]
+
+
+def test_wrapper_has_slots_groups_and_options():
+    pages = ["<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>a</li></ul><b>new</b><p>y</p>"]
+    kinds = {n[0] for n in align(stream(pages[0]), stream(pages[1]))}
+    assert "opt" in kinds and any(n[0] == "rep" for n in fold(stream(pages[0])))
+    assert ("text", None) in infer(["<p>x</p>", "<p>y</p>"])
+    assert Page("<article>a</nav>b</article>").text(frozenset()) == "a b"
+
+
+def test_models_on_held_out_rows(spark, sf_dir):
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet").merge(pd.read_parquet(f"{sf_dir}/labels.parquet"), on="doc_id", how="left").set_index("doc_id")
+    lang = run("op10_language", spark, sf_dir)
+    held = lang[lang["held_out"]]
+    assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in held["doc_id"])
+    assert (held["lang_pred"].values == docs.loc[held["doc_id"], "lang"].values).mean() > 0.9
+    good = run("op1_quality", spark, sf_dir).set_index("doc_id")["predicted"]
+    marked = docs["quality"].dropna()
+    assert (good.loc[marked.index] == marked).mean() > 0.85
+
+
+def test_pipeline(spark, edge_dir, empty_dir):
+    assert [n for n, _ in corpus_pipeline.STAGES][:2] == ["quality_classifier", "line_dedup"]
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, edge_dir)
+        if name != "sentencepiece_encoding":
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            before, after = docs.toPandas(), out.toPandas()
+            assert len(after) <= len(before) and set(after["row"]) <= {"?"} and set(after["n_lines"]) <= {"?"}
+        if name == "ngram_jaccard_join":
+            rows = [(None if pd.isna(i) else int(i), t) for i, t in zip(before["doc_id"], before["text"])]
+            keep = {1 << 63 if i is None else i for i, _ in rows if groups_of(rows)[1 << 63 if i is None else i] == (1 << 63 if i is None else i)}
+            assert {1 << 63 if pd.isna(i) else int(i) for i in after["doc_id"]} == keep
+    assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+def groups_of(rows, cache={}):
+    key = tuple(rows)
+    if key not in cache:
+        cache[key] = groups(rows)
+    return cache[key]
+
+
+def test_shingle_hashes_follow_the_definition():
+    rows = ["", "a b", "A B c d e f", "a b c d e f", "x\x0by"]
+    data = [r.encode() for r in rows]
+    sets = jaccard.shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert [len(s) for s in sets] == [len(shingles(r)) for r in rows] and (sets[2] == sets[3]).all()
+
+
+def test_quality_needs_two_classes():
+    model = quality.fit([np.array([1, 2, 3])] * 12, [1] * 12, 0.9)
+    assert model.score(np.array([1, 2, 3])) == pytest.approx(0.9)
+
+
+def test_line_bound():
+    with pytest.raises(ValueError):
+        line_dedup.duplicate_lines(None, None, None, 2)
