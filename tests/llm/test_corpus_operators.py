@@ -197,6 +197,8 @@ def test_wrapper_has_slots_groups_and_options():
     assert "opt" in kinds and any(n[0] == "rep" for n in fold(stream(pages[0])))
     assert ("text", None) in infer(["<p>x</p>", "<p>y</p>"])
     assert Page("<article>a</nav>b</article>").text(frozenset()) == "a b"
+    assert Page("<article>a<span class=ad>x<span>y</span>z</span>b</article>").text(frozenset()) == "ab"
+    assert Page("<article><p class=notice>x<p>b</article>").text(frozenset()) == "b"
 
 
 def test_models_on_held_out_rows(spark, sf_dir):
