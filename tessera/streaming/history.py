@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def daily_counts(events: DataFrame, late: str = "7 days") -> DataFrame:
     """(day, event_type, n) of a stream or table of events(ts, event_type); rows later than the watermark are dropped."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     w = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return w.select(F.col("w.start").alias("day"), "event_type", "n")
 
