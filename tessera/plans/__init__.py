@@ -1 +1,6 @@
-"""Part of tessera: see the README for what each part holds."""
+"""Queries that run the operators on the driver's tables, with their SQL."""
+
+from . import finding_queries, queries, resolution_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

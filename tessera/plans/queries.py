@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import clones, detectors, graphs, metrics
-from ..sources.tables import EDGES_SQL, LINES_SQL, edges, lines, read
-
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str):
-    """Registers a query of (read table, session, folder) under its name with its SQL."""
-
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: read(spark, sf_dir, name), spark, sf_dir)
-
-        QUERIES[f.__name__], SQL[f.__name__] = run, sql
-        return f
-
-    return add
-
+from ..sources.tables import EDGES_SQL, LINES_SQL, edges, lines
+from .registry import query
 
 # detectors ------------------------------------------------------------------------------------------------------------
 

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-from tessera.plans import queries as plans
+from tessera import plans
 
 
 def rows(frame: pd.DataFrame) -> list:
