@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,75 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     total = per_doc.groupBy("h").agg(F.sum("n").alias("all")).filter("all > 1").withColumn("again", F.lit(1))
     found = per_doc.join(total, "h", "left").groupBy("doc_id")
     return found.agg(F.sum("n").alias("windows"), F.sum(F.when(F.col("again").isNotNull(), F.col("n")).otherwise(0)).alias("repeated"))
+
+
+def tokens(text: Column, mode: str = "mild") -> Column:
+    """Words and single signs of a text, normalised: strict keeps all, mild lower-cases, weak blinds quoted strings,
+    semantic also blinds names and numbers."""
+    found = F.regexp_extract_all(text, F.lit(r""""[^"\n]*"|'[^'\n]*'|[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_ \t\r\n]"""), 0)
+    if mode == "strict":
+        return found
+    blind = lambda x, kind, sign: F.when(x.rlike(kind), F.lit(sign)).otherwise(x)
+    found = F.transform(found, F.lower)
+    if mode in ("weak", "semantic"):
+        found = F.transform(found, lambda x: blind(x, "^[\"'].", "$s"))
+    if mode == "semantic":
+        found = F.transform(found, lambda x: blind(blind(x, "^[a-z_]", "$n"), "^[0-9]", "$0"))
+    return found
+
+
+def first_copies(words: DataFrame, width: int) -> DataFrame:
+    """(doc_id, first, last, of_doc, of_first): maximal runs of words that stand earlier, at their earliest place.
+
+    words(doc_id, w): each window of `width` words is tied to the smallest (doc_id, position) of its hash, by a minimum
+    and a join, so the rows stay linear in the text whatever the number of copies; runs on one diagonal are merged.
+    """
+    last = F.size("w") - width
+    hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("w", i + 1, width))))
+    at = words.select("doc_id", F.posexplode_outer(hashes).alias("pos", "h")).filter("h IS NOT NULL")
+    home = at.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("home"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    hit = at.join(home, "h").filter("doc_id <> home.doc_id OR pos <> home.pos")
+    hit = hit.select("doc_id", "pos", F.col("home.doc_id").alias("of_doc"), (F.col("pos") - F.col("home.pos")).alias("shift"))
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    same = (F.lag("pos").over(w) == F.col("pos") - 1) & (F.lag("of_doc").over(w) == F.col("of_doc")) & (F.lag("shift").over(w) == F.col("shift"))
+    hit = hit.withColumn("new", F.when(same, 0).otherwise(1))
+    hit = hit.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = hit.groupBy("doc_id", "run").agg(F.min("pos").alias("first"), (F.max("pos") + width - 1).alias("last"), F.min("of_doc").alias("of_doc"), F.min(F.col("pos") - F.col("shift")).alias("of_first"))
+    return runs.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("first", "last", "of_doc", "of_first")])
+
+
+def name_pattern(names: Column) -> Column:
+    """The place of each name's first occurrence: equal for sequences that a one-to-one renaming maps on each other."""
+    return F.transform(names, lambda x: F.array_position(names, x))
+
+
+def line_and_column(text: Column, offset: Column) -> Column:
+    """(line, column) of a character offset, lines from 1 and columns from 0."""
+    before = F.substr(text, F.lit(1), offset)
+    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    return F.struct(line.cast("long").alias("line"), F.length(F.substring_index(before, "\n", -1)).cast("long").alias("column"))
+
+
+def without_contained(spans: DataFrame) -> DataFrame:
+    """spans(doc_id, first, last) that lie in no other span of their document."""
+    s = spans.select("doc_id", "first", "last").distinct()
+    w = Window.partitionBy("doc_id").orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
+    return s.withColumn("reach", F.max("last").over(w)).filter("reach IS NULL OR reach < last").drop("reach")
+
+
+def without_ignored(spans: DataFrame, ignored: DataFrame, width: int = 64) -> DataFrame:
+    """spans(doc_id, first, last) that no range of ignored(doc_id, start, stop) touches, by bins of lines."""
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
+    s = spans.select("doc_id", "first", "last").distinct().withColumn("bin", cells("first", "last"))
+    hit = s.join(ignored.withColumn("bin", cells("start", "stop")), ["doc_id", "bin"]).filter("first <= stop AND start <= last")
+    return spans.join(hit.select("doc_id", "first", "last").distinct(), ["doc_id", "first", "last"], "left_anti")
+
+
+def dead_clones(spans: DataFrame, unused_files: DataFrame, unused_exports: DataFrame) -> DataFrame:
+    """(doc_id, first, last, reason): spans in unused_files(doc_id), else with a line of unused_exports(doc_id, line, name)."""
+    dead = spans.join(unused_files.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("reason", F.lit("file"))
+    e = unused_exports.select(F.col("doc_id").alias("d"), "line", "name")
+    rest = spans.join(unused_files.select("doc_id"), "doc_id", "left_anti")
+    hit = rest.join(e, (F.col("doc_id") == F.col("d")) & F.col("line").between(F.col("first"), F.col("last")))
+    hit = hit.groupBy("doc_id", "first", "last").agg(F.min_by("name", F.struct("line", "name")).alias("reason"))
+    return dead.select("doc_id", "first", "last", "reason").unionByName(hit)

@@ -91,3 +91,44 @@ def closest_names(names: DataFrame, known: DataFrame, most: int = 2) -> DataFram
     found = found.withColumn("distance", d.cast("long"))
     w = Window.partitionBy("name").orderBy("distance", "other")
     return found.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+
+
+def first_of_both(df: DataFrame, key: str, origin: str, pos: Column, one: Column, other: Column, a: str, b: str) -> DataFrame:
+    """Keys with origins of either kind, and the first of each by position."""
+    out = df.groupBy(key).agg(F.min_by(origin, F.when(one, pos)).alias(a), F.min_by(origin, F.when(other, pos)).alias(b), F.bool_or(one).alias("__a"), F.bool_or(other).alias("__b"))
+    return out.filter("__a AND __b").select(key, a, b)
+
+
+def spelling_conflicts(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Keys with more than one spelling, the spellings joined by commas: dynamic segment names."""
+    out = df.groupBy(*keys).agg(F.array_sort(F.collect_set(name)).alias("s")).filter(F.size("s") > 1)
+    return out.select(*keys, F.size("s").cast("long").alias("spellings"), F.array_join("s", ",").alias("names"))
+
+
+def misplaced(statements: DataFrame, file: str, pos: str, directive: Column) -> DataFrame:
+    """Directives after the first other statement of their file, one row each."""
+    body = statements.filter(~directive).groupBy(file).agg(F.min(pos).alias("__body"))
+    return statements.filter(directive).join(body, file).filter(F.col(pos) > F.col("__body")).drop("__body")
+
+
+def split(findings: DataFrame, moved: Column) -> tuple[DataFrame, DataFrame]:
+    """Findings that another rule takes over, and the rest: no row is in both, a null condition keeps a row."""
+    flag = F.coalesce(moved, F.lit(False))
+    return findings.filter(flag), findings.filter(~flag)
+
+
+def drilled(forwards: DataFrame, roots: DataFrame, least: int = 3, most: int = 32) -> DataFrame:
+    """(root, prop, leaf, depth) of props that forwards(src, prop, dst) hand on unchanged from roots(node, prop) over at
+    least `least` components; a leaf hands nothing on, and depth is the shortest way."""
+    from .graphs import cut
+
+    seen = cut(roots.select(F.col("node").alias("root"), "prop", "node", F.lit(0).cast("long").alias("depth")).distinct())
+    frontier = seen
+    for depth in range(1, most + 1):
+        step = frontier.join(forwards.withColumnRenamed("src", "node"), ["node", "prop"]).select("root", "prop", F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen, ["root", "prop", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.unionByName(frontier))
+    inner = forwards.select(F.col("src").alias("node"), "prop").distinct()
+    return seen.filter(F.col("depth") >= least).join(inner, ["node", "prop"], "left_anti").select("root", "prop", F.col("node").alias("leaf"), "depth")

@@ -97,3 +97,111 @@ def strong_components(edges: DataFrame, most: int = 1000) -> DataFrame:
 def entry_weight(edges: DataFrame, entry: int, sizes: DataFrame) -> DataFrame:
     """One row: nodes loaded from the entry and the sum of their sizes(node, size)."""
     return reach(edges, sizes.filter(F.col("node") == entry)).join(sizes, "node").agg(F.count(F.lit(1)).alias("modules"), F.sum("size").alias("bytes"))
+
+
+def impact_closure(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """(node, depth) of everything that depends on changed(node), these included."""
+    return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), changed)
+
+
+def lifted(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """(src, dst): edges between the owners(node, owner) of edges between nodes, without those inside one owner."""
+    e = edges.join(owners.toDF("src", "a"), "src").join(owners.toDF("dst", "b"), "dst").filter("a <> b")
+    return e.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+def elementary_cycles(edges: DataFrame, longest: int = 5, accepted: DataFrame | None = None) -> DataFrame:
+    """(cycle, hops): cycles of 2 to `longest` different nodes, from their smallest one on, as nodes joined by '>'.
+
+    Paths grow inside one strong component through nodes above their first one. Cycles whose sorted nodes, joined by
+    '|', are in accepted(key) are left out while listing.
+    """
+    e = edges.filter("src <> dst").select("src", "dst").distinct()
+    c = strong_components(e)
+    e = e.join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
+    e = cut(e)
+    as_text = lambda p: F.transform(p, lambda x: x.cast("string"))
+    paths, found = e.filter("src < dst").select(F.array("src", "dst").alias("path")), None
+    back, last = e.toDF("x", "y"), F.element_at("path", -1)
+    for hops in range(2, longest + 1):
+        closed = paths.join(back, (last == F.col("x")) & (F.get("path", F.lit(0)) == F.col("y"))).select("path")
+        found = closed if found is None else found.unionByName(closed)
+        if hops < longest:
+            grown = paths.join(back, last == F.col("x")).filter((F.col("y") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("y")))
+            paths = cut(grown.select(F.concat("path", F.array("y")).alias("path")))
+    found = found.withColumn("key", F.array_join(as_text(F.array_sort("path")), "|"))
+    if accepted is not None:
+        found = found.join(accepted.select("key"), "key", "left_anti")
+    return found.select(F.array_join(as_text(F.col("path")), ">").alias("cycle"), F.size("path").cast("long").alias("hops"))
+
+
+def load_closure(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(node, phase) of edges(src, dst, kind): eager by static edges only, deferred by dynamic ones too, else worker."""
+    seen, phases = None, (("eager", ["static"]), ("deferred", ["static", "dynamic"]), ("worker", ["static", "dynamic", "worker"]))
+    for phase, kinds in phases:
+        found = reach(edges.filter(F.col("kind").isin(kinds)), entries).select("node", F.lit(phase).alias("phase"))
+        seen = found if seen is None else seen.unionByName(found.join(seen, "node", "left_anti"))
+    return seen
+
+
+def test_reach(nodes: DataFrame, edges: DataFrame, tests: DataFrame) -> DataFrame:
+    """(node, reach) of edges(src, dst, mocked): direct, transitive, mocked_only or none, in this order; tests are left out."""
+    plain = edges.filter("NOT mocked")
+    direct = plain.join(tests.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
+    ranked = [df.select("node", F.lit(rank).alias("r")) for rank, df in enumerate((direct, reach(plain, tests), reach(edges, tests)))]
+    best = ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).groupBy("node").agg(F.min("r").alias("r"))
+    name = F.when(F.col("r") == 0, "direct").when(F.col("r") == 1, "transitive").when(F.col("r") == 2, "mocked_only").otherwise("none")
+    return nodes.select("node").join(tests.select("node"), "node", "left_anti").join(best, "node", "left").select("node", name.alias("reach"))
+
+
+def dominators(edges: DataFrame, entry: int) -> DataFrame:
+    """(node, dom): the nodes on every path from the entry to a node, itself included.
+
+    The nodes of one shortest path hold all of them; those that some predecessor lacks are dropped until none is left.
+    """
+    e = edges.filter("src <> dst").select("src", "dst").distinct()
+    path = F.transform(F.split("path", ">"), lambda x: x.cast("long"))
+    dom = cut(shortest_paths(e, entry).select("node", F.explode(path).alias("dom")))
+    live = cut(e.join(dom.select(F.col("node").alias("src")).distinct(), "src", "left_semi").filter(F.col("dst") != entry))
+    needs = cut(live.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("preds")))
+    while True:
+        shared = live.join(dom.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node"), "dom").agg(F.count(F.lit(1)).alias("n"))
+        held = shared.join(needs, "node").filter("n = preds").select("node", "dom")
+        new = cut(dom.join(held, ["node", "dom"], "left_semi").unionByName(dom.filter("node = dom")).distinct())
+        if new.count() == dom.count():
+            return new
+        dom = new
+
+
+def dominating_imports(edges: DataFrame, entry: int, sizes: DataFrame, top: int = 10) -> DataFrame:
+    """(src, dst, bytes): single edges without which the most bytes of sizes(node, size) are not loaded from the entry."""
+    dom = dominators(edges, entry)
+    kept = dom.join(sizes, "node").groupBy(F.col("dom").alias("dst")).agg(F.sum("size").alias("bytes"))
+    nodes = dom.select(F.col("node").alias("src")).distinct()
+    into = edges.filter("src <> dst").select("src", "dst").distinct().join(nodes, "src", "left_semi").filter(F.col("dst") != entry)
+    own = dom.select(F.col("node").alias("src"), F.col("dom").alias("dst"))
+    single = into.join(own, ["src", "dst"], "left_anti").groupBy("dst").agg(F.min("src").alias("src"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    return single.join(kept, "dst").select("src", "dst", "bytes").orderBy(F.desc("bytes"), "src", "dst").limit(top)
+
+
+def peer_closure(required: DataFrame, optional: DataFrame, listed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(peer, hosts): peers of what the roots(node) credit. Required(src, dst) peers pass credit on, optional ones only
+    if listed(node); each host is recorded either way."""
+    passing = required.unionByName(optional.join(listed.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    live = reach(passing.distinct(), roots).select(F.col("node").alias("src"))
+    hosts = required.unionByName(optional).distinct().join(live, "src").groupBy(F.col("dst").alias("peer"))
+    return hosts.agg(F.array_join(F.array_sort(F.collect_set(F.col("src").cast("string"))), ",").alias("hosts"))
+
+
+def re_export_routes(own: DataFrame, re_exports: DataFrame, name: str, file: str) -> DataFrame:
+    """(file, name) that expose what `file` declares as `name`, with aliases followed.
+
+    re_exports(file, exported, source, imported); a name that a file in own(file, name) declares shadows its
+    re-exports, and a name with two different sources is ambiguous: neither goes on.
+    """
+    r = re_exports.distinct().join(own.select("file", F.col("name").alias("exported")), ["file", "exported"], "left_anti")
+    single = r.groupBy("file", "exported").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    r = r.join(single, ["file", "exported"], "left_semi")
+    e = r.select(F.struct(F.col("source").alias("file"), F.col("imported").alias("name")).alias("src"), F.struct("file", F.col("exported").alias("name")).alias("dst"))
+    root = own.filter((F.col("file") == file) & (F.col("name") == name)).select(F.struct("file", "name").alias("node"))
+    return reach(e, root).select("node.*")

@@ -1,6 +1,6 @@
 """Queries that run the operators on the driver's tables, with their SQL."""
 
-from . import finding_queries, queries, resolution_queries  # noqa: F401
+from . import finding_queries, graph_queries, queries, resolution_queries, scan_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

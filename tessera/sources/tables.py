@@ -33,3 +33,12 @@ def lines(spark: SparkSession, sf_dir: str, least: int = 20) -> DataFrame:
 
 LINES_SQL = """lines AS (SELECT doc_id, pos, x[pos + 1] AS line FROM (
   SELECT doc_id, x, unnest(range(len(x))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE length(x[pos + 1]) > 20)"""
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): users of error events and the key in their properties; keys are below 100, so the cycles stay among as many nodes."""
+    e = read(spark, sf_dir, "events").filter("event_type = 'error'")
+    return e.select(F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst")).distinct()
+
+
+CALLS_SQL = """edges AS (SELECT DISTINCT user_id AS src, json_extract_string(props, '$.k')::BIGINT AS dst FROM events WHERE event_type = 'error')"""
