@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import clones, detectors, graphs, metrics
-from ..sources.tables import EDGES_SQL, LINES_SQL, edges, lines
+from ..sources.tables import CALLS_SQL, LINES_SQL, calls, lines
 from .registry import query
 
 # detectors ------------------------------------------------------------------------------------------------------------
@@ -59,13 +59,13 @@ def catalog_difference(t, spark, d):
     return detectors.catalog_difference(t("documents").filter("n_chars > 500"), t("labels"), "doc_id")
 
 
-@query("WITH " + EDGES_SQL + """, z AS (SELECT n_nationkey::BIGINT AS node, n_regionkey::BIGINT AS zone FROM nation)
+@query("WITH " + CALLS_SQL + """, z AS (SELECT c_custkey AS node, n_regionkey::BIGINT AS zone FROM customer JOIN nation ON c_nationkey = n_nationkey)
   SELECT src, dst, a.zone AS zone_a, b.zone AS zone_b FROM edges JOIN z a ON src = a.node JOIN z b ON dst = b.node
   WHERE a.zone <> b.zone AND NOT (b.zone = a.zone + 1)""")
 def boundary_violations(t, spark, d):
-    zones = t("nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").cast("long").alias("zone"))
+    zones = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("node"), F.col("n_regionkey").cast("long").alias("zone"))
     allowed = t("region").select(F.col("r_regionkey").cast("long").alias("zone_a"), (F.col("r_regionkey") + 1).cast("long").alias("zone_b"))
-    return detectors.boundary_violations(edges(spark, d), zones, allowed)
+    return detectors.boundary_violations(calls(spark, d), zones, allowed)
 
 
 @query("""SELECT shape, count(*) AS owners FROM (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS shape,
@@ -99,38 +99,38 @@ def typo_suggestions(t, spark, d):
 # graphs ---------------------------------------------------------------------------------------------------------------
 
 
-@query("WITH " + EDGES_SQL + """, e AS (SELECT * FROM edges WHERE src <> dst), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+@query("WITH " + CALLS_SQL + """, e AS (SELECT * FROM edges WHERE src <> dst), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
   SELECT node, (SELECT count(*) FROM e WHERE dst = node) AS fan_in, (SELECT count(*) FROM e WHERE src = node) AS fan_out FROM n""")
 def fan_in_out(t, spark, d):
-    return graphs.fan(edges(spark, d))
+    return graphs.fan(calls(spark, d))
 
 
-@query("WITH RECURSIVE " + EDGES_SQL + """, r AS (SELECT 3::BIGINT AS node, 0::BIGINT AS depth UNION SELECT dst, depth + 1 FROM r JOIN edges ON node = src WHERE depth < 26)
+@query("WITH RECURSIVE " + CALLS_SQL + """, r AS (SELECT 3::BIGINT AS node, 0::BIGINT AS depth UNION SELECT dst, depth + 1 FROM r JOIN edges ON node = src WHERE depth < 100)
   SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
 def reachability(t, spark, d):
-    return graphs.reach(edges(spark, d), spark.range(3, 4).toDF("node"))
+    return graphs.reach(calls(spark, d), spark.range(3, 4).toDF("node"))
 
 
-@query("WITH RECURSIVE " + EDGES_SQL + """, r AS (SELECT 3::BIGINT AS node, [3::BIGINT] AS path UNION
-  SELECT dst, list_append(path, dst) FROM r JOIN edges ON node = src WHERE len(path) < 8 AND NOT list_contains(path, dst)),
-  b AS (SELECT node, min(len(path)) AS n FROM r GROUP BY 1)
-  SELECT node, array_to_string(min(path), '>') AS path FROM r JOIN b USING (node) WHERE len(path) = n GROUP BY 1""")
+@query("WITH RECURSIVE " + CALLS_SQL + """, s AS (SELECT 3::BIGINT AS node, 0::BIGINT AS depth UNION SELECT dst, depth + 1 FROM s JOIN edges ON node = src WHERE depth < 100),
+  b AS (SELECT node, min(depth) AS depth FROM s GROUP BY 1),
+  r AS (SELECT 3::BIGINT AS node, [3::BIGINT] AS path UNION SELECT dst, list_append(path, dst) FROM r JOIN edges ON r.node = src JOIN b ON b.node = dst AND b.depth = len(path))
+  SELECT node, array_to_string(min(path), '>') AS path FROM r GROUP BY 1""")
 def shortest_import_paths(t, spark, d):
-    return graphs.shortest_paths(edges(spark, d), 3)
+    return graphs.shortest_paths(calls(spark, d), 3)
 
 
-@query("WITH RECURSIVE " + EDGES_SQL + """, r AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT r.src, e.dst FROM r JOIN edges e ON r.dst = e.src AND e.src <> e.dst)
+@query("WITH RECURSIVE " + CALLS_SQL + """, r AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT r.src, e.dst FROM r JOIN edges e ON r.dst = e.src AND e.src <> e.dst)
   SELECT a.src AS node, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1""")
 def import_cycles(t, spark, d):
-    return graphs.strong_components(edges(spark, d))
+    return graphs.strong_components(calls(spark, d))
 
 
-@query("WITH RECURSIVE " + EDGES_SQL + """, r AS (SELECT 3::BIGINT AS node UNION SELECT dst FROM r JOIN edges ON node = src),
-  s AS (SELECT c_nationkey::BIGINT AS node, count(*) AS size FROM customer GROUP BY 1)
+@query("WITH RECURSIVE " + CALLS_SQL + """, r AS (SELECT 3::BIGINT AS node UNION SELECT dst FROM r JOIN edges ON node = src),
+  s AS (SELECT o_custkey AS node, count(*) AS size FROM orders GROUP BY 1)
   SELECT count(*) AS modules, sum(size)::BIGINT AS bytes FROM r JOIN s USING (node)""")
 def entry_weight(t, spark, d):
-    sizes = t("customer").groupBy(F.col("c_nationkey").cast("long").alias("node")).agg(F.count(F.lit(1)).alias("size"))
-    return graphs.entry_weight(edges(spark, d), 3, sizes)
+    sizes = t("orders").groupBy(F.col("o_custkey").alias("node")).agg(F.count(F.lit(1)).alias("size"))
+    return graphs.entry_weight(calls(spark, d), 3, sizes)
 
 
 # clones ---------------------------------------------------------------------------------------------------------------

@@ -10,21 +10,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): nations of customers and of the suppliers they buy a full box from at the highest discount."""
-    line = read(spark, sf_dir, "lineitem").filter("l_quantity >= 50 AND l_discount >= 0.0995").select("l_orderkey", "l_suppkey")
-    order = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    cust = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("src"))
-    supp = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("dst"))
-    e = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(cust, F.col("o_custkey") == F.col("c_custkey"))
-    return e.join(supp, F.col("l_suppkey") == F.col("s_suppkey")).select("src", "dst").filter("(src * 7 + dst * 3) % 5 = 0").distinct()
-
-
-EDGES_SQL = """edges AS (SELECT DISTINCT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_quantity >= 50 AND l_discount >= 0.0995 AND (c_nationkey * 7 + s_nationkey * 3) % 5 = 0)"""
-
-
 def lines(spark: SparkSession, sf_dir: str, least: int = 20) -> DataFrame:
     """(doc_id, pos, line) of lines longer than `least` characters."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
