@@ -82,13 +82,27 @@ def fan_in_summary(nodes: DataFrame, uses: DataFrame, node: str, user: str, floo
     return high
 
 
+def shortened(name: Column, most: int) -> Column:
+    """A name and all that is left of it after up to `most` deletions: names within `most` edits share one of these."""
+    once = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+    found, level = F.array(name), F.array(name)
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(level, lambda x: F.when(F.length(x) > 0, once(x)).otherwise(F.array().cast("array<string>")))))
+        found = F.concat(found, level)
+    return F.array_distinct(found)
+
+
 def closest_names(names: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
-    """For each name the known one with 0 < distance <= most and half its length above the distance, first of ties."""
-    n = names.select(F.col("name")).distinct()
-    k = known.select(F.col("name").alias("other")).distinct()
-    d = F.levenshtein(F.lower("name"), F.lower("other"), most)
-    found = n.join(k, (F.abs(F.length("name") - F.length("other")) <= most) & (d > 0) & (F.floor(F.length("name") / 2) > d))
-    found = found.withColumn("distance", d.cast("long"))
+    """For each name the known one with 0 < distance <= most and half its length above the distance, first of ties.
+
+    Candidates meet in a name shortened by up to `most` signs, so that the names are not compared pair by pair.
+    """
+    key = lambda c: F.explode(shortened(F.lower(c), most)).alias("key")
+    n = names.select("name").distinct().select("name", key("name"))
+    k = known.select(F.col("name").alias("other")).distinct().select("other", key("other"))
+    found = n.join(k, "key").select("name", "other").distinct()
+    found = found.withColumn("distance", F.levenshtein(F.lower("name"), F.lower("other"), most).cast("long"))
+    found = found.filter((F.col("distance") > 0) & (F.floor(F.length("name") / 2) > F.col("distance")))
     w = Window.partitionBy("name").orderBy("distance", "other")
     return found.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 

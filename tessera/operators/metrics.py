@@ -26,9 +26,10 @@ def recency_weight(df: DataFrame, key: str, ts: str, as_of: str, half_life_days:
     return df.groupBy(key).agg(F.round(F.sum(F.pow(F.lit(0.5), age / half_life_days)), 6).alias("weight"))
 
 
-def change_coupling(changes: DataFrame, static: DataFrame, least_shared: int = 3, least_changes: int = 5, most_files: int = 50) -> DataFrame:
-    """Pairs of files that change together without an edge(a, b): shared commits and degree, from changes(commit, path).
+def change_coupling(changes: DataFrame, static: DataFrame | Column, least_shared: int = 3, least_changes: int = 5, most_files: int = 50) -> DataFrame:
+    """Pairs of files that change together without a static edge: shared commits and degree, from changes(commit, path).
 
+    static is a table of edges(a, b) or a condition on a and b.
     Commits of more than `most_files` files are left out, so a commit gives a bounded number of pairs.
     """
     c = changes.select("commit", "path").distinct()
@@ -36,7 +37,8 @@ def change_coupling(changes: DataFrame, static: DataFrame, least_shared: int = 3
     revisions = c.groupBy("path").agg(F.count(F.lit(1)).alias("revisions")).filter(F.col("revisions") >= least_changes)
     x, y = c.toDF("commit", "a"), c.toDF("commit", "b")
     pairs = x.join(y, "commit").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least_shared)
-    pairs = pairs.join(revisions.toDF("a", "ra"), "a").join(revisions.toDF("b", "rb"), "b").join(static, ["a", "b"], "left_anti")
+    pairs = pairs.join(revisions.toDF("a", "ra"), "a").join(revisions.toDF("b", "rb"), "b")
+    pairs = pairs.filter(~static) if isinstance(static, Column) else pairs.join(static, ["a", "b"], "left_anti")
     return pairs.select("a", "b", "shared", F.round(2 * F.col("shared") / (F.col("ra") + F.col("rb")), 2).alias("degree"))
 
 
@@ -89,10 +91,9 @@ def within_ranges(points: DataFrame, ranges: DataFrame, width: int = 16) -> Data
     return p.join(bins, ["file", "bin"]).filter("line BETWEEN first AND last").select(*points.columns).distinct()
 
 
-def similar_vectors(vectors: DataFrame, ident: str, block: str, vector: str, least: float) -> DataFrame:
-    """(a, b) of vectors in one block whose dot product is at least `least`."""
-    a = vectors.select(F.col(ident).alias("a"), block, F.col(vector).alias("x"))
+def similar_vectors(queries: DataFrame, vectors: DataFrame, ident: str, block: str, vector: str, least: float) -> DataFrame:
+    """(a, b) of query vectors and the other vectors of their block whose dot product is at least `least`."""
+    a = queries.select(F.col(ident).alias("a"), block, F.col(vector).alias("x"))
     b = vectors.select(F.col(ident).alias("b"), block, F.col(vector).alias("y"))
-    pairs = a.join(b, block).filter("a < b")
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return pairs.filter(dot >= least).select("a", "b")
+    return a.join(b, block).filter("a <> b").filter(dot >= least).select("a", "b")
