@@ -5,7 +5,8 @@ to index the suffixes at these places, about one in forty bytes. The suffixes of
 hash of their first bytes and then by the hash of all the bytes that a string through this place can have (their
 context), are its suffix array. A new batch is merge-scanned against the levels of the index: sorted with them, equal
 beginnings stand together. Then the batch becomes a level, and levels of equal size merge into one of twice the size,
-so each suffix is rewritten a logarithmic number of times. Batches come in the order of documents.
+so each suffix is rewritten a logarithmic number of times. Batches come in the order of documents. Equal suffixes of
+one slice of text are combined before they are shuffled, so a passage that many documents share costs one row a slice.
 
 A suffix whose context occurs earlier is removed with its whole context. Where contexts differ behind an equal
 beginning, which happens at the ends of repeated passages, every string through the place is compared by its hash.
@@ -90,19 +91,30 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def suffixes(rows: DataFrame) -> DataFrame:
-    """(h, c, d, k, pos) of rows(d, k, text): hash of the beginning and of the context of each indexed suffix."""
+    """(h, c, d, k, pos, more) of rows(d, k, text): hash of the beginning and of the context of each indexed suffix.
+
+    Each (h, c) stands once for a slice of text, at its first place there; more holds its other places, null if none.
+    """
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 w = Windows(*text_bytes(batch.column("text")))
                 anchor, text, _, _ = w.anchors()
-                which = pa.array(text)
-                pos = pa.array((anchor - w.starts[text]).astype(np.int32))
-                cols = [_signed(w.grams[anchor]), _signed(w.contexts(anchor)), batch.column("d").take(which), batch.column("k").take(which), pos]
-                yield pa.RecordBatch.from_arrays(cols, ["h", "c", "d", "k", "pos"])
-
-    return rows.select("d", "k", "text").mapInArrow(run, "h long, c long, d long, k long, pos int")
+                d, k = (np.array(batch.column(name), np.int64)[text] for name in ("d", "k"))
+                h, c, pos = w.grams[anchor], w.contexts(anchor), (anchor - w.starts[text]).astype(np.int32)
+                order = np.lexsort((pos, k, d, c, h))
+                h, c, d, k, pos = (x[order] for x in (h, c, d, k, pos))
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+                at = np.flatnonzero(new)
+                ends = np.append(at, len(h)) - np.arange(len(at) + 1)  # of the other places of each
+                places = pa.StructArray.from_arrays([pa.array(x[~new]) for x in (d, k, pos)], ["d", "k", "pos"])
+                more = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places, mask=pa.array(np.diff(ends) == 0))
+                cols = [_signed(h[at]), _signed(c[at]), *(pa.array(x[at]) for x in (d, k, pos)), more]
+                yield pa.RecordBatch.from_arrays(cols, ["h", "c", "d", "k", "pos", "more"])
+
+    return rows.select("d", "k", "text").mapInArrow(run, "h long, c long, d long, k long, pos int, more array<struct<d: long, k: long, pos: int>>")
 
 
 class IndexFamily:
@@ -123,17 +135,16 @@ class IndexFamily:
         self.added += 1
         scan = suffixes(rows)
         for level, _ in self.levels.values():
-            scan = scan.unionByName(level)
+            scan = scan.unionByName(level, allowMissingColumns=True)
         same = Window.partitionBy("h", "c").orderBy("d", "k", "pos")
         scan = scan.select(
             "*", (F.row_number().over(same) > 1).alias("again"),
             (F.min("c").over(Window.partitionBy("h")) != F.max("c").over(Window.partitionBy("h"))).alias("parts"),
         )
         if last:
-            marks = scan.filter("again OR parts").select("d", "k", "pos", (~F.col("again")).alias("edge"))
-            return self.scratch.save(marks, f"marks{self.added}")
-        scan = self.scratch.save(scan.select("h", "c", "d", "k", "pos", "again", "parts"), f"scan{self.added}")
-        marks = scan.filter("again OR parts").select("d", "k", "pos", (~F.col("again")).alias("edge"))
+            return self.scratch.save(_marks(scan), f"marks{self.added}")
+        scan = self.scratch.save(scan.select("h", "c", "d", "k", "pos", "more", "again", "parts"), f"scan{self.added}")
+        marks = _marks(scan)
         size, held = 0, scan.filter("NOT again").select("h", "c", "d", "k", "pos")
         names = [f"scan{self.added}"]
         if self.levels:  # what the levels hold already stays where it is
@@ -151,6 +162,15 @@ class IndexFamily:
         return marks
 
 
+def _marks(scan: DataFrame) -> DataFrame:
+    """(d, k, pos, edge) of a scan: its repeats and edges, and all that were combined with a row of it as repeats."""
+    mark = lambda d, k, pos, edge: F.struct(d.alias("d"), k.alias("k"), pos.alias("pos"), edge.alias("edge"))
+    own = F.when(F.col("again") | F.col("parts"), F.array(mark(F.col("d"), F.col("k"), F.col("pos"), ~F.col("again"))))
+    more = F.transform("more", lambda x: mark(x["d"], x["k"], x["pos"], F.lit(False)))
+    every = F.when(F.col("more").isNull(), own).when(own.isNull(), more).otherwise(F.concat(own, more))
+    return scan.filter("again OR parts OR more IS NOT NULL").select(F.inline(every))
+
+
 def _edge_strings(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """(h, d, k, start, strings): hashes of the strings at each edge, from the place `start` on."""
     lists = edges.groupBy("d", "k").agg(F.collect_set("pos").alias("places"))

@@ -10,7 +10,8 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from tessera.llm import decontaminate, jaccard, line_dedup, quality, sharding
+from tessera.llm import decontaminate, jaccard, line_dedup, quality, sharding, suffix_dedup
+from tessera.llm.common import Scratch
 from tessera.llm.html_extract import Page, align, fold, infer, stream
 from tessera.llm.queries import QUERIES, SQL
 from tessera.llm.sentencepiece_codec import codec, default_model
@@ -75,8 +76,9 @@ def test_jaccard_components(spark, edge_dir):
     assert sorted(got["n_shingles"]) == sizes
 
 
-def test_suffix_dedup(spark, edge_dir):
-    rows, big = docs_of(edge_dir), 1 << 63
+def repeats(rows):
+    """(bytes, removed bytes, spans, digest of the rest) of each id, a null id as the largest."""
+    big = 1 << 63
     order = sorted({(big if i is None else i, t or "") for i, t in rows}, key=lambda x: x[0])
     seen, expected = set(), {}
     for i, t in order:
@@ -89,8 +91,21 @@ def test_suffix_dedup(spark, edge_dir):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = sum(1 for at in range(len(gone)) if gone[at] and (at == 0 or not gone[at - 1]))
         expected[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return expected
+
+
+def test_suffix_dedup(spark, edge_dir):
+    expected = repeats(docs_of(edge_dir))
     for r in run("op4_suffix_dedup", spark, edge_dir).itertuples():
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[big if pd.isna(r.doc_id) else int(r.doc_id)]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[1 << 63 if pd.isna(r.doc_id) else int(r.doc_id)]
+
+
+@pytest.mark.parametrize("batches", [1, 5])
+def test_suffix_dedup_over_partitions(spark, edge_dir, batches):
+    expected = repeats(docs_of(edge_dir))
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet").repartition(9)
+    for r in suffix_dedup.remove_repeats(spark, docs, Scratch(spark, "suffix"), batches).toPandas().itertuples():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[1 << 63 if pd.isna(r.doc_id) else int(r.doc_id)]
 
 
 def near(a, b):
