@@ -58,12 +58,11 @@ def dead_clones(t, spark, d):
     return clones.dead_clones(spans(t), o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id")), o.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 100).alias("line"), F.col("o_orderpriority").alias("name")))
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(range(len(x))) AS pos, x FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_ \\t\\r\\n]') AS x FROM documents WHERE NOT regexp_matches(text, '["'']'))),
+@query("""WITH t AS (SELECT doc_id, unnest(range(len(x))) AS pos, x FROM (SELECT doc_id, regexp_extract_all(text, '"[^"\\n]*"|''[^''\\n]*''|[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_ \\t\\r\\n]') AS x FROM documents)),
   r AS (SELECT * FROM (VALUES ('arithmetic', '-', '+'), ('arithmetic', '+', '-'), ('arithmetic', '*', '/'), ('arithmetic', '/', '*')) v(operator, token, replacement))
   SELECT doc_id AS file, pos, operator, token, replacement, sha256(concat_ws('|', doc_id, pos, operator, replacement)) AS mutant_id FROM t JOIN r ON x[pos + 1] = token""")
 def mutant_sites(t, spark, d):
-    docs = t("documents").filter(~F.col("text").rlike("[\"']"))
-    toks = docs.select(F.col("doc_id").alias("file"), F.posexplode(clones.tokens(F.col("text"), "strict")).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    toks = t("documents").select(F.col("doc_id").alias("file"), F.posexplode(clones.tokens(F.col("text"), "strict")).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
     return mutation.mutants(toks, mutation.replacement_table(spark, [r for r in mutation.REPLACEMENTS if r[0] == "arithmetic"]))
 
 
