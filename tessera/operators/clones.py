@@ -99,11 +99,13 @@ def without_ignored(spans: DataFrame, ignored: DataFrame, width: int = 64) -> Da
     return spans.join(hit.select("doc_id", "first", "last").distinct(), ["doc_id", "first", "last"], "left_anti")
 
 
-def dead_clones(spans: DataFrame, unused_files: DataFrame, unused_exports: DataFrame) -> DataFrame:
-    """(doc_id, first, last, reason): spans in unused_files(doc_id), else with a line of unused_exports(doc_id, line, name)."""
+def dead_clones(spans: DataFrame, unused_files: DataFrame, unused_exports: DataFrame, width: int = 64) -> DataFrame:
+    """(doc_id, first, last, reason): spans in unused_files(doc_id), else with a line of unused_exports(doc_id, line, name),
+    by bins of lines."""
     dead = spans.join(unused_files.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("reason", F.lit("file"))
-    e = unused_exports.select(F.col("doc_id").alias("d"), "line", "name")
+    e = unused_exports.select("doc_id", "line", "name").withColumn("bin", F.floor(F.col("line") / width))
     rest = spans.join(unused_files.select("doc_id"), "doc_id", "left_anti")
-    hit = rest.join(e, (F.col("doc_id") == F.col("d")) & F.col("line").between(F.col("first"), F.col("last")))
+    rest = rest.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
+    hit = rest.join(e, ["doc_id", "bin"]).filter("line BETWEEN first AND last")
     hit = hit.groupBy("doc_id", "first", "last").agg(F.min_by("name", F.struct("line", "name")).alias("reason"))
     return dead.select("doc_id", "first", "last", "reason").unionByName(hit)

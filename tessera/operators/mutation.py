@@ -43,7 +43,11 @@ def widen(lines: DataFrame, functions: DataFrame, width: int = 64) -> DataFrame:
     return hit.filter("line BETWEEN first AND last").select(*functions.columns).distinct()
 
 
-def hinted(mutants_: DataFrame, hints: DataFrame) -> DataFrame:
-    """mutants(file, line, ...) with the smallest hint of hints(file, first, last, hint) that covers their line, else null."""
-    on = (mutants_["file"] == hints["file"]) & mutants_["line"].between(hints["first"], hints["last"])
-    return mutants_.join(hints, on, "left").groupBy(*[mutants_[c] for c in mutants_.columns]).agg(F.min("hint").alias("hint"))
+def hinted(mutants_: DataFrame, hints: DataFrame, width: int = 64) -> DataFrame:
+    """mutants(file, line, ...) with the smallest hint of hints(file, first, last, hint) that covers their line, else null,
+    by bins of lines."""
+    cells = F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width)))
+    points = mutants_.select("file", "line").distinct().withColumn("bin", F.floor(F.col("line") / width))
+    found = points.join(hints.withColumn("bin", cells), ["file", "bin"]).filter("line BETWEEN first AND last")
+    found = found.groupBy("file", "line").agg(F.min("hint").alias("hint"))
+    return mutants_.join(found, ["file", "line"], "left").select(*mutants_.columns, "hint")

@@ -128,3 +128,12 @@ def test_mutants_and_secrets(spark):
     assert one(spark, mutation.pattern_mutants(F.col("s")), s=r"^[a-z]+\d$") == [r"[a-z]+\d$", r"^[a-z]+\d", r"^[a-z]*\d$", r"^[a-z]+\D$", r"^[^a-z]+\d$"]
     names = {"API_KEY": True, "apiToken": False, "NEXT_PUBLIC_TOKEN": False, "DB_PASSWORD": True, "MONKEY": False}
     assert {n: one(spark, security.secret_name(F.col("s")), s=n) for n in names} == names
+
+
+def test_hints_by_line(spark):
+    from tessera.operators import mutation
+
+    mutants = spark.createDataFrame([(1, 5, "a"), (1, 200, "b"), (2, 5, "c")], "file long, line long, m string")
+    hints = spark.createDataFrame([(1, 1, 300, "wide"), (1, 199, 201, "near"), (1, 6, 9, "beside")], "file long, first long, last long, hint string")
+    got = {r["m"]: r["hint"] for r in mutation.hinted(mutants, hints).collect()}
+    assert got == {"a": "wide", "b": "near", "c": None}
