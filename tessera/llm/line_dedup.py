@@ -8,10 +8,16 @@ of document id and place, is within the bound, whether or not that one stays its
 Two lines within one edit agree in the first or in the last half of the shorter one. So only lines that share such a
 half with another line emit variants; this loses no pair. In a group of equal variants each line is set against the
 earliest one only, a window minimum, so a large group costs as many rows as it has lines, never its pairs.
+
+The whole job (whole=True) has no least length: equal lines of one word or more go, and the bound grows with the
+line, one edit from LEAST_WORDS words and one for every ten from FAR_WORDS, the shorter line counting. Pairs more
+than one edit apart are found by pigeonhole: of the first k + 1 pieces of PIECE words of the shorter line one stands
+unchanged in the longer one, moved by k words at most, and the distance is verified.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +29,10 @@ LEAST_WORDS = 5
 NEAR_WORDS = 10
 #: word edits within which lines are the same; 0 or 1
 MAX_EDITS = 1
+#: whole job: from so many words on, more than one edit is within the bound
+FAR_WORDS = 20
+#: words of a piece; FAR_WORDS and more words have more pieces than edits
+PIECE = 6
 
 
 def _words(line: Column) -> Column:
@@ -45,6 +55,57 @@ def _halves(words: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
+def edit_bound(n):
+    """Edits within which a line of n words (a number or a column) and a longer one are the same, in the whole job."""
+    if isinstance(n, int):
+        return 0 if n < LEAST_WORDS else max(1, n // 10)
+    return F.when(n < LEAST_WORDS, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 10))).cast("int")
+
+
+def _parity(words: Column) -> Column:
+    """64 bits, one flipped by each word: an edit changes two of them at most."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(w, F.lit(64)).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
+
+
+def _short_id(a: Column) -> Column:
+    """An even number of 32 bits from the first half of a line's id; two lines that share it are only compared more."""
+    return F.hash(a).bitwiseAND(F.lit(-2))
+
+
+def _far_keys(words: Column, n: Column) -> Column:
+    """Hashes of windows of a line with, as lowest bit beside the line's short id, whether the window is a piece."""
+    k = edit_bound(n)
+    # a piece moves by k / 2 words to the front at most, as the other line is not shorter, and by k to the back
+    back = F.floor(k / 2).cast("int")
+    at = F.filter(F.sequence(F.lit(0), F.least(n - PIECE, k * (PIECE + 1))), lambda p: (p + back) % PIECE <= k + back)
+    is_piece = lambda p: F.when((p % PIECE == 0) & (p <= k * PIECE), 1).otherwise(0)
+    lid = _short_id(F.xxhash64(words))
+    return F.array_distinct(F.transform(at, lambda p: F.struct(F.hash(F.slice(words, p + 1, PIECE)).alias("key"), (lid + is_piece(p)).alias("lid"))))
+
+
+def word_edits(a: list, b: list, bound: int) -> int:
+    """Words put in, left out or replaced between a and b; bound + 1 where more than bound. Furthest reach by diagonal."""
+    la, lb = len(a), len(b)
+    if abs(la - lb) > bound:
+        return bound + 1
+    reach = {}
+    for e in range(bound + 1):
+        now = {}
+        for d in range(-e, e + 1):
+            i = 0 if e == 0 else max(reach.get(d, -2) + 1, reach.get(d - 1, -2) + 1, reach.get(d + 1, -2))
+            i = min(i, la, lb + d)
+            if i < 0 or i < d:
+                continue
+            while i < la and i - d < lb and a[i] == b[i - d]:
+                i += 1
+            if i == la and i - d == lb:
+                return e
+            now[d] = i
+        reach = now
+    return bound + 1
+
+
 def keyed_documents(docs: DataFrame) -> DataFrame:
     """docs with __d, its id (a null id as the largest), and __k, a hash of id and text."""
     return docs.withColumns({"__d": F.coalesce("doc_id", F.lit(NULL_ID)), "__k": F.xxhash64("doc_id", "text")})
@@ -63,11 +124,12 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (long - short <= 1) & (front + behind >= long - 1)
 
 
-def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_edits: int = MAX_EDITS) -> DataFrame:
+def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_edits: int = MAX_EDITS, whole: bool = False) -> DataFrame:
     """(d, k, drops): for documents with lines to drop, an array of (pos, near).
 
     Documents are named by id and by a hash of id and text; rows that repeat both are one document. Lines are what
-    stands between newlines; lines of fewer than LEAST_WORDS words, null and empty texts have none to drop.
+    stands between newlines; lines of fewer than LEAST_WORDS words (whole: of none), null and empty texts have none
+    to drop. With max_edits 0 only equal lines count.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
@@ -75,14 +137,15 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_
     # outer: no filter on the number of lines, which would split every text twice
     words = F.transform(F.split("text", "\n", -1), _words)
     lines = rows.select("__d", "__k", F.posexplode_outer(words).alias("pos", "w")).withColumn("n", F.size("w"))
-    lines = lines.filter(F.col("n") >= LEAST_WORDS)
+    lines = lines.filter(F.col("n") >= (1 if whole else LEAST_WORDS))
+    far = [F.when(F.col("n") >= FAR_WORDS, F.struct("n", _parity(F.col("w")).alias("parity"))).alias("far")] if whole and max_edits else []
     lines = lines.select(
         F.col("__d").alias("d"), F.col("__k").alias("k"), "pos", _line_id(F.col("w")).alias("id"),
-        F.when(F.col("n") >= NEAR_WORDS, _halves(F.col("w"), F.col("n"))).alias("halves"),
+        F.when(F.col("n") >= (LEAST_WORDS if whole else NEAR_WORDS), _halves(F.col("w"), F.col("n"))).alias("halves"), *far,
     )
-    lines = scratch.save(lines.select("d", "k", "pos", "id.a", "id.b", "halves"), "lines")
+    lines = scratch.save(lines.select("d", "k", "pos", "id.a", "id.b", "halves", *["far"] * len(far)), "lines")
     place = F.struct("d", "k", "pos")
-    first = lines.groupBy("a", "b").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
+    first = lines.groupBy("a", "b").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in lines.columns[5:]])
     first = scratch.save(first, "first")
     near = _near_lines(spark, rows, first, scratch) if max_edits else None
 
@@ -92,18 +155,51 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_
         near = near.select("a", "b", F.lit(True).alias("is_near"))
         some = first.join(near.hint("merge"), ["a", "b"], "left").filter("n > 1 OR is_near").select("a", "b", "at", F.coalesce("is_near", F.lit(False)).alias("near"))
     some = scratch.save(some, "some")
-    drops = lines.drop("halves").join(some.hint("merge"), ["a", "b"]).filter(F.col("near") | (place != F.col("at")))
+    drops = lines.drop("halves", "far").join(some.hint("merge"), ["a", "b"]).filter(F.col("near") | (place != F.col("at")))
     drops = drops.select("d", "k", "pos", "near").distinct().groupBy("d", "k").agg(F.collect_list(F.struct("pos", "near")).alias("drops"))
     drops = scratch.save(drops, "drops")
     scratch.drop("lines", "first", "some")
     return drops
 
 
+def _far_pairs(rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
+    """(at, other): lines of FAR_WORDS words or more that may be within the bound, other before at."""
+    words = rows.select(F.explode_outer(F.transform(F.split("text", "\n", -1), _words)).alias("w")).withColumn("n", F.size("w"))
+    keys = words.filter(F.col("n") >= FAR_WORDS).select(F.explode_outer(_far_keys(F.col("w"), F.col("n"))).alias("x")).select("x.*")
+    # keys of one line only, or of no piece, are dropped before the lines' places are joined
+    group, line, piece = Window.partitionBy("key"), F.col("lid").bitwiseAND(F.lit(-2)), F.col("lid").bitwiseAND(F.lit(1))
+    keys = keys.withColumns({"low": F.min(line).over(group), "high": F.max(line).over(group), "pieces": F.max(piece).over(group)})
+    keys = keys.filter("low <> high AND pieces = 1").groupBy("key", line.alias("line")).agg(F.max(piece).alias("piece"))
+    keys = scratch.save(keys, "keys")
+    far = first.filter("far IS NOT NULL").select(_short_id(F.col("a")).alias("line"), "at", "far.*")
+    far = keys.join(far.hint("merge"), "line")
+    short = far.filter("piece = 1").select("key", F.col("at").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("px"))
+    long = far.select("key", F.col("at").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"))
+    k = edit_bound(F.col("nx"))
+    fits = (F.col("x") != F.col("y")) & F.col("ny").between(F.col("nx"), F.col("nx") + k)
+    fits &= F.bit_count(F.col("px").bitwiseXOR(F.col("py"))) <= 2 * k
+    pairs = short.join(long.hint("merge"), "key").filter(fits)
+    return pairs.select(F.greatest("x", "y").alias("at"), F.least("x", "y").alias("other")).distinct()
+
+
+def _within_bound(batches):
+    for batch in batches:
+        x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+        bounds = [edit_bound(min(len(a), len(b))) for a, b in zip(x, y)]
+        yield batch.filter(pa.array([word_edits(a, b, k) <= k for a, b, k in zip(x, y, bounds)], pa.bool_()))
+
+
 def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) of the lines that have an earlier line one edit away."""
+    """(a, b) of the lines that have an earlier line one edit away, or within the bound where first has `far`."""
     halves = first.filter("halves IS NOT NULL").select("at", F.explode("halves").alias("half"))
     shared = halves.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("half"))).filter("m > 1")
     shared = shared.select("at.d", "at.k", "at.pos").distinct()
+    far = None
+    if "far" in first.columns:
+        far = scratch.save(_far_pairs(rows, first, scratch), "far")
+        scratch.drop("keys")
+        scratch.tidy()
+        shared = shared.unionByName(far.select(F.explode(F.array("at", "other")).alias("l")).select("l.*")).distinct()
     wanted = shared.groupBy("d", "k").agg(F.collect_list("pos").alias("wanted"))
     wanted = scratch.save(wanted, "wanted")
     # the words of those lines, from the document where each occurs first
@@ -133,14 +229,17 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
     left = texts.select(F.col("at"), F.col("w").alias("x"))
     right = texts.select(F.col("at").alias("other"), F.col("w").alias("y"))
     checked = pairs.hint("merge").join(left, "at").join(right.hint("merge"), "other").filter(within_one_edit(F.col("x"), F.col("y")))
+    if far is not None:
+        both = far.hint("merge").join(left, "at").join(right.hint("merge"), "other").select("x", "y")
+        checked = checked.select("x", "y").unionByName(both.mapInArrow(_within_bound, "x array<bigint>, y array<bigint>"))
     checked = scratch.save(checked.select(_line_id(F.col("x")).alias("id")).select("id.a", "id.b").distinct(), "near")
-    scratch.drop("words", "pairs")
+    scratch.drop("words", "pairs", "far")
     return checked
 
 
-def _with_kept_lines(spark: SparkSession, rows: DataFrame, scratch: Scratch, max_edits: int) -> DataFrame:
+def _with_kept_lines(spark: SparkSession, rows: DataFrame, scratch: Scratch, max_edits: int, whole: bool = False) -> DataFrame:
     """rows(doc_id, text, row) with `kept` text and the counts n_lines, n_exact, n_near, n_kept."""
-    drops = duplicate_lines(spark, rows, scratch, max_edits).select(F.col("d").alias("__d"), F.col("k").alias("__k"), "drops")
+    drops = duplicate_lines(spark, rows, scratch, max_edits, whole).select(F.col("d").alias("__d"), F.col("k").alias("__k"), "drops")
     out = keyed_documents(rows).join(drops.hint("merge"), ["__d", "__k"], "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("drops.pos"), i))
@@ -154,13 +253,13 @@ def _with_kept_lines(spark: SparkSession, rows: DataFrame, scratch: Scratch, max
     )
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_edits: int = MAX_EDITS) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_edits: int = MAX_EDITS, whole: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_exact, n_near, n_kept, text) of every row of docs(doc_id, text), text without dropped lines.
 
     A null text stays null and has no lines; an empty one has one line. Other columns are not read.
     """
     rows = docs.select("doc_id", "text", F.lit(None).cast("string").alias("row"))
-    out = _with_kept_lines(spark, rows, scratch, max_edits)
+    out = _with_kept_lines(spark, rows, scratch, max_edits, whole)
     return out.select("doc_id", "n_lines", "n_exact", "n_near", "n_kept", F.col("kept").alias("text"))
 
 
@@ -169,6 +268,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(spark, documents(spark, sf_dir), Scratch(spark, "lines"))
 
 
+def op2_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op2_line_dedup, with lines of every length and the bound that grows with the line."""
+    return dedup_lines(spark, documents(spark, sf_dir), Scratch(spark, "lines"), whole=True)
+
+
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without repeated lines. A document of which no word is left goes, if it had any.
 
@@ -176,7 +280,7 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whatever their names.
     """
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = _with_kept_lines(spark, rows, Scratch(spark, "lines"), MAX_EDITS)
+    out = _with_kept_lines(spark, rows, Scratch(spark, "lines"), MAX_EDITS, whole=True)
     word = r"[^\x20\x09-\x0D]"
     out = out.filter(~F.coalesce(F.col("text").rlike(word), F.lit(False)) | F.col("kept").rlike(word))
     new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_kept") < F.col("n_lines"), F.length("kept").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else None)}

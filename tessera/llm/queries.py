@@ -5,7 +5,7 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .html_extract import op5_html
 from .jaccard import op3_jaccard
 from .language import op10_language
-from .line_dedup import op2_line_dedup
+from .line_dedup import op2_line_dedup, op2_line_dedup_whole
 from .quality import op1_quality
 from .sentencepiece_codec import op7_sentencepiece
 from .suffix_dedup import op4_suffix_dedup
@@ -13,6 +13,6 @@ from .sharding import op6_sharding
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_line_dedup, op3_jaccard, op4_suffix_dedup, op5_html, op6_sharding, op7_sentencepiece, op8_exact_dedup, op9_decontaminate, op10_language)
+    for f in (op1_quality, op2_line_dedup, op2_line_dedup_whole, op3_jaccard, op4_suffix_dedup, op5_html, op6_sharding, op7_sentencepiece, op8_exact_dedup, op9_decontaminate, op10_language)
 }
 SQL = {"op8_exact_dedup": OP8_SQL}
