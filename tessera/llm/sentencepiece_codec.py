@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, slices
 
 MARK = "▁"
 #: piece types of a model file (fixed values)
@@ -306,32 +306,67 @@ class Codec:
             out.append(_utf8(run))
         return "".join(out)
 
-    def digest(self, text: str | None) -> tuple[int, str, str, str]:
-        """Number of ids, hex SHA-256 of the ids joined by commas, and of the decoded text; and the joined ids.
+    def _hits(self, parts: list[str]) -> list[tuple]:
+        """For each part: ids joined by commas, their number, decoded text, and as int32 the ids and their bytes' number.
 
-        Ids and decoded text are those of encode() and decode(), put together from the cached parts.
+        The widths are relative, so a part is cached wherever it stands in a text.
         """
-        parts = self.parts(self.normalise(text or "")[0])
         cache = self.cache
         got = list(map(cache.get, parts))
         if None in got:
             for at, part in enumerate(parts):
                 if got[at] is None and (hit := cache.get(part)) is None:
-                    ids = [i for piece in self.merge(part) for i in self._ids(piece)]
+                    ids, widths = [], []
+                    for piece in self.merge(part):
+                        new, size = self._ids(piece), len(piece.encode())
+                        ids += new
+                        widths += [size] if len(new) == 1 else [1] * size
                     # decode() drops one mark in front of the text; this one stands before the part
                     plain = self.decode([self.id[MARK], *ids]) if MARK in self.id else self.decode(ids)
-                    hit = ",".join(map(str, ids)), len(ids), plain
+                    hit = ",".join(map(str, ids)), len(ids), plain, np.array(ids, np.int32).tobytes(), np.array(widths, np.int32).tobytes()
                     if len(part) <= 64 and len(cache) < CACHE_PARTS:
                         cache[part] = hit
                     got[at] = hit
                 elif got[at] is None:
                     got[at] = hit
+        return got
+
+    def _digests(self, parts: list[str], got: list[tuple]) -> tuple[int, str, str, str]:
         decoded = "".join([x[2] for x in got])
         if (self.dummy or self.trim) and decoded.startswith(" ") and parts and parts[0].startswith(MARK):
             decoded = decoded[1:]
         ids = ",".join([x[0] for x in got])
         return sum([x[1] for x in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids
 
+    def digest(self, text: str | None) -> tuple[int, str, str, str]:
+        """Number of ids, hex SHA-256 of the ids joined by commas, and of the decoded text; and the joined ids.
+
+        Ids and decoded text are those of encode() and decode(), put together from the cached parts.
+        """
+        parts = self.parts(self.normalise(text or "")[0])
+        return self._digests(parts, self._hits(parts))
+
+    def _source(self, text: str, normalised: str, source: list[int] | None) -> np.ndarray:
+        """The source byte of each byte of the normalised text, and of its end."""
+        if source is not None:
+            return np.array(source, np.int32)
+        original = np.frombuffer(text.encode(), np.uint8)
+        marks = len(MARK.encode()) if self.escape else 1
+        at = np.arange(len(original), dtype=np.int32)
+        at = np.repeat(at, np.where(original == 32, marks, 1)) if self.escape else at
+        front = np.zeros(marks if normalised and self.dummy else 0, np.int32)
+        return np.concatenate([front, at, np.array([len(original)], np.int32)])
+
+    def encode_digest(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, str, str]:
+        """Ids, begins and ends as encode_spans() has them, and the first three values of digest(), from the same parts."""
+        text = text or ""
+        normalised, source = self.normalise(text)
+        parts = self.parts(normalised)
+        got = self._hits(parts)
+        ids, widths = (np.frombuffer(b"".join([x[k] for x in got]), np.int32) for k in (3, 4))
+        source, stop = self._source(text, normalised, source), np.cumsum(widths)
+        return (ids, source[stop - widths], source[stop], *self._digests(parts, got)[:3])
+
 
 def _utf8(run: bytearray) -> str:
     """Bytes as text; each byte that belongs to no character becomes U+FFFD, one by one."""
@@ -378,7 +413,7 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches):
         c = codec(model or default_model())
         for batch in batches:
-            rows = [c.encode_spans(t) for t in batch.column("text").to_pylist()]
+            rows = [c.encode_digest(t.as_py()) for t in batch.column("text")]
             cols = [batch.column("doc_id")] + [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(3)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "begins", "ends"])
 
@@ -386,29 +421,28 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def digest_documents(docs: DataFrame, model: str | None = None, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of docs(doc_id, text), null as empty.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, begins, ends) for every row of docs(doc_id, text), null as empty.
 
-    with_ids adds the ids themselves as an array `ids`.
+    begins and ends are the spans of original bytes of the ids; with_ids adds the ids themselves as an array `ids`.
     """
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, "begins", "ends"]
 
     def run(batches):
         c = codec(model or default_model())
-        for batch in batches:
-            rows = [c.digest(t.as_py()) for t in batch.column("text")]
-            cols = [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64())]
-            cols += [pa.array([r[k] for r in rows], pa.string()) for k in (1, 2)]
-            if with_ids:
-                ids = [np.fromstring(r[3], np.int32, sep=",") if r[3] else np.zeros(0, np.int32) for r in rows]
-                cols.append(pa.array(ids, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                rows = [c.encode_digest(t.as_py()) for t in batch.column("text")]
+                cols = [batch.column("doc_id"), pa.array([r[3] for r in rows], pa.int64())]
+                cols += [pa.array([r[k] for r in rows], pa.string()) for k in (4, 5)]
+                cols += [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(0 if with_ids else 1, 3)]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", begins array<int>, ends array<int>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the ids of every document, with their number and digests."""
+    """Pipeline stage, the last: the ids of every document and their spans, with their number and digests."""
     return digest_documents(docs, with_ids=True)
 
 
