@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +99,31 @@ def similar_vectors(queries: DataFrame, vectors: DataFrame, ident: str, block: s
     b = vectors.select(F.col(ident).alias("b"), block, F.col(vector).alias("y"))
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return a.join(b, block).filter("a <> b").filter(dot >= least).select("a", "b")
+
+
+def similar_pairs(vectors: DataFrame, ident: str, vector: str, least: float, size: int = 2048) -> DataFrame:
+    """(a, b), a < b: all pairs of vectors, of whatever label, whose dot product is at least `least`.
+
+    Vectors fall into blocks of about `size`; each pair of blocks is one matrix product, whose hits are summed again in order.
+    """
+    v = vectors.select(F.col(ident).alias("id"), F.col(vector).alias("x")).filter("id IS NOT NULL AND x IS NOT NULL")
+    n = max(1, -(-v.count() // size))
+    v = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    both = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    v = v.select("id", "x", "block", F.explode(both).alias("p")).select("id", "x", "block", "p.i", "p.j")
+
+    def pairs(key, rows):
+        i, j = key
+        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        x, y = (np.array(side["x"].tolist(), np.float64) for side in (left, right))
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        at, to = np.nonzero(x @ y.T >= least - 1e-6)
+        once = a[at] < b[to] if i == j else a[at] != b[to]
+        at, to = at[once], to[once]
+        hit = np.array([np.cumsum(x[p] * y[q])[-1] >= least for p, q in zip(at, to)], bool)
+        a, b = a[at[hit]], b[to[hit]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return v.groupBy("i", "j").applyInPandas(pairs, "a long, b long")

@@ -253,6 +253,12 @@ def similar_code(t, spark, d):
     return metrics.similar_vectors(v.filter("vec_id % 100 = 0"), v, "vec_id", "label", "embedding", 0.3)
 
 
+@query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+  WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3""")
+def similar_code_pairs(t, spark, d):
+    return metrics.similar_pairs(t("embeddings"), "vec_id", "embedding", 0.3)
+
+
 # findings -------------------------------------------------------------------------------------------------------------
 
 
