@@ -29,10 +29,12 @@ from .jaccard import _mix
 #: bytes of a string that is removed if it occurs earlier, and of the beginnings that are hashed
 LENGTH, GRAM = 100, 24
 REACH = LENGTH - GRAM
-#: batches that a whole table is added in
-BATCHES = 2
+#: batches that a whole table is added in: the levels of the first two, and then of all four, merge
+BATCHES = 4
 #: bytes of text that are hashed at once in a task
 SLICE = 1 << 20
+#: strings through one beginning that meet in one task, at least and at most; more are dealt out by their hashes
+MEET = 250_000, 4_000_000
 
 _SYMBOL = _mix(np.arange(1, 258, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -126,38 +128,32 @@ class IndexFamily:
     def __init__(self, spark: SparkSession, scratch: Scratch):
         self.spark, self.scratch, self.levels, self.added = spark, scratch, {}, 0
 
-    def add(self, rows: DataFrame, last: bool = False) -> DataFrame:
+    def add(self, rows: DataFrame) -> DataFrame:
         """Adds documents (d, k, text), all behind those added before; returns the marked suffixes (d, k, pos, edge).
 
         edge false: the context occurs earlier. edge true: the first place of a context, with an equal beginning that
-        goes on in another way, in the batch or before. last: no batch follows, so the batch needs no level.
+        goes on in another way, in the batch or before.
         """
         self.added += 1
-        scan = suffixes(rows)
+        scan = suffixes(rows).withColumn("new", F.lit(True))
         for level, _ in self.levels.values():
-            scan = scan.unionByName(level, allowMissingColumns=True)
+            scan = scan.unionByName(level.withColumn("new", F.lit(False)), allowMissingColumns=True)
         same = Window.partitionBy("h", "c").orderBy("d", "k", "pos")
         scan = scan.select(
             "*", (F.row_number().over(same) > 1).alias("again"),
             (F.min("c").over(Window.partitionBy("h")) != F.max("c").over(Window.partitionBy("h"))).alias("parts"),
         )
-        if last:
-            return self.scratch.save(_marks(scan), f"marks{self.added}")
-        scan = self.scratch.save(scan.select("h", "c", "d", "k", "pos", "more", "again", "parts"), f"scan{self.added}")
-        marks = _marks(scan)
-        size, held = 0, scan.filter("NOT again").select("h", "c", "d", "k", "pos")
-        names = [f"scan{self.added}"]
-        if self.levels:  # what the levels hold already stays where it is
-            held = held.join(rows.select("d", "k").distinct(), ["d", "k"], "left_semi")
+        scan = self.scratch.save(scan.filter("new OR parts"), f"scan{self.added}")
+        marks = self.scratch.save(_marks(scan), f"marks{self.added}")
+        # no (h, c) stands in two levels, as what an earlier one holds is a repeat
+        size, held, names = 0, scan.filter("new AND NOT again").select("h", "c", "d", "k", "pos"), [f"scan{self.added}"]
         while size in self.levels:
             level, name = self.levels.pop(size)
             held = held.unionByName(level)
             names.append(name)
             size += 1
-        held = held.groupBy("h", "c").agg(F.min(F.struct("d", "k", "pos")).alias("m")).select("h", "c", "m.d", "m.k", "m.pos") if size else held
         name = f"level{self.added}-{size}"
-        self.levels[size] = self.scratch.save(held.select("h", "c", "d", "k", "pos"), name), name
-        marks = self.scratch.save(marks, f"marks{self.added}")
+        self.levels[size] = self.scratch.save(held, name), name
         self.scratch.drop(*names)
         return marks
 
@@ -197,31 +193,76 @@ def _edge_strings(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "h long, d long, k long, start int, strings array<long>")
 
 
+def _dealt(strings: DataFrame) -> DataFrame:
+    """strings with `part` and `places`: rows of a beginning with very many strings are cut up by the strings' hashes.
+
+    How many parts a beginning has is counted; the counts that are above one are broadcast, at most one for each
+    MEET[0] strings of a small table and for each MEET[1] of a large one. places is null where a row isn't cut.
+    """
+    counts = strings.groupBy("h").agg(F.sum(F.size("strings")).alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = max(MEET[0], min(MEET[1], total // 2000))
+    busy = sorted((r["h"], -(-r["n"] // most)) for r in counts.filter(F.col("n") > most).collect())
+    if not busy:
+        return strings.withColumns({"part": F.lit(0), "places": F.lit(None).cast("array<int>")})
+    hashes = strings.sparkSession.sparkContext.broadcast((np.array([h for h, _ in busy], np.int64), np.array([n for _, n in busy], np.int64)))
+
+    def run(batches):
+        known, parts = hashes.value
+        for batch in batches:
+            h = np.array(batch.column("h"))
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            many = np.where(known[at] == h, parts[at], 1)
+            out = {"row": [], "part": [], "start": [], "strings": [], "places": []}
+            for i in np.flatnonzero(many > 1):
+                flat = np.array(batch.column("strings")[int(i)].values, np.int64)
+                part = (flat.view(np.uint64) % np.uint64(many[i])).astype(np.int64)
+                place = np.arange(len(flat), dtype=np.int32) + batch.column("start")[int(i)].as_py()
+                for p in np.unique(part):
+                    for name, value in (("row", i), ("part", p), ("start", place[part == p][0]), ("strings", flat[part == p]), ("places", place[part == p])):
+                        out[name].append(value)
+            whole = pa.array(np.flatnonzero(many == 1))
+            cols = [batch.column(c).take(whole) for c in ("h", "d", "k", "start", "strings")]
+            cols += [pa.array(np.zeros(len(whole), np.int32)), pa.nulls(len(whole), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "d", "k", "start", "strings", "part", "places"])
+            row = pa.array(np.array(out["row"], np.int64))
+            cols = [batch.column(c).take(row) for c in ("h", "d", "k")] + [pa.array(out["start"], pa.int32()), pa.array(out["strings"], pa.list_(pa.int64()))]
+            cols += [pa.array(out["part"], pa.int32()), pa.array(out["places"], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "d", "k", "start", "strings", "part", "places"])
+
+    return strings.mapInArrow(run, "h long, d long, k long, start int, strings array<long>, part int, places array<int>")
+
+
 def _repeated(strings: DataFrame) -> DataFrame:
     """(d, k, begin, stop): bytes covered by strings that stand earlier in the order of (d, k, start)."""
 
     def run(batches):
-        seen, group = np.zeros(0, np.int64), None  # strings of a beginning that goes on from one batch to the next
+        seen, last = np.zeros(0, np.int64), None  # strings of a group that goes on from one batch to the next
         for batch in batches:
-            h = np.array(batch.column("h"))
-            column = batch.column("strings")
-            n = np.array(column.value_lengths())
-            flat = np.array(column.flatten())
-            start = np.array(batch.column("start"))
+            if not batch.num_rows:
+                continue
+            h, part = np.array(batch.column("h")), np.array(batch.column("part"))
+            n, flat = np.array(batch.column("strings").value_lengths()), np.array(batch.column("strings").flatten())
             row = np.repeat(np.arange(len(n)), n)
-            ends = np.cumsum(n)
-            place = np.arange(len(flat)) - np.repeat(ends - n, n) + start[row]
-            _, first = np.unique(flat, return_index=True)
-            again = np.ones(len(flat), bool)
-            again[first] = False
-            if group is not None and len(h) and h[0] == group:
-                head = np.searchsorted(h, group, side="right") if (h[:-1] <= h[1:]).all() else int((h == group).cumprod().sum())
-                head = int(n[:head].sum())
-                again[:head] |= np.isin(flat[:head], seen)
-            if len(h):
-                tail = flat[row >= len(h) - int((h[::-1] == h[-1]).cumprod().sum())]
-                seen = np.union1d(seen, tail) if group == h[-1] and (h == group).all() else np.unique(tail)
-                group = h[-1]
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + np.array(batch.column("start"))[row]
+            cut = np.array(batch.column("places").is_valid())
+            if cut.any():
+                place[cut[row]] = np.array(batch.column("places").flatten())
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
+            group = np.cumsum(new) - 1
+            # equal strings of two groups differ in their beginnings, so they are no repeats of each other
+            order = np.lexsort((np.arange(len(flat)), flat, group[row]))
+            again = np.zeros(len(flat), bool)
+            again[order[1:]] = (flat[order[1:]] == flat[order[:-1]]) & (group[row][order[1:]] == group[row][order[:-1]])
+            head = group[row] == 0
+            if last == (h[0], part[0]):
+                again[head] |= np.isin(flat[head], seen)
+            else:
+                seen = np.zeros(0, np.int64)
+            tail = np.unique(flat[group[row] == group[-1]])
+            seen = np.union1d(seen, tail) if group[-1] == 0 else tail
+            last = (h[-1], part[-1])
             hit = np.flatnonzero(again)
             if not len(hit):
                 continue
@@ -234,7 +275,7 @@ def _repeated(strings: DataFrame) -> DataFrame:
             cols += [pa.array(place[hit[left]].astype(np.int32)), pa.array((place[hit[right]] + LENGTH).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, ["d", "k", "begin", "stop"])
 
-    ordered = strings.repartition("h").sortWithinPartitions("h", "d", "k", "start")
+    ordered = _dealt(strings).repartition("h", "part").sortWithinPartitions("h", "part", "d", "k", "start")
     return ordered.mapInArrow(run, "d long, k long, begin int, stop int")
 
 
@@ -243,7 +284,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, batch
 
     spans: the removed ranges of bytes, in order. Null counts as empty; texts under LENGTH bytes keep everything. A
     null id comes after all others. Rows that repeat id and text are one document, with one result for each row; rows
-    that repeat only the id are ordered by a hash of their texts. Other columns are not read.
+    that repeat only the id are ordered by a hash of their texts. Long texts are hashed whole; of ties the smaller id
+    is earlier. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("d").alias("m")).first()
@@ -252,16 +294,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, batch
     cuts = rows.agg(F.percentile_approx("d", [i / batches for i in range(1, batches)], 10_000)).first()[0] or [] if batches > 1 else []
     cuts = sorted(set(cuts))
     family, marks = IndexFamily(spark, scratch), None
-    once = rows.drop("doc_id") if ids["n"] == ids["m"] else rows.drop("doc_id").dropDuplicates(["d", "k"])
-    for i in range(len(cuts) + 1):
-        part = once
-        if i:
-            part = part.filter(F.col("d") > cuts[i - 1])
-        if i < len(cuts):
-            part = part.filter(F.col("d") <= cuts[i])
-        found = family.add(part, last=i == len(cuts))
+    once = rows if ids["n"] == ids["m"] else rows.dropDuplicates(["d", "k"])
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        # on the column itself, so that the scan can skip row groups
+        part = once if low is None else once.filter(F.col("doc_id").isNull() | (F.col("doc_id") > low))
+        part = part if high is None else part.filter((F.col("doc_id") <= high) & F.col("doc_id").isNotNull())
+        found = family.add(part.select("d", "k", "text"))
         marks = found if marks is None else marks.unionByName(found)
         scratch.tidy()
+    once = once.drop("doc_id")
     scratch.drop(*(name for _, name in family.levels.values()))
     whole = marks.filter("NOT edge").select("d", "k", (F.col("pos") - REACH).alias("begin"), (F.col("pos") + LENGTH).alias("stop"))
     strings = scratch.save(_edge_strings(once, marks.filter("edge")), "strings")
@@ -298,5 +339,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, batch
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what remove_repeats() leaves of every document."""
     out = remove_repeats(spark, documents(spark, sf_dir), Scratch(spark, "suffix"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
