@@ -1,16 +1,17 @@
 """Line dedup: a deletion-neighbourhood join over the lines of all documents.
 
-Lines are compared as sequences of words. Equal lines are found by hash. For lines within one word edit (a word put
-in, left out or replaced), every line emits the hashes of itself and of all variants with one word deleted; equal
-variants meet, their distance is verified, and the earliest line stays. A line goes if an earlier line, in the order
-of document id and place, is within the bound, whether or not that one stays itself.
+Lines are compared as sequences of words. Equal lines of one word or more are found by hash, whatever their length.
+From NEAR_WORDS words on, lines within one word edit (a word put in, left out or replaced) are the same too: every line
+emits the hashes of itself and of all variants with one word deleted; equal variants meet, their distance is verified,
+and the earliest line stays. A line goes if an earlier line, in the order of document id and place, is within the
+bound, whether or not that one stays itself.
 
 Two lines within one edit agree in the first or in the last half of the shorter one. So only lines that share such a
 half with another line emit variants; this loses no pair. In a group of equal variants each line is set against the
 earliest one only, a window minimum, so a large group costs as many rows as it has lines, never its pairs.
 
-The whole job (whole=True) has no least length: equal lines of one word or more go, and the bound grows with the
-line, one edit from LEAST_WORDS words and one for every ten from FAR_WORDS, the shorter line counting. Pairs more
+With whole=True the bound grows with the line, one edit from NEAR_WORDS words and one for every ten from FAR_WORDS, the
+shorter line counting. Pairs more
 than one edit apart are found by pigeonhole: of the first k + 1 pieces of PIECE words of the shorter line one stands
 unchanged in the longer one, moved by k words at most, and the distance is verified.
 """
@@ -23,13 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, SPACE_CLASS, Scratch, documents
 
-#: fewer words: the line always stays
-LEAST_WORDS = 5
 #: fewer words: only equal lines count, as one edit is too much of the line
-NEAR_WORDS = 10
+NEAR_WORDS = 5
 #: word edits within which lines are the same; 0 or 1
 MAX_EDITS = 1
-#: whole job: from so many words on, more than one edit is within the bound
+#: with whole=True: from so many words on, more than one edit is within the bound
 FAR_WORDS = 20
 #: words of a piece; FAR_WORDS and more words have more pieces than edits
 PIECE = 6
@@ -56,10 +55,10 @@ def _halves(words: Column, n: Column) -> Column:
 
 
 def edit_bound(n):
-    """Edits within which a line of n words (a number or a column) and a longer one are the same, in the whole job."""
+    """Edits within which a line of n words (a number or a column) and a longer one are the same, with whole=True."""
     if isinstance(n, int):
-        return 0 if n < LEAST_WORDS else max(1, n // 10)
-    return F.when(n < LEAST_WORDS, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 10))).cast("int")
+        return 0 if n < NEAR_WORDS else max(1, n // 10)
+    return F.when(n < NEAR_WORDS, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 10))).cast("int")
 
 
 def _parity(words: Column) -> Column:
@@ -128,8 +127,8 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_
     """(d, k, drops): for documents with lines to drop, an array of (pos, near).
 
     Documents are named by id and by a hash of id and text; rows that repeat both are one document. Lines are what
-    stands between newlines; lines of fewer than LEAST_WORDS words (whole: of none), null and empty texts have none
-    to drop. With max_edits 0 only equal lines count.
+    stands between newlines, however long; lines without words, null and empty texts have none to drop. Of equal places
+    none is tied, as document and line order them. An empty table gives no rows. With max_edits 0 only equal lines count.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
@@ -137,11 +136,11 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_
     # outer: no filter on the number of lines, which would split every text twice
     words = F.transform(F.split("text", "\n", -1), _words)
     lines = rows.select("__d", "__k", F.posexplode_outer(words).alias("pos", "w")).withColumn("n", F.size("w"))
-    lines = lines.filter(F.col("n") >= (1 if whole else LEAST_WORDS))
+    lines = lines.filter(F.col("n") >= 1)
     far = [F.when(F.col("n") >= FAR_WORDS, F.struct("n", _parity(F.col("w")).alias("parity"))).alias("far")] if whole and max_edits else []
     lines = lines.select(
         F.col("__d").alias("d"), F.col("__k").alias("k"), "pos", _line_id(F.col("w")).alias("id"),
-        F.when(F.col("n") >= (LEAST_WORDS if whole else NEAR_WORDS), _halves(F.col("w"), F.col("n"))).alias("halves"), *far,
+        F.when(F.col("n") >= NEAR_WORDS, _halves(F.col("w"), F.col("n"))).alias("halves"), *far,
     )
     lines = scratch.save(lines.select("d", "k", "pos", "id.a", "id.b", "halves", *["far"] * len(far)), "lines")
     place = F.struct("d", "k", "pos")
@@ -269,7 +268,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op2_line_dedup, with lines of every length and the bound that grows with the line."""
+    """As op2_line_dedup, with the bound that grows with the line."""
     return dedup_lines(spark, documents(spark, sf_dir), Scratch(spark, "lines"), whole=True)
 
 
