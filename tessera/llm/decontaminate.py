@@ -4,7 +4,8 @@ Texts become lower-case words of letters and digits. Fixed masks of a few word p
 hashed at every position of every document and of every benchmark item; equal hashes of one mask are hits. Around the
 diagonal of a hit the words are compared: an item is in a document if at least one window of WINDOW words of the item
 (or the whole of a shorter item) lies in the document with at most `tolerance` words substituted. The masks are
-lossless: `tolerance` gives the largest number of substitutions for which each such window has a hit.
+lossless: `tolerance` gives the largest number of substitutions for which each such window has a hit. Items that are
+shorter than the masks are looked for as they are, by a hash of all their words at each position of a document.
 
 Cost: the documents' seeds are probed against the benchmark's where they are made; nothing is shuffled but hits, and
 the texts of documents with hits.
@@ -23,8 +24,8 @@ from .common import NULL_ID, Scratch, documents, table
 #: 1: the word counts, 0: it is ignored
 MASKS = ("11101111", "11110111")
 WINDOW = 24
-#: items with fewer words are not looked for
-LEAST_WORDS = 8
+#: items with fewer words than the masks span are held only where all their words stand in the document
+MASK_WORDS = max(map(len, MASKS))
 #: substituted words allowed: one in eight
 ALLOWED_IN = 8
 #: words of a benchmark whose seeds are broadcast; above, the join shuffles both sides
@@ -55,8 +56,7 @@ def _at(words: Column, k: int, taken: list[int]):
 
 def seeds_of(words: Column) -> Column:
     """Hashes of all masks at all positions: first those of the first mask, as many of each mask."""
-    span = max(map(len, MASKS))
-    last = F.size(words) - span
+    last = F.size(words) - MASK_WORDS
     each = []
     for k, mask in enumerate(MASKS):
         taken = [i for i, c in enumerate(mask) if c == "1"]
@@ -66,29 +66,44 @@ def seeds_of(words: Column) -> Column:
 
 def _seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, at, seed) of rows(keys, w)."""
-    span = max(map(len, MASKS))
-    rows = rows.select(*keys, (F.size("w") - span + 1).alias("each"), seeds_of(F.col("w")).alias("seeds"))
+    rows = rows.select(*keys, (F.size("w") - MASK_WORDS + 1).alias("each"), seeds_of(F.col("w")).alias("seeds"))
     # outer: else a filter on the number of seeds, with all that they are made of, goes down to the scan
     rows = rows.select(*keys, "each", F.posexplode_outer("seeds").alias("at", "seed"))
     return rows.select(*keys, (F.col("at") % F.col("each")).alias("at"), "seed")
 
 
+def _short_seeds(rows: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
+    """(keys, at, seed) of rows(keys, w): hashes of all runs of so many words."""
+    none = F.array().cast("array<struct<at:int,seed:bigint>>")
+    at = lambda n: lambda p: F.struct(p.alias("at"), _at(F.col("w"), -n, list(range(n)))(p).alias("seed"))
+    runs = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), at(n))).otherwise(none) for n in lengths]
+    rows = rows.select(*keys, F.explode_outer(F.concat(*runs)).alias("x"))
+    return rows.select(*keys, "x.at", "x.seed")
+
+
 def find_overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """(d, k, item_id, matches, window): documents (by id, null as the largest, and by a hash of id and text) with the
     benchmark items they hold, and the most equal words in a window of so many.
 
-    Null and empty texts hold nothing; repeated rows or items give one result; an empty table gives none; columns
-    other than doc_id, text and item_id, text are not read.
+    Null and empty texts hold nothing, an item without words is held by none; repeated rows or items give one result;
+    of windows with as many equal words it doesn't matter which is meant. Long texts are searched whole. An empty
+    table gives no rows; columns other than doc_id, text and item_id, text are not read.
     """
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("iw")).filter(F.size("iw") >= LEAST_WORDS)
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("iw")).filter(F.size("iw") > 0)
     items = scratch.save(items.dropDuplicates(["item_id", "iw"]).withColumn("item", F.monotonically_increasing_id()), "items")
     total = items.agg(F.coalesce(F.sum(F.size("iw")), F.lit(0))).first()[0]
     small = total <= BROADCAST_WORDS
-    probe = _seeds(items.select("item", F.col("iw").alias("w")), ["item"]).withColumnRenamed("at", "item_at")
+    # at most MASK_WORDS - 1 numbers
+    short = sorted(r["n"] for r in items.select(F.size("iw").alias("n")).filter(F.col("n") < MASK_WORDS).distinct().collect())
     keyed = docs.select(
         F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.xxhash64("doc_id", "text").alias("k"), F.col("text")
     )
-    seeds = _seeds(keyed.select("d", "k", words_of(F.col("text")).alias("w")), ["d", "k"])
+    words, own = keyed.select("d", "k", words_of(F.col("text")).alias("w")), items.select("item", F.col("iw").alias("w"))
+    probe, seeds = _seeds(own, ["item"]), _seeds(words, ["d", "k"])
+    if short:
+        few = _short_seeds(own.filter(F.size("w") < MASK_WORDS), ["item"], short)
+        probe, seeds = probe.unionByName(few), seeds.unionByName(_short_seeds(words, ["d", "k"], short))
+    probe = probe.filter("seed IS NOT NULL").withColumnRenamed("at", "item_at")
     hits = seeds.join(F.broadcast(probe) if small else probe, "seed")
     hits = hits.select("d", "k", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = scratch.save(hits, "hits")
@@ -109,13 +124,13 @@ def find_overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sc
         )
     )
     found = found.select("d", "k", "item_id", "window", best.alias("matches"))
-    allowed = F.coalesce(*[F.when(F.col("window") == w, tolerance(w)) for w in range(LEAST_WORDS, WINDOW + 1)])
+    allowed = F.coalesce(*[F.when(F.col("window") == w, tolerance(w)) for w in range(1, WINDOW + 1)])
     found = found.filter(F.col("matches") >= F.col("window") - allowed)
     return found.groupBy("d", "k", "item_id").agg(F.max("matches").alias("matches"), F.max("window").alias("window"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, item_id, matches, window) of every document that holds a benchmark item."""
+    """(doc_id, item_id, matches, window) of every document that holds a benchmark item, once for an id and an item."""
     scratch = Scratch(spark, "seeds")
     found = find_overlaps(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), scratch)
     found = found.groupBy("d", "item_id").agg(F.max("matches").alias("matches"), F.max("window").alias("window"))
@@ -123,7 +138,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold no benchmark item, with their columns as they were."""
+    """Pipeline stage: documents that hold no benchmark item, with their columns as they were.
+
+    Null and empty texts stay; rows that repeat id and text go or stay together; an empty table gives no rows.
+    """
     scratch = Scratch(spark, "seeds")
     found = find_overlaps(spark, docs, table(spark, sf_dir, "benchmark"), scratch)
     bad = scratch.save(found.select(F.col("d").alias("__d"), F.col("k").alias("__k")).distinct(), "bad")
