@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import documents, slices, text_bytes
 from .quality import held_out
@@ -189,31 +190,30 @@ def fit(texts: list[bytes], labels: list[str], steps: int = STEPS) -> Network |
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, piece: int = 4096) -> Network | None:
-    """A network from docs(doc_id, text, lang); rows without language or text are left out.
+    """A network from docs(doc_id, text, lang); rows without language, id or text are left out.
 
-    Of a sampled text one piece of at most `piece` bytes is used, from a place given by the hash of its id.
-    The sample is bounded by languages times `per_language` times `piece` bytes.
+    Of a sampled text one piece of at most `piece` characters is used, from a place given by the hash of its id. The
+    sample is bounded by languages times `per_language` times `piece` characters; every language is learnt, however
+    many there are. Rows that repeat an id may be sampled twice; of equal hashes the smaller id comes first. An empty
+    table, or one without languages, gives None. Other columns are not read.
+
+    One scan: each task keeps the first `per_language` rows of a language before anything is shuffled.
     """
-    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 0")
-    rows = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    langs = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(1000).collect()]
-    if not langs:
-        return None
-    picked = None
-    for lang in langs:
-        some = rows.filter(F.col("lang") == lang).orderBy("h", "doc_id").limit(per_language).select("doc_id")
-        picked = some if picked is None else picked.unionByName(some)
+    h = F.xxhash64("doc_id")
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - piece)).cast("int") + 1
-    text = F.substring(F.col("text"), place, F.lit(piece))
-    sample = docs.join(F.broadcast(picked.distinct()), "doc_id").filter("lang IS NOT NULL AND text IS NOT NULL")
-    sample = sample.select("doc_id", "lang", text.alias("text")).orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").collect()
-    return fit([r["text"].encode() for r in sample], [r["lang"] for r in sample])
+    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 0")
+    rows = rows.select("lang", "doc_id", h.alias("h"), F.substring(F.col("text"), place, F.lit(piece)).alias("piece"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "piece"))
+    sample = rows.withColumn("rank", first).filter(F.col("rank") <= per_language).orderBy("lang", "rank").collect()
+    return fit([r["piece"].encode() for r in sample], [r["lang"] for r in sample]) if sample else None
 
 
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     """(doc_id, lang_pred, score) of docs(doc_id, text): the likeliest label and its averaged probability.
 
-    `und` with score 0 for a null text, one without any letter, or when nothing was learnt.
+    `und` with score 0 for a null text, one without any letter, or when nothing was learnt. A long text is read whole,
+    in segments; repeated rows give repeated results; of equally likely labels the first by name is taken; an empty
+    table gives no rows, and other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
@@ -237,6 +237,7 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every document, by a network that hasn't learnt from the rows held out."""
     docs = documents(spark, sf_dir)
     out = predict(docs, train(docs.filter(~held_out(F.col("doc_id")))))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
