@@ -1,8 +1,9 @@
 """Quality classifier: a naive-Bayes support vector machine over character n-grams.
 
-Indicators of byte n-grams of lengths 1 to 4 (the longer ones hashed) are scaled by their class log-count ratios; a
-linear hinge-loss model is fitted on them by dual coordinate descent and its margin is turned into a probability.
-The model is fitted on a bounded sample of labelled rows; scoring is one map over all rows, without a shuffle.
+Indicators say that a text has a byte n-gram of length 1 to 4 at least once, twice, four times and so on (pairs and
+longer ones are hashed). They are scaled by their class log-count ratios; a linear hinge-loss model is fitted on them
+by dual coordinate descent and its margin is turned into a probability. The model is fitted on a bounded sample of
+labelled rows; scoring is one map over all rows, without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,51 +15,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import documents, table, text_bytes
 
-#: 256 single bytes, 65,536 pairs, and 2^17 hashed slots each for triples and fours
+#: slots: 16 counts of each of 256 bytes, and 2^17 hashed ones each for pairs, triples and fours with their counts
 HASH_BITS = 17
-GRAMS = 256 + 65536 + 2 * (1 << HASH_BITS)
-#: then, at full weight in any text: 32 classes of length, each also with 16 shares of distinct fours among all
-SIZE = GRAMS + 32 + 32 * 16
-#: labelled rows that a model is fitted on, for each class; the rows with the smallest hashes of their ids
-SAMPLE_PER_CLASS = 2000
+SIZE = 256 * 16 + 3 * (1 << HASH_BITS)
+#: labelled rows that a model is fitted on, for each class, the rows with the smallest hashes of their ids; of these,
+#: those whose features come within so many bytes, one at least
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 2000, 64 << 20
 #: a score from which a text is accepted
 ACCEPT = 0.7
 
 
-def indicators(data: np.ndarray, stamp: np.ndarray) -> np.ndarray:
-    """Distinct feature numbers of one text, the two of its length and variety last; none for an empty text.
+def indicators(data: np.ndarray) -> np.ndarray:
+    """Distinct feature numbers of the bytes of one text; none for an empty text.
 
-    stamp: int32[SIZE] of any content, overwritten.
+    The feature (n-gram, j) is there if the n-gram occurs at least 2^j times, j up to 15.
     """
-    if not len(data):
-        return np.zeros(0, np.int64)
     b = data.astype(np.uint32)
-    found = [b]
+    grams = [b]
     if len(b) > 1:
-        found.append(256 + (b[:-1] << np.uint32(8) | b[1:]))
+        grams.append(b[:-1] << np.uint32(8) | b[1:])
     if len(b) > 2:
-        three = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
-        found.append(256 + 65536 + ((three * np.uint32(2654435761)) >> np.uint32(32 - HASH_BITS)))
-        if len(b) > 3:
-            four = (three[:-1] * np.uint32(2246822519)) ^ (b[3:] * np.uint32(3266489917))
-            found.append(256 + 65536 + (1 << HASH_BITS) + ((four * np.uint32(668265263)) >> np.uint32(32 - HASH_BITS)))
-    idx = np.concatenate(found).astype(np.int64)
-    place = np.arange(len(idx), dtype=np.int32)
-    stamp[idx] = place
-    first = stamp[idx] == place
-    length = min(31, int(2 * np.log2(len(b))))
-    share = int(15 * first[len(idx) - max(0, len(b) - 3) :].mean()) if len(b) > 3 else 15
-    return np.concatenate([idx[first], [GRAMS + length, GRAMS + 32 + 16 * length + share]])
+        grams.append(b[:-2] << np.uint32(16) | grams[1][1:])
+    if len(b) > 3:
+        grams.append((grams[2][:-1] * np.uint32(2246822519)) ^ (b[3:] * np.uint32(3266489917)))
+    out = []
+    for k, gram in enumerate(grams):
+        gram, count = np.unique(gram, return_counts=True)
+        n = np.minimum(np.log2(count).astype(np.int64), 15) + 1
+        gram, j = np.repeat(gram, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if k == 0:
+            out.append(gram.astype(np.int64) * 16 + j)
+        else:
+            h = (gram * np.uint32(668265263) + j.astype(np.uint32) * np.uint32(2654435761)) * np.uint32(2246822519)
+            out.append(256 * 16 + ((k - 1) << HASH_BITS) + np.unique(h >> np.uint32(32 - HASH_BITS)).astype(np.int64))
+    return np.concatenate(out)
 
 
 def values(idx: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    """Feature values: log-count ratios, those of n-grams over the root of their number."""
-    v = ratio[idx]
-    v[:-2] /= np.sqrt(max(1, len(idx) - 2))
-    return v
+    """Feature values: log-count ratios over the root of the number of features."""
+    return ratio[idx] / np.sqrt(max(1, len(idx)))
 
 
 @dataclass
@@ -150,18 +149,19 @@ def fit(rows: list[np.ndarray], labels: list[int], prior: float, c: float = 1.0)
 
 
 def _features(batches):
-    stamp = np.zeros(SIZE, np.int32)
     for batch in batches:
         data, at = text_bytes(batch.column("text"))
-        rows = [indicators(data[at[i] : at[i + 1]], stamp).astype(np.int32).tobytes() for i in range(batch.num_rows)]
+        rows = [indicators(data[at[i] : at[i + 1]]).astype(np.int32).tobytes() for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.binary())], ["y", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, quality), null labels and ids left out.
 
-    A document with several labels counts as good if their mean is at least 0.5. The prior is counted over all
-    labelled rows; the weights come from at most `per_class` rows of each class.
+    A document with several labels counts as good if their mean is at least 0.5; of rows that repeat an id the
+    smallest text is learnt. The prior is counted over all labelled rows; the weights come from at most `per_class`
+    whole rows of each class, and of these from as many as SAMPLE_BYTES of features hold, so that long texts can't
+    fill the driver. Empty tables give a model without weights. Other columns are not read.
     """
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
     marks = marks.agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
@@ -171,9 +171,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     good, bad = counts.get(1, 0), counts.get(0, 0)
     prior = (good + 1) / (good + bad + 2)
     picked = [ids.filter(F.col("y") == k).orderBy("h", "doc_id").limit(per_class) for k in (0, 1)]
-    picked = picked[0].unionByName(picked[1]).select("doc_id", "y")
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
-    sample = sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
+    picked = picked[0].unionByName(picked[1]).select("doc_id", "y", "h")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "h", "text")
+    sample = sample.groupBy("doc_id", "y", "h").agg(F.min("text").alias("text"))
+    # a byte begins four n-grams at most, and a feature takes four bytes
+    weight = F.least(16 * F.octet_length("text").cast("long"), F.lit(4 * SIZE).cast("long"))
+    before = F.sum(weight).over(Window.partitionBy("y").orderBy("h", "doc_id")) - weight
+    sample = sample.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") <= SAMPLE_BYTES).select("y", "text")
     rows = sample.mapInArrow(_features, "y int, x binary").collect()
     rows = sorted((bytes(r["x"]), r["y"]) for r in rows)  # the order of rows must not depend on tasks
     order = np.random.default_rng(3).permutation(len(rows))
@@ -182,15 +186,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
 
 def score_documents(docs: DataFrame, model: Model, payload) -> DataFrame:
-    """(row, score): the column `payload` of docs as it is, and the score of its text; null texts score as empty ones."""
+    """(row, score): the column `payload` of docs as it is, and the score of its text; null texts score as empty ones.
+
+    Long texts are read whole, repeated rows score alike, an empty table gives no rows.
+    """
     rows = docs.select(payload.alias("row"), F.col("text").alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        stamp, m = np.zeros(SIZE, np.int32), shared.value
+        m = shared.value
         for batch in batches:
             data, at = text_bytes(batch.column("t"))
-            score = [m.score(indicators(data[at[i] : at[i + 1]], stamp)) for i in range(batch.num_rows)]
+            score = [m.score(indicators(data[at[i] : at[i + 1]])) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score, pa.float64())], ["row", "score"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
@@ -206,12 +213,17 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and decision of every document, by a model that hasn't learnt from the rows held out."""
     docs = documents(spark, sf_dir)
     out = score_documents(docs, quality_model(spark, docs, sf_dir), F.col("doc_id")).withColumnRenamed("row", "doc_id")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose score is at least 0.7, with their columns as they were."""
+    """Pipeline stage: documents whose score is at least 0.7, with their columns as they were.
+
+    Null and empty texts score the share of good labels; repeated rows stay or go together; an empty table gives no
+    rows, and columns of any name are carried along.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return score_documents(docs, quality_model(spark, docs, sf_dir), row).filter(F.col("score") >= ACCEPT).select("row.*")
