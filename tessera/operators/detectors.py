@@ -131,18 +131,17 @@ def split(findings: DataFrame, moved: Column) -> tuple[DataFrame, DataFrame]:
     return findings.filter(flag), findings.filter(~flag)
 
 
-def drilled(forwards: DataFrame, roots: DataFrame, least: int = 3, most: int = 32) -> DataFrame:
+def drilled(forwards: DataFrame, roots: DataFrame, least: int = 3) -> DataFrame:
     """(root, prop, leaf, depth) of props that forwards(src, prop, dst) hand on unchanged from roots(node, prop) over at
     least `least` components; a leaf hands nothing on, and depth is the shortest way."""
-    from .graphs import cut
-
-    seen = cut(roots.select(F.col("node").alias("root"), "prop", "node", F.lit(0).cast("long").alias("depth")).distinct())
-    frontier = seen
-    for depth in range(1, most + 1):
-        step = frontier.join(forwards.withColumnRenamed("src", "node"), ["node", "prop"]).select("root", "prop", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["root", "prop", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
-        if frontier.isEmpty():
+    from .graphs import _Seen, cut
+
+    e = cut(forwards.select(F.col("src").alias("node"), "prop", F.col("dst").alias("next")).distinct())
+    seen, depth = _Seen(roots.select(F.col("node").alias("root"), "prop", "node", F.lit(0).cast("long").alias("depth")).distinct()), 0
+    while True:
+        depth += 1
+        step = seen.frontier.join(e, ["node", "prop"]).select("root", "prop", F.col("next").alias("node")).distinct()
+        if not seen.grow(step.join(seen.rows(), ["root", "prop", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long"))):
             break
-        seen = cut(seen.unionByName(frontier))
-    inner = forwards.select(F.col("src").alias("node"), "prop").distinct()
-    return seen.filter(F.col("depth") >= least).join(inner, ["node", "prop"], "left_anti").select("root", "prop", F.col("node").alias("leaf"), "depth")
+    inner = e.select("node", "prop").distinct()
+    return seen.rows().filter(F.col("depth") >= least).join(inner, ["node", "prop"], "left_anti").select("root", "prop", F.col("node").alias("leaf"), "depth")

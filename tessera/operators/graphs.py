@@ -4,62 +4,128 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: levels of a closure that are kept apart before what was seen is written as one table again
+LEVELS = 16
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that spark.checkpoint.dir names; a private one only where that is unset."""
+    """df as a checkpoint in the folder that spark.checkpoint.dir names; in local mode a private one where that is unset."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 
-def fan(edges: DataFrame) -> DataFrame:
-    """(node, fan_in, fan_out): distinct neighbours, a node itself left out."""
+def build_graph(*parts: DataFrame) -> DataFrame:
+    """(src, dst, type_only, kinds) of edges(src, dst, kind, type_only) from any number of tables, one row a pair.
+
+    An edge is type-only if all its uses are; kinds are sorted. A null flag counts as a value use.
+    """
+    every = parts[0].select("src", "dst", "kind", "type_only")
+    for part in parts[1:]:
+        every = every.unionByName(part.select("src", "dst", "kind", "type_only"))
+    flag = F.bool_and(F.coalesce("type_only", F.lit(False)))
+    return every.groupBy("src", "dst").agg(flag.alias("type_only"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+
+
+def fan(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, fan_in, fan_out): distinct neighbours, a node itself left out. Of nodes(node), those without any have zeros."""
     e = edges.filter("src <> dst").select("src", "dst").distinct()
     into = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("fan_in"))
     out = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("fan_out"))
     zero = F.lit(0).cast("long")
-    return into.join(out, "node", "full_outer").select("node", F.coalesce("fan_in", zero).alias("fan_in"), F.coalesce("fan_out", zero).alias("fan_out"))
+    found = into.join(out, "node", "full_outer")
+    found = found if nodes is None else nodes.select("node").distinct().join(found, "node", "left")
+    return found.select("node", F.coalesce("fan_in", zero).alias("fan_in"), F.coalesce("fan_out", zero).alias("fan_out"))
+
+
+def focus_facts(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """(node, fan_in, fan_out, dynamic, re_exported) of changed(node), over edges(src, dst, kind)."""
+    kinds = edges.groupBy(F.col("dst").alias("node")).agg(F.bool_or(F.col("kind") == "dynamic").alias("dynamic"), F.bool_or(F.col("kind") == "re-export").alias("re_exported"))
+    no = F.lit(False)
+    return fan(edges, changed).join(kinds, "node", "left").select("node", "fan_in", "fan_out", F.coalesce("dynamic", no).alias("dynamic"), F.coalesce("re_exported", no).alias("re_exported"))
+
+
+class _Seen:
+    """What a closure has found, as a union of checkpoints: each level is written once, and again with LEVELS others."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [cut(first)]
+        self.frontier = self.parts[0]
+
+    def rows(self) -> DataFrame:
+        out = self.parts[0]
+        for part in self.parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    def grow(self, step: DataFrame) -> bool:
+        """Adds step as the next level; False if it is empty."""
+        self.frontier = cut(step)
+        if self.frontier.isEmpty():
+            return False
+        self.parts.append(self.frontier)
+        if len(self.parts) > LEVELS:
+            self.parts = [cut(self.rows())]
+        return True
+
+
+def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, depth) of all nodes reachable from roots(node), with the length of the shortest path, to the fixpoint."""
+    e = cut(edges.select("src", F.col("dst").alias("next")).distinct())
+    seen, depth = _Seen(roots.select("node").distinct().withColumn("depth", F.lit(0).cast("long"))), 0
+    while True:
+        depth += 1
+        step = seen.frontier.join(e, F.col("node") == F.col("src")).select(F.col("next").alias("node")).distinct()
+        if not seen.grow(step.join(seen.rows(), "node", "left_anti").withColumn("depth", F.lit(depth).cast("long"))):
+            return seen.rows()
 
 
-def reach(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, depth) of all nodes reachable from roots(node), with the length of the shortest path."""
-    seen = cut(roots.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
-    frontier = seen
-    for depth in range(1, most + 1):
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+def reach_bits(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, bits): several closures at once. Bit i of roots(node, bits) goes on over edges(src, dst, mask) with bit i."""
+    e = cut(edges.groupBy("src", F.col("dst").alias("next")).agg(F.bit_or("mask").alias("mask")))
+    seen = _Seen(roots.groupBy("node").agg(F.bit_or("bits").alias("bits")))
+    while True:
+        sent = seen.frontier.join(e, F.col("node") == F.col("src")).select(F.col("next").alias("node"), F.col("bits").bitwiseAND(F.col("mask")).alias("bits"))
+        sent = sent.filter("bits <> 0").groupBy("node").agg(F.bit_or("bits").alias("bits"))
+        had = seen.rows().groupBy("node").agg(F.bit_or("bits").alias("had"))
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0))))
+        if not seen.grow(sent.join(had, "node", "left").select("node", new.alias("bits")).filter("bits <> 0")):
+            return seen.rows().groupBy("node").agg(F.bit_or("bits").alias("bits"))
 
 
-def shortest_paths(edges: DataFrame, start: int, most: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: int) -> DataFrame:
     """(node, path): for each node the lexicographically smallest of the shortest paths, as nodes joined by '>'."""
     spark = edges.sparkSession
-    seen = cut(spark.createDataFrame([(start, [start])], "node long, path array<long>"))
-    frontier = seen
-    for _ in range(most):
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        frontier = cut(step.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier))
-    return seen.select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    e = cut(edges.select("src", F.col("dst").alias("next")).distinct())
+    seen = _Seen(spark.createDataFrame([(start, [start])], "node long, path array<long>"))
+    while True:
+        step = seen.frontier.join(e, F.col("node") == F.col("src")).select(F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
+        step = step.join(seen.rows().select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+        if not seen.grow(step):
+            return seen.rows().select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+def eager_paths(edges: DataFrame, start: int) -> DataFrame:
+    """Shortest paths over the edges(src, dst, kind, type_only) that load at once: static ones of values."""
+    return shortest_paths(edges.filter("kind = 'static' AND NOT type_only"), start)
 
 
-def strong_components(edges: DataFrame, most: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components of 2 or more nodes, named by their smallest node.
 
     Nodes without an edge in or out are trimmed. Then the smallest label is passed forward until nothing changes, and
     what reaches a label's own node backwards within the label is one component; the rest goes round again.
     """
     left, found = cut(edges.filter("src <> dst").select("src", "dst").distinct()), None
-    for _ in range(most):
+    while True:
         while True:  # trim
             n = left.count()
             heads, tails = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
@@ -95,8 +161,10 @@ def strong_components(edges: DataFrame, most: int = 1000) -> DataFrame:
 
 
 def entry_weight(edges: DataFrame, entry: int, sizes: DataFrame) -> DataFrame:
-    """One row: nodes loaded from the entry and the sum of their sizes(node, size)."""
-    return reach(edges, sizes.filter(F.col("node") == entry)).join(sizes, "node").agg(F.count(F.lit(1)).alias("modules"), F.sum("size").alias("bytes"))
+    """One row: nodes loaded from the entry, itself included, and the sum of their sizes(node, size); none counts as 0."""
+    root = edges.sparkSession.createDataFrame([(entry,)], "node long")
+    found = reach(edges, root).join(sizes, "node", "left")
+    return found.agg(F.countDistinct("node").alias("modules"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
 
 
 def impact_closure(edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -110,11 +178,12 @@ def lifted(edges: DataFrame, owners: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
-def elementary_cycles(edges: DataFrame, longest: int = 5, accepted: DataFrame | None = None) -> DataFrame:
+def elementary_cycles(edges: DataFrame, longest: int = 5, accepted: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """(cycle, hops): cycles of 2 to `longest` different nodes, from their smallest one on, as nodes joined by '>'.
 
     Paths grow inside one strong component through nodes above their first one. Cycles whose sorted nodes, joined by
-    '|', are in accepted(key) are left out while listing.
+    '|', are in accepted(key) are left out of what is listed. With a cap each component lists so many cycles, the
+    shortest first and then by their text, after the accepted ones have gone, and `truncated` tells whether it has more.
     """
     e = edges.filter("src <> dst").select("src", "dst").distinct()
     c = strong_components(e)
@@ -132,26 +201,130 @@ def elementary_cycles(edges: DataFrame, longest: int = 5, accepted: DataFrame |
     found = found.withColumn("key", F.array_join(as_text(F.array_sort("path")), "|"))
     if accepted is not None:
         found = found.join(accepted.select("key"), "key", "left_anti")
-    return found.select(F.array_join(as_text(F.col("path")), ">").alias("cycle"), F.size("path").cast("long").alias("hops"))
+    listed = found.select(F.array_join(as_text(F.col("path")), ">").alias("cycle"), F.size("path").cast("long").alias("hops"), F.get("path", F.lit(0)).alias("node"))
+    if cap is None:
+        return listed.select("cycle", "hops")
+    order = Window.partitionBy("component").orderBy("hops", "cycle")
+    listed = listed.join(c, "node").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= cap + 1)
+    more = F.max("r").over(Window.partitionBy("component")) > cap
+    return listed.withColumn("truncated", more).filter(F.col("r") <= cap).select("cycle", "hops", "truncated")
+
+
+def eager_cycles(edges: DataFrame, longest: int = 5, accepted: DataFrame | None = None) -> DataFrame:
+    """Elementary cycles of edges(src, dst, kind) without those loaded on demand."""
+    return elementary_cycles(edges.filter("kind <> 'dynamic'"), longest, accepted)
+
+
+def hop_anchors(cycles: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cycle, src, dst, span): each hop of a cycle(cycle) with the first span of its edges(src, dst, span)."""
+    nodes = F.transform(F.split("cycle", ">"), lambda x: x.cast("long"))
+    hops = cycles.select("cycle", nodes.alias("n"))
+    hop = F.transform("n", lambda x, i: F.struct(x.alias("src"), F.get("n", (i + 1) % F.size("n")).alias("dst")))
+    hops = hops.select("cycle", F.explode(hop).alias("h")).select("cycle", "h.src", "h.dst")
+    return hops.join(edges.groupBy("src", "dst").agg(F.min("span").alias("span")), ["src", "dst"]).select("cycle", "src", "dst", "span")
+
+
+def re_export_cycles(edges: DataFrame, suppressed: DataFrame) -> DataFrame:
+    """(node, component): members of cycles of re-export edges(src, dst), a file that re-exports itself included.
+
+    One member in suppressed(node) drops its whole cycle.
+    """
+    loops = edges.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+    found = strong_components(edges)
+    found = found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
+    bad = found.join(suppressed.select("node").distinct(), "node", "left_semi").select("component").distinct()
+    return found.join(bad, "component", "left_anti").select("node", "component")
+
+
+def subclass_index(heritage: DataFrame) -> DataFrame:
+    """(base, class, depth): every class that extends a base over any number of steps of heritage(class, base)."""
+    e = cut(heritage.select("class", "base").distinct())
+    seen, depth = _Seen(e.select("base", "class", F.lit(1).cast("long").alias("depth"))), 1
+    up = e.toDF("sub", "over")
+    while True:
+        depth += 1
+        step = seen.frontier.join(up, F.col("class") == F.col("over")).select("base", F.col("sub").alias("class")).distinct()
+        if not seen.grow(step.join(seen.rows(), ["base", "class"], "left_anti").withColumn("depth", F.lit(depth).cast("long"))):
+            return seen.rows()
+
+
+def symbol_chain(calls: DataFrame, start: int, most: int) -> DataFrame:
+    """(direction, node, hops): callers and callees of a symbol over calls(src, dst), up to `most` hops."""
+    spark, found = calls.sparkSession, None
+    for name, e in (("callee", calls.select("src", "dst")), ("caller", calls.select(F.col("dst").alias("src"), F.col("src").alias("dst")))):
+        e = cut(e.distinct())
+        seen = _Seen(spark.createDataFrame([(start, 0)], "node long, hops long"))
+        for hops in range(1, most + 1):
+            step = seen.frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            if not seen.grow(step.join(seen.rows(), "node", "left_anti").withColumn("hops", F.lit(hops).cast("long"))):
+                break
+        side = seen.rows().filter("hops > 0").select(F.lit(name).alias("direction"), "node", "hops")
+        found = side if found is None else found.unionByName(side)
+    return found
+
+
+def usage_trace(uses: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(package, name, direct, wrapped): uses(package, name, file) of a package's names, and uses one hop on, in files
+    that import a file of wrappers(file, importer) where the name is used."""
+    direct = uses.groupBy("package", "name").agg(F.countDistinct("file").alias("direct"))
+    hop = uses.join(wrappers, "file").groupBy("package", "name").agg(F.countDistinct("importer").alias("wrapped"))
+    return direct.join(hop, ["package", "name"], "left").select("package", "name", "direct", F.coalesce("wrapped", F.lit(0)).cast("long").alias("wrapped"))
+
+
+def stack_frames(frames: DataFrame, files: DataFrame) -> DataFrame:
+    """(trace, pos, path, line): frames(trace, pos, frame) as files(path), by the longest path that the frame's ends in.
+
+    A frame without `path:line`, or of no known file, has null path and line.
+    """
+    parsed = frames.select("trace", "pos", F.regexp_extract("frame", r"([^\s()]+):(\d+)(?::\d+)?\)?\s*$", 1).alias("raw"), F.regexp_extract("frame", r":(\d+)(?::\d+)?\)?\s*$", 1).alias("line"))
+    parts = F.split("raw", "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    tails = parsed.filter("raw <> ''").select("trace", "pos", "line", F.explode(tails).alias("path"))
+    hit = tails.join(files.select("path").distinct(), "path").groupBy("trace", "pos").agg(F.max_by("path", F.length("path")).alias("path"), F.first("line").cast("long").alias("line"))
+    return frames.select("trace", "pos").join(hit, ["trace", "pos"], "left")
+
+
+def shared_state(accesses: DataFrame, declared: DataFrame, most: int = 20_000) -> DataFrame:
+    """(root, slot, reads, writes, files): state that imported bindings write, where just one file declares the root.
+
+    accesses(root, slot, op, file), declared(root, file). At most `most` rows, by writes, root and slot.
+    """
+    single = declared.groupBy("root").agg(F.countDistinct("file").alias("n"), F.min("file").alias("owner")).filter("n = 1")
+    found = accesses.join(single, "root").filter(F.col("file") != F.col("owner")).groupBy("root", "slot")
+    count = lambda op: F.count(F.when(F.col("op") == op, 1))
+    found = found.agg(count("read").alias("reads"), count("write").alias("writes"), F.countDistinct("file").alias("files")).filter("writes > 0")
+    return found.orderBy(F.desc("writes"), "root", "slot").limit(most)
 
 
 def load_closure(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(node, phase) of edges(src, dst, kind): eager by static edges only, deferred by dynamic ones too, else worker."""
-    seen, phases = None, (("eager", ["static"]), ("deferred", ["static", "dynamic"]), ("worker", ["static", "dynamic", "worker"]))
-    for phase, kinds in phases:
-        found = reach(edges.filter(F.col("kind").isin(kinds)), entries).select("node", F.lit(phase).alias("phase"))
-        seen = found if seen is None else seen.unionByName(found.join(seen, "node", "left_anti"))
-    return seen
+    mask = F.when(F.col("kind") == "static", 7).when(F.col("kind") == "dynamic", 6).otherwise(4)
+    found = reach_bits(edges.select("src", "dst", mask.alias("mask")), entries.select("node", F.lit(7).alias("bits")))
+    has = lambda bit: F.col("bits").bitwiseAND(F.lit(bit)) != 0
+    return found.select("node", F.when(has(1), "eager").when(has(2), "deferred").otherwise("worker").alias("phase"))
 
 
 def test_reach(nodes: DataFrame, edges: DataFrame, tests: DataFrame) -> DataFrame:
     """(node, reach) of edges(src, dst, mocked): direct, transitive, mocked_only or none, in this order; tests are left out."""
-    plain = edges.filter("NOT mocked")
-    direct = plain.join(tests.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
-    ranked = [df.select("node", F.lit(rank).alias("r")) for rank, df in enumerate((direct, reach(plain, tests), reach(edges, tests)))]
-    best = ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).groupBy("node").agg(F.min("r").alias("r"))
-    name = F.when(F.col("r") == 0, "direct").when(F.col("r") == 1, "transitive").when(F.col("r") == 2, "mocked_only").otherwise("none")
-    return nodes.select("node").join(tests.select("node"), "node", "left_anti").join(best, "node", "left").select("node", name.alias("reach"))
+    mask = F.when(F.col("mocked"), 2).otherwise(3)
+    bits = reach_bits(edges.select("src", "dst", mask.alias("mask")), tests.select("node", F.lit(3).alias("bits")))
+    direct = edges.filter("NOT mocked").join(tests.select(F.col("node").alias("src")), "src", "left_semi")
+    direct = direct.select(F.col("dst").alias("node")).distinct().withColumn("direct", F.lit(True))
+    plain = F.col("bits").bitwiseAND(F.lit(1)) != 0
+    name = F.when(F.col("direct"), "direct").when(plain, "transitive").when(F.col("bits").isNotNull(), "mocked_only").otherwise("none")
+    found = nodes.select("node").join(tests.select("node"), "node", "left_anti").join(bits, "node", "left").join(direct, "node", "left")
+    return found.select("node", name.alias("reach"))
+
+
+def export_test_reach(exports: DataFrame, refs: DataFrame, reached: DataFrame) -> DataFrame:
+    """(export, reach): the best class of the files that use an export's value: reached(node, reach); type uses don't
+    count. NoneFile: no test reaches the export's own file either."""
+    rank = F.when(F.col("reach") == "direct", 0).when(F.col("reach") == "transitive", 1).when(F.col("reach") == "mocked_only", 2)
+    ranked = reached.select("node", rank.alias("r"))
+    best = refs.filter("is_value").join(ranked.withColumnRenamed("node", "from_file"), "from_file").groupBy("export").agg(F.min("r").alias("r"))
+    own = ranked.select(F.col("node").alias("file"), F.col("r").alias("own"))
+    name = F.when(F.col("r") == 0, "direct").when(F.col("r") == 1, "transitive").when(F.col("r") == 2, "mocked_only").when(F.col("own").isNull(), "none_file").otherwise("none")
+    return exports.join(best, "export", "left").join(own, "file", "left").select("export", name.alias("reach"))
 
 
 def dominators(edges: DataFrame, entry: int) -> DataFrame:
