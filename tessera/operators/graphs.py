@@ -276,7 +276,7 @@ def stack_frames(frames: DataFrame, files: DataFrame) -> DataFrame:
 
     A frame without `path:line`, or of no known file, has null path and line.
     """
-    parsed = frames.select("trace", "pos", F.regexp_extract("frame", r"([^\s()]+):(\d+)(?::\d+)?\)?\s*$", 1).alias("raw"), F.regexp_extract("frame", r":(\d+)(?::\d+)?\)?\s*$", 1).alias("line"))
+    parsed = frames.select("trace", "pos", F.regexp_extract("frame", r"([^\s():]+):(\d+)(?::\d+)?\)?\s*$", 1).alias("raw"), F.regexp_extract("frame", r":(\d+)(?::\d+)?\)?\s*$", 1).alias("line"))
     parts = F.split("raw", "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     tails = parsed.filter("raw <> ''").select("trace", "pos", "line", F.explode(tails).alias("path"))
