@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +16,15 @@ def clone_groups(lines: DataFrame, least_files: int = 2) -> DataFrame:
 
 
 def clone_families(lines: DataFrame) -> DataFrame:
-    """(files, groups): for each set of documents, how many lines stand in just these; sets as ids joined by commas."""
-    sets = lines.groupBy("line").agg(F.array_sort(F.collect_set("doc_id")).alias("s")).filter(F.size("s") > 1)
-    return sets.groupBy(F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("files")).agg(F.count(F.lit(1)).alias("groups"))
+    """(first_file, files, family, groups): for each set of documents, how many lines stand in just these.
+
+    A set is known by two sums over hashes of its ids and its size, so that a line in very many documents costs partial
+    sums, not a list: family is their hash, first_file the smallest id.
+    """
+    each = lines.select("line", "doc_id").distinct()
+    part = lambda salt: F.sum(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 40)))
+    sets = each.groupBy("line").agg(F.min("doc_id").alias("first_file"), F.count(F.lit(1)).alias("files"), part(1).alias("a"), part(2).alias("b")).filter("files > 1")
+    return sets.groupBy("first_file", "files", F.xxhash64("a", "b").alias("family")).agg(F.count(F.lit(1)).alias("groups"))
 
 
 def duplication_share(lines: DataFrame) -> DataFrame:
@@ -24,17 +34,106 @@ def duplication_share(lines: DataFrame) -> DataFrame:
     return out.withColumn("percent", F.round(100 * F.col("duplicated") / F.col("lines"), 2))
 
 
+def window_hashes(words: DataFrame, width: int) -> DataFrame:
+    """(doc_id, pos, h) of words(doc_id, w): a hash of each window of `width` words, in time linear in the text.
+
+    The words' hashes are summed with powers of an odd number, so that a window's hash is a difference of two sums,
+    brought back by the inverse power.
+    """
+
+    def run(batches):
+        known: dict[str, int] = {}
+        base = np.uint64(0x9E3779B97F4A7C15)
+        inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+        for batch in batches:
+            column = batch.column("w")
+            each = column.flatten().to_pylist()
+            if len(known) > 500_000:
+                known.clear()
+            for x in set(each) - known.keys():
+                known[x] = int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little")
+            h = np.array([known[x] for x in each], np.uint64)
+            n = np.array(column.value_lengths().fill_null(0), np.int64)
+            powers, back = (np.full(len(h) + 1, x, np.uint64) for x in (base, inverse))
+            powers[0] = back[0] = 1
+            powers, back = np.cumprod(powers), np.cumprod(back)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers[: len(h)])])
+            total = max(0, len(h) - width + 1)
+            value = (sums[width : width + total] - sums[:total]) * back[:total]
+            value ^= value >> np.uint64(31)
+            ends = np.cumsum(n)
+            count = np.maximum(n - width + 1, 0)
+            doc = np.repeat(np.arange(len(n)), count)
+            pos = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            at = np.repeat(ends - n, count) + pos
+            cols = [batch.column("doc_id").take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(value[at].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "pos", "h"])
+
+    kind = words.schema["doc_id"].dataType.simpleString()
+    return words.select("doc_id", "w").mapInArrow(run, f"doc_id {kind}, pos int, h long")
+
+
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
+
+
 def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, windows, repeated): windows of `width` words of a text, and those whose words stand twice anywhere."""
-    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), "")
-    w = docs.select("doc_id", words.alias("w"))
-    last = F.size("w") - width + 1
-    hashes = F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("w", i, width))))
-    w = w.select("doc_id", F.explode_outer(hashes).alias("h")).filter("h IS NOT NULL")
-    per_doc = w.groupBy("h", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    total = per_doc.groupBy("h").agg(F.sum("n").alias("all")).filter("all > 1").withColumn("again", F.lit(1))
-    found = per_doc.join(total, "h", "left").groupBy("doc_id")
-    return found.agg(F.sum("n").alias("windows"), F.sum(F.when(F.col("again").isNotNull(), F.col("n")).otherwise(0)).alias("repeated"))
+    """(doc_id, windows, repeated): windows of `width` words of a text, and those whose words stand twice anywhere.
+
+    Hashes are shuffled once; files without a repeated window can be dropped by repeated > 0.
+    """
+    w = window_hashes(docs.select("doc_id", words_of(F.col("text")).alias("w")), max(width, 1))
+    again = F.count(F.lit(1)).over(Window.partitionBy("h")) > 1
+    found = w.withColumn("again", again).groupBy("doc_id")
+    return found.agg(F.count(F.lit(1)).alias("windows"), F.count(F.when(F.col("again"), 1)).alias("repeated"))
+
+
+def near_focus(docs: DataFrame, focus: DataFrame, least_words: int) -> DataFrame:
+    """docs(doc_id) that share a window with one of focus(doc_id), these included; all of them if the focus has no window.
+
+    Windows have `least_words` words, 7 at most.
+    """
+    w = window_hashes(docs.select("doc_id", words_of(F.col("text")).alias("w")), min(max(least_words, 1), 7)).select("doc_id", "h").distinct()
+    of_focus = w.join(focus.select("doc_id").distinct(), "doc_id", "left_semi").select("h").distinct()
+    if of_focus.isEmpty():
+        return docs.select("doc_id").distinct()
+    return w.join(of_focus, "h", "left_semi").select("doc_id").distinct()
+
+
+def instance_groups(runs: DataFrame, focus: DataFrame, least: int) -> DataFrame:
+    """(of_doc, of_first, length, instances, files) of runs(doc_id, first, last, of_doc, of_first): groups of `least`
+    words or more with an instance in focus(doc_id), the home one among them; groups of a single file are left out."""
+    length = F.col("last") - F.col("first") + 1
+    here = runs.filter(length >= least).select("of_doc", "of_first", length.alias("length"), "doc_id")
+    every = here.unionByName(here.select("of_doc", "of_first", "length", F.col("of_doc").alias("doc_id")).distinct())
+    every = every.join(focus.select("doc_id", F.lit(True).alias("f")).distinct(), "doc_id", "left")
+    found = every.groupBy("of_doc", "of_first", "length").agg(F.count(F.lit(1)).alias("instances"), F.countDistinct("doc_id").alias("files"), F.bool_or(F.coalesce("f", F.lit(False))).alias("f"))
+    return found.filter("f AND files > 1").drop("f")
+
+
+def trimmed(first: Column, length: Column, starts_with_semicolon: Column, least: int) -> Column:
+    """(first, length) of a run without a leading semicolon, or null if it is then too short."""
+    cut = F.coalesce(starts_with_semicolon, F.lit(False)).cast("int")
+    return F.when(length - cut >= least, F.struct((first + cut).alias("first"), (length - cut).alias("length")))
+
+
+def near_misses(spans: DataFrame, percent: int = 80) -> DataFrame:
+    """(a, b, shared, total) of spans(id, w): pairs whose sets of words are equal to `percent` hundredths, but not in all.
+
+    Of a set's words in one common order, rare ones first, two such sets share one of the first n - ceil(n * p) + 1, so
+    only spans that meet in one of these are compared. Spans with equal sets are one: the smallest id stands for them.
+    """
+    sets = spans.select("id", F.array_sort(F.array_distinct("w")).alias("w")).filter("size(w) > 0").groupBy("w").agg(F.min("id").alias("id"))
+    freq = sets.select(F.explode("w").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    ranked = sets.select("id", F.explode("w").alias("x")).join(freq, "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("s"))
+    size = F.size("s")
+    keep = size - F.ceil(size * percent / 100).cast("int") + 1
+    keys = ranked.select("id", size.alias("n"), F.explode(F.slice("s", F.lit(1), keep)).alias("k")).select("id", "n", "k.x")
+    a, b = keys.toDF("a", "na", "x"), keys.toDF("b", "nb", "x")
+    pairs = a.join(b, "x").filter((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
+    found = pairs.join(sets.toDF("wa", "a"), "a").join(sets.toDF("wb", "b"), "b")
+    found = found.select("a", "b", F.size(F.array_intersect("wa", "wb")).cast("long").alias("shared"), F.size(F.array_union("wa", "wb")).cast("long").alias("total"))
+    return found.filter(100 * F.col("shared") >= percent * F.col("total"))
 
 
 def tokens(text: Column, mode: str = "mild") -> Column:
@@ -56,13 +155,12 @@ def first_copies(words: DataFrame, width: int) -> DataFrame:
     """(doc_id, first, last, of_doc, of_first): maximal runs of words that stand earlier, at their earliest place.
 
     words(doc_id, w): each window of `width` words is tied to the smallest (doc_id, position) of its hash, by a minimum
-    and a join, so the rows stay linear in the text whatever the number of copies; runs on one diagonal are merged.
+    over one shuffle, so the rows stay linear in the text whatever the number of copies; runs on one diagonal are merged.
     """
-    last = F.size("w") - width
-    hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("w", i + 1, width))))
-    at = words.select("doc_id", F.posexplode_outer(hashes).alias("pos", "h")).filter("h IS NOT NULL")
-    home = at.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("home"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    hit = at.join(home, "h").filter("doc_id <> home.doc_id OR pos <> home.pos")
+    group = Window.partitionBy("h")
+    at = window_hashes(words, width)
+    hit = at.withColumns({"home": F.min(F.struct("doc_id", "pos")).over(group), "n": F.count(F.lit(1)).over(group)})
+    hit = hit.filter("n > 1 AND (doc_id <> home.doc_id OR pos <> home.pos)")
     hit = hit.select("doc_id", "pos", F.col("home.doc_id").alias("of_doc"), (F.col("pos") - F.col("home.pos")).alias("shift"))
     w = Window.partitionBy("doc_id").orderBy("pos")
     same = (F.lag("pos").over(w) == F.col("pos") - 1) & (F.lag("of_doc").over(w) == F.col("of_doc")) & (F.lag("shift").over(w) == F.col("shift"))

@@ -60,12 +60,12 @@ def regression_tolerance(t, spark, d):
 
 
 @query("""WITH m AS (SELECT o_custkey AS file, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 50 END AS line, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE substr(o_orderpriority, 1, 1) END AS rule FROM orders),
-  f AS (SELECT user_id AS file, event_id % 50 AS line, (event_id % 5 + 1)::VARCHAR AS rule FROM events WHERE event_type = 'click')
+  f AS (SELECT user_id AS file, event_id % 50 AS line, (event_id % 5 + 1)::VARCHAR AS rule FROM events)
   SELECT file, coalesce(line, -1) AS line, coalesce(rule, '*') AS rule, count(*) AS markers FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.file = m.file AND (m.line IS NULL OR f.line = m.line) AND (m.rule IS NULL OR f.rule = m.rule)) GROUP BY 1, 2, 3""")
 def stale_suppressions(t, spark, d):
     o = t("orders")
     m = o.select(F.col("o_custkey").alias("file"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 50).alias("line"), F.when(F.col("o_orderkey") % 4 != 0, F.substring("o_orderpriority", 1, 1)).alias("rule"))
-    f = t("events").filter("event_type = 'click'").select(F.col("user_id").alias("file"), (F.col("event_id") % 50).alias("line"), (F.col("event_id") % 5 + 1).cast("string").alias("rule"))
+    f = t("events").select(F.col("user_id").alias("file"), (F.col("event_id") % 50).alias("line"), (F.col("event_id") % 5 + 1).cast("string").alias("rule"))
     return P.stale_markers(m, f).na.fill({"line": -1, "rule": "*"}).groupBy("file", "line", "rule").agg(F.count(F.lit(1)).alias("markers"))
 
 
@@ -97,21 +97,21 @@ def effective_thresholds(t, spark, d):
     return P.effective_thresholds(c.select("c_custkey", "c_nationkey"), inline, override, 3, "c_custkey", "c_nationkey").drop("c_nationkey")
 
 
-@query("""WITH c AS (SELECT o_orderkey AS candidate_id, o_custkey AS review_key FROM orders WHERE o_orderkey % 7 = 0), s AS (SELECT o_orderkey AS candidate_id, o_custkey AS review_key, o_orderstatus AS verdict FROM orders WHERE o_orderkey % 5 = 0),
+@query("""WITH c AS (SELECT o_orderkey AS candidate_id, o_custkey AS review_key FROM orders), s AS (SELECT o_orderkey AS candidate_id, o_custkey AS review_key, o_orderstatus AS verdict FROM orders WHERE o_orderpriority = '1-URGENT'),
   k AS (SELECT review_key, min(verdict) AS v FROM s GROUP BY 1 HAVING count(*) = 1), a AS (SELECT review_key FROM c GROUP BY 1 HAVING count(*) = 1)
   SELECT c.candidate_id, c.review_key, coalesce(s.verdict, k.v) AS verdict FROM c LEFT JOIN s USING (candidate_id) LEFT JOIN (SELECT * FROM k SEMI JOIN a USING (review_key)) k ON c.review_key = k.review_key""")
 def review_verdicts(t, spark, d):
-    o = t("orders").select(F.col("o_orderkey").alias("candidate_id"), F.col("o_custkey").alias("review_key"), F.col("o_orderstatus").alias("verdict"))
-    return P.verdicts(o.filter("candidate_id % 7 = 0").drop("verdict"), o.filter("candidate_id % 5 = 0"))
+    o = t("orders").select(F.col("o_orderkey").alias("candidate_id"), F.col("o_custkey").alias("review_key"), F.col("o_orderstatus").alias("verdict"), "o_orderpriority")
+    return P.verdicts(o.drop("verdict", "o_orderpriority"), o.filter("o_orderpriority = '1-URGENT'").drop("o_orderpriority"))
 
 
-@query("""WITH r AS (SELECT json_extract_string(props, '$.k') AS flag, count(*) AS reads, min(ts)::DATE AS since FROM events WHERE event_type = 'error' GROUP BY 1),
-  v AS (SELECT p_partkey::VARCHAR AS flag, CASE WHEN p_size > 40 THEN 'archived' ELSE 'live' END AS state FROM part WHERE p_partkey BETWEEN 50 AND 120)
+@query("""WITH r AS (SELECT json_extract_string(props, '$.k') AS flag, count(*) AS reads, min(ts)::DATE AS since FROM events GROUP BY 1),
+  v AS (SELECT p_partkey::VARCHAR AS flag, CASE WHEN p_size > 40 THEN 'archived' ELSE 'live' END AS state FROM part)
   SELECT flag, coalesce(reads, 0) AS reads, concat_ws(',', CASE WHEN v.state IS NULL THEN 'not in vendor' END, CASE WHEN reads IS NULL THEN 'not in code' END, CASE WHEN state = 'archived' THEN 'archived' END,
   CASE WHEN reads = 1 THEN 'single read' END, CASE WHEN date_diff('day', since, DATE '2024-01-31') >= 20 THEN 'old' END) AS reasons FROM r FULL JOIN v USING (flag)""")
 def flag_retirement(t, spark, d):
-    reads = t("events").filter("event_type = 'error'").select(F.get_json_object("props", "$.k").alias("flag"), "ts")
-    vendor = t("part").filter("p_partkey BETWEEN 50 AND 120").select(F.col("p_partkey").cast("string").alias("flag"), F.when(F.col("p_size") > 40, "archived").otherwise("live").alias("state"))
+    reads = t("events").select(F.get_json_object("props", "$.k").alias("flag"), "ts")
+    vendor = t("part").select(F.col("p_partkey").cast("string").alias("flag"), F.when(F.col("p_size") > 40, "archived").otherwise("live").alias("state"))
     return P.flag_retirement(reads, vendor, "2024-01-31", 20)
 
 

@@ -72,15 +72,14 @@ def test_reach_classes(t, spark, d):
     return graphs.test_reach(zones(t), e, nodes(spark, 1))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, json_extract_string(props, '$.k')::BIGINT AS dst FROM events WHERE event_type = 'error' AND value > 100 AND user_id <> json_extract_string(props, '$.k')::BIGINT),
-  r AS (SELECT 3::BIGINT AS node UNION SELECT dst FROM r JOIN e ON node = src),
-  w AS (SELECT src AS u, dst AS v, 3::BIGINT AS node FROM e WHERE src IN (SELECT node FROM r) UNION SELECT u, v, e.dst FROM w JOIN e ON node = e.src AND NOT (e.src = u AND e.dst = v)),
-  s AS (SELECT o_custkey AS node, count(*) AS size FROM orders GROUP BY 1),
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS src, 10000000 + o_orderkey AS dst FROM orders UNION SELECT 10000000 + l_orderkey, 20000000 + l_partkey FROM lineitem),
+  r AS (SELECT 7::BIGINT AS node UNION SELECT dst FROM r JOIN e ON node = src), s AS (SELECT 20000000 + p_partkey AS node, p_size AS size FROM part),
+  w AS (SELECT src AS u, dst AS v, 7::BIGINT AS node FROM e WHERE src IN (SELECT node FROM r) UNION SELECT u, v, e.dst FROM w JOIN e ON node = e.src AND NOT (e.src = u AND e.dst = v)),
   k AS (SELECT DISTINCT u, v FROM w), l AS (SELECT u AS src, v AS dst, (SELECT sum(size)::BIGINT FROM r JOIN s USING (node) WHERE node NOT IN (SELECT node FROM w WHERE w.u = k.u AND w.v = k.v)) AS bytes FROM k)
   SELECT * FROM l WHERE bytes > 0 ORDER BY bytes DESC, src, dst LIMIT 10""")
 def dominating_imports(t, spark, d):
-    heavy = t("events").filter("event_type = 'error' AND value > 100").select(F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst"))
-    return graphs.dominating_imports(heavy.distinct(), 3, sizes(t))
+    e = t("orders").selectExpr("o_custkey AS src", "10000000 + o_orderkey AS dst").union(t("lineitem").selectExpr("10000000 + l_orderkey", "20000000 + l_partkey"))
+    return graphs.dominating_imports(e, 7, t("part").selectExpr("20000000 + p_partkey AS node", "cast(p_size AS long) AS size"))
 
 
 @query("WITH RECURSIVE " + CALLS_SQL + """, e AS (SELECT * FROM edges WHERE (src + dst) % 3 = 0 OR ((src + dst) % 3 = 1 AND dst % 2 = 0)), r AS (SELECT 3::BIGINT AS node UNION SELECT dst FROM r JOIN e ON node = src)

@@ -53,10 +53,10 @@ def route_collisions(t, spark, d):
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'unreferenced' ELSE 'unresolved' END AS side
-  FROM (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 500) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b USING (doc_id)
+  FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b USING (doc_id)
   WHERE a.doc_id IS NULL OR b.doc_id IS NULL""")
 def catalog_difference(t, spark, d):
-    return detectors.catalog_difference(t("documents").filter("n_chars > 500"), t("labels"), "doc_id")
+    return detectors.catalog_difference(t("documents"), t("labels"), "doc_id")
 
 
 @query("WITH " + CALLS_SQL + """, z AS (SELECT c_custkey AS node, n_regionkey::BIGINT AS zone FROM customer JOIN nation ON c_nationkey = n_nationkey)
@@ -141,10 +141,10 @@ def clone_groups(t, spark, d):
     return clones.clone_groups(lines(spark, d))
 
 
-@query("WITH " + LINES_SQL + """ SELECT files, count(*) AS groups FROM (SELECT line, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id) AS files
-  FROM (SELECT DISTINCT line, doc_id FROM lines) GROUP BY 1 HAVING count(*) > 1) GROUP BY 1""".replace("DISTINCT doc_id::VARCHAR", "doc_id::VARCHAR"))
+@query("WITH " + LINES_SQL + """ SELECT min(first_file) AS first_file, min(n) AS files, count(*) AS groups FROM (SELECT line, min(doc_id) AS first_file, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS family
+  FROM (SELECT DISTINCT line, doc_id FROM lines) GROUP BY 1 HAVING count(*) > 1) GROUP BY family""")
 def clone_families(t, spark, d):
-    return clones.clone_families(lines(spark, d))
+    return clones.clone_families(lines(spark, d)).drop("family")
 
 
 @query("WITH " + LINES_SQL + """, g AS (SELECT line, count(DISTINCT doc_id) AS files, count(*) AS n FROM lines GROUP BY 1)
@@ -165,10 +165,9 @@ def shingle_prefilter(t, spark, d):
 # health ---------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(pow(l_linenumber, 2) * pow(1 - l_discount, 3) + l_linenumber, 6) AS crap FROM lineitem WHERE l_quantity > 45")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(pow(l_linenumber, 2) * pow(1 - l_discount, 3) + l_linenumber, 6) AS crap FROM lineitem")
 def crap_scores(t, spark, d):
-    df = t("lineitem").filter("l_quantity > 45")
-    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(metrics.crap(F.col("l_linenumber"), F.col("l_discount")), 6).alias("crap"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(metrics.crap(F.col("l_linenumber"), F.col("l_discount")), 6).alias("crap"))
 
 
 @query("""SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS cyclomatic,

@@ -59,11 +59,11 @@ def dead_clones(t, spark, d):
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(range(len(x))) AS pos, x FROM (SELECT doc_id, regexp_extract_all(text, '"[^"\\n]*"|''[^''\\n]*''|[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_ \\t\\r\\n]') AS x FROM documents)),
-  r AS (SELECT * FROM (VALUES ('arithmetic', '-', '+'), ('arithmetic', '+', '-'), ('arithmetic', '*', '/'), ('arithmetic', '/', '*')) v(operator, token, replacement))
-  SELECT doc_id AS file, pos, operator, token, replacement, sha256(concat_ws('|', doc_id, pos, operator, replacement)) AS mutant_id FROM t JOIN r ON x[pos + 1] = token""")
+  r AS (SELECT * FROM (VALUES %s) v(operator, token, replacement))
+  SELECT doc_id AS file, pos, operator, token, replacement, sha256(concat_ws('|', doc_id, pos, operator, replacement)) AS mutant_id FROM t JOIN r ON x[pos + 1] = token""" % ", ".join(str(tuple(r)) for r in mutation.REPLACEMENTS))
 def mutant_sites(t, spark, d):
     toks = t("documents").select(F.col("doc_id").alias("file"), F.posexplode(clones.tokens(F.col("text"), "strict")).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
-    return mutation.mutants(toks, mutation.replacement_table(spark, [r for r in mutation.REPLACEMENTS if r[0] == "arithmetic"]))
+    return mutation.mutants(toks, mutation.replacement_table(spark, mutation.REPLACEMENTS))
 
 
 @query("""SELECT DISTINCT c_custkey AS file, c_name AS name, c_nationkey * 20 AS first, c_nationkey * 20 + 300 AS last FROM customer JOIN events ON user_id = c_custkey AND event_id % 1000 BETWEEN c_nationkey * 20 AND c_nationkey * 20 + 300""")

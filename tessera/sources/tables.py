@@ -10,14 +10,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str, least: int = 20) -> DataFrame:
-    """(doc_id, pos, line) of lines longer than `least` characters."""
+def lines(spark: SparkSession, sf_dir: str, least: int = 0) -> DataFrame:
+    """(doc_id, pos, line) of lines longer than `least` characters: all but the empty ones."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
     return docs.filter(F.length("line") > least).withColumn("pos", F.col("pos").cast("long"))
 
 
 LINES_SQL = """lines AS (SELECT doc_id, pos, x[pos + 1] AS line FROM (
-  SELECT doc_id, x, unnest(range(len(x))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE length(x[pos + 1]) > 20)"""
+  SELECT doc_id, x, unnest(range(len(x))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE length(x[pos + 1]) > 0)"""
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
