@@ -139,10 +139,107 @@ def export_targets(asked: DataFrame, exports: DataFrame, conditions: list[str])
 
 def output_to_source(path: Column, out_dir: str, root_dir: str) -> Column:
     """The source of a built file: the output folder replaced, .js as .ts, .d.ts as .ts; null elsewhere."""
-    rest = F.regexp_replace(path, f"^{out_dir}/", f"{root_dir}/")
+    rest = F.concat(F.lit(f"{root_dir}/"), F.substring(path, F.lit(len(out_dir) + 2), F.length(path)))
     return F.when(path.startswith(f"{out_dir}/"), F.regexp_replace(rest, r"(\.d\.ts|\.js)$", ".ts"))
 
 
 def package_usage(imports: DataFrame) -> DataFrame:
     """(package, file) for each package that a file imports."""
     return imports.select(package_name(F.col("source")).alias("package"), "file").filter("package IS NOT NULL").distinct()
+
+
+def condition_edges(asked: DataFrame, imports_map: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, condition, target): private specifiers asked(file, source) by all conditions of a map (key, condition,
+    target), not just the first: each target that is a file is an edge."""
+    j = asked.join(imports_map.select(F.col("key").alias("source"), "condition", "target"), "source").select("file", "condition", normalise(F.col("target")).alias("target"))
+    return j.join(files.select(F.col("path").alias("target")).distinct(), "target", "left_semi").select("file", "condition", "target").distinct()
+
+
+def in_package_root(asked: DataFrame, roots: DataFrame, files: DataFrame, source_dir: str = "src") -> DataFrame:
+    """(file, source, target): a specifier below a package's own root, looked up under the source folder of that root."""
+    own = owners(asked.select(F.col("file").alias("path")), roots).withColumnRenamed("path", "file")
+    base = normalise(F.concat_ws("/", "root", F.lit(source_dir), "source"))
+    tried = asked.join(own, "file").withColumn("base", base).select("file", "source", F.explode(candidates(F.col("base"))).alias("c")).filter("c.path IS NOT NULL").select("file", "source", "c.*")
+    found = tried.join(files.select("path").distinct(), "path").groupBy("file", "source")
+    return found.agg(F.min_by("path", "prio").alias("target"))
+
+
+def stylesheet_targets(asked: DataFrame, load_paths: list[str], files: DataFrame) -> DataFrame:
+    """(file, source, target): a stylesheet's import by the load paths in order; in each, as written, with an underscore
+    before its name, with .scss or .sass, and as a folder's index."""
+    name = F.regexp_extract("source", "[^/]+$", 0)
+    head = F.regexp_replace("source", "[^/]+$", "")
+    forms = [F.col("source"), *[F.concat(head, F.lit(u), name, F.lit(e)) for e in (".scss", ".sass") for u in ("", "_")]]
+    forms += [F.concat(F.col("source"), F.lit(f"/{u}index.scss")) for u in ("", "_")]
+    tried = [F.struct(F.lit(i * len(forms) + k).alias("prio"), normalise(F.concat_ws("/", F.lit(p), f)).alias("path")) for i, p in enumerate(load_paths) for k, f in enumerate(forms)]
+    each = asked.select("file", "source", F.explode(F.array(*tried)).alias("c")).select("file", "source", "c.*")
+    return each.join(files.select("path").distinct(), "path").groupBy("file", "source").agg(F.min_by("path", "prio").alias("target"))
+
+
+def workspace_targets(asked: DataFrame, workspaces: DataFrame, files: DataFrame, assets: bool = False) -> DataFrame:
+    """(file, source, target): a specifier that names a package of workspaces(package, root): the rest of it below the
+    root, or the root's index. assets: only files that aren't scripts, as written."""
+    name = package_name(F.col("source"))
+    rest = F.expr("substring(source, length(package) + 2)")
+    j = asked.withColumn("package", name).join(workspaces, "package").withColumn("base", normalise(F.concat_ws("/", "root", rest)))
+    if assets:
+        j = j.filter(~F.col("base").rlike(r"\.[cm]?[jt]sx?$")).select("file", "source", F.lit(0).alias("prio"), F.col("base").alias("path"))
+    else:
+        j = j.select("file", "source", F.explode(candidates(F.col("base"))).alias("c")).filter("c.path IS NOT NULL").select("file", "source", "c.prio", "c.path")
+    return j.join(files.select("path").distinct(), "path").groupBy("file", "source").agg(F.min_by("path", "prio").alias("target"))
+
+
+def base_url_folders(asked: DataFrame, base: str, files: DataFrame) -> DataFrame:
+    """asked(file, source) whose first segment is a folder or file right below the base url: no packages."""
+    prefix = f"{base}/" if base else ""
+    rest = F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path"))
+    top = files.filter(F.col("path").startswith(prefix)).select(F.regexp_replace(F.substring_index(rest, "/", 1), r"\.[^.]+$", "").alias("top")).distinct()
+    return asked.join(top, F.substring_index("source", "/", 1) == F.col("top"), "left_semi")
+
+
+def config_scopes(files: DataFrame, configs: DataFrame) -> DataFrame:
+    """(path, config): the deepest of configs(config, root, include, exclude) that a file is in: under the root, its rest
+    like the include pattern and not like the exclude pattern, both regular expressions and null for all and none."""
+    up = files.select("path").distinct().withColumn("root", F.explode(leading(folder(F.col("path")))))
+    j = up.join(configs, "root").withColumn("rest", F.expr("substring(path, length(root) + CASE WHEN root = '' THEN 1 ELSE 2 END)"))
+    fits = F.coalesce(F.expr("rlike(rest, include)"), F.lit(True)) & ~F.coalesce(F.expr("rlike(rest, exclude)"), F.lit(False))
+    return j.filter(fits).groupBy("path").agg(F.max_by("config", F.struct(F.length("root"), "config")).alias("config"))
+
+
+def auto_imports(names: DataFrame, files: DataFrame, folders: list[str]) -> DataFrame:
+    """(file, name, target): names(file, name) used without an import, by convention of the file of that name in some
+    folders, the earlier folder first; a file doesn't import itself."""
+    place = F.coalesce(*[F.when(folder(F.col("path")).isin(d), F.lit(i)) for i, d in enumerate(folders)])
+    known = files.select("path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("name"), place.alias("prio")).filter("prio IS NOT NULL AND name <> ''")
+    j = names.select("file", "name").distinct().join(known, "name").filter("file <> path")
+    return j.groupBy("file", "name").agg(F.min_by("path", F.struct("prio", "path")).alias("target"))
+
+
+def runtime_edges(files: DataFrame, runtime: DataFrame) -> DataFrame:
+    """(file, package): files(path, uses_markup) that markup makes import the runtime of their root, runtime(root, package)."""
+    used = files.filter("uses_markup").select("path")
+    own = owners(used, runtime.select("root"))
+    return own.join(runtime, "root").select(F.col("path").alias("file"), F.concat("package", F.lit("/jsx-runtime")).alias("package")).distinct()
+
+
+def package_entries(packages: DataFrame, files: DataFrame) -> DataFrame:
+    """(package, target): the file of a package's first declared entry that is there: packages(package, root, entries)."""
+    each = packages.select("package", "root", F.posexplode("entries").alias("i", "entry"))
+    each = each.select("package", "i", F.explode(candidates(normalise(F.concat_ws("/", "root", "entry")))).alias("c")).filter("c.path IS NOT NULL")
+    j = each.select("package", "i", "c.prio", "c.path").join(files.select("path").distinct(), "path")
+    return j.groupBy("package").agg(F.min_by("path", F.struct("i", "prio")).alias("target"))
+
+
+def outside_project(targets: DataFrame, roots: DataFrame) -> DataFrame:
+    """targets(path) that lie under no root(root) of the project."""
+    inside = owners(targets.select("path"), roots).select("path")
+    return targets.join(inside, "path", "left_anti")
+
+
+def rendered_components(renders: DataFrame, declared: DataFrame, imports: DataFrame) -> DataFrame:
+    """(file, child, target_file): renders(file, child) by a component of the same file, declared(file, name), else by
+    what imports(file, local, target) brings in under the name; null where neither is known."""
+    own = declared.select("file", F.col("name").alias("child"), F.col("file").alias("own")).distinct()
+    other = imports.groupBy("file", F.col("local").alias("child")).agg(F.min("target").alias("other"))
+    j = renders.select("file", "child").distinct().join(own, ["file", "child"], "left").join(other, ["file", "child"], "left")
+    return j.select("file", "child", F.coalesce("own", "other").alias("target_file"))
