@@ -197,14 +197,18 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, piece: int =
     many there are. Rows that repeat an id may be sampled twice; of equal hashes the smaller id comes first. An empty
     table, or one without languages, gives None. Other columns are not read.
 
-    One scan: each task keeps the first `per_language` rows of a language before anything is shuffled.
+    Ids are picked first, by a scan of ids and languages of which each task keeps the first `per_language` rows of a
+    language before anything is shuffled; the picked ids are broadcast to find their texts, and the same limit holds
+    for the rows found, should an id repeat.
     """
-    h = F.xxhash64("doc_id")
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - piece)).cast("int") + 1
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 0")
-    rows = rows.select("lang", "doc_id", h.alias("h"), F.substring(F.col("text"), place, F.lit(piece)).alias("piece"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "piece"))
-    sample = rows.withColumn("rank", first).filter(F.col("rank") <= per_language).orderBy("lang", "rank").collect()
+    rows = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring(F.col("text"), place, F.lit(piece)).alias("piece"))
+    first = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    ids = rows.select("lang", "doc_id", "h").withColumn("rank", first("h", "doc_id")).filter(F.col("rank") <= per_language)
+    found = rows.join(F.broadcast(ids.select("lang", "doc_id").distinct()), ["lang", "doc_id"])
+    found = found.withColumn("rank", first("h", "doc_id", "piece")).filter(F.col("rank") <= per_language)
+    sample = found.orderBy("lang", "rank").collect()
     return fit([r["piece"].encode() for r in sample], [r["lang"] for r in sample]) if sample else None
 
 
