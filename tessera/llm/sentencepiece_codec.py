@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ MARK = "▁"
 #: piece types of a model file (fixed values)
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: parts kept in a worker's cache; when full it stays as it is, since the frequent parts came first
-CACHE_PARTS = 250_000
+CACHE_PARTS = 600_000
 NEVER = float("-inf")
 
 
@@ -129,9 +130,14 @@ class Codec:
         self.unknown = self.types.index(UNKNOWN)
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if self.types[i] == BYTE}
         self.value = {i: v for v, i in self.byte.items()}
+        self.width = np.array([1 if t == BYTE else len(p.encode()) for p, t in zip(self.pieces, self.types)], np.int32)
+        # what an id stands for where no id of `special` is near: a byte below 128 is a character by itself
+        self.plain = [chr(self.value[i]) if i in self.value else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
+        self.decimal = list(map(str, range(len(self.pieces))))
+        self.special = frozenset(i for i, t in enumerate(self.types) if t != NORMAL and self.value.get(i, 128) > 127)
         self.cuts = not any(MARK in p.lstrip(MARK) for p in self.id)
         self.part = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
-        self.cache: dict[str, tuple[str, int, str]] = {}
+        self.cache: dict[str, bytes] = {}
 
     # normalisation ------------------------------------------------------------------------------------------------
 
@@ -183,25 +189,26 @@ class Codec:
     def merge(self, part: str) -> list[str]:
         """Pieces of one part: the best-scored neighbours merge first, the leftmost of equals."""
         score = self.score
-        if part in score and len(part) == 1:
+        if len(part) == 1:
             return [part]
         symbols = list(part)
         if len(symbols) > 48:
             return self._merge_long(symbols)
         get = score.get
-        ranks = [get(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
-        while ranks:
-            best = max(ranks)
-            if best == NEVER:
-                break
+        ranks = [get(a + b, NEVER) for a, b in zip(symbols, part[1:])]
+        best = max(ranks)
+        while best != NEVER:
             at = ranks.index(best)
-            new = symbols[at] + symbols[at + 1]
-            symbols[at : at + 2] = [new]
+            new = symbols[at] + symbols.pop(at + 1)
+            symbols[at] = new
             del ranks[at]
+            if not ranks:
+                break
             if at:
                 ranks[at - 1] = get(symbols[at - 1] + new, NEVER)
             if at < len(ranks):
                 ranks[at] = get(new + symbols[at + 1], NEVER)
+            best = max(ranks)
         return symbols
 
     def _merge_long(self, symbols: list[str]) -> list[str]:
@@ -285,6 +292,9 @@ class Codec:
         return ids, begins, ends
 
     def decode(self, ids: list[int]) -> str:
+        if self.special.isdisjoint(ids):  # pieces of text only: a mark in front is dropped
+            text = "".join([self.plain[i] for i in ids])
+            return text[1:] if text[:1] == " " and (self.dummy or self.trim) and self.pieces[ids[0]].startswith(MARK) else text
         out, run, first = [], bytearray(), True
         for i in ids:
             kind = self.types[i]
@@ -306,45 +316,31 @@ class Codec:
             out.append(_utf8(run))
         return "".join(out)
 
-    def _hits(self, parts: list[str]) -> list[tuple]:
-        """For each part: ids joined by commas, their number, decoded text, and as int32 the ids and their bytes' number.
-
-        The widths are relative, so a part is cached wherever it stands in a text.
-        """
-        cache = self.cache
-        got = list(map(cache.get, parts))
+    def _part_ids(self, part: str) -> bytes:
+        """Ids of a part as int32; they don't depend on where the part stands, so they are cached for all texts."""
+        ids, known = [], self.id
+        for piece in self.merge(part):
+            i = known.get(piece)
+            if i is None:
+                ids += self._ids(piece)
+            else:
+                ids.append(i)
+        out = array("i", ids).tobytes()
+        if len(part) <= 64 and len(self.cache) < CACHE_PARTS:
+            self.cache[part] = out
+        return out
+
+    def _text_ids(self, parts: list[str]) -> np.ndarray:
+        got = list(map(self.cache.get, parts))
         if None in got:
+            new: dict[str, bytes] = {}
             for at, part in enumerate(parts):
-                if got[at] is None and (hit := cache.get(part)) is None:
-                    ids, widths = [], []
-                    for piece in self.merge(part):
-                        new, size = self._ids(piece), len(piece.encode())
-                        ids += new
-                        widths += [size] if len(new) == 1 else [1] * size
-                    # decode() drops one mark in front of the text; this one stands before the part
-                    plain = self.decode([self.id[MARK], *ids]) if MARK in self.id else self.decode(ids)
-                    hit = ",".join(map(str, ids)), len(ids), plain, np.array(ids, np.int32).tobytes(), np.array(widths, np.int32).tobytes()
-                    if len(part) <= 64 and len(cache) < CACHE_PARTS:
-                        cache[part] = hit
-                    got[at] = hit
-                elif got[at] is None:
-                    got[at] = hit
-        return got
-
-    def _digests(self, parts: list[str], got: list[tuple]) -> tuple[int, str, str, str]:
-        decoded = "".join([x[2] for x in got])
-        if (self.dummy or self.trim) and decoded.startswith(" ") and parts and parts[0].startswith(MARK):
-            decoded = decoded[1:]
-        ids = ",".join([x[0] for x in got])
-        return sum([x[1] for x in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids
-
-    def digest(self, text: str | None) -> tuple[int, str, str, str]:
-        """Number of ids, hex SHA-256 of the ids joined by commas, and of the decoded text; and the joined ids.
-
-        Ids and decoded text are those of encode() and decode(), put together from the cached parts.
-        """
-        parts = self.parts(self.normalise(text or "")[0])
-        return self._digests(parts, self._hits(parts))
+                if got[at] is None:
+                    out = new.get(part)
+                    if out is None:
+                        out = new[part] = self._part_ids(part)
+                    got[at] = out
+        return np.frombuffer(b"".join(got), np.int32)
 
     def _source(self, text: str, normalised: str, source: list[int] | None) -> np.ndarray:
         """The source byte of each byte of the normalised text, and of its end."""
@@ -358,14 +354,27 @@ class Codec:
         return np.concatenate([front, at, np.array([len(original)], np.int32)])
 
     def encode_digest(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, str, str]:
-        """Ids, begins and ends as encode_spans() has them, and the first three values of digest(), from the same parts."""
+        """Ids, begins and ends as encode_spans() has them, their number, and the digests of ids and decoded text.
+
+        All come from the same parts: the digests are of the very ids that are projected to spans.
+        """
         text = text or ""
         normalised, source = self.normalise(text)
         parts = self.parts(normalised)
-        got = self._hits(parts)
-        ids, widths = (np.frombuffer(b"".join([x[k] for x in got]), np.int32) for k in (3, 4))
+        ids = self._text_ids(parts)
+        each = ids.tolist()
+        decoded = self.decode(each)
+        decimal = ",".join([self.decimal[i] for i in each])
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (decimal, decoded)]
+        widths = self.width[ids]
+        if self.unknown in ids:  # an unknown piece is as wide as it is in the text
+            widths = np.array([w for part in parts for piece in self.merge(part) for w in self._widths(piece)], np.int32)
         source, stop = self._source(text, normalised, source), np.cumsum(widths)
-        return (ids, source[stop - widths], source[stop], *self._digests(parts, got)[:3])
+        return (ids, source[stop - widths], source[stop], len(ids), *digests)
+
+    def _widths(self, piece: str) -> list[int]:
+        size = len(piece.encode())
+        return [size] if len(self._ids(piece)) == 1 else [1] * size
 
 
 def _utf8(run: bytearray) -> str:
@@ -423,7 +432,8 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
 def digest_documents(docs: DataFrame, model: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, begins, ends) for every row of docs(doc_id, text), null as empty.
 
-    begins and ends are the spans of original bytes of the ids; with_ids adds the ids themselves as an array `ids`.
+    One map without a shuffle: long texts are encoded whole, repeated rows give repeated results, an empty table gives
+    none, and other columns are not read. begins and ends are the spans of original bytes of the ids; with_ids adds the ids themselves as an array `ids`.
     """
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, "begins", "ends"]
 
@@ -442,9 +452,13 @@ def digest_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the ids of every document and their spans, with their number and digests."""
+    """Pipeline stage, the last: the ids of every document and their spans, with their number and digests.
+
+    Null and empty texts have no ids; repeated rows stay; an empty table gives none.
+    """
     return digest_documents(docs, with_ids=True)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text of every document, and the spans of original bytes of its ids."""
     return digest_documents(documents(spark, sf_dir))
