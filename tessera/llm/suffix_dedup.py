@@ -32,7 +32,7 @@ REACH = LENGTH - GRAM
 #: batches that a whole table is added in: the levels of the first two, and then of all four, merge
 BATCHES = 4
 #: bytes of text that are hashed at once in a task
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: strings through one beginning that meet in one task, at least and at most; more are dealt out by their hashes
 MEET = 250_000, 4_000_000
 
@@ -59,13 +59,16 @@ class Windows:
         place = np.arange(len(data)) + np.repeat(self.starts - offsets[:-1], sizes)
         x[place] = _SYMBOL[data]
         n = len(x) - LENGTH
-        by = {1: x}
-        for k in (1, 2, 4, 8, 16, 32):
-            a = by[k]
-            by[2 * k] = a[: len(a) - k] * _power(k) + a[k:]
-        gram = by[16][:n] * _power(8) + by[8][16 : 16 + n]
-        self.strings = _mix((by[64][:n] * _power(32) + by[32][64 : 64 + n]) * _power(4) + by[4][96 : 96 + n])
-        self.grams = _mix(gram)
+        twice = lambda a, k: a[: len(a) - k] * _power(k) + a[k:]
+        four = twice(twice(x, 1), 2)
+        del x, place
+        eight = twice(four, 4)
+        sixteen = twice(eight, 8)
+        self.grams = _mix(sixteen[:n] * _power(8) + eight[16 : 16 + n])
+        del eight
+        half = twice(sixteen, 16)
+        del sixteen
+        self.strings = _mix((twice(half, 32)[:n] * _power(32) + half[64 : 64 + n]) * _power(4) + four[96 : 96 + n])
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each anchor: its place, its text, and first place and number of the strings whose smallest gram it is."""
@@ -238,9 +241,7 @@ def _repeated(strings: DataFrame) -> DataFrame:
 
     def run(batches):
         seen, last = np.zeros(0, np.int64), None  # strings of a group that goes on from one batch to the next
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(at, 2048) for whole in batches for at in range(0, whole.num_rows, 2048)):
             h, part = np.array(batch.column("h")), np.array(batch.column("part"))
             n, flat = np.array(batch.column("strings").value_lengths()), np.array(batch.column("strings").flatten())
             row = np.repeat(np.arange(len(n)), n)
