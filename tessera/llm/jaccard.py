@@ -5,8 +5,9 @@ element among the first ones of each set in any common order, so these keys are
 share none are never compared. The order puts elements that a bounded sample shows to be frequent behind all others,
 which affects only cost.
 
-Level 1: every key's smallest document is a pivot, and a document belongs to the Voronoi region of the pivot that
-leads most of its keys, if its distance to it is within the radius. Regions become components without comparing their
+Level 1: every key's smallest document is a pivot. A document is measured against all pivots that lead at least half as
+many of its keys as a link needs, which are about four at most, and belongs to the Voronoi region of the nearest one
+within the radius. Regions become components without comparing their
 members. Level 2: the regions themselves are joined in the same way, through their pivots: where documents of two
 regions share a key, the pivots' distance is taken. Level 3: by the triangle inequality two documents of regions P and
 Q can be within the radius only if d(P, Q) <= radius + d(x, P) + d(y, Q); just the documents in this window beside the
@@ -223,13 +224,12 @@ def class_links(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple
     # level 1: the pivot of each document, and whether it is in its region; few common keys can't be a near copy's
     led = doors.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     led = led.filter(2 * F.col("c") >= _keys_needed(F.col("n"), F.col("n")))
-    led = led.groupBy("id").agg(F.max(F.struct("c", (-F.col("leader")).alias("l"))).alias("m"))
-    led = scratch.save(led.select(F.col("id").alias("x"), (-F.col("m.l")).alias("y")), "led")
+    led = scratch.save(led.select(F.col("id").alias("x"), F.col("leader").alias("y")), "led")
     texts = texts_of(docs, pair_ids(led), scratch, "texts1")
     stars = scratch.save(_measure(led, texts).filter(_linked()).select("x", "y", _distance().alias("dist")), "stars")
     links = stars.select("x", "y")
     comp = components(spark, links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, "level1")
-    # a document in two regions by repeated ids belongs to the nearer pivot
+    # of the pivots within the radius the nearest one; of equally near ones the smallest
     region = stars.groupBy("x").agg(F.min(F.struct("dist", "y")).alias("m")).select(F.col("x").alias("id"), F.col("m.y").alias("pivot"), F.col("m.dist").alias("dist"))
     active = doors.select("id").distinct()
     place = active.join(region.hint("merge"), "id", "left").join(comp.withColumnRenamed("node", "id").hint("merge"), "id", "left")
