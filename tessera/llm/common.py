@@ -25,10 +25,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a private one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; in local mode a private one where that is unset."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
@@ -37,11 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables, written once as Parquet to the shared folder and read back.
 
-    This cuts the lineage: a lost executor costs the tasks of one step, not of the whole job.
+    This cuts the lineage: a lost executor costs the tasks of one step, not of the whole job. The tables of a lazy result
+    must stay until it is read; release() deletes the folders of steps whose results have been written elsewhere.
     """
 
+    made: list[tuple[SparkSession, str]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.made.append((spark, self.root))
+
+    @staticmethod
+    def release(since: int) -> None:
+        """Deletes the folders made after the first `since` ones."""
+        for spark, root in Scratch.made[since:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del Scratch.made[since:]
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
