@@ -18,13 +18,18 @@ STAGES = [
     ("sentencepiece_encoding", encode_stage),
 ]
 
-#: no stage but the decontamination could be put into SQL at this size; tests hold the rows against brute force
+#: no stage but the decontamination could be put into SQL; a test holds the rows of run() against the stages by brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, each written as Parquet and read again for the next one."""
-    scratch, docs = Scratch(spark, "pipeline"), documents(spark, sf_dir)
+    """The stages in turn, each written as Parquet and read again for the next one; then what it read is deleted."""
+    scratch, docs, last = Scratch(spark, "pipeline"), documents(spark, sf_dir), None
     for name, stage in STAGES:
+        made = len(Scratch.made)
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        Scratch.release(made)
+        if last:
+            scratch.drop(last)
+        last = name
     return docs
