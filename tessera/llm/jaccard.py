@@ -3,7 +3,7 @@
 Distance is one minus the Jaccard similarity; texts with equal sets are one class. Two sets within the radius share an
 element among the first ones of each set in any common order, so these keys are the regions' doors: documents that
 share none are never compared. The order puts elements that a bounded sample shows to be frequent behind all others,
-which affects only cost.
+and then recursively those whose doors are still crowded, which affects only cost.
 
 Level 1: every key's smallest document is a pivot. A document is measured against all pivots that lead at least half as
 many of its keys as a link needs, which are about four at most, and belongs to the Voronoi region of the nearest one
@@ -32,6 +32,8 @@ RADIUS = 1 - PERCENT / 100
 #: documents whose sets show which elements are frequent, and the most elements kept
 SAMPLE_DOCUMENTS = 4096
 HOT_ELEMENTS = 200_000
+#: regions that make a crowd at a key; pairs a row up to which crowds don't matter; times that documents are dealt out
+CROWD, PAIRS_A_ROW, TURNS = 100, 8, 3
 #: ids that are broadcast to find their texts
 BROADCAST_IDS = 500_000
 
@@ -207,43 +209,81 @@ def _sizes_fit(nx, ny):
     return (100 * F.least(nx, ny)) >= (PERCENT * F.greatest(nx, ny))
 
 
-def class_links(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Sets (d, n, a, b) of the rows of docs(d, text), and links (x, y) between the smallest ids of classes.
-
-    The links join exactly the classes that a chain of pairs within the radius joins.
-    """
-    sets = scratch.save(_sets(docs, frequent_elements(docs)), "sets")
+def _regions(spark: SparkSession, docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], scratch: Scratch, turn: int):
+    """Level 1 under one order of elements: sets, links to pivots, place of each document, and regions by key."""
+    sets = scratch.save(_sets(docs, hot), f"sets{turn}")
     classes = sets.filter("n > 0").groupBy("a", "b").agg(F.min("d").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     rows = classes.select("id", "n", F.explode("keys").alias("key"))
     key = Window.partitionBy("key")
     doors = rows.withColumns({"g": F.count(F.lit(1)).over(key), "leader": F.min("id").over(key)}).filter("g > 1")
     doors = scratch.save(doors.select("key", "id", "n", "leader"), "doors")
     scratch.tidy()
-    pair_ids = lambda pairs: pairs.select(F.explode(F.array("x", "y")).alias("id"))
 
-    # level 1: the pivot of each document, and whether it is in its region; few common keys can't be a near copy's
+    # the pivots of each document, and whether it is in their regions; few common keys can't be a near copy's
     led = doors.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     led = led.filter(2 * F.col("c") >= _keys_needed(F.col("n"), F.col("n")))
     led = scratch.save(led.select(F.col("id").alias("x"), F.col("leader").alias("y")), "led")
-    texts = texts_of(docs, pair_ids(led), scratch, "texts1")
-    stars = scratch.save(_measure(led, texts).filter(_linked()).select("x", "y", _distance().alias("dist")), "stars")
+    texts = texts_of(docs, _both(led), scratch, "texts1")
+    stars = scratch.save(_measure(led, texts).filter(_linked()).select("x", "y", _distance().alias("dist")), f"stars{turn}")
     links = stars.select("x", "y")
-    comp = components(spark, links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, "level1")
+    comp = components(spark, links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, f"level1-{turn}")
     # of the pivots within the radius the nearest one; of equally near ones the smallest
     region = stars.groupBy("x").agg(F.min(F.struct("dist", "y")).alias("m")).select(F.col("x").alias("id"), F.col("m.y").alias("pivot"), F.col("m.dist").alias("dist"))
     active = doors.select("id").distinct()
     place = active.join(region.hint("merge"), "id", "left").join(comp.withColumnRenamed("node", "id").hint("merge"), "id", "left")
     place = place.select("id", F.coalesce("pivot", "id").alias("pivot"), F.coalesce("dist", F.lit(0.0)).alias("dist"), F.coalesce("component", "id").alias("comp"))
-    place = scratch.save(place, "place")
+    place = scratch.save(place, f"place{turn}")
     scratch.drop("texts1")
 
-    # level 2: keys that documents of different components share
+    # keys that documents of different components share
     mixed = doors.select("key", "id", "n").join(place.hint("merge"), "id")
     mixed = mixed.withColumns({"low": F.min("comp").over(key), "high": F.max("comp").over(key)}).filter("low <> high")
     by_region = mixed.groupBy("key", "pivot", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     by_region = scratch.save(by_region, "regions")
     scratch.drop("doors")
     scratch.tidy()
+    return sets, links, place, by_region
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("id"))
+
+
+def crowded_elements(by_region: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Keys that CROWD regions or more share, at most HOT_ELEMENTS, with ranks as frequent_elements() has them; None if
+    joining the regions by their keys would give no more than PAIRS_A_ROW pairs for each row anyway."""
+    crowds = by_region.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    total = crowds.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0.0)).alias("pairs")).first()
+    if total["pairs"] <= PAIRS_A_ROW * total["rows"]:
+        return None
+    rows = crowds.filter(F.col("c") >= CROWD).orderBy(F.desc("c"), "key").limit(HOT_ELEMENTS).collect()
+    if not rows:
+        return None
+    rank = [max(1, int(np.log2(max(1, r["c"] * SAMPLE_DOCUMENTS / max(documents, SAMPLE_DOCUMENTS))))) for r in rows]
+    return np.array([r["key"] for r in rows], np.int64).view(np.uint64), np.array(rank, np.int64)
+
+
+def class_links(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Sets (d, n, a, b) of the rows of docs(d, text), and links (x, y) between the smallest ids of classes.
+
+    The links join exactly the classes that a chain of pairs within the radius joins. Where a key turns out to be shared
+    by a crowd of regions, it goes behind the other elements and the documents are dealt out again by what else they
+    have, until no crowd is left that can be avoided.
+    """
+    hot, turn = frequent_elements(docs), 0
+    while True:
+        sets, links, place, by_region = _regions(spark, docs, hot, scratch, turn)
+        crowded = crowded_elements(by_region, sets.count())
+        new = None if crowded is None else ~np.isin(crowded[0], hot[0])
+        turn += 1
+        if new is None or not new.any() or turn == TURNS:
+            break
+        elements = np.concatenate([hot[0], crowded[0][new]])
+        order = np.argsort(elements)
+        hot = elements[order], np.concatenate([hot[1], crowded[1][new]])[order]
+        scratch.drop(*(f"{name}{turn - 1}" for name in ("sets", "stars", "place")), "regions")
+
+    # level 2: the regions themselves
     one, two = by_region.alias("one"), by_region.alias("two")
     met = one.join(two.hint("merge"), F.col("one.key") == F.col("two.key")).filter("one.pivot < two.pivot AND one.comp <> two.comp")
     met = met.filter("100 * one.most >= %d * two.least AND 100 * two.most >= %d * one.least" % (PERCENT, PERCENT))
@@ -255,7 +295,7 @@ def class_links(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple
     corners = [_keys_needed(F.col(i), F.col(j)) for i in ("x0", "x1") for j in ("y0", "y1")]
     met = met.filter(F.col("c") >= F.least(*corners) - 2)
     met = scratch.save(met.select("x", "y"), "met")
-    texts = texts_of(docs, pair_ids(met), scratch, "texts2")
+    texts = texts_of(docs, _both(met), scratch, "texts2")
     measured = scratch.save(_measure(met, texts).withColumn("dist", _distance()), "measured")
     links = links.unionByName(measured.filter(_linked()).select("x", "y"))
     scratch.drop("texts2", "regions")

@@ -78,6 +78,29 @@ def test_jaccard_components(spark, edge_dir):
     assert sorted(got["n_shingles"]) == sizes
 
 
+def test_jaccard_with_crowded_keys(spark, monkeypatch):
+    """Documents that all share words which no sample shows to be frequent: dealt out again, with the same components."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    common = [word() for _ in range(9)]
+    rows = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.choice([8, 20]))]
+        for _ in range(rng.choice([1, 2, 3])):
+            cur = base + common if rng.random() < 0.7 else common + base
+            if rng.random() < 0.5:
+                cur = cur[:-1] + [word()]
+            rows.append((len(rows), " ".join(cur)))
+    monkeypatch.setattr(jaccard, "CROWD", 3)
+    monkeypatch.setattr(jaccard, "PAIRS_A_ROW", 0)
+    monkeypatch.setattr(jaccard, "frequent_elements", lambda docs: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    turns = []
+    kept = jaccard._regions
+    monkeypatch.setattr(jaccard, "_regions", lambda *a: turns.append(a[-1]) or kept(*a))
+    got = jaccard.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "jaccard")).collect()
+    assert {r.doc_id: r.component_id for r in got} == groups(rows) and len(turns) > 1
+
+
 def repeats(rows):
     """(bytes, removed bytes, spans, digest of the rest) of each id, a null id as the largest."""
     big = 1 << 63
