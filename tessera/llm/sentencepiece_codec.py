@@ -292,25 +292,31 @@ class Codec:
         return ids, begins, ends
 
     def decode(self, ids: list[int]) -> str:
-        if self.special.isdisjoint(ids):  # pieces of text only: a mark in front is dropped
-            text = "".join([self.plain[i] for i in ids])
-            return text[1:] if text[:1] == " " and (self.dummy or self.trim) and self.pieces[ids[0]].startswith(MARK) else text
-        out, run, first = [], bytearray(), True
+        """Text of ids. A mark in front is dropped if the model puts one there; with trimming, one of each piece in front."""
+        out, lead = [], 0
+        if self.special.isdisjoint(ids):  # no byte that needs others, no control and no unknown pieces
+            while (self.dummy or self.trim) and lead < len(ids) and self.pieces[ids[lead]].startswith(MARK):
+                out.append(self.plain[ids[lead]][1:])
+                lead += 1
+                if out[-1] or not self.trim:
+                    break
+            return "".join(out) + "".join([self.plain[i] for i in ids[lead:]])
+        run, front, seen = bytearray(), True, False
         for i in ids:
             kind = self.types[i]
             if kind == BYTE:
                 run.append(self.value[i])
-                first = False
                 continue
             if run:
                 out.append(_utf8(run))
                 run = bytearray()
+            front = front and not seen and not any(out)
+            seen = False
             if kind == CONTROL:
                 continue
             piece = " ⁇ " if kind == UNKNOWN else self.pieces[i]
-            if first and (self.dummy or self.trim) and piece.startswith(MARK):
-                piece = piece[1:]
-            first = False
+            if front and kind != UNKNOWN and (self.dummy or self.trim) and piece.startswith(MARK):
+                piece, seen = piece[1:], not self.trim
             out.append(piece.replace(MARK, " "))
         if run:
             out.append(_utf8(run))
