@@ -93,12 +93,31 @@ def within_ranges(points: DataFrame, ranges: DataFrame, width: int = 16) -> Data
     return p.join(bins, ["file", "bin"]).filter("line BETWEEN first AND last").select(*points.columns).distinct()
 
 
-def similar_vectors(queries: DataFrame, vectors: DataFrame, ident: str, block: str, vector: str, least: float) -> DataFrame:
-    """(a, b) of query vectors and the other vectors of their block whose dot product is at least `least`."""
-    a = queries.select(F.col(ident).alias("a"), block, F.col(vector).alias("x"))
-    b = vectors.select(F.col(ident).alias("b"), block, F.col(vector).alias("y"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return a.join(b, block).filter("a <> b").filter(dot >= least).select("a", "b")
+def similar_search(queries: DataFrame, vectors: DataFrame, ident: str, vector: str, least: float, size: int = 2048) -> DataFrame:
+    """(a, b) of query vectors and all other vectors whose dot product is at least `least`.
+
+    Both sides fall into blocks of about `size`; each block of queries meets each block of vectors in one matrix product,
+    whose hits are summed again in order.
+    """
+    some = lambda df: df.select(F.col(ident).alias("id"), F.col(vector).alias("x")).filter("id IS NOT NULL AND x IS NOT NULL")
+    q, v = some(queries), some(vectors)
+    nq, nv = (max(1, -(-df.count() // size)) for df in (q, v))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("id", "x", F.lit(True).alias("asks"), block(nq).alias("i"), every(nv).alias("j"))
+    v = v.select("id", "x", F.lit(False).alias("asks"), every(nq).alias("i"), block(nv).alias("j"))
+
+    def hits(rows):
+        left, right = rows[rows["asks"]], rows[~rows["asks"]]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        x, y = (np.array(side["x"].tolist(), np.float64) for side in (left, right))
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        at, to = np.nonzero(x @ y.T >= least - 1e-6)
+        hit = np.array([a[p] != b[q] and np.cumsum(x[p] * y[q])[-1] >= least for p, q in zip(at, to)], bool)
+        return pd.DataFrame({"a": a[at[hit]], "b": b[to[hit]]})
+
+    return q.unionByName(v).groupBy("i", "j").applyInPandas(hits, "a long, b long")
 
 
 def similar_pairs(vectors: DataFrame, ident: str, vector: str, least: float, size: int = 2048) -> DataFrame:

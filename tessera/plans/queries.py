@@ -245,11 +245,11 @@ def findings_in_diff(t, spark, d):
     return metrics.within_ranges(points, ranges).select("event_id", F.col("file").alias("user_id"))
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+@query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
   WHERE a.vec_id % 100 = 0 AND list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3""")
 def similar_code(t, spark, d):
     v = t("embeddings")
-    return metrics.similar_vectors(v.filter("vec_id % 100 = 0"), v, "vec_id", "label", "embedding", 0.3)
+    return metrics.similar_search(v.filter("vec_id % 100 = 0"), v, "vec_id", "embedding", 0.3)
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
