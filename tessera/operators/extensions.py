@@ -61,6 +61,12 @@ def pairs_in_scope(pairs: DataFrame, scope: DataFrame) -> DataFrame:
     return one("a").unionByName(one("b")).distinct()
 
 
+def flag_inventory(reads: DataFrame) -> DataFrame:
+    """(key, kinds, reads, first_site) of flag reads(site, kind, key), kinds such as env, sdk and config sorted and joined."""
+    kinds = F.array_join(F.array_sort(F.collect_set("kind")), ",")
+    return reads.filter("key IS NOT NULL").groupBy("key").agg(kinds.alias("kinds"), F.count(F.lit(1)).alias("reads"), F.min("site").alias("first_site"))
+
+
 def flag_keys(reads: DataFrame, registry: DataFrame) -> DataFrame:
     """(site, key): reads(site, path) of a flag by its member path in a registry(path, key); a path that the registry
     lacks, or has for several keys, gives null."""

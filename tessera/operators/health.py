@@ -13,6 +13,12 @@ PENALTIES = {"dead_percent": 0.25, "duplicated_percent": 0.25, "complex_percent"
 GRADES = (("A", 90), ("B", 75), ("C", 60), ("D", 40))
 
 
+def complexity_units(parts: DataFrame) -> DataFrame:
+    """(fn, cyclomatic, cognitive) of contributions parts(fn, metric, weight): sums by metric, 0 where there is none."""
+    total = lambda name: F.sum(F.when(F.col("metric") == name, F.col("weight")).otherwise(0)).alias(name)
+    return parts.groupBy("fn").agg(total("cyclomatic"), total("cognitive"))
+
+
 def gated_cyclomatic(functions: DataFrame, parts: DataFrame, policy: str) -> DataFrame:
     """(fn, cyclomatic, standard): functions(fn, cyclomatic) under a policy; standard only where the policy changed it.
 

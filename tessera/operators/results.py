@@ -29,6 +29,11 @@ def in_scope(findings: DataFrame, scope: DataFrame) -> DataFrame:
     return kept.filter(stay).select("id", "anchor", left["sites"].alias("sites"), left["owners"].alias("owners"))
 
 
+def head_minus_base(head: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys) that head has more often than base, as many times as it has more."""
+    return head.select(*keys).exceptAll(base.select(*keys))
+
+
 def bucket_overflow(current: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, found, allowed, over): findings of each bucket beyond those that a baseline(keys, n) allows."""
     now = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("found"))

@@ -37,10 +37,18 @@ def severity(hot: Column, crosses: Column, entry: Column, sourced: Column, untru
     return F.when(hot | crosses | (entry & sourced), "high").when(sourced | untrusted, "medium").otherwise("low")
 
 
+# fixed values: prefixes, names and parts of names of variables that tools or frameworks make public
+PUBLIC_PREFIXES = "NEXT_PUBLIC_ VITE_ REACT_APP_ NUXT_PUBLIC_ PUBLIC_ EXPO_PUBLIC_ GATSBY_ STORYBOOK_".split()
+PUBLIC_NAMES = "NODE_ENV MODE DEV PROD SSR BASE_URL CI TZ".split()
+METADATA_PARTS = "NAME LENGTH TTL EXPIRY EXPIRES HEADER TYPE COUNT LIMIT VERSION".split()
+
+
 def secret_name(name: Column) -> Column:
-    """Whether a variable's name tells of a secret and no convention makes it public."""
-    public = name.rlike("^(NEXT_PUBLIC|VITE|REACT_APP|NUXT_PUBLIC|PUBLIC|EXPO_PUBLIC|GATSBY)_")
-    return name.rlike("(?i)(^|_)(secret|token|password|passwd|private_key|api_?key|credentials?)(_|$)") & ~public
+    """Whether a variable's name tells of a secret, and neither a convention makes it public nor a last part says that it
+    only describes one (a token's length or header)."""
+    public = name.isin(PUBLIC_NAMES) | name.rlike("^(" + "|".join(PUBLIC_PREFIXES) + ")")
+    describes = name.rlike("(?i)_(" + "|".join(METADATA_PARTS) + ")$")
+    return name.rlike("(?i)(^|_)(secret|token|password|passwd|private_key|api_?key|credentials?)(_|$)") & ~public & ~describes
 
 
 def stable_ids(findings: DataFrame, keys: list[str], position: list[str], suppressed: str) -> DataFrame:
@@ -52,3 +60,18 @@ def stable_ids(findings: DataFrame, keys: list[str], position: list[str], suppre
 def client_leaks(reachable: DataFrame, server: DataFrame) -> DataFrame:
     """reachable(root, node) of client roots whose node is a server(node) sink."""
     return reachable.join(server.select("node").distinct(), "node", "left_semi").select("root", "node")
+
+
+def leak_roots(files: DataFrame, imports: DataFrame, edges: DataFrame, server_modules: list[str]) -> DataFrame:
+    """(root, node, module): client roots of files(file, client_root) from which edges(src, dst) lead to a file that imports
+    a server module by imports(file, module)."""
+    from .graphs import _Seen
+
+    e = cut(edges.select("src", F.col("dst").alias("next")).distinct())
+    seen = _Seen(files.filter("client_root").select(F.col("file").alias("root"), F.col("file").alias("node")).distinct())
+    while True:
+        step = seen.frontier.join(e, F.col("node") == F.col("src")).select("root", F.col("next").alias("node")).distinct()
+        if not seen.grow(step.join(seen.rows(), ["root", "node"], "left_anti")):
+            break
+    bad = imports.filter(F.col("module").isin(server_modules)).select(F.col("file").alias("node"), "module").distinct()
+    return seen.rows().join(bad, "node").select("root", "node", "module")

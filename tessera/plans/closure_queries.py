@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dead_code, graphs
+from ..operators import dead_code, graphs, security
 from ..sources.facts import EXPORTS_SQL, PAIRS_SQL, REFS_SQL, exports, pairs, refs
 from .registry import query
 
@@ -117,3 +117,11 @@ def shared_state(t, spark, d):
 def export_test_reach(t, spark, d):
     reached = spark.createDataFrame([("label", "direct"), ("user", "transitive"), ("system", "mocked_only"), ("src1", "none"), ("src2", "direct")], "node string, reach string")
     return graphs.export_test_reach(exports(t), refs(t), reached)
+
+
+@query("WITH RECURSIVE " + EDGES_SQL + """, r AS (SELECT c_custkey AS root, c_custkey AS node FROM customer WHERE c_acctbal > 9700 UNION SELECT root, dst FROM r JOIN e ON node = src WHERE kind = 'view')
+  SELECT root, node, o_orderpriority AS module FROM r JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')) ON o_custkey = node""")
+def leak_roots(t, spark, d):
+    files = t("customer").selectExpr("c_custkey AS file", "c_acctbal > 9700 AS client_root")
+    imports = t("orders").selectExpr("o_custkey AS file", "o_orderpriority AS module")
+    return security.leak_roots(files, imports, edges(t, "view"), ["1-URGENT", "5-LOW"])

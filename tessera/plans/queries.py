@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import clones, detectors, graphs, metrics
+from ..operators import clones, detectors, extensions, graphs, health, metrics, results, security
 from ..sources.tables import CALLS_SQL, LINES_SQL, calls, lines
+from ..streaming import history
 from .registry import query
 
 # detectors ------------------------------------------------------------------------------------------------------------
@@ -83,11 +84,6 @@ def fan_in_percentile(t, spark, d):
     return detectors.fan_in_summary(t("part"), uses, "p_partkey", "l_suppkey")
 
 
-@query("SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 1")
-def thin_wrappers(t, spark, d):
-    return t("lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("l_orderkey")
-
-
 @query("""WITH x AS (SELECT a.n_name AS name, b.n_name AS other, levenshtein(lower(a.n_name), lower(b.n_name)) AS distance FROM nation a, nation b)
   SELECT name, other, distance FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, other) AS r FROM x
   WHERE distance BETWEEN 1 AND 2 AND length(name) // 2 > distance) WHERE r = 1""")
@@ -170,14 +166,6 @@ def crap_scores(t, spark, d):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(metrics.crap(F.col("l_linenumber"), F.col("l_discount")), 6).alias("crap"))
 
 
-@query("""SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS cyclomatic,
-  sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS cognitive FROM lineitem GROUP BY 1""")
-def complexity_totals(t, spark, d):
-    q = F.col("l_quantity")
-    returned = F.col("l_returnflag") == "R"
-    return t("lineitem").groupBy("l_orderkey").agg(F.sum(F.when(returned, q).otherwise(0)).alias("cyclomatic"), F.sum(F.when(~returned, q).otherwise(0)).alias("cognitive"))
-
-
 @query("""SELECT event_type, sum((ts < TIMESTAMP '2024-01-16')::INT)::BIGINT AS older, sum((ts >= TIMESTAMP '2024-01-16')::INT)::BIGINT AS recent,
   CASE WHEN sum((ts < TIMESTAMP '2024-01-16')::INT) = 0 OR sum((ts >= TIMESTAMP '2024-01-16')::INT) / sum((ts < TIMESTAMP '2024-01-16')::INT) > 1.5 THEN 'accelerating'
   WHEN sum((ts >= TIMESTAMP '2024-01-16')::INT) / sum((ts < TIMESTAMP '2024-01-16')::INT) < 0.67 THEN 'cooling' ELSE 'stable' END AS trend FROM events GROUP BY 1""")
@@ -261,51 +249,51 @@ def similar_code_pairs(t, spark, d):
 # findings -------------------------------------------------------------------------------------------------------------
 
 
+@query("""SELECT page_id, href, count(*) AS sites FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1, 2""")
+def template_links(t, spark, d):
+    return t("pages").select("page_id", F.explode_outer(T.links(F.col("html"))).alias("href")).filter("href IS NOT NULL").groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("sites"))
+
+
+@query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path,
+  CASE WHEN regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '^/en/[^/]*$') AND NOT regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '^/en/[^/]*\\.html$')
+  THEN true ELSE false END AS ignored FROM pages""".replace("\\\\", "\\"))
+def ignore_patterns(t, spark, d):
+    path = T.url_path(F.col("url"))
+    return t("pages").select("page_id", T.host(F.col("url")).alias("host"), path.alias("path"), T.matches_globs(path, ["/en/*", "!/en/*.html"]).alias("ignored"))
+
+
+@query("""SELECT l_orderkey AS fn, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS cyclomatic, sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS cognitive FROM lineitem GROUP BY 1""")
+def complexity_totals(t, spark, d):
+    metric = F.when(F.col("l_returnflag") == "R", "cyclomatic").otherwise("cognitive").alias("metric")
+    return health.complexity_units(t("lineitem").select(F.col("l_orderkey").alias("fn"), metric, F.col("l_quantity").alias("weight")))
+
+
 @query("""SELECT l_partkey, l_suppkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' EXCEPT ALL
   SELECT l_partkey, l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'""")
 def baseline_multiset(t, spark, d):
     line, new = t("lineitem"), F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp")
-    return line.filter(new).select("l_partkey", "l_suppkey").exceptAll(line.filter(~new).select("l_partkey", "l_suppkey"))
-
-
-@query("""SELECT coalesce(c_mktsegment, 'all') AS section, count(*) AS customers, round(avg(c_acctbal), 2) AS balance FROM customer GROUP BY ROLLUP (c_mktsegment)""")
-def grouped_health(t, spark, d):
-    return t("customer").rollup("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"), F.round(F.avg("c_acctbal"), 2).alias("balance")).select(F.coalesce("c_mktsegment", F.lit("all")).alias("section"), "customers", "balance")
+    return results.head_minus_base(line.filter(new), line.filter(~new), ["l_partkey", "l_suppkey"])
 
 
-@query("""SELECT o_orderkey, sha256(concat_ws('|', o_orderstatus, o_orderpriority, o_custkey::VARCHAR)) AS finding_id,
-  row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority, o_custkey ORDER BY o_orderkey) AS occurrence FROM orders""")
+@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority, o_custkey ORDER BY o_orderkey) AS place FROM orders)
+  SELECT o_orderkey, sha256(concat_ws('|', o_orderstatus, o_orderpriority, o_custkey::VARCHAR, place::VARCHAR)) AS finding_id FROM p""")
 def stable_ids(t, spark, d):
-    keys = ["o_orderstatus", "o_orderpriority", "o_custkey"]
-    ident = F.sha2(F.concat_ws("|", *keys), 256)
-    return t("orders").select("o_orderkey", ident.alias("finding_id"), F.row_number().over(Window.partitionBy(*keys).orderBy("o_orderkey")).cast("long").alias("occurrence"))
+    found = t("orders").withColumn("hidden", F.lit(False))
+    return security.stable_ids(found, ["o_orderstatus", "o_orderpriority", "o_custkey"], ["o_orderkey"], "hidden").select("o_orderkey", "finding_id")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 300000 AND o_orderpriority LIKE '1%' THEN 'high' WHEN o_totalprice > 150000 THEN 'medium' ELSE 'low' END AS tier FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 450000 OR o_orderpriority LIKE '1%' OR o_orderstatus = 'F' AND o_orderpriority LIKE '2%' THEN 'high' WHEN o_orderstatus = 'F' OR o_orderpriority LIKE '3%' THEN 'medium' ELSE 'low' END AS tier FROM orders""")
 def severity_tiers(t, spark, d):
-    tier = F.when((F.col("o_totalprice") > 300000) & F.col("o_orderpriority").startswith("1"), "high").when(F.col("o_totalprice") > 150000, "medium").otherwise("low")
+    prio = lambda k: F.col("o_orderpriority").startswith(k)
+    tier = security.severity(F.col("o_totalprice") > 450000, prio("1"), prio("2"), F.col("o_orderstatus") == "F", prio("3"))
     return t("orders").select("o_orderkey", tier.alias("tier"))
 
 
-@query("""SELECT key AS k, count(*) AS reads, min(event_id) AS first_read FROM (SELECT event_id, json_extract_string(props, '$.k') AS key FROM events) GROUP BY 1""")
+@query("""SELECT json_extract_string(props, '$.k') AS key, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, count(*) AS reads, min(event_id) AS first_site FROM events GROUP BY 1""")
 def feature_flags(t, spark, d):
-    return t("events").select("event_id", F.get_json_object("props", "$.k").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("reads"), F.min("event_id").alias("first_read"))
-
-
-@query("""SELECT page_id, href, count(*) AS sites FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1, 2""")
-def template_links(t, spark, d):
-    return t("pages").select("page_id", F.explode_outer(T.links(F.col("html"))).alias("href")).filter("href IS NOT NULL").groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("sites"))
-
-
-@query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path,
-  CASE WHEN regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '^/en/[^/]*$') AND NOT regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '^/en/[^/]*\\.html$')
-  THEN true ELSE false END AS ignored FROM pages""".replace("\\\\", "\\"))
-def ignore_patterns(t, spark, d):
-    path = T.url_path(F.col("url"))
-    return t("pages").select("page_id", T.host(F.col("url")).alias("host"), path.alias("path"), T.matches_globs(path, ["/en/*", "!/en/*.html"]).alias("ignored"))
+    return extensions.flag_inventory(t("events").select(F.col("event_id").alias("site"), F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").alias("key")))
 
 
-@query("""SELECT time_bucket(INTERVAL 1 day, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+@query("""SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def windowed_history(t, spark, d):
-    w = t("events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return w.select(F.col("w.start").alias("day"), "event_type", "n", "total")
+    return history.daily_counts(t("events")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
