@@ -70,10 +70,10 @@ def fan_in_summary(nodes: DataFrame, uses: DataFrame, node: str, user: str, floo
     """One row: p95 of distinct users (nearest rank), the threshold, the share above it, the maximum; zeros count."""
     fan = nodes.select(node).join(uses.groupBy(node).agg(F.countDistinct(user).alias("n")), node, "left").select(F.coalesce("n", F.lit(0)).alias("n"))
     counts = fan.groupBy("n").agg(F.count(F.lit(1)).alias("c"))  # few distinct values, so the window is small
-    ranked = counts.withColumn("upto", F.sum("c").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.agg(F.sum("c").alias("total"), F.max("n").alias("most"))
-    p95 = ranked.crossJoin(total).filter(F.col("upto") >= F.ceil(F.col("total") * 0.95)).agg(F.min("n").alias("p95"))
-    both_rows = counts.crossJoin(p95)
+    every = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"upto": F.sum("c").over(every), "total": F.sum("c").over(Window.partitionBy())})
+    p95 = F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * 0.95), F.col("n"))).over(Window.partitionBy())
+    both_rows = ranked.withColumn("p95", p95)
     high = both_rows.agg(
         F.first("p95").alias("p95"), F.greatest(F.first("p95"), F.lit(floor)).cast("long").alias("threshold"),
         F.round(100 * F.sum(F.when(F.col("n") > F.greatest("p95", F.lit(floor)), F.col("c")).otherwise(0)) / F.sum("c"), 1).alias("high_percent"),

@@ -31,9 +31,9 @@ def class_findings(used: DataFrame, defined: DataFrame) -> DataFrame:
 
     While any markup builds classes at run time, no class is called unreferenced.
     """
-    abstain = used.agg(F.coalesce(F.bool_or("dynamic"), F.lit(False)).alias("abstain"))  # one row
+    abstain = not used.filter("dynamic").isEmpty()
     u, d = used.filter("name IS NOT NULL").select("name").distinct(), defined.select("name").distinct()
-    no_use = d.join(u, "name", "left_anti").crossJoin(F.broadcast(abstain)).filter("NOT abstain")
+    no_use = d.join(u, "name", "left_anti").limit(0) if abstain else d.join(u, "name", "left_anti")
     return u.join(d, "name", "left_anti").select("name", F.lit("unresolved").alias("side")).unionByName(no_use.select("name", F.lit("unreferenced").alias("side")))
 
 
