@@ -96,9 +96,14 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = No
     base = F.when(kind == "relative", normalise(F.concat_ws("/", "dir", source))).when(kind == "absolute", normalise(source))
     base = F.coalesce(base, normalise(strip_query(F.col("aliased"))))
     asked = asked.withColumn("base", base)  # a column of its own, so that each candidate does not work it out again
-    tried = asked.select("dir", "source", F.explode_outer(F.when(F.col("base").isNotNull(), candidates(F.col("base")))).alias("c")).filter("c.path IS NOT NULL")
-    found = tried.select("dir", "source", "c.*").join(files.select("path").distinct(), "path")
-    found = found.groupBy("dir", "source").agg(F.min_by(F.struct(F.col("path").alias("target"), "strategy"), "prio").alias("r"))
+    # both sides meet in a path without its script extension, or without its index file: two keys a specifier, not one for
+    # each candidate; which candidate it is, and the first of them, is told after the join
+    bare = lambda c: F.regexp_replace(c, r"\.(ts|tsx|js|jsx|mts|cts|mjs|cjs)$", "")
+    known = files.select("path").distinct().withColumn("key", F.explode(F.array_distinct(F.array("path", bare(F.col("path")), F.regexp_replace(bare(F.col("path")), "/index$", "")))))
+    tried = asked.filter("base IS NOT NULL").select("dir", "source", "base", F.explode(F.array_distinct(F.array("base", bare(F.col("base"))))).alias("key"))
+    each = candidates(F.col("base"))
+    found = tried.join(known, "key").withColumn("c", F.element_at(F.filter(each, lambda c: c["path"] == F.col("path")), 1)).filter("c IS NOT NULL")
+    found = found.groupBy("dir", "source").agg(F.min_by(F.struct(F.col("c.path").alias("target"), F.col("c.strategy").alias("strategy")), "c.prio").alias("r"))
     asking = imports.withColumn("dir", folder(F.col("file")))
     return asking.join(found.select("dir", "source", "r.*"), ["dir", "source"], "left").drop("dir").select(*imports.columns, "target", "strategy")
 
