@@ -10,6 +10,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# fixed values: what a run of tokens must have to count
+DEFAULTS = {"least_tokens": 50, "least_lines": 5, "threshold_percent": 0.0, "skip_local": False}
+
+
+def fragment_tokens(text: Column) -> Column:
+    """Tokens of a text that no parser takes: runs of word signs and single other signs, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), 0)
+
+
+def without_types(tokens: DataFrame) -> DataFrame:
+    """tokens(file, pos, kind, text) without those of types, with places counted anew: typed and untyped files match."""
+    kept = tokens.filter("kind <> 'type'")
+    return kept.withColumn("pos", (F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1).cast("long"))
+
+
+def by_section(words: DataFrame) -> DataFrame:
+    """words(doc_id, section, w) as (doc_id, w) with a unit of its own for each section, so that no run crosses one."""
+    return words.select(F.concat_ws("#", F.col("doc_id").cast("string"), F.col("section").cast("string")).alias("doc_id"), "w")
+
+
+def largest_groups(groups: DataFrame, members: DataFrame, scope: DataFrame, top: int) -> DataFrame:
+    """The `top` groups(group, length, instances) with a member, members(group, file), in scope(file), by what they repeat."""
+    inside = members.join(scope.select("file").distinct(), "file", "left_semi").select("group").distinct()
+    return groups.join(inside, "group", "left_semi").orderBy(F.desc(F.col("length") * (F.col("instances") - 1)), "group").limit(top)
+
+
+def local_only(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """groups(group, ...) all of whose members(group, file) stand in one folder: what skip_local leaves out."""
+    place = F.regexp_replace("file", "/?[^/]*$", "")
+    one = members.groupBy("group").agg(F.countDistinct(place).alias("n")).filter("n = 1").select("group")
+    return groups.join(one, "group", "left_semi")
+
+
 def clone_groups(lines: DataFrame, least_files: int = 2) -> DataFrame:
     """(line, files, instances) of lines(doc_id, pos, line) that stand in several documents."""
     return lines.groupBy("line").agg(F.countDistinct("doc_id").alias("files"), F.count(F.lit(1)).alias("instances")).filter(F.col("files") >= least_files)

@@ -165,3 +165,11 @@ def detector_availability(detectors: DataFrame, packages: DataFrame) -> DataFram
     have = packages.select("package").distinct().withColumn("have", F.lit(1))
     found = detectors.select("detector", "package").distinct().join(have, "package", "left").groupBy("detector").agg(F.count("have").alias("packages"))
     return found.select("detector", F.when(F.col("packages") > 0, "active").otherwise("no-package").alias("status"), "packages")
+
+
+def over_threshold(functions: DataFrame, ceilings: DataFrame, default: int) -> DataFrame:
+    """(fn, cyclomatic, ceiling) of functions(fn, path, cyclomatic) above their ceilings(path, ceiling), or the default:
+    the marks that an editor shows, by the rule of the report."""
+    own = ceilings.groupBy("path").agg(F.min("ceiling").alias("c"))
+    out = functions.join(own, "path", "left").select("fn", "cyclomatic", F.coalesce("c", F.lit(default)).cast("long").alias("ceiling"))
+    return out.filter("cyclomatic > ceiling")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clones, extensions as E
+from ..operators import clones, extensions as E, health
 from ..streaming import sessions
 from .registry import query
 
@@ -121,3 +121,35 @@ def near_focus(t, spark, d):
 def focused_groups(t, spark, d):
     r = t("orders").selectExpr("o_custkey AS doc_id", "o_orderkey AS first", "o_orderkey + 20 + o_orderkey % 40 AS last", "o_orderkey % 90 AS of_doc", "10 * (o_orderkey % 7) AS of_first")
     return clones.instance_groups(r, t("nation").select(F.col("n_nationkey").cast("long").alias("doc_id")), 40)
+
+
+@query("""WITH t AS (SELECT conv_id * 100 + turn AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS token FROM conversations) SELECT token, count(*) AS n, count(DISTINCT id) AS files FROM t GROUP BY 1""")
+def fragment_tokens(t, spark, d):
+    rows = t("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.explode(clones.fragment_tokens(F.col("text"))).alias("token"))
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("files"))
+
+
+@query("""SELECT l_orderkey AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey * 100 + l_suppkey) - 1 AS pos, l_partkey AS text FROM lineitem WHERE l_returnflag <> 'A'""")
+def untyped_tokens(t, spark, d):
+    kind = F.when(F.col("l_returnflag") == "A", "type").otherwise("name").alias("kind")
+    rows = t("lineitem").select(F.col("l_orderkey").alias("file"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("pos"), kind, F.col("l_partkey").alias("text"))
+    return clones.without_types(rows).select("file", "pos", "text")
+
+
+@query("""WITH g AS (SELECT l_partkey AS "group", count(*) AS instances, max(l_quantity)::BIGINT AS length FROM lineitem GROUP BY 1) SELECT * FROM g WHERE "group" IN (SELECT l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = 3) ORDER BY length * (instances - 1) DESC, "group" LIMIT 15""")
+def largest_groups(t, spark, d):
+    line = t("lineitem")
+    g = line.groupBy(F.col("l_partkey").alias("group")).agg(F.count(F.lit(1)).alias("instances"), F.max("l_quantity").cast("long").alias("length"))
+    return clones.largest_groups(g, line.selectExpr("l_partkey AS group", "l_suppkey AS file"), t("supplier").filter("s_nationkey = 3").selectExpr("s_suppkey AS file"), 15)
+
+
+@query("""SELECT p_brand || p_name || p_type AS "group" FROM part GROUP BY 1 HAVING count(DISTINCT p_size % 5) = 1""")
+def local_groups(t, spark, d):
+    members = t("part").selectExpr("concat(p_brand, p_name, p_type) AS group", "concat('f', p_size % 5, '/', p_partkey) AS file")
+    return clones.local_only(members.select("group").distinct(), members)
+
+
+@query("""SELECT o_orderkey AS fn, o_custkey % 30 AS cyclomatic, CASE WHEN c_nationkey < 5 THEN c_nationkey + 5 ELSE 20 END::BIGINT AS ceiling FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 30 > CASE WHEN c_nationkey < 5 THEN c_nationkey + 5 ELSE 20 END""")
+def inline_complexity(t, spark, d):
+    f = t("orders").selectExpr("o_orderkey AS fn", "o_custkey AS path", "o_custkey % 30 AS cyclomatic")
+    return health.over_threshold(f, t("customer").filter("c_nationkey < 5").selectExpr("c_custkey AS path", "c_nationkey + 5 AS ceiling"), 20)
