@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: white space of the contracts: space and the five ASCII controls 0x09 to 0x0D
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: rows of a batch that goes to Python, where the session doesn't say
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: internal id of rows whose doc_id is null: they come after every other document
 NULL_ID = (1 << 63) - 1
 
@@ -24,6 +26,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python by BATCH_ROWS, so that both sides hold little at once; a session that names a number keeps it."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; in local mode a private one where that is unset."""
     sc = spark.sparkContext
@@ -48,6 +56,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         Scratch.made.append((spark, self.root))
+        small_batches(spark)
 
     @staticmethod
     def release(since: int) -> None:
@@ -83,7 +92,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Cuts a batch so that each part holds about `limit` bytes of text, one row at least."""
     _, offsets = text_bytes(batch.column(column))
     start = 0

@@ -172,7 +172,7 @@ def _measure(pairs: DataFrame, texts: DataFrame, outside: bool = False) -> DataF
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "tx", 2 << 20):
+            for batch in slices(whole, "tx"):
                 sets = [shingle_sets(*text_bytes(batch.column(c))) for c in ("tx", "ty")]
                 inter = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sets)]
                 cols = [pa.array(v, pa.int64()) for v in (inter, *([len(s) for s in side] for side in sets))]

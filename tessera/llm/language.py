@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, slices, text_bytes
+from .common import documents, slices, small_batches, text_bytes
 from .quality import held_out
 
 HIDDEN = 8
@@ -219,6 +219,7 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     in segments; repeated rows give repeated results; of equally likely labels the first by name is taken; an empty
     table gives no rows, and other columns are not read.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):

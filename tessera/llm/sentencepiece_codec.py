@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, slices
+from .common import documents, slices, small_batches
 
 MARK = "▁"
 #: piece types of a model file (fixed values)
@@ -432,6 +432,7 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
             cols = [batch.column("doc_id")] + [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(3)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "begins", "ends"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>")
 
 
@@ -453,6 +454,7 @@ def digest_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
                 cols += [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(0 if with_ids else 1, 3)]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", begins array<int>, ends array<int>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
