@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import documents, table, text_bytes
+from .common import documents, slices, small_batches, table, text_bytes
 
 #: slots: 16 counts of each of 256 bytes, and 2^17 hashed ones each for pairs, triples and fours with their counts
 HASH_BITS = 17
 SIZE = 256 * 16 + 3 * (1 << HASH_BITS)
 #: labelled rows that a model is fitted on, for each class, the rows with the smallest hashes of their ids; of these,
 #: those whose features come within so many bytes, one at least
-SAMPLE_PER_CLASS, SAMPLE_BYTES = 2000, 64 << 20
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 2000, 32 << 20
 #: a score from which a text is accepted
 ACCEPT = 0.7
 
@@ -89,14 +89,14 @@ def _ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.nd
 def _descend(rows, y, ratio, c: float, rounds: int = 12) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss with L2 penalty; the bias is a feature of value 1."""
     rng, w, bias = np.random.default_rng(7), np.zeros(SIZE), 0.0
-    x = [values(idx, ratio) for idx in rows]
-    q = np.array([v @ v + 1 for v in x])
+    # the values are worked out again where they are needed, as they would take twice the memory of the rows
+    q = np.array([values(idx, ratio) @ values(idx, ratio) + 1 for idx in rows])
     upper = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
     alpha = np.zeros(len(y))
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            idx, v = rows[i], x[i]
+            idx, v = rows[i], values(rows[i], ratio)
             gradient = y[i] * (w[idx] @ v + bias) - 1
             new = min(max(alpha[i] - gradient / q[i], 0.0), upper[i])
             if step := (new - alpha[i]) * y[i]:
@@ -149,7 +149,7 @@ def fit(rows: list[np.ndarray], labels: list[int], prior: float, c: float = 1.0)
 
 
 def _features(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text")):
         data, at = text_bytes(batch.column("text"))
         rows = [indicators(data[at[i] : at[i + 1]]).astype(np.int32).tobytes() for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.binary())], ["y", "x"])
@@ -178,11 +178,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     weight = F.least(16 * F.octet_length("text").cast("long"), F.lit(4 * SIZE).cast("long"))
     before = F.sum(weight).over(Window.partitionBy("y").orderBy("h", "doc_id")) - weight
     sample = sample.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") <= SAMPLE_BYTES).select("y", "text")
-    rows = sample.mapInArrow(_features, "y int, x binary").collect()
-    rows = sorted((bytes(r["x"]), r["y"]) for r in rows)  # the order of rows must not depend on tasks
-    order = np.random.default_rng(3).permutation(len(rows))
-    x = [np.frombuffer(rows[i][0], np.int32).astype(np.int64) for i in order]
-    return fit(x, [rows[i][1] for i in order], prior)
+    rows = sample.mapInArrow(_features, "y int, x binary").toArrow()
+    x, y = rows.column("x").combine_chunks(), np.array(rows.column("y"))
+    rows = [np.frombuffer(v.as_buffer(), np.int32) for v in x]  # views into one buffer
+    order = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), y[i]))  # must not depend on tasks
+    order = np.array(order, int)[np.random.default_rng(3).permutation(len(order))]
+    return fit([rows[i] for i in order], [int(y[i]) for i in order], prior)
 
 
 def score_documents(docs: DataFrame, model: Model, payload) -> DataFrame:
@@ -191,11 +192,12 @@ def score_documents(docs: DataFrame, model: Model, payload) -> DataFrame:
     Long texts are read whole, repeated rows score alike, an empty table gives no rows.
     """
     rows = docs.select(payload.alias("row"), F.col("text").alias("t"))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "t")):
             data, at = text_bytes(batch.column("t"))
             score = [m.score(indicators(data[at[i] : at[i + 1]])) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score, pa.float64())], ["row", "score"])
