@@ -13,7 +13,9 @@ earliest one only, a window minimum, so a large group costs as many rows as it h
 With whole=True the bound grows with the line, one edit from NEAR_WORDS words and one for every ten from FAR_WORDS, the
 shorter line counting. Pairs more
 than one edit apart are found by pigeonhole: of the first k + 1 pieces of PIECE words of the shorter line one stands
-unchanged in the longer one, moved by k words at most, and the distance is verified.
+unchanged in the longer one, moved by k words at most. A line is first set against the earliest line that it shares such
+a piece with; only where that one isn't within the bound it is set against the others before it, by lengths and a
+signature of their words.
 """
 
 from __future__ import annotations
@@ -161,8 +163,9 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_
     return drops
 
 
-def _far_pairs(rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
-    """(at, other): lines of FAR_WORDS words or more that may be within the bound, other before at."""
+def _far_members(rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, x, leader): lines of FAR_WORDS words or more that share a key, and the earliest line of the key, both as
+    (at, n, parity, piece)."""
     words = rows.select(F.explode_outer(F.transform(F.split("text", "\n", -1), _words)).alias("w")).withColumn("n", F.size("w"))
     keys = words.filter(F.col("n") >= FAR_WORDS).select(F.explode_outer(_far_keys(F.col("w"), F.col("n"))).alias("x")).select("x.*")
     # keys of one line only, or of no piece, are dropped before the lines' places are joined
@@ -171,21 +174,46 @@ def _far_pairs(rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame
     keys = keys.filter("low <> high AND pieces = 1").groupBy("key", line.alias("line")).agg(F.max(piece).alias("piece"))
     keys = scratch.save(keys, "keys")
     far = first.filter("far IS NOT NULL").select(_short_id(F.col("a")).alias("line"), "at", "far.*")
-    far = keys.join(far.hint("merge"), "line")
-    short = far.filter("piece = 1").select("key", F.col("at").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("px"))
-    long = far.select("key", F.col("at").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"))
-    k = edit_bound(F.col("nx"))
-    fits = (F.col("x") != F.col("y")) & F.col("ny").between(F.col("nx"), F.col("nx") + k)
-    fits &= F.bit_count(F.col("px").bitwiseXOR(F.col("py"))) <= 2 * k
-    pairs = short.join(long.hint("merge"), "key").filter(fits)
-    return pairs.select(F.greatest("x", "y").alias("at"), F.least("x", "y").alias("other")).distinct()
+    far = keys.join(far.hint("merge"), "line").select("key", F.struct("at", "n", "parity", "piece").alias("x"))
+    return scratch.save(far.withColumn("leader", F.min("x").over(Window.partitionBy("key"))), "members")
+
+
+def _may_be_near(x: str, y: str) -> Column:
+    """Whether two lines that share a key may be within the bound: by their lengths, words and the shorter one's piece."""
+    short = lambda c: F.when(F.col(f"{x}.n") < F.col(f"{y}.n"), F.col(f"{x}.{c}")).when(F.col(f"{x}.n") > F.col(f"{y}.n"), F.col(f"{y}.{c}")).otherwise(F.greatest(f"{x}.{c}", f"{y}.{c}"))
+    k = edit_bound(short("n"))
+    fits = (short("piece") == 1) & (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= k)
+    return fits & (F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= 2 * k)
+
+
+def _words_at(rows: DataFrame, places: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(at, w): the words of the lines at places(d, k, pos), by document and line."""
+    wanted = scratch.save(places.distinct().groupBy("d", "k").agg(F.collect_list("pos").alias("wanted")), f"{name}-places")
+    texts = rows.join(wanted.hint("merge"), [F.col("__d") == F.col("d"), F.col("__k") == F.col("k")])
+    numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.when(F.array_contains("wanted", i), F.struct(i.alias("pos"), line.alias("line"))))
+    texts = texts.dropDuplicates(["d", "k"]).select("d", "k", F.explode_outer(F.array_compact(numbered)).alias("l"))
+    texts = scratch.save(texts.select(F.struct("d", "k", "l.pos").alias("at"), _words(F.col("l.line")).alias("w")), name)
+    scratch.drop(f"{name}-places")
+    return texts
+
+
+def _places(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("at", "other")).alias("l")).select("l.*")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(at) of the pairs(at, other) whose words are within the bound."""
+    left, right = texts.select("at", F.col("w").alias("x")), texts.select(F.col("at").alias("other"), F.col("w").alias("y"))
+    both = pairs.hint("merge").join(left, "at").join(right.hint("merge"), "other").select("at.*", "x", "y")
+    return both.mapInArrow(_within_bound, "d bigint, k bigint, pos int").select(F.struct("d", "k", "pos").alias("at")).distinct()
 
 
 def _within_bound(batches):
-    for batch in batches:
+    for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
         x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
         bounds = [edit_bound(min(len(a), len(b))) for a, b in zip(x, y)]
-        yield batch.filter(pa.array([word_edits(a, b, k) <= k for a, b, k in zip(x, y, bounds)], pa.bool_()))
+        near = pa.array([word_edits(a, b, k) <= k for a, b, k in zip(x, y, bounds)], pa.bool_())
+        yield batch.select(["d", "k", "pos"]).filter(near)
 
 
 def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
@@ -193,21 +221,16 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
     halves = first.filter("halves IS NOT NULL").select("at", F.explode("halves").alias("half"))
     shared = halves.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("half"))).filter("m > 1")
     shared = shared.select("at.d", "at.k", "at.pos").distinct()
-    far = None
+    members = led = None
     if "far" in first.columns:
-        far = scratch.save(_far_pairs(rows, first, scratch), "far")
+        members = _far_members(rows, first, scratch)
         scratch.drop("keys")
+        led = members.filter("x.at <> leader.at").filter(_may_be_near("x", "leader"))
+        led = scratch.save(led.select("x.at", F.col("leader.at").alias("other")).distinct(), "led")
         scratch.tidy()
-        shared = shared.unionByName(far.select(F.explode(F.array("at", "other")).alias("l")).select("l.*")).distinct()
-    wanted = shared.groupBy("d", "k").agg(F.collect_list("pos").alias("wanted"))
-    wanted = scratch.save(wanted, "wanted")
+        shared = shared.unionByName(_places(led)).distinct()
     # the words of those lines, from the document where each occurs first
-    texts = rows.join(wanted.hint("merge"), [F.col("__d") == F.col("d"), F.col("__k") == F.col("k")])
-    numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.when(F.array_contains("wanted", i), F.struct(i.alias("pos"), line.alias("line"))))
-    texts = texts.dropDuplicates(["d", "k"]).select("d", "k", F.explode_outer(F.array_compact(numbered)).alias("l"))
-    texts = texts.select(F.struct("d", "k", "l.pos").alias("at"), _words(F.col("l.line")).alias("w"))
-    texts = scratch.save(texts, "words")
-    scratch.drop("wanted")
+    texts = _words_at(rows, shared, scratch, "words")
 
     variants = F.concat(
         F.array(F.xxhash64("w")),
@@ -225,14 +248,21 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
     other = F.when(F.col("i") == 0, F.col("longer")).otherwise(F.least("replaced", "shorter"))
     pairs = emitted.select("at", other.alias("other")).filter(F.col("other") < F.col("at")).distinct()
     pairs = scratch.save(pairs, "pairs")
-    left = texts.select(F.col("at"), F.col("w").alias("x"))
+    left = texts.select("at", F.col("w").alias("x"))
     right = texts.select(F.col("at").alias("other"), F.col("w").alias("y"))
-    checked = pairs.hint("merge").join(left, "at").join(right.hint("merge"), "other").filter(within_one_edit(F.col("x"), F.col("y")))
-    if far is not None:
-        both = far.hint("merge").join(left, "at").join(right.hint("merge"), "other").select("x", "y")
-        checked = checked.select("x", "y").unionByName(both.mapInArrow(_within_bound, "x array<bigint>, y array<bigint>"))
-    checked = scratch.save(checked.select(_line_id(F.col("x")).alias("id")).select("id.a", "id.b").distinct(), "near")
-    scratch.drop("words", "pairs", "far")
+    checked = pairs.hint("merge").join(left, "at").join(right.hint("merge"), "other").filter(within_one_edit(F.col("x"), F.col("y"))).select("at").distinct()
+    if members is not None:
+        # most lines are near the earliest one of a key; only those that aren't are set against the others before them
+        checked = scratch.save(checked.unionByName(_verified(led, texts)).distinct(), "near1")
+        scratch.drop("words")
+        rest = members.join(checked.hint("merge"), F.col("x.at") == checked["at"], "left_anti").select("key", "x")
+        other = members.select("key", F.col("x").alias("y"), "leader")
+        rest = rest.join(other.hint("merge"), "key").filter("y.at < x.at AND y.at <> leader.at").filter(_may_be_near("x", "y"))
+        rest = scratch.save(rest.select("x.at", F.col("y.at").alias("other")).distinct(), "rest")
+        scratch.tidy()
+        checked = checked.unionByName(_verified(rest, _words_at(rows, _places(rest), scratch, "more")))
+    checked = scratch.save(checked.join(first.select("at", "a", "b").hint("merge"), "at").select("a", "b").distinct(), "near")
+    scratch.drop("words", "more", "pairs", "members", "led", "near1", "rest")
     return checked
 
 
