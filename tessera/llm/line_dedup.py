@@ -13,9 +13,9 @@ earliest one only, a window minimum, so a large group costs as many rows as it h
 With whole=True the bound grows with the line, one edit from NEAR_WORDS words and one for every ten from FAR_WORDS, the
 shorter line counting. Pairs more
 than one edit apart are found by pigeonhole: of the first k + 1 pieces of PIECE words of the shorter line one stands
-unchanged in the longer one, moved by k words at most. A line is first set against the earliest line that it shares such
-a piece with; only where that one isn't within the bound it is set against the others before it, by lengths and a
-signature of their words.
+unchanged in the longer one, moved by k words at most. Of the LEADERS earliest lines of each such piece a line is first
+set against the one whose words are most like its own; only where that one isn't within the bound it is set against
+the others before it, by lengths and a signature of their words.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ NEAR_WORDS = 5
 MAX_EDITS = 1
 #: with whole=True: from so many words on, more than one edit is within the bound
 FAR_WORDS = 20
+#: earliest lines of a piece that a line is set against first
+LEADERS = 16
 #: words of a piece; FAR_WORDS and more words have more pieces than edits
 PIECE = 6
 
@@ -164,8 +166,8 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_
 
 
 def _far_members(rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, x, leader): lines of FAR_WORDS words or more that share a key, and the earliest line of the key, both as
-    (at, n, parity, piece)."""
+    """(key, x, leaders): lines of FAR_WORDS words or more that share a key, and the earliest LEADERS lines of the key, all
+    as (at, n, parity, piece)."""
     words = rows.select(F.explode_outer(F.transform(F.split("text", "\n", -1), _words)).alias("w")).withColumn("n", F.size("w"))
     keys = words.filter(F.col("n") >= FAR_WORDS).select(F.explode_outer(_far_keys(F.col("w"), F.col("n"))).alias("x")).select("x.*")
     # keys of one line only, or of no piece, are dropped before the lines' places are joined
@@ -175,15 +177,19 @@ def _far_members(rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFra
     keys = scratch.save(keys, "keys")
     far = first.filter("far IS NOT NULL").select(_short_id(F.col("a")).alias("line"), "at", "far.*")
     far = keys.join(far.hint("merge"), "line").select("key", F.struct("at", "n", "parity", "piece").alias("x"))
-    return scratch.save(far.withColumn("leader", F.min("x").over(Window.partitionBy("key"))), "members")
+    every = Window.partitionBy("key").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return scratch.save(far.withColumn("leaders", F.array_compact(F.array(*[F.nth_value("x", i).over(every) for i in range(1, LEADERS + 1)]))), "members")
 
 
-def _may_be_near(x: str, y: str) -> Column:
+def _may_be_near(x: Column, y: Column) -> Column:
     """Whether two lines that share a key may be within the bound: by their lengths, words and the shorter one's piece."""
-    short = lambda c: F.when(F.col(f"{x}.n") < F.col(f"{y}.n"), F.col(f"{x}.{c}")).when(F.col(f"{x}.n") > F.col(f"{y}.n"), F.col(f"{y}.{c}")).otherwise(F.greatest(f"{x}.{c}", f"{y}.{c}"))
+    short = lambda c: F.when(x["n"] < y["n"], x[c]).when(x["n"] > y["n"], y[c]).otherwise(F.greatest(x[c], y[c]))
     k = edit_bound(short("n"))
-    fits = (short("piece") == 1) & (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= k)
-    return fits & (F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= 2 * k)
+    return (short("piece") == 1) & (F.abs(x["n"] - y["n"]) <= k) & (_apart(x, y) <= 2 * k)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    return F.bit_count(x["parity"].bitwiseXOR(y["parity"]))
 
 
 def _words_at(rows: DataFrame, places: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -225,8 +231,12 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
     if "far" in first.columns:
         members = _far_members(rows, first, scratch)
         scratch.drop("keys")
-        led = members.filter("x.at <> leader.at").filter(_may_be_near("x", "leader"))
-        led = scratch.save(led.select("x.at", F.col("leader.at").alias("other")).distinct(), "led")
+        # of the leaders of all keys of a line the one whose words are most like its own
+        x = F.col("x")
+        likely = F.filter("leaders", lambda y: (y["at"] < x["at"]) & _may_be_near(x, y))
+        best = F.array_min(F.transform(likely, lambda y: F.struct(_apart(x, y).alias("apart"), y["at"].alias("at"))))
+        led = members.select("x.at", best.alias("best")).filter("best IS NOT NULL").groupBy("at").agg(F.min("best").alias("best"))
+        led = scratch.save(led.select("at", F.col("best.at").alias("other")), "led")
         scratch.tidy()
         shared = shared.unionByName(_places(led)).distinct()
     # the words of those lines, from the document where each occurs first
@@ -252,12 +262,12 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
     right = texts.select(F.col("at").alias("other"), F.col("w").alias("y"))
     checked = pairs.hint("merge").join(left, "at").join(right.hint("merge"), "other").filter(within_one_edit(F.col("x"), F.col("y"))).select("at").distinct()
     if members is not None:
-        # most lines are near the earliest one of a key; only those that aren't are set against the others before them
+        # most lines are near that leader; only those that aren't are set against the others before them
         checked = scratch.save(checked.unionByName(_verified(led, texts)).distinct(), "near1")
         scratch.drop("words")
         rest = members.join(checked.hint("merge"), F.col("x.at") == checked["at"], "left_anti").select("key", "x")
-        other = members.select("key", F.col("x").alias("y"), "leader")
-        rest = rest.join(other.hint("merge"), "key").filter("y.at < x.at AND y.at <> leader.at").filter(_may_be_near("x", "y"))
+        other = members.select("key", F.col("x").alias("y"))
+        rest = rest.join(other.hint("merge"), "key").filter("y.at < x.at").filter(_may_be_near(F.col("x"), F.col("y")))
         rest = scratch.save(rest.select("x.at", F.col("y.at").alias("other")).distinct(), "rest")
         scratch.tidy()
         checked = checked.unionByName(_verified(rest, _words_at(rows, _places(rest), scratch, "more")))
