@@ -11,20 +11,21 @@ half with another line emit variants; this loses no pair. In a group of equal va
 earliest one only, a window minimum, so a large group costs as many rows as it has lines, never its pairs.
 
 With whole=True the bound grows with the line, one edit from NEAR_WORDS words and one for every ten from FAR_WORDS, the
-shorter line counting. Pairs more
-than one edit apart are found by pigeonhole: of the first k + 1 pieces of PIECE words of the shorter line one stands
-unchanged in the longer one, moved by k words at most. A line is first set against the earliest line that it shares such
-a piece with; only where that one isn't within the bound it is set against the others before it, by lengths and a
-signature of their words.
+shorter line counting. Lines of FAR_WORDS words and more meet by their rarest grams, two neighbouring words each: k edits
+change at most 2 k of the grams of a line, so two lines within k edits share one of the 2 k + 1 that come first in either,
+in any order of all grams. Grams that a sample shows to be frequent come last, so that common phrases bring few lines
+together; the order changes no result. A line is first set against the earliest line that it shares a key with; only
+where that one isn't within the bound it is set against the others before it, by lengths and a signature of their words.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACE_CLASS, Scratch, documents
+from .common import NULL_ID, SPACE_CLASS, Scratch, documents, slices, text_bytes
 
 #: fewer words: only equal lines count, as one edit is too much of the line
 NEAR_WORDS = 5
@@ -32,8 +33,8 @@ NEAR_WORDS = 5
 MAX_EDITS = 1
 #: with whole=True: from so many words on, more than one edit is within the bound
 FAR_WORDS = 20
-#: words of a piece; FAR_WORDS and more words have more pieces than edits
-PIECE = 6
+#: texts, about, and buckets of hashes, from which the order of grams is taken
+SAMPLE_TEXTS, BUCKET_BITS = 4096, 18
 
 
 def _words(line: Column) -> Column:
@@ -63,26 +64,105 @@ def edit_bound(n):
     return F.when(n < NEAR_WORDS, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 10))).cast("int")
 
 
-def _parity(words: Column) -> Column:
-    """64 bits, one flipped by each word: an edit changes two of them at most."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(w, F.lit(64)).cast("int"))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
-
-
-def _short_id(a: Column) -> Column:
-    """An even number of 32 bits from the first half of a line's id; two lines that share it are only compared more."""
-    return F.hash(a).bitwiseAND(F.lit(-2))
-
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits mixed."""
+    for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(33))
+
+
+_powers: dict[str, np.ndarray] = {}
+
+
+def _powers_to(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to size of an odd number and of its inverse, modulo 2^64."""
+    if len(_powers.get("up", ())) <= size:
+        base = 0x9E3779B97F4A7C15
+        for name, x in (("up", base), ("down", pow(base, -1, 1 << 64))):
+            _powers[name] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(size, 1 << 20), x, np.uint64)]), dtype=np.uint64)
+    return _powers["up"], _powers["down"]
+
+
+def _far_lines(column: pa.Array):
+    """Of the lines of FAR_WORDS words or more of some texts: (text, place, words, signatures), and (line, gram) of each
+    different pair of neighbouring words, as numbers. A signature flips a bit for each word."""
+    data, offsets = text_bytes(column)
+    space = np.concatenate([(data == 32) | ((data >= 9) & (data <= 13)), [True]])
+    edge = np.zeros(len(space), bool)
+    edge[offsets] = True
+    before = np.concatenate([[True], space[:-1]])
+    begin = np.flatnonzero(~space & (before | edge))
+    end = np.flatnonzero(~space[:-1] & (space[1:] | edge[1:])) + 1
+    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    text = np.searchsorted(offsets, begin, side="right") - 1
+    place = breaks[begin] - breaks[offsets[text]]
+    starts = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] != place[:-1])])) if len(begin) else begin
+    n = np.diff(np.append(starts, len(begin)))
+    up, down = _powers_to(len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
+    words = _mixed((sums[end] - sums[begin]) * down[begin])
+    long = n >= FAR_WORDS
+    words, text, place, n = words[np.repeat(long, n)], text[starts[long]], place[starts[long]], n[long]
+    starts = np.cumsum(n) - n
+    line = np.repeat(np.arange(len(n)), n)
+    bit, half = np.uint64(1) << (words & np.uint64(63)), (words >> np.uint64(6)) & np.uint64(1)
+    signs = [np.bitwise_xor.reduceat(np.where(half == h, bit, np.uint64(0)), starts).view(np.int64) if len(n) else starts for h in (0, 1)]
+    grams = _mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+    inner = line[1:] == line[:-1]
+    line, grams = line[:-1][inner], grams[inner]
+    order = np.lexsort((grams, line))
+    line, grams = line[order], grams[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (grams[1:] != grams[:-1])
+    return (text, place, n, signs), (line[new], grams[new])
+
+
+def _buckets(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _gram_counts(rows: DataFrame) -> np.ndarray:
+    """How often grams occur in about SAMPLE_TEXTS texts, by buckets of grams. Gives an order only, never a result."""
+    share = SAMPLE_TEXTS / max(1, rows.count())
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, (_, grams) = _far_lines(part.column("text"))
+                bucket, n = np.unique(_buckets(grams), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], ["bucket", "n"])
+
+    sample = rows.filter(F.pmod("__k", F.lit(1_000_000)) < share * 1_000_000).select("text")
+    found = sample.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").cast("int").alias("n")).toArrow()
+    counts = np.zeros(1 << BUCKET_BITS, np.int32)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def _keyed_lines(rows: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(d, k, pos, n, s0, s1, keys) of each line of FAR_WORDS words or more.
+
+    keys are its 2 k + 1 rarest grams. Each of k edits changes two grams at most, so the rarest gram that two lines
+    within k edits share has at most 2 k others before it in either, in whatever order all lines' grams are put.
+    """
 
-def _far_keys(words: Column, n: Column) -> Column:
-    """Hashes of windows of a line with, as lowest bit beside the line's short id, whether the window is a piece."""
-    k = edit_bound(n)
-    # a piece moves by k / 2 words to the front at most, as the other line is not shorter, and by k to the back
-    back = F.floor(k / 2).cast("int")
-    at = F.filter(F.sequence(F.lit(0), F.least(n - PIECE, k * (PIECE + 1))), lambda p: (p + back) % PIECE <= k + back)
-    is_piece = lambda p: F.when((p % PIECE == 0) & (p <= k * PIECE), 1).otherwise(0)
-    lid = _short_id(F.xxhash64(words))
-    return F.array_distinct(F.transform(at, lambda p: F.struct(F.hash(F.slice(words, p + 1, PIECE)).alias("key"), (lid + is_piece(p)).alias("lid"))))
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                (text, place, n, signs), (line, grams) = _far_lines(part.column("text"))
+                order = np.lexsort((grams, counts[_buckets(grams)], line))
+                line, grams = line[order], grams[order]
+                size = np.bincount(line, minlength=len(n))
+                at = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+                first = at <= 2 * np.maximum(n // 10, 1)[line]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(line[first], minlength=len(n)))])
+                keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams[first].view(np.int64), pa.int64()))
+                docs = part.select(["d", "k"]).take(pa.array(text, pa.int64()))
+                columns = [pa.array(place, pa.int32()), pa.array(n, pa.int32()), *[pa.array(s, pa.int64()) for s in signs], keys]
+                yield pa.RecordBatch.from_arrays([*docs.columns, *columns], ["d", "k", "pos", "n", "s0", "s1", "keys"])
+
+    texts = rows.select(F.col("__d").alias("d"), F.col("__k").alias("k"), "text")
+    return texts.mapInArrow(run, "d bigint, k bigint, pos int, n int, s0 long, s1 long, keys array<long>")
 
 
 def word_edits(a: list, b: list, bound: int) -> int:
@@ -139,12 +219,14 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_
     words = F.transform(F.split("text", "\n", -1), _words)
     lines = rows.select("__d", "__k", F.posexplode_outer(words).alias("pos", "w")).withColumn("n", F.size("w"))
     lines = lines.filter(F.col("n") >= 1)
-    far = [F.when(F.col("n") >= FAR_WORDS, F.struct("n", _parity(F.col("w")).alias("parity"))).alias("far")] if whole and max_edits else []
+    far = [F.col("n").alias("n_words")] if whole and max_edits else []
+    # with whole=True two lines of FAR_WORDS words or more meet by their grams; a shorter one meets none over FAR_WORDS
+    halved = (F.col("n") >= NEAR_WORDS) & (F.col("n") <= FAR_WORDS) if far else F.col("n") >= NEAR_WORDS
     lines = lines.select(
         F.col("__d").alias("d"), F.col("__k").alias("k"), "pos", _line_id(F.col("w")).alias("id"),
-        F.when(F.col("n") >= NEAR_WORDS, _halves(F.col("w"), F.col("n"))).alias("halves"), *far,
+        F.when(halved, _halves(F.col("w"), F.col("n"))).alias("halves"), *far,
     )
-    lines = scratch.save(lines.select("d", "k", "pos", "id.a", "id.b", "halves", *["far"] * len(far)), "lines")
+    lines = scratch.save(lines.select("d", "k", "pos", "id.a", "id.b", "halves", *["n_words"] * len(far)), "lines")
     place = F.struct("d", "k", "pos")
     first = lines.groupBy("a", "b").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in lines.columns[5:]])
     first = scratch.save(first, "first")
@@ -156,7 +238,7 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_
         near = near.select("a", "b", F.lit(True).alias("is_near"))
         some = first.join(near.hint("merge"), ["a", "b"], "left").filter("n > 1 OR is_near").select("a", "b", "at", F.coalesce("is_near", F.lit(False)).alias("near"))
     some = scratch.save(some, "some")
-    drops = lines.drop("halves", "far").join(some.hint("merge"), ["a", "b"]).filter(F.col("near") | (place != F.col("at")))
+    drops = lines.drop("halves", "n_words").join(some.hint("merge"), ["a", "b"]).filter(F.col("near") | (place != F.col("at")))
     drops = drops.select("d", "k", "pos", "near").distinct().groupBy("d", "k").agg(F.collect_list(F.struct("pos", "near")).alias("drops"))
     drops = scratch.save(drops, "drops")
     scratch.drop("lines", "first", "some")
@@ -164,26 +246,26 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_
 
 
 def _far_members(rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, x, leader): lines of FAR_WORDS words or more that share a key, and the earliest line of the key, both as
-    (at, n, parity, piece)."""
-    words = rows.select(F.explode_outer(F.transform(F.split("text", "\n", -1), _words)).alias("w")).withColumn("n", F.size("w"))
-    keys = words.filter(F.col("n") >= FAR_WORDS).select(F.explode_outer(_far_keys(F.col("w"), F.col("n"))).alias("x")).select("x.*")
-    # keys of one line only, or of no piece, are dropped before the lines' places are joined
-    group, line, piece = Window.partitionBy("key"), F.col("lid").bitwiseAND(F.lit(-2)), F.col("lid").bitwiseAND(F.lit(1))
-    keys = keys.withColumns({"low": F.min(line).over(group), "high": F.max(line).over(group), "pieces": F.max(piece).over(group)})
-    keys = keys.filter("low <> high AND pieces = 1").groupBy("key", line.alias("line")).agg(F.max(piece).alias("piece"))
+    """(key, x, leader): different lines of FAR_WORDS words or more that share a key, and the earliest line of the key,
+    both as (at, n, s0, s1, prev); prev is the line's key before this one."""
+    places = first.filter(F.col("n_words") >= FAR_WORDS).select("at.d", "at.k", "at.pos")
+    lines = _keyed_lines(rows, _gram_counts(rows)).join(places.hint("merge"), ["d", "k", "pos"]).dropDuplicates(["d", "k", "pos"])
+    lines = scratch.save(lines.withColumn("line", F.xxhash64("d", "k", "pos")), "far")
+    keys = lines.select("line", F.explode(F.arrays_zip("keys", F.concat(F.array(F.lit(0).cast("long")), F.slice("keys", 1, F.size("keys") - 1)).alias("before"))).alias("x"))
+    keys = keys.select("line", F.col("x.keys").alias("key"), F.col("x.before").alias("prev"))
+    # keys of one line only are dropped before the lines' places are joined
+    keys = keys.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("lines > 1").drop("lines")
     keys = scratch.save(keys, "keys")
-    far = first.filter("far IS NOT NULL").select(_short_id(F.col("a")).alias("line"), "at", "far.*")
-    far = keys.join(far.hint("merge"), "line").select("key", F.struct("at", "n", "parity", "piece").alias("x"))
+    info = lines.select("line", F.struct("d", "k", "pos").alias("at"), "n", "s0", "s1")
+    far = keys.join(info.hint("merge"), "line").select("key", F.struct("at", "n", "s0", "s1", "prev").alias("x"))
     return scratch.save(far.withColumn("leader", F.min("x").over(Window.partitionBy("key"))), "members")
 
 
 def _may_be_near(x: str, y: str) -> Column:
-    """Whether two lines that share a key may be within the bound: by their lengths, words and the shorter one's piece."""
-    short = lambda c: F.when(F.col(f"{x}.n") < F.col(f"{y}.n"), F.col(f"{x}.{c}")).when(F.col(f"{x}.n") > F.col(f"{y}.n"), F.col(f"{y}.{c}")).otherwise(F.greatest(f"{x}.{c}", f"{y}.{c}"))
-    k = edit_bound(short("n"))
-    fits = (short("piece") == 1) & (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= k)
-    return fits & (F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= 2 * k)
+    """Whether two lines that share a key may be within the bound, by their lengths and signatures."""
+    k = edit_bound(F.least(f"{x}.n", f"{y}.n"))
+    apart = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("s0", "s1")), F.lit(0))
+    return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= k) & (apart <= 2 * k)
 
 
 def _words_at(rows: DataFrame, places: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -208,11 +290,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_within_bound, "d bigint, k bigint, pos int").select(F.struct("d", "k", "pos").alias("at")).distinct()
 
 
+def _may_be_within(a: list, b: list, bound: int) -> bool:
+    """False where words or grams tell that two lines are further apart: an edit takes one word and two grams at most."""
+    if len(set(a).difference(b)) > bound or len(set(b).difference(a)) > bound:
+        return False
+    x, y = set(zip(a, a[1:])), set(zip(b, b[1:]))
+    return len(x - y) <= 2 * bound and len(y - x) <= 2 * bound
+
+
 def _within_bound(batches):
     for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
         x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
         bounds = [edit_bound(min(len(a), len(b))) for a, b in zip(x, y)]
-        near = pa.array([word_edits(a, b, k) <= k for a, b, k in zip(x, y, bounds)], pa.bool_())
+        near = [_may_be_within(a, b, k) and word_edits(a, b, k) <= k for a, b, k in zip(x, y, bounds)]
+        near = pa.array(near, pa.bool_())
         yield batch.select(["d", "k", "pos"]).filter(near)
 
 
@@ -222,9 +313,9 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
     shared = halves.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("half"))).filter("m > 1")
     shared = shared.select("at.d", "at.k", "at.pos").distinct()
     members = led = None
-    if "far" in first.columns:
+    if "n_words" in first.columns:
         members = _far_members(rows, first, scratch)
-        scratch.drop("keys")
+        scratch.drop("keys", "far")
         led = members.filter("x.at <> leader.at").filter(_may_be_near("x", "leader"))
         led = scratch.save(led.select("x.at", F.col("leader.at").alias("other")).distinct(), "led")
         scratch.tidy()
@@ -237,7 +328,8 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
         F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.xxhash64(F.concat(F.slice("w", 1, i - 1), F.slice("w", i + 1, F.size("w"))))),
     )
     # place 0: the line itself; place i: without word i
-    emitted = texts.select("at", F.posexplode_outer(variants).alias("i", "variant"))
+    short = texts if members is None else texts.filter(F.size("w") <= FAR_WORDS)
+    emitted = short.select("at", F.posexplode_outer(variants).alias("i", "variant"))
     group, deleted = Window.partitionBy("variant"), Window.partitionBy("variant", "i")
     emitted = emitted.select(
         "at", "i",
@@ -252,12 +344,13 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
     right = texts.select(F.col("at").alias("other"), F.col("w").alias("y"))
     checked = pairs.hint("merge").join(left, "at").join(right.hint("merge"), "other").filter(within_one_edit(F.col("x"), F.col("y"))).select("at").distinct()
     if members is not None:
-        # most lines are near the earliest one of a key; only those that aren't are set against the others before them
+        # most lines are near the earliest one of a key; only those that aren't are set against the others before them,
+        # at the first of keys that follow each other in both lines
         checked = scratch.save(checked.unionByName(_verified(led, texts)).distinct(), "near1")
         scratch.drop("words")
         rest = members.join(checked.hint("merge"), F.col("x.at") == checked["at"], "left_anti").select("key", "x")
         other = members.select("key", F.col("x").alias("y"), "leader")
-        rest = rest.join(other.hint("merge"), "key").filter("y.at < x.at AND y.at <> leader.at").filter(_may_be_near("x", "y"))
+        rest = rest.join(other.hint("merge"), "key").filter("y.at < x.at AND y.at <> leader.at").filter("x.prev = 0 OR x.prev <> y.prev").filter(_may_be_near("x", "y"))
         rest = scratch.save(rest.select("x.at", F.col("y.at").alias("other")).distinct(), "rest")
         scratch.tidy()
         checked = checked.unionByName(_verified(rest, _words_at(rows, _places(rest), scratch, "more")))

@@ -64,3 +64,23 @@ def test_word_edits():
         a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 9))] for _ in range(2))
         for k in (0, 1, 3, 9):
             assert line_dedup.word_edits(a, b, k) == min(distance(a, b), k + 1)
+
+
+def test_lines_within_the_bound_share_a_key_in_any_order_of_grams(spark):
+    """Keys are few, 2 k + 1 a line, and cover every pair; before, a line had nearly a key a word."""
+    import numpy as np
+
+    rows = texts() + ["é x\n" + " ".join(["x"] * 25), "", "\n" + " ".join(["x"] * 27) + "\t\n"]
+    docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(rows)), "text": rows}))
+    counts = np.random.default_rng(2).integers(0, 50, 1 << line_dedup.BUCKET_BITS).astype(np.int32)
+    got = line_dedup._keyed_lines(line_dedup.keyed_documents(docs), counts).toPandas()
+    split = lambda line: re.findall(r"[^\x20\x09-\x0D]+", line)
+    lines = {(d, i): split(line) for d, t in enumerate(rows) for i, line in enumerate(t.split("\n")) if len(split(line)) >= 20}
+    keys = {(r.d, r.pos): set(r["keys"]) for _, r in got.iterrows()}
+    assert {(r.d, r.pos): r.n for r in got.itertuples()} == {at: len(w) for at, w in lines.items()}
+    assert all(1 <= len(keys[at]) <= 2 * (len(w) // 10) + 1 for at, w in lines.items())
+    for at, w in lines.items():
+        for other, o in lines.items():
+            if distance(w, o) <= bound(min(len(w), len(o))):
+                assert keys[at] & keys[other]
+                assert line_dedup._may_be_within(w, o, bound(min(len(w), len(o))))
