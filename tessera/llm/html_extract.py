@@ -1,8 +1,9 @@
 """Main-text extraction from HTML by inferred wrappers.
 
-For each host some pages are read as streams of tags and texts. Repeated neighbours are folded into repeated groups,
-and the streams are aligned one after the other: what differs in texts becomes a text slot, what only one side has
-becomes an optional group. The result is a union-free regular expression, the host's wrapper. Its repeated groups of
+All pages of a host are read as streams of tags and texts. Repeated neighbours are folded into repeated groups, pages
+of one structure become one stream whose differing texts are slots, and those streams are aligned, in the order of
+hashes of their structures: what differs in texts becomes a text slot, what only one side has becomes an optional
+group. The result is a union-free regular expression, the host's wrapper, whatever the order or partitions of the pages. Its repeated groups of
 containers with several slots each, behind the first block of text, are threads of reader comments, and the container
 with most of its slots is the content where a page marks none itself.
 
@@ -16,9 +17,12 @@ name, role, or a whole class name of PARTS.
 from __future__ import annotations
 
 import html
+import pickle
 import re
 from bisect import bisect_left
+from collections.abc import Iterable
 from hashlib import blake2b
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-#: pages that a wrapper's groups are inferred from, at most; those with the smallest hashes
-SAMPLE_PAGES = 8
+#: parts that the structures of a host are dealt to; each is aligned by itself, then the parts, so large hosts are spread
+PARTS_OF_HOST = 64
+#: nodes of different structures that a task holds before it hands them on
+HELD_NODES = 100_000
 #: different pages that must agree before a text inside an article counts as fixed
 AGREE = 3
 #: hosts whose wrappers are broadcast; above, pages and wrappers are joined on host and salt
@@ -224,18 +230,29 @@ class Page:
 
 
 # wrappers -------------------------------------------------------------------------------------------------------------
-# nodes: ("tag", token), ("text", text or None for a slot), ("opt", nodes), ("rep", nodes)
+# nodes: ("tag", token, place), ("text", hash of the text or None for a slot), ("opt", nodes), ("rep", nodes); a place is
+# what a text behind the tag stands in: (element, key of the container, whether in a part)
 
 
 def stream(page: str) -> list[tuple]:
     """Nodes of a page: tags, and texts that are not only white space."""
-    out = []
+    out, stack, count = [], [("#root", 0, False)], {}
     for what, name, names in tokens(page):
         if what == "text":
             if text := " ".join(name.split()):
-                out.append(("text", text))
-        else:
-            out.append(("tag", f"{what} {name} {names}".strip()))
+                out.append(("text", text_key(text)))
+            continue
+        if what == "close":
+            if count.get(name):
+                while (last := stack.pop()[0].split()[0]) != name:
+                    count[last] -= 1
+                count[name] -= 1
+        elif name not in VOID:
+            label, (_, key, part) = f"{name} {names}".strip(), stack[-1]
+            inner = name in CONTAINER or is_part(name, names)
+            stack.append((label, key_of(key, f"{name} {names}") if inner else key, part or is_part(name, names)))
+            count[name] = count.get(name, 0) + 1
+        out.append(("tag", f"{what} {name} {names}".strip(), stack[-1]))
     return fold(out)
 
 
@@ -248,12 +265,13 @@ def _key(node: tuple):
 def fold(nodes: list[tuple], longest: int = 12) -> list[tuple]:
     """Units of up to `longest` nodes that follow themselves become a repeated group, shorter units first."""
     for size in range(1, longest + 1):
-        out, i, keys = [], 0, [_key(x) for x in nodes]
+        numbers: dict = {}
+        out, i, keys = [], 0, [numbers.setdefault(_key(x), len(numbers)) for x in nodes]
         while i < len(nodes):
             n = 1
             while keys[i : i + size] == keys[i + n * size : i + (n + 1) * size] and len(keys[i : i + size]) == size:
                 n += 1
-            if n > 1 and keys[i] != ("text",):
+            if n > 1 and nodes[i][0] != "text":
                 unit = nodes[i : i + size]
                 for k in range(1, n):
                     unit = [_meet(a, b) for a, b in zip(unit, nodes[i + k * size : i + (k + 1) * size])]
@@ -309,29 +327,85 @@ def matches(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
+def _place(node: tuple, before: tuple | None) -> tuple | None:
+    """What a text behind a node stands in."""
+    if node[0] == "tag":
+        return node[2]
+    for x in reversed(node[1] if node[0] != "text" else ()):
+        if x[0] != "text":
+            return _place(x, before)
+    return before
+
+
+def _names(nodes: list[tuple]) -> list[tuple]:
+    """Keys of nodes by which they are aligned, those of texts with what they stand in."""
+    out, place = [], None
+    for x in nodes:
+        out.append(("text", place) if x[0] == "text" else _key(x))
+        place = _place(x, place)
+    return out
+
+
 def align(wrapper: list[tuple], page: list[tuple]) -> list[tuple]:
-    """The wrapper generalised to a page: mismatches become slots, repeated or optional groups."""
-    bare = [x[1][0] if x[0] == "opt" and len(x[1]) == 1 else x for x in wrapper]
+    """The wrapper generalised to a page or to another wrapper: mismatches become slots, repeated or optional groups."""
+    bare, other = ([x[1][0] if x[0] == "opt" else x for x in side] for side in (wrapper, page))
+    keys, others = _names(bare), _names(other)
     out, i, j = [], 0, 0
-    for k, m in [*matches([_key(x) for x in bare], [_key(x) for x in page]), (len(wrapper), len(page))]:
-        for side in (wrapper[i:k], page[j:m]):
-            side = [x for x in side if not (out and out[-1][0] == "rep" and [_key(y) for y in out[-1][1]] == [_key(x)])]
-            out += [x if x[0] == "opt" else ("opt", [x]) for x in side]
+    for k, m in [*matches(keys, others), (len(wrapper), len(page))]:
+        for side, names in ((wrapper[i:k], keys[i:k]), (page[j:m], others[j:m])):
+            unit = [_key(y) for y in out[-1][1]] if out and out[-1][0] == "rep" else None
+            out += [x if x[0] == "opt" else ("opt", [x]) for x, name in zip(side, names) if unit != [name]]
         if k < len(wrapper):
-            met = _meet(bare[k], page[m])
-            out.append(("opt", [met]) if wrapper[k][0] == "opt" and bare[k] is not wrapper[k] else met)
+            met = _meet(bare[k], other[m])
+            out.append(("opt", [met]) if "opt" in (wrapper[k][0], page[m][0]) else met)
         i, j = k + 1, m + 1
     return out
 
 
-def infer(pages: list[str]) -> list[tuple]:
-    """Wrapper of some pages of a host, taken in turn."""
-    wrapper: list[tuple] = []
-    for k, page in enumerate(pages):
-        wrapper = align(wrapper, stream(page)) if k else stream(page)
+def structure(nodes: list[tuple]) -> bytes:
+    """Hash of a stream without its texts."""
+    return blake2b(repr([_key(x) for x in nodes]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def meet(a: list[tuple], b: list[tuple]) -> list[tuple]:
+    """One stream for two of one structure; in whatever order some are taken, the result is the same."""
+    return [_meet(x, y) for x, y in zip(a, b)]
+
+
+def part_of(key: bytes) -> int:
+    """Part of its host that a structure is in; rises with the structure."""
+    return key[0] * PARTS_OF_HOST // 256
+
+
+def align_all(wrappers: Iterable[list[tuple]]) -> list[tuple]:
+    """Wrapper of some in turn. Those made of about as many are aligned with each other, so what all of them have is read
+    again but as often as the logarithm of their number."""
+    made: list[tuple[int, list[tuple]]] = []
+    for wrapper in wrappers:
+        n = 1
+        while made and made[-1][0] <= n:
+            m, before = made.pop()
+            n, wrapper = n + m, align(before, wrapper)
+        made.append((n, wrapper))
+    wrapper = made.pop()[1] if made else []
+    while made:
+        wrapper = align(made.pop()[1], wrapper)
     return wrapper
 
 
+def infer(pages: Iterable[str]) -> list[tuple]:
+    """Wrapper of all pages of a host, in any order."""
+    found: dict[bytes, list[tuple]] = {}
+    for page in pages:
+        nodes = stream(page)
+        key = structure(nodes)
+        found[key] = meet(found[key], nodes) if key in found else nodes
+    parts: dict[int, list] = {}
+    for key in sorted(found):
+        parts.setdefault(part_of(key), []).append(found[key])
+    return align_all(align_all(p) for p in parts.values())
+
+
 def groups(wrapper: list[tuple]) -> tuple[list[int], list[int]]:
     """(threads, content): keys of the containers of a wrapper that repeat as reader comments do, and of its content.
 
@@ -339,18 +413,20 @@ def groups(wrapper: list[tuple]) -> tuple[list[int], list[int]]:
     element with a class of its own (or time, cite) and another one under a block. The content is the container that
     most slots of blocks stand in directly, threads left out; a slot of a repeated group counts twice.
     """
-    threads, slots, stack = set(), {}, [("#root", 0, False)]  # open elements, the key of their container, whether in a part
-    state = {"text": False}
+    threads: set[int] = set()
+    slots: list[tuple[int, int]] = []  # container and times of each slot of a block
+    state = {"place": ("#root", 0, False), "text": False}
 
     def slot(unit):
-        element, key, out = stack[-1]
+        element, key, out = state["place"]
         if out:
             return
-        state["text"] = state["text"] or element.split()[0] in BLOCK
+        block = element.split()[0] in BLOCK
+        state["text"] = state["text"] or block
         if unit is not None:
-            unit.add((" " in element or element in ("time", "cite"), element.split()[0] in BLOCK))
-        if element.split()[0] in BLOCK:
-            slots[key] = slots.get(key, 0) + (1 if unit is None else 2)
+            unit.add((" " in element or element in ("time", "cite"), block))
+        if block:
+            slots.append((key, 1 if unit is None else 2))
 
     def walk(nodes, unit):
         for x in nodes:
@@ -358,57 +434,104 @@ def groups(wrapper: list[tuple]) -> tuple[list[int], list[int]]:
                 if x[1] is None:
                     slot(unit)
             elif x[0] == "tag":
-                what, _, label = x[1].partition(" ")
-                name, _, names = label.partition(" ")
-                if what == "close":
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0].split()[0] == name:
-                            del stack[i:]
-                            break
-                elif name not in VOID:
-                    inner = name in CONTAINER or is_part(name, names)
-                    out = stack[-1][2] or is_part(name, names)
-                    stack.append((label, key_of(stack[-1][1], f"{name} {names}") if inner else stack[-1][1], out))
+                state["place"] = x[2]
             elif x[0] == "opt":
                 walk(x[1], unit)
             else:
-                first = x[1][0][1].split() if x[1] and x[1][0][0] == "tag" else ["", ""]
-                names = " ".join(first[2:])
-                behind, depth, own, before = state["text"], len(stack), set(), dict(slots)
+                first = x[1][0][1].split() if x[1][0][0] == "tag" else ["", ""]
+                behind, own, before = state["text"], set(), len(slots)
                 walk(x[1], own)
-                del stack[max(depth, 1) :]
                 if unit is not None:
                     unit |= own
                 told = any(named for named, _ in own) and any(block and not named for named, block in own) and len(own) > 1
-                if behind and told and first[0] == "open" and first[1] in CONTAINER and names:
-                    threads.add(key_of(stack[-1][1], f"{first[1]} {names}"))
-                    slots.clear()
-                    slots.update(before)
+                if behind and told and first[0] == "open" and first[1] in CONTAINER and first[2:]:
+                    threads.add(x[1][0][2][1])
+                    del slots[before:]
 
     walk(wrapper, None)
-    best = max(slots.items(), key=lambda x: (x[1], x[0]), default=None)
+    sizes: dict[int, int] = {}
+    for key, n in slots:
+        sizes[key] = sizes.get(key, 0) + n
+    best = max(sizes.items(), key=lambda x: (x[1], x[0]), default=None)
     return sorted(threads), [best[0]] if best and best[0] else []
 
 
 # Spark ----------------------------------------------------------------------------------------------------------------
 
 
-def infer_wrappers(spark: SparkSession, pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, threads, content): groups of each host's wrapper, inferred from at most SAMPLE_PAGES of its pages."""
-    keys = pages.select("host", F.xxhash64("page_id", "url", "html").alias("h"))
-    keys = keys.groupBy("host", F.pmod("h", F.lit(SAMPLE_PAGES)).alias("slot")).agg(F.min("h").alias("h"))
-    keys = scratch.save(keys.select("host", "h"), "sample")
-    small = keys.count() <= SAMPLE_PAGES * BROADCAST_HOSTS
-    sample = pages.withColumn("h", F.xxhash64("page_id", "url", "html")).join(F.broadcast(keys) if small else keys, ["host", "h"])
-    sample = sample.select("host", "h", "html").dropDuplicates(["host", "h"])
+def _streams(batches):
+    """(host, part, structure, nodes, low, high): streams of pages, those of one structure met; the least and the largest
+    hash of their pages."""
+    found: dict[tuple[str, bytes], list] = {}
+    held = 0
+    for batch in batches:
+        for host, h, page in zip(batch.column("host").to_pylist(), batch.column("h").to_pylist(), batch.column("html")):
+            nodes = stream(page.as_py() or "")
+            key = host, structure(nodes)
+            if key in found:
+                before, low, high = found[key]
+                found[key] = [meet(before, nodes), min(low, h), max(high, h)]
+                continue
+            found[key] = [nodes, h, h]
+            held += 1 + len(nodes)
+            if held > HELD_NODES:
+                yield from _rows((host, part_of(k), k, *x) for (host, k), x in found.items())
+                found, held = {}, 0
+    yield from _rows((host, part_of(k), k, *x) for (host, k), x in found.items())
+
+
+_STREAMS = "host string, part int, structure binary, nodes binary, low long, high long"
+_TYPES = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+
+
+def _rows(rows, size: int = 64):
+    """Batches of rows(host, part, structure, nodes, low, high)."""
+    rows = [(*x[:3], pickle.dumps(x[3]), *x[4:]) for x in rows]
+    for at in range(0, len(rows), size):
+        columns = zip(*rows[at : at + size])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], [x.split()[0] for x in _STREAMS.split(", ")])
+
+
+def _sorted_rows(batches):
+    for batch in batches:
+        for row in zip(*(batch.column(c) for c in ("host", "part", "structure", "nodes", "low", "high"))):
+            host, part, key, nodes, low, high = (x.as_py() for x in row)
+            yield host, part, key, pickle.loads(nodes), low, high
+
+
+def _part_wrappers(batches):
+    """Wrapper of each part of a host, from streams in the order of their structures; equal structures are met."""
+    for (host, part), rows in groupby(_sorted_rows(batches), key=lambda x: x[:2]):
+        seen: list[int] = []  # the least and the largest hash so far
+
+        def streams(rows=rows, seen=seen):
+            for _, same in groupby(rows, key=lambda x: x[2]):
+                nodes = None
+                for *_, more, low, high in same:
+                    nodes = meet(nodes, more) if nodes is not None else more
+                    seen[:] = min([low, *seen]), max([high, *seen])
+                yield nodes
+
+        wrapper = align_all(streams())
+        yield from _rows([(host, part, b"", wrapper, *seen)])
+
 
-    def learn(frame):
-        import pandas as pd
+def _host_groups(batches):
+    """(host, threads, content) of each host, from the wrappers of its parts in their order."""
+    for host, rows in groupby(_sorted_rows(batches), key=lambda x: x[0]):
+        rows = list(rows)
+        threads, content = groups(align_all(x[3] for x in rows))
+        one_page = min(x[4] for x in rows) == max(x[5] for x in rows)
+        learnt = [pa.array([threads], pa.list_(pa.int64())), pa.array([[] if one_page else content], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), *learnt], ["host", "threads", "content"])
 
-        threads, content = groups(infer([h or "" for h in frame.sort_values("h")["html"]]))
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "threads": [threads], "content": [content if len(frame) > 1 else []]})
 
-    return sample.groupBy("host").applyInPandas(learn, "host string, threads array<long>, content array<long>")
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """(host, threads, content): groups of each host's wrapper, inferred from all its pages; content from two pages on."""
+    streams = pages.select("host", F.xxhash64("page_id", "url", "html").alias("h"), "html").mapInArrow(_streams, _STREAMS)
+    parts = streams.repartition("host", "part").sortWithinPartitions("host", "part", "structure").mapInArrow(_part_wrappers, _STREAMS)
+    parts = parts.repartition("host").sortWithinPartitions("host", "part")
+    return parts.mapInArrow(_host_groups, "host string, threads array<long>, content array<long>")
 
 
 def count_parts(pages: DataFrame) -> DataFrame:
@@ -453,7 +576,7 @@ def extract_pages(spark: SparkSession, pages: DataFrame, scratch: Scratch) -> Da
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
-    wrappers = infer_wrappers(spark, pages, scratch).join(count_parts(pages), "host", "left")
+    wrappers = infer_wrappers(pages).join(count_parts(pages), "host", "left")
     wrappers = scratch.save(wrappers, "wrappers")
     learnt = ["threads", "content", "fixed", "links"]
     if wrappers.count() <= BROADCAST_HOSTS:

@@ -305,6 +305,43 @@ def test_wrapper_finds_content_threads_and_fixed_parts(spark):
     assert got == {i: f"Head {i} one {i} two {i}" for i in range(6)}
 
 
+def replies(i, n):
+    return "".join(f'<div class="r"><b class="who">A{i}{j}</b><p>reply {i} {j}</p></div>' for j in range(n))
+
+
+def test_wrapper_is_inferred_from_every_page(spark):
+    """Only one of 60 pages shows that replies repeat, another one is laid out in its own way: all pages count."""
+    page = '<article id="%s"><h1>Head %d</h1><p>one %d</p><section class="talk">%s</section></article>'
+    for told in (11, 40):
+        pages = [page % ("x" if i == told + 1 else "a", i, i, replies(i, 3 if i in (told, told + 1) else 1)) for i in range(60)]
+        assert extract(spark, pages) == {i: f"Head {i} one {i}" for i in range(60)}
+
+
+def test_wrappers_of_hosts_are_those_of_all_pages_in_any_order(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "HELD_NODES", 20)
+    rng = random.Random(3)
+    block = lambda i: rng.choice([f"<p>a{i}</p>", f"<p>b<i>{i}</i>c</p>", f"<ul><li>d{i}</li><li>e</li></ul>", f"<h2>f{i}</h2>", "<div class=box>same</div>"])
+    body = lambda i: "".join(block(i) for _ in range(rng.randint(1, 6)))
+    hosts = {f"{h}.example": [f"<div class=c>{body(i)}</div><div class=t>{replies(i, i % 4)}</div>" for i in range(40)] for h in "ab"}
+    hosts |= {"one.example": ["<div><p>x</p></div>"], "": [None, "", "text"]}
+    rows = [(i, f"u{i}", p, host) for host, some in hosts.items() for i, p in enumerate(some)]
+    want = {host: html_extract.groups(infer(p or "" for p in some)) for host, some in hosts.items()}
+    assert want["a.example"][0] and want["a.example"][1]
+    want["one.example"] = want["one.example"][0], []
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string").repartition(parts)
+        got = html_extract.infer_wrappers(frame).collect()
+        assert {r.host: (r.threads, r.content) for r in got} == want and len(got) == len(want)
+
+
+def test_alignment_of_wrappers_keeps_optional_groups():
+    pages = ["<p>x</p>", "<p>y</p><b>z</b>", "<i>w</i><p>x</p><b>v</b>"]
+    wrapper = align(align(stream(pages[0]), stream(pages[1])), stream(pages[2]))
+    both = align(wrapper, wrapper)
+    assert both == wrapper and [x[0] for x in wrapper].count("opt") == 6
+
+
 def test_fixed_parts_need_agreeing_pages(spark):
     """Two pages, or copies of one, that share a list of their articles keep it; another text under the key stays."""
     page = "<article><p>one %s</p>%s</article>"
