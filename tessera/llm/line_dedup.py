@@ -246,8 +246,12 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_
 
 
 def _far_members(rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, x, leader): different lines of FAR_WORDS words or more that share a key, and the earliest line of the key,
-    both as (at, n, s0, s1, prev); prev is the line's key before this one."""
+    """(key, x, leader, open): different lines of FAR_WORDS words or more that share a key, as (at, n, s0, s1, prev); prev
+    is the line's key before this one. leader is the place of the earliest line of the key, where x may be near it.
+
+    open tells the lines that another line than the leader may come before or behind, so the key has three or more of
+    them and x isn't the leader. Rows that are of no use for either are left out.
+    """
     places = first.filter(F.col("n_words") >= FAR_WORDS).select("at.d", "at.k", "at.pos")
     lines = _keyed_lines(rows, _gram_counts(rows)).join(places.hint("merge"), ["d", "k", "pos"]).dropDuplicates(["d", "k", "pos"])
     lines = scratch.save(lines.withColumn("line", F.xxhash64("d", "k", "pos")), "far")
@@ -256,9 +260,13 @@ def _far_members(rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFra
     # keys of one line only are dropped before the lines' places are joined
     keys = keys.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("lines > 1").drop("lines")
     keys = scratch.save(keys, "keys")
+    scratch.tidy()
     info = lines.select("line", F.struct("d", "k", "pos").alias("at"), "n", "s0", "s1")
     far = keys.join(info.hint("merge"), "line").select("key", F.struct("at", "n", "s0", "s1", "prev").alias("x"))
-    return scratch.save(far.withColumn("leader", F.min("x").over(Window.partitionBy("key"))), "members")
+    group, later = Window.partitionBy("key"), F.col("x.at") != F.col("l.at")
+    far = far.select("key", "x", F.min("x").over(group).alias("l"), F.count(F.lit(1)).over(group).alias("lines"))
+    far = far.select("key", "x", F.when(later & _may_be_near("x", "l"), F.col("l.at")).alias("leader"), (later & (F.col("lines") > 2)).alias("open"))
+    return scratch.save(far.filter("leader IS NOT NULL OR open"), "members")
 
 
 def _may_be_near(x: str, y: str) -> Column:
@@ -316,8 +324,8 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
     if "n_words" in first.columns:
         members = _far_members(rows, first, scratch)
         scratch.drop("keys", "far")
-        led = members.filter("x.at <> leader.at").filter(_may_be_near("x", "leader"))
-        led = scratch.save(led.select("x.at", F.col("leader.at").alias("other")).distinct(), "led")
+        led = members.filter("leader IS NOT NULL").select("x.at", F.col("leader").alias("other")).distinct()
+        led = scratch.save(led, "led")
         scratch.tidy()
         shared = shared.unionByName(_places(led)).distinct()
     # the words of those lines, from the document where each occurs first
@@ -348,9 +356,11 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
         # at the first of keys that follow each other in both lines
         checked = scratch.save(checked.unionByName(_verified(led, texts)).distinct(), "near1")
         scratch.drop("words")
-        rest = members.join(checked.hint("merge"), F.col("x.at") == checked["at"], "left_anti").select("key", "x")
-        other = members.select("key", F.col("x").alias("y"), "leader")
-        rest = rest.join(other.hint("merge"), "key").filter("y.at < x.at AND y.at <> leader.at").filter("x.prev = 0 OR x.prev <> y.prev").filter(_may_be_near("x", "y"))
+        scratch.tidy()
+        members = members.filter("open").select("key", "x")
+        rest = members.join(checked.hint("merge"), F.col("x.at") == checked["at"], "left_anti")
+        other = members.select("key", F.col("x").alias("y"))
+        rest = rest.join(other.hint("merge"), "key").filter("y.at < x.at").filter("x.prev = 0 OR x.prev <> y.prev").filter(_may_be_near("x", "y"))
         rest = scratch.save(rest.select("x.at", F.col("y.at").alias("other")).distinct(), "rest")
         scratch.tidy()
         checked = checked.unionByName(_verified(rest, _words_at(rows, _places(rest), scratch, "more")))

@@ -84,3 +84,34 @@ def test_lines_within_the_bound_share_a_key_in_any_order_of_grams(spark):
             if distance(w, o) <= bound(min(len(w), len(o))):
                 assert keys[at] & keys[other]
                 assert line_dedup._may_be_within(w, o, bound(min(len(w), len(o))))
+
+
+def test_only_rows_that_are_used_are_joined_again(spark, monkeypatch):
+    """A row holds no copy of the earliest line of its key, and keys of two lines aren't joined again; no pair is lost."""
+    import numpy as np
+
+    seen, save = {}, Scratch.save
+    # any order of grams; by their counts, those that only two lines have would come first
+    monkeypatch.setattr(line_dedup, "_gram_counts", lambda rows: np.zeros(1 << line_dedup.BUCKET_BITS, np.int32))
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        if name == "members":
+            seen["rows"] = out.collect()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", saved)
+
+    def check(rows):
+        docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(rows)), "text": rows}))
+        got = line_dedup.dedup_lines(spark, docs, Scratch(spark, "lines"), whole=True).toPandas()
+        assert dict(zip(got["doc_id"], got["text"])) == kept(rows)
+        return seen["rows"], sum(not t for t in got["text"])
+
+    changed = lambda line, *at: " ".join(f"{w}x" if i in at else w for i, w in enumerate(line.split()))
+    base = [" ".join(f"{c}{i}" for i in range(29)) for c in "abcdef"]
+    two, dropped = check([f(line) for line in base for f in (str, lambda x: changed(x, 3, 20))])
+    assert two and not any(r["open"] for r in two) and all(r["leader"]["d"] < r["x"]["at"]["d"] for r in two) and dropped == 6
+    # the last of three is near the second only, and the earliest line of the keys is near neither
+    three, dropped = check([f(line) for line in base for f in (str, lambda x: changed(x, 2, 14, 27), lambda x: changed(x, 2, 8, 14, 20, 27))])
+    assert any(r["open"] for r in three) and all(r["leader"] or r["open"] for r in three) and dropped == 6
