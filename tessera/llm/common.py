@@ -129,3 +129,27 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
             break
         state = now
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, size: str | None = None, how: str = "inner", few: int = 50_000, hot: int = 200) -> DataFrame:
+    """Join (inner or left) of `rows` to `values`, whose `key` is unique, so that no task gets all rows of a frequent key.
+
+    `few` values at most are broadcast. Of more, those are whose key at least one row in `hot` has, of which there can't be
+    more than `hot`; the rest meets by a sort-merge join. size: a column of `values` with the number of rows of the key,
+    which is counted without it. Both inputs are read more than once, so they should be written tables. Null keys meet
+    nothing.
+    """
+    if values.count() <= few:
+        return rows.join(F.broadcast(values), key, how)
+    if size:
+        total = values.agg(F.sum(size)).first()[0]
+        found = values.filter(F.col(size) * hot >= total)
+    else:
+        total = rows.count()
+        sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") * hot >= total)
+        found = values.join(F.broadcast(sizes.select(key)), key, "left_semi")
+    found = found.select(key, F.struct(*[c for c in values.columns if c != key]).alias("__hot"))
+    marked = rows.join(F.broadcast(found), key, "left")
+    busy = marked.filter("__hot IS NOT NULL").select(*rows.columns, "__hot.*")
+    rest = marked.filter("__hot IS NULL").drop("__hot").join(values.hint("merge"), key, how)
+    return busy.unionByName(rest.select(*busy.columns))
