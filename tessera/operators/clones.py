@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import cut
 
 # fixed values: what a run of tokens must have to count
 DEFAULTS = {"least_tokens": 50, "least_lines": 5, "threshold_percent": 0.0, "skip_local": False}
@@ -67,9 +68,18 @@ def duplication_share(lines: DataFrame) -> DataFrame:
     return out.withColumn("percent", F.round(100 * F.col("duplicated") / F.col("lines"), 2))
 
 
-def window_hashes(words: DataFrame, width: int) -> DataFrame:
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores, where a small table comes in fewer files than there are; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def window_hashes(words: DataFrame, width: int, apart: bool = False) -> DataFrame:
     """(doc_id, pos, h) of words(doc_id, w): a hash of each window of `width` words, in time linear in the text.
 
+    apart: without the windows that begin less than `width` after an equal one of their file, as text that repeats
+    itself with a short period isn't a copy of itself.
+
     The words' hashes are summed with powers of an odd number, so that a window's hash is a difference of two sums,
     brought back by the inverse power.
     """
@@ -99,11 +109,18 @@ def window_hashes(words: DataFrame, width: int) -> DataFrame:
             doc = np.repeat(np.arange(len(n)), count)
             pos = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(ends - n, count) + pos
+            if apart:
+                each = value[at] ^ doc.astype(np.uint64) * base  # rows are in order of file and place, and stay so among equals
+                order = np.argsort(each, kind="stable")
+                near = (each[order[1:]] == each[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]]) & (pos[order[1:]] - pos[order[:-1]] < width)
+                keep = np.ones(len(doc), bool)
+                keep[order[1:][near]] = False
+                doc, pos, at = doc[keep], pos[keep], at[keep]
             cols = [batch.column("doc_id").take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(value[at].view(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "pos", "h"])
 
     kind = words.schema["doc_id"].dataType.simpleString()
-    return words.select("doc_id", "w").mapInArrow(run, f"doc_id {kind}, pos int, h long")
+    return dealt(words.select("doc_id", "w")).mapInArrow(run, f"doc_id {kind}, pos int, h long")
 
 
 def words_of(text: Column) -> Column:
@@ -126,11 +143,12 @@ def near_focus(docs: DataFrame, focus: DataFrame, least_words: int) -> DataFrame
 
     Windows have `least_words` words, 7 at most.
     """
-    w = window_hashes(docs.select("doc_id", words_of(F.col("text")).alias("w")), min(max(least_words, 1), 7)).select("doc_id", "h").distinct()
-    of_focus = w.join(focus.select("doc_id").distinct(), "doc_id", "left_semi").select("h").distinct()
+    focus, width = focus.select("doc_id").distinct(), min(max(least_words, 1), 7)
+    hashed = lambda d: window_hashes(d.select("doc_id", words_of(F.col("text")).alias("w")), width)
+    of_focus = cut(hashed(docs.join(focus, "doc_id", "left_semi")).select("h").distinct())
     if of_focus.isEmpty():
         return docs.select("doc_id").distinct()
-    return w.join(of_focus, "h", "left_semi").select("doc_id").distinct()
+    return hashed(docs).join(of_focus, "h", "left_semi").select("doc_id").distinct()
 
 
 def instance_groups(runs: DataFrame, focus: DataFrame, least: int) -> DataFrame:
@@ -203,6 +221,97 @@ def first_copies(words: DataFrame, width: int) -> DataFrame:
     return runs.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("first", "last", "of_doc", "of_first")])
 
 
+def _all_same(c: str) -> Column:
+    return (F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c))
+
+
+def _stretches(words: DataFrame, width: int) -> DataFrame:
+    """(doc_id, run, at, stop, sym): the repeated windows of each file in stretches that can't be told apart.
+
+    A window class that always goes on to the same class, which always comes from it, makes one stretch with it, as in a
+    compacted graph of windows; a stretch is named by its first class and goes from window `at` to before `stop`. Stretches
+    of one run follow on each other.
+    """
+    places = cut(window_hashes(words, width, apart=True))
+    often = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    near = lambda shift, c: F.when(F.lag("pos", shift).over(w) == F.col("pos") - shift, F.lag(c, shift).over(w))
+    at = cut(places.join(often, "h").select("doc_id", "pos", "h"))
+    beside = at.select("doc_id", "pos", "h", near(1, "h").alias("prev"), near(-1, "h").alias("next"))
+    facts = beside.groupBy("h").agg(_all_same("prev").alias("one_prev"), _all_same("next").alias("one_next"))
+    told = beside.join(facts, "h").select("doc_id", "pos", "h", "prev", "one_prev", near(1, "one_next").alias("from_one"))
+    joined = F.col("prev").isNotNull() & F.col("one_prev") & F.col("from_one")
+    sums = w.rowsBetween(Window.unboundedPreceding, 0)
+    told = told.select("doc_id", "pos", "h", (~joined).cast("int").alias("new"), F.col("prev").isNull().cast("int").alias("apart"))
+    told = told.select("doc_id", "pos", "h", F.sum("new").over(sums).alias("part"), F.sum("apart").over(sums).alias("run"))
+    parts = told.groupBy("doc_id", "run", "part").agg(F.min("pos").alias("at"), (F.max("pos") + 1).alias("stop"), F.min_by("h", "pos").alias("sym"))
+    return parts.drop("part")
+
+
+def _repeats(parts: DataFrame) -> DataFrame:
+    """(doc_id, first, stop, key, prev, next) of every sequence of stretches that follow on each other.
+
+    key is a hash of the sequence; prev and next name the stretches around it, null at the ends of a run.
+    """
+
+    step, back = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.column("parts")[row].values
+                at, stop, sym = (one.field(c).to_numpy() for c in ("at", "stop", "sym"))
+                n = len(sym)
+                powers, inverse = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)])) for x in (step, back))
+                sums = np.cumsum((sym.view(np.uint64) ^ (sym.view(np.uint64) >> np.uint64(29))) * powers)
+                before = np.concatenate([[np.uint64(0)], sums[:-1]])
+                around = pa.array([None, *sym.tolist(), None], pa.int64())
+                for low in range(0, n, rows := max(1, 200_000 // n)):
+                    i, j = np.triu_indices(min(rows, n - low), 0, n - low)
+                    i, j = i + low, j + low
+                    key = (sums[j] - before[i]) * inverse[i]
+                    key = (key ^ (key >> np.uint64(32))) * step
+                    cols = [batch.column("doc_id").take(pa.array(np.full(len(i), row))), pa.array(at[i]), pa.array(stop[j]), pa.array(key.view(np.int64))]
+                    cols += [around.take(pa.array(i)), around.take(pa.array(j + 2))]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "first", "stop", "key", "prev", "next"])
+
+    kind = parts.schema["doc_id"].dataType.simpleString()
+    listed = F.array_sort(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), F.col("stop").cast("long").alias("stop"), "sym")))
+    runs = parts.groupBy("doc_id", "run").agg(listed.alias("parts")).select("doc_id", "parts")
+    return runs.mapInArrow(run, f"doc_id {kind}, first long, stop long, key long, prev long, next long")
+
+
+def maximal_groups(words: DataFrame, width: int) -> DataFrame:
+    """(doc_id, first, last, of_doc, of_first, instances): all instances of every maximal repeat of `width` words or more.
+
+    words(doc_id, w). A repeat is maximal if its instances, taken together, can be extended neither to the left nor to
+    the right; a group is named by its smallest instance and has all of them, so groups overlap where a part of a copy
+    stands in more places than the whole. Windows are combined to stretches first, so that sequences of few stretches
+    are grouped in place of words; their number is that of the sequences that repeat, which for a file that repeats
+    itself m times over grows with the square of m. Windows that overlap an equal one of their file are left out. What is
+    grouped is combined before it is shuffled; a file's windows are ordered in one task. Files without tokens have
+    none, and repeated rows of one doc_id count as one file with its words twice.
+    """
+    found = cut(_repeats(_stretches(words, width)))
+    size = F.col("stop") - F.col("first")
+    groups = found.groupBy("key", size.alias("size")).agg(
+        F.count(F.lit(1)).alias("instances"), F.min(F.struct("doc_id", "first")).alias("home"), _all_same("prev").alias("l"), _all_same("next").alias("r")
+    )
+    groups = groups.filter("instances > 1 AND NOT l AND NOT r").select("key", "size", "instances", "home")
+    out = found.withColumn("size", size).join(groups, ["key", "size"])
+    last = F.col("stop") + (width - 2)
+    return out.select("doc_id", "first", last.alias("last"), F.col("home.doc_id").alias("of_doc"), F.col("home.first").alias("of_first"), "instances")
+
+
+def long_enough(instances: DataFrame, token_lines: DataFrame, least: int = DEFAULTS["least_lines"]) -> DataFrame:
+    """instances(doc_id, first, last, of_doc, of_first) with first_line and last_line, of groups whose home has `least` lines
+    or more; token_lines(doc_id, pos, line) says where each token stands."""
+    begin, end = (token_lines.select("doc_id", F.col("pos").alias(c), F.col("line").alias(f"{c}_line")) for c in ("first", "last"))
+    placed = instances.join(begin, ["doc_id", "first"]).join(end, ["doc_id", "last"])
+    home = placed.filter("doc_id = of_doc AND first = of_first AND last_line - first_line + 1 >= %d" % least)
+    return placed.join(home.select("of_doc", "of_first", (F.col("last") - F.col("first")).alias("n")).distinct(), (placed["of_doc"] == home["of_doc"]) & (placed["of_first"] == home["of_first"]) & (placed["last"] - placed["first"] == F.col("n")), "left_semi")
+
+
 def name_pattern(names: Column) -> Column:
     """The place of each name's first occurrence: equal for sequences that a one-to-one renaming maps on each other."""
     return F.transform(names, lambda x: F.array_position(names, x))

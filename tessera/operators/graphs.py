@@ -121,39 +121,42 @@ def eager_paths(edges: DataFrame, start: int) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components of 2 or more nodes, named by their smallest node.
 
-    Nodes without an edge in or out are trimmed. Then the smallest label is passed forward until nothing changes, and
-    what reaches a label's own node backwards within the label is one component; the rest goes round again.
+    Nodes without an edge in or out are trimmed. Then the smallest label is passed forward, and from a label's own label,
+    until nothing changes; what reaches a label's own node backwards within the label is one component, and the rest
+    goes round again. A round writes one table and looks at it once.
     """
     left, found = cut(edges.filter("src <> dst").select("src", "dst").distinct()), None
-    while True:
+    n = left.count()
+    while n:
         while True:  # trim
-            n = left.count()
             heads, tails = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
             left = cut(left.join(heads, "src", "left_semi").join(tails, "dst", "left_semi"))
-            if left.count() == n:
+            n, before = left.count(), n
+            if n in (0, before):
                 break
         if n == 0:
             break
-        label = cut(left.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+        label = cut(left.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("label")).select("node", F.least("node", "label").alias("label")))
         while True:
-            sent = left.join(label, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "label")
-            new = cut(label.unionByName(sent).groupBy("node").agg(F.min("label").alias("label")))
-            changed = new.join(label, ["node", "label"], "left_anti")
-            done, label = changed.isEmpty(), new
+            sent = left.join(label, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "label", F.lit(None).cast("long").alias("own"))
+            new = label.select("node", "label", F.col("label").alias("own")).unionByName(sent).groupBy("node").agg(F.min("label").alias("label"), F.min("own").alias("own"))
+            far = label.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            label = cut(new.join(far, "label", "left").select("node", F.least("label", "far").alias("label"), "own"))
+            done = label.filter("label <> own").isEmpty()
+            label = label.select("node", "label")
             if done:
                 break
-        own = left.join(label.toDF("src", "a"), "src").join(label.toDF("dst", "b"), "dst").filter("a = b")
-        members = cut(label.filter("node = label"))
-        frontier = members
+        own = cut(left.join(label.toDF("src", "a"), "src").join(label.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst", F.col("a").alias("label")))
+        seen = _Seen(label.filter("node = label"))
         while True:
-            step = own.join(frontier.select(F.col("node").alias("dst"), "label"), "dst").filter("a = label").select(F.col("src").alias("node"), "label").distinct()
-            frontier = cut(step.join(members, ["node", "label"], "left_anti"))
-            if frontier.isEmpty():
+            step = own.join(seen.frontier.select(F.col("node").alias("dst"), "label"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct()
+            if not seen.grow(step.join(seen.rows(), ["node", "label"], "left_anti")):
                 break
-            members = cut(members.unionByName(frontier))
+        members = seen.rows()
         found = members if found is None else found.unionByName(members)
-        gone = members.select(F.col("node"))
+        gone = members.select("node")
         left = cut(left.join(gone, left["src"] == gone["node"], "left_anti").join(gone, left["dst"] == gone["node"], "left_anti"))
+        n = left.count()
     if found is None:
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
     sizes = found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("component")).filter("n > 1")
@@ -178,36 +181,88 @@ def lifted(edges: DataFrame, owners: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
+def cycle_text(files):
+    """A cycle of nodes as text from its smallest node on, joined by '>': the same from whatever node it is told."""
+    at = F.array_position(files, F.array_min(files)).cast("int")
+    turned = F.concat(F.slice(files, at, F.size(files)), F.slice(files, F.lit(1), at - 1))
+    return F.array_join(F.transform(turned, lambda x: x.cast("string")), ">")
+
+
+class Cycles:
+    """Elementary cycles of edges(src, dst), by components: listed(cycle, hops, component), accepted ones among them left out.
+
+    Paths grow inside one strong component through nodes above their first one, the shortest first, and each level's
+    cycles are set against accepted(key) or entries as they close, so that accepted ones don't count. With a cap, a
+    component that has more than that many cycles stops there: its longer paths aren't made. `capped` has these components.
+    """
+
+    def __init__(self, edges: DataFrame, longest: int, accepted: DataFrame | None = None, cap: int | None = None, entries: DataFrame | None = None):
+        edges = cut(edges.filter("src <> dst").select("src", "dst").distinct())
+        self.components, self.longest, self.entries = cut(strong_components(edges)), longest, entries
+        c = self.components
+        e = cut(edges.join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst", F.col("a").alias("component")))
+        allowed = None if entries is None else entries.select(cycle_text(F.col("files")).alias("cycle")).distinct()
+        back, last = e.select(F.col("src").alias("x"), F.col("dst").alias("y")), F.element_at("path", -1)
+        paths, levels, self.capped, self.matched = e.filter("src < dst").select("component", F.array("src", "dst").alias("path")), [], None, None
+        for hops in range(2, longest + 1):
+            closed = paths.join(back, (last == F.col("x")) & (F.get("path", F.lit(0)) == F.col("y")))
+            closed = closed.select("component", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("cycle"), F.array_sort("path").alias("key"), F.lit(hops).cast("long").alias("hops"))
+            if accepted is not None:
+                key = F.array_join(F.transform("key", lambda x: x.cast("string")), "|")
+                closed = closed.withColumn("key", key).join(accepted.select("key"), "key", "left_anti")
+            if allowed is not None:
+                every = cut(closed)
+                met = every.join(allowed, "cycle", "left_semi").select("cycle")
+                self.matched, closed = met if self.matched is None else self.matched.unionByName(met), every.join(allowed, "cycle", "left_anti")
+            if cap is not None:  # one more than the cap shows that there are more
+                order = Window.partitionBy("component").orderBy("cycle")
+                closed = cut(closed.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= cap + 1).drop("r"))
+            levels.append(closed.select("component", "cycle", "hops"))
+            if hops == longest:
+                break
+            if cap is not None:
+                full = self.listed(levels).groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap)
+                paths = paths.join(full.select("component"), "component", "left_anti")
+            grown = paths.join(back, last == F.col("x")).filter((F.col("y") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("y")))
+            paths = cut(grown.select("component", F.concat("path", F.array("y")).alias("path")))
+        self.found = self.listed(levels)
+        if cap is not None:
+            self.capped = self.found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap).select("component")
+            order = Window.partitionBy("component").orderBy("hops", "cycle")
+            self.found = self.found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= cap).drop("r")
+
+    @staticmethod
+    def listed(levels: list[DataFrame]) -> DataFrame:
+        out = levels[0]
+        for more in levels[1:]:
+            out = out.unionByName(more)
+        return out
+
+    def entry_states(self) -> DataFrame:
+        """(entry, state) of entries(entry, files): matched by a cycle; unprovable, as it is longer than what is listed or
+        all its files are of one component that was capped; else unmatched, which deserves a message."""
+        text = cycle_text(F.col("files"))
+        e = self.entries.select("entry", "files", text.alias("cycle"))
+        met = self.matched.distinct().withColumn("met", F.lit(True))
+        capped = self.components.join(self.capped, "component", "left_semi") if self.capped is not None else self.components.limit(0)
+        inside = e.select("entry", F.explode("files").alias("node"), F.size("files").alias("size")).join(capped, "node")
+        inside = inside.groupBy("entry").agg((F.count(F.lit(1)) == F.max("size")).alias("whole"), (F.min("component") == F.max("component")).alias("one"))
+        state = F.when(F.col("met"), "matched").when((F.size("files") > self.longest) | (F.col("whole") & F.col("one")), "unprovable").otherwise("unmatched")
+        return e.join(met, "cycle", "left").join(inside, "entry", "left").select("entry", state.alias("state"))
+
+
 def elementary_cycles(edges: DataFrame, longest: int = 5, accepted: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """(cycle, hops): cycles of 2 to `longest` different nodes, from their smallest one on, as nodes joined by '>'.
 
-    Paths grow inside one strong component through nodes above their first one. Cycles whose sorted nodes, joined by
-    '|', are in accepted(key) are left out of what is listed. With a cap each component lists so many cycles, the
-    shortest first and then by their text, after the accepted ones have gone, and `truncated` tells whether it has more.
+    Cycles whose sorted nodes, joined by '|', are in accepted(key) are left out of what is listed. With a cap each
+    component lists so many cycles, the shortest first and then by their text, after the accepted ones have gone, and
+    `truncated` tells whether it has more.
     """
-    e = edges.filter("src <> dst").select("src", "dst").distinct()
-    c = strong_components(e)
-    e = e.join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
-    e = cut(e)
-    as_text = lambda p: F.transform(p, lambda x: x.cast("string"))
-    paths, found = e.filter("src < dst").select(F.array("src", "dst").alias("path")), None
-    back, last = e.toDF("x", "y"), F.element_at("path", -1)
-    for hops in range(2, longest + 1):
-        closed = paths.join(back, (last == F.col("x")) & (F.get("path", F.lit(0)) == F.col("y"))).select("path")
-        found = closed if found is None else found.unionByName(closed)
-        if hops < longest:
-            grown = paths.join(back, last == F.col("x")).filter((F.col("y") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("y")))
-            paths = cut(grown.select(F.concat("path", F.array("y")).alias("path")))
-    found = found.withColumn("key", F.array_join(as_text(F.array_sort("path")), "|"))
-    if accepted is not None:
-        found = found.join(accepted.select("key"), "key", "left_anti")
-    listed = found.select(F.array_join(as_text(F.col("path")), ">").alias("cycle"), F.size("path").cast("long").alias("hops"), F.get("path", F.lit(0)).alias("node"))
+    cycles = Cycles(edges, longest, accepted, cap)
     if cap is None:
-        return listed.select("cycle", "hops")
-    order = Window.partitionBy("component").orderBy("hops", "cycle")
-    listed = listed.join(c, "node").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= cap + 1)
-    more = F.max("r").over(Window.partitionBy("component")) > cap
-    return listed.withColumn("truncated", more).filter(F.col("r") <= cap).select("cycle", "hops", "truncated")
+        return cycles.found.select("cycle", "hops")
+    more = cycles.found.join(cycles.capped.withColumn("truncated", F.lit(True)), "component", "left")
+    return more.select("cycle", "hops", F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
 def eager_cycles(edges: DataFrame, longest: int = 5, accepted: DataFrame | None = None) -> DataFrame:

@@ -63,6 +63,22 @@ def capped_cycles(t, spark, d):
     return graphs.elementary_cycles(edges(t, "click"), 3, cap=25)
 
 
+@query("WITH RECURSIVE " + EDGES_SQL + """, s AS (SELECT src, dst FROM e WHERE kind = 'click' AND src <> dst), r AS (SELECT src, dst FROM s UNION SELECT r.src, s.dst FROM r JOIN s ON r.dst = s.src), k AS (SELECT a.src AS node, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1 HAVING count(DISTINCT a.dst) > 1),
+  p AS (SELECT [src, dst] AS path FROM s WHERE src < dst UNION ALL SELECT list_append(path, dst) FROM p JOIN s ON path[len(path)] = src WHERE len(path) < 3 AND dst > path[1] AND NOT list_contains(path, dst)),
+  c AS (SELECT path, array_to_string(path, '>') AS cycle, path[1] AS node FROM p JOIN s ON path[len(path)] = src AND path[1] = dst),
+  a AS (SELECT o_orderkey AS entry, CASE o_orderkey % 4 WHEN 0 THEN [o_custkey % 100, (o_custkey // 100) % 100] WHEN 1 THEN [o_custkey % 100, (o_custkey * 7) % 100, (o_custkey * 13 + 1) % 100] WHEN 2 THEN [o_custkey, 100000 + o_orderkey] ELSE [1::BIGINT, 2, 3, 4] END AS files FROM orders),
+  b AS (SELECT *, array_to_string(list_concat(files[list_position(files, list_min(files)):], files[:list_position(files, list_min(files)) - 1]), '>') AS cycle FROM a),
+  f AS (SELECT component FROM c JOIN k USING (node) WHERE cycle NOT IN (SELECT cycle FROM b) GROUP BY 1 HAVING count(*) > 25)
+  SELECT entry, CASE WHEN cycle IN (SELECT cycle FROM c) THEN 'matched' WHEN len(files) > 3 OR (SELECT count(*) = len(files) AND min(component) = max(component) FROM unnest(files) u(n) JOIN k ON n = node WHERE component IN (SELECT component FROM f)) THEN 'unprovable' ELSE 'unmatched' END AS state FROM b""")
+def cycle_entries(t, spark, d):
+    o = t("orders")
+    at = lambda *c: F.array(*[F.expr(x).cast("long") for x in c])
+    kind = F.col("o_orderkey") % 4
+    files = F.when(kind == 0, at("o_custkey % 100", "o_custkey div 100 % 100")).when(kind == 1, at("o_custkey % 100", "o_custkey * 7 % 100", "(o_custkey * 13 + 1) % 100"))
+    files = files.when(kind == 2, at("o_custkey", "100000 + o_orderkey")).otherwise(at("1", "2", "3", "4"))
+    return graphs.Cycles(edges(t, "click"), 3, cap=25, entries=o.select(F.col("o_orderkey").alias("entry"), files.alias("files"))).entry_states()
+
+
 @query("WITH RECURSIVE " + EDGES_SQL + """, s AS (SELECT src, dst FROM e WHERE kind = 'view'), r AS (SELECT src, dst FROM s WHERE src <> dst UNION SELECT r.src, s.dst FROM r JOIN s ON r.dst = s.src AND s.src <> s.dst), k AS (SELECT a.src AS node, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1 HAVING count(DISTINCT a.dst) > 1),
   m AS (SELECT * FROM k UNION SELECT src, src FROM s WHERE src = dst AND src NOT IN (SELECT node FROM k)) SELECT * FROM m WHERE component NOT IN (SELECT component FROM m WHERE node IN (SELECT c_custkey FROM customer WHERE c_acctbal < -960))""")
 def re_export_cycles(t, spark, d):

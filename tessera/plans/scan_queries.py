@@ -12,7 +12,7 @@ WORDS_SQL = "w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[
 
 
 def words(t):
-    return t("documents").select("doc_id", F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), "").alias("w"))
+    return clones.dealt(t("documents").select("doc_id", "text")).select("doc_id", F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), "").alias("w"))
 
 
 @query(f"""WITH {WORDS_SQL}, k AS (SELECT doc_id, unnest(range(len(w) - 29)) AS pos, w FROM w WHERE len(w) >= 30), a AS (SELECT doc_id, pos, array_to_string(w[pos + 1:pos + 30], ' ') AS h FROM k),
@@ -24,6 +24,18 @@ def clone_runs(t, spark, d):
     return clones.first_copies(words(t), 30)
 
 
+@query(f"""WITH {WORDS_SQL}, k AS (SELECT doc_id, unnest(range(len(w) - 29)) AS pos, w FROM w WHERE len(w) >= 30), h AS (SELECT doc_id, pos, array_to_string(w[pos + 1:pos + 30], ' ') AS h FROM k),
+  a AS (SELECT * FROM (SELECT *, lag(pos) OVER (PARTITION BY doc_id, h ORDER BY pos) AS before FROM h) WHERE before IS NULL OR pos - before >= 30), c AS (SELECT h, row_number() OVER () AS c FROM (SELECT h FROM a GROUP BY 1 HAVING count(*) > 1)), s AS (SELECT doc_id, pos, c FROM a JOIN c USING (h)),
+  m AS (SELECT a.doc_id, a.pos, a.pos - b.pos AS shift, b.doc_id AS other FROM s a JOIN s b USING (c) WHERE (a.doc_id, a.pos) < (b.doc_id, b.pos)),
+  r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY pos) AS g FROM m), e AS (SELECT doc_id, min(pos) AS first, max(pos) + 29 AS last FROM r GROUP BY doc_id, other, shift, g),
+  t AS (SELECT DISTINCT array_to_string(w[first + 1:last + 1], ' ') AS t, last - first + 1 AS n, w[first + 1:first + 30] AS f FROM e JOIN w USING (doc_id)),
+  i AS (SELECT t, n, s.doc_id, s.pos AS first FROM t JOIN c ON c.h = array_to_string(f, ' ') JOIN s USING (c) JOIN w USING (doc_id) WHERE array_to_string(w[s.pos + 1:s.pos + n], ' ') = t),
+  o AS (SELECT t, min((doc_id, first)) AS home, count(*) AS instances FROM i GROUP BY 1)
+  SELECT doc_id, first, first + n - 1 AS last, home[1] AS of_doc, home[2] AS of_first, instances FROM i JOIN o USING (t)""")
+def maximal_clones(t, spark, d):
+    return clones.maximal_groups(words(t), 30)
+
+
 @query("WITH " + LINES_SQL + """, p AS (SELECT doc_id, list_filter(string_split_regex(lower(line), '[^a-z]+'), lambda x: x <> '') AS w FROM lines)
   SELECT array_to_string(list_transform(w, lambda x: list_position(w, x)), ',') AS pattern, count(*) AS instances, count(DISTINCT doc_id) AS files FROM p WHERE len(w) >= 6 GROUP BY 1 HAVING count(*) > 1""")
 def renamed_clones(t, spark, d):
