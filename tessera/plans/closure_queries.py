@@ -68,8 +68,9 @@ def capped_cycles(t, spark, d):
   c AS (SELECT path, array_to_string(path, '>') AS cycle, path[1] AS node FROM p JOIN s ON path[len(path)] = src AND path[1] = dst),
   a AS (SELECT o_orderkey AS entry, CASE o_orderkey % 4 WHEN 0 THEN [o_custkey % 100, (o_custkey // 100) % 100] WHEN 1 THEN [o_custkey % 100, (o_custkey * 7) % 100, (o_custkey * 13 + 1) % 100] WHEN 2 THEN [o_custkey, 100000 + o_orderkey] ELSE [1::BIGINT, 2, 3, 4] END AS files FROM orders),
   b AS (SELECT *, array_to_string(list_concat(files[list_position(files, list_min(files)):], files[:list_position(files, list_min(files)) - 1]), '>') AS cycle FROM a),
-  f AS (SELECT component FROM c JOIN k USING (node) WHERE cycle NOT IN (SELECT cycle FROM b) GROUP BY 1 HAVING count(*) > 25)
-  SELECT entry, CASE WHEN cycle IN (SELECT cycle FROM c) THEN 'matched' WHEN len(files) > 3 OR (SELECT count(*) = len(files) AND min(component) = max(component) FROM unnest(files) u(n) JOIN k ON n = node WHERE component IN (SELECT component FROM f)) THEN 'unprovable' ELSE 'unmatched' END AS state FROM b""")
+  h AS (SELECT component FROM c JOIN k USING (node) WHERE len(path) = 2 AND cycle NOT IN (SELECT cycle FROM b) GROUP BY 1 HAVING count(*) > 25),
+  l AS (SELECT * FROM c JOIN k USING (node) WHERE len(path) = 2 OR component NOT IN (SELECT component FROM h)), f AS (SELECT component FROM l WHERE cycle NOT IN (SELECT cycle FROM b) GROUP BY 1 HAVING count(*) > 25)
+  SELECT entry, CASE WHEN cycle IN (SELECT cycle FROM l) THEN 'matched' WHEN len(files) > 3 OR (SELECT count(*) = len(files) AND min(component) = max(component) FROM unnest(files) u(n) JOIN k ON n = node WHERE component IN (SELECT component FROM f)) THEN 'unprovable' ELSE 'unmatched' END AS state FROM b""")
 def cycle_entries(t, spark, d):
     o = t("orders")
     at = lambda *c: F.array(*[F.expr(x).cast("long") for x in c])
