@@ -53,6 +53,8 @@ CONTAINER = frozenset("article main section div nav header footer aside form ul
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 PARTS = frozenset("ad ads advert advertisement banner breadcrumbs comment comments cookie discussion newsletter notice promo replies responses share sidebar sponsored widget".split())
 
+#: hashes of texts one after the other: a prime below 2^61 and a number below it
+PRIME, STEP = (1 << 61) - 1, 0x1A2B3C4D5E6F708
 _TAG = re.compile(r"<(/?)([A-Za-z][^\t\n\f\r />]*)")
 #: white space and slashes, then a name and a value in quotes or without; a quote that never ends takes all that is left
 _ATTRIBUTE = re.compile(
@@ -129,6 +131,7 @@ class Page:
         self.never, self.within = [False], [False]  # within: inside an article
         self.pieces: list[tuple[int, str, bool]] = []  # container, text (" " at a block's edge), in a link
         stack, link = [0], 0
+        opened: dict[str, int] = {}  # elements of the stack by name
         for what, name, names in tokens(page):
             if what == "text":
                 self.pieces.append((stack[-1], name, link > 0))
@@ -140,6 +143,7 @@ class Page:
             if what == "open":
                 if name in BLOCK and self.kind[stack[-1]] == "p":
                     stack.pop()  # a block ends an open paragraph
+                    opened["p"] -= 1
                 # inside a part, elements of its own name are followed, so that their ends don't end it
                 if name in VOID or not (name in CONTAINER or is_part(name, names) or name == self.kind[stack[-1]]):
                     continue
@@ -150,16 +154,19 @@ class Page:
                 self.within.append(self.within[stack[-1]] or self.kind[stack[-1]] == "article")
                 self.never.append(self.never[stack[-1]] or self._out(name, names, stack))
                 stack.append(len(self.kind) - 1)
-            else:
+                opened[name] = opened.get(name, 0) + 1
+            elif opened.get(name):
                 for i in range(len(stack) - 1, 0, -1):
                     if self.kind[stack[i]] == name:
+                        for gone in stack[i:]:
+                            opened[self.kind[gone]] -= 1
                         del stack[i:]
                         break
                     if self.kind[stack[i]] in ("article", "main", "body") and name not in ("body", "html"):
                         break  # a stray closing tag doesn't close the article
 
     def _out(self, name: str, names: str, stack: list[int]) -> bool:
-        if name == "header" and any(self.kind[i] == "article" for i in stack) and not is_part("div", names):
+        if name == "header" and (self.within[stack[-1]] or self.kind[stack[-1]] == "article") and not is_part("div", names):
             return False  # the heading of an article is part of it
         return name not in ("article", "main", "body") and is_part(name, names)
 
@@ -169,10 +176,9 @@ class Page:
         n = len(self.kind)
         out = [self.never[i] or (i > 0 and self.key[i] in drop) for i in range(n)]
         if any(k in fixed for k in self.key):
-            for key, text, *_ in self.parts():
-                if fixed.get(key) == text_key(text):
-                    for i in range(1, n):
-                        out[i] = out[i] or self.key[i] == key
+            gone = {key for key, text, *_ in self.parts() if fixed.get(key) == text}
+            for i in range(1, n):
+                out[i] = out[i] or self.key[i] in gone
         for i in range(1, n):
             out[i] = out[i] or out[self.parent[i]]
         root = self._main(out, content)
@@ -181,30 +187,46 @@ class Page:
             inside[i] = i in root or (i > 0 and inside[self.parent[i]])
         return " ".join("".join([t for c, t, _ in self.pieces if inside[c] and not out[c]]).split())
 
-    def parts(self) -> list[tuple[int, str, int, int, bool]]:
-        """(key, text, characters, those in links, inside an article) of the containers, those of one key together."""
-        texts: dict[int, list] = {}
+    def parts(self) -> list[tuple[int, int, int, int, bool]]:
+        """(key, hash of the text, characters, those in links, inside an article) of the containers that have text, those
+        of one key together.
+
+        A container's pieces follow on each other, so its hash and its numbers are differences of sums over all pieces:
+        the steps grow with pieces and containers, however deep these are nested.
+        """
+        n = len(self.kind)
+        first, last = [-1] * n, [0] * n
+        sums, powers, chars, links = [0], [1], [0], [0]
         for c, t, link in self.pieces:
             if t.strip():
-                t, seen = " ".join(t.split()), set()
-                while c > 0:
-                    if self.key[c] not in seen and self.kind[c] not in ("article", "main", "body", "head"):
-                        seen.add(self.key[c])
-                        texts.setdefault(self.key[c], [[], 0, 0, self.within[c]])
-                        x = texts[self.key[c]]
-                        x[0].append(t)
-                        x[1] += len(t)
-                        x[2] += len(t) if link else 0
-                    c = self.parent[c]
-        return [(key, " ".join(x[0]), *x[1:]) for key, x in texts.items()]
+                t, at = " ".join(t.split()), len(chars) - 1
+                first[c] = at if first[c] < 0 else first[c]
+                last[c] = at + 1
+                sums.append((sums[-1] * STEP + text_key(t)) % PRIME)
+                powers.append(powers[-1] * STEP % PRIME)
+                chars.append(chars[-1] + len(t))
+                links.append(links[-1] + (len(t) if link else 0))
+        for i in range(n - 1, 0, -1):
+            if first[i] >= 0:
+                up = self.parent[i]
+                first[up] = first[i] if first[up] < 0 else min(first[up], first[i])
+                last[up] = max(last[up], last[i])
+        found: dict[int, list] = {}
+        for i in range(1, n):
+            if first[i] >= 0 and self.kind[i] not in ("article", "main", "body", "head"):
+                a, b = first[i], last[i]
+                x = found.setdefault(self.key[i], [0, 0, 0, self.within[i]])
+                own = (sums[b] - sums[a] * powers[b - a]) % PRIME
+                x[:3] = (x[0] * powers[b - a] + own) % PRIME, x[1] + chars[b] - chars[a], x[2] + links[b] - links[a]
+        return [(key, *x) for key, x in found.items()]
 
     def _main(self, out: list[bool], content: frozenset[int]) -> set[int]:
         """Outermost articles that are not out; else the first main element; else the wrapper's content; else the
         container with most text."""
         found = [i for i, k in enumerate(self.kind) if k == "article" and not out[i]]
         if found:
-            nested = set(found)
-            return {i for i in found if not any(j in nested for j in self._above(i))}
+            inside = self._inside(set(found))
+            return {i for i in found if not inside[i]}
         found = [i for i, k in enumerate(self.kind) if k == "main" and not out[i]]
         if found:
             return {found[0]}
@@ -217,16 +239,21 @@ class Page:
                 size[c] += -len(t) / 2 if link else len(t.strip())
         for i in range(len(size) - 1, 0, -1):
             size[self.parent[i]] += max(0.0, size[i])
-        at = 0
+        at, children = 0, [[] for _ in self.kind]
+        for i in range(1, len(self.parent)):
+            children[self.parent[i]].append(i)
         while True:  # down to the container that has nearly all of its parent's text
-            below = [i for i, p in enumerate(self.parent) if p == at and size[i] >= 0.8 * size[at] > 0]
+            below = [i for i in children[at] if size[i] >= 0.8 * size[at] > 0]
             if not below:
                 return {at}
             at = max(below, key=lambda i: size[i])
 
-    def _above(self, i: int):
-        while (i := self.parent[i]) >= 0:
-            yield i
+    def _inside(self, nodes: set[int]) -> list[bool]:
+        """Whether a container is inside one of some others."""
+        inside = [False] * len(self.kind)
+        for i in range(1, len(self.kind)):
+            inside[i] = inside[self.parent[i]] or self.parent[i] in nodes
+        return inside
 
 
 # wrappers -------------------------------------------------------------------------------------------------------------
@@ -262,8 +289,26 @@ def _key(node: tuple):
     return ("text",) if node[0] == "text" else (node[0], tuple(map(_key, node[1])))
 
 
-def fold(nodes: list[tuple], longest: int = 12) -> list[tuple]:
-    """Units of up to `longest` nodes that follow themselves become a repeated group, shorter units first."""
+def fold(nodes: list[tuple], short: int = 12) -> list[tuple]:
+    """Units that follow themselves become a repeated group, shorter units first, whatever their length.
+
+    Units of up to `short` nodes are looked for at every place, longer ones where a node comes again.
+    """
+    while True:
+        before, nodes = len(nodes), _fold_long(_fold_short(nodes, short), short)
+        if len(nodes) == before:
+            return nodes
+
+
+def _unit(nodes: list[tuple], at: int, size: int, n: int) -> tuple:
+    """One group for the n units of `size` nodes from a place on."""
+    unit = nodes[at : at + size]
+    for k in range(1, n):
+        unit = [_meet(a, b) for a, b in zip(unit, nodes[at + k * size : at + (k + 1) * size])]
+    return unit[0] if size == 1 and unit[0][0] == "rep" else ("rep", unit)
+
+
+def _fold_short(nodes: list[tuple], longest: int) -> list[tuple]:
     for size in range(1, longest + 1):
         numbers: dict = {}
         out, i, keys = [], 0, [numbers.setdefault(_key(x), len(numbers)) for x in nodes]
@@ -272,10 +317,7 @@ def fold(nodes: list[tuple], longest: int = 12) -> list[tuple]:
             while keys[i : i + size] == keys[i + n * size : i + (n + 1) * size] and len(keys[i : i + size]) == size:
                 n += 1
             if n > 1 and nodes[i][0] != "text":
-                unit = nodes[i : i + size]
-                for k in range(1, n):
-                    unit = [_meet(a, b) for a, b in zip(unit, nodes[i + k * size : i + (k + 1) * size])]
-                out.append(unit[0] if size == 1 and unit[0][0] == "rep" else ("rep", unit))
+                out.append(_unit(nodes, i, size, n))
                 i += n * size
             else:
                 out.append(nodes[i])
@@ -284,6 +326,42 @@ def fold(nodes: list[tuple], longest: int = 12) -> list[tuple]:
     return nodes
 
 
+def _fold_long(nodes: list[tuple], short: int) -> list[tuple]:
+    """Folds the units of the smallest length above `short` that follow themselves.
+
+    Some node of such a unit comes again at just that distance, so only distances from a node to its next equal one are
+    tried, and each stretch that is equal at a distance is walked once. A unit begins with an opening tag if it can.
+    """
+    numbers: dict = {}
+    keys = [numbers.setdefault(_key(x), len(numbers)) for x in nodes]
+    seen: dict[int, int] = {}
+    ways: dict[int, list[int]] = {}
+    for i in range(len(keys) - 1, -1, -1):
+        if (far := seen.get(keys[i], i) - i) > short:
+            ways.setdefault(far, []).append(i)
+        seen[keys[i]] = i
+    for size in sorted(ways):
+        out, done, walked = [], 0, 0
+        for i in reversed(ways[size]):
+            if i < walked:
+                continue
+            low = i
+            while low > walked and keys[low - 1] == keys[low - 1 + size]:
+                low -= 1
+            walked = i
+            while walked + size < len(keys) and keys[walked] == keys[walked + size]:
+                walked += 1
+            starts = range(max(low, done), walked - size + 1)
+            at = next((k for k in starts if nodes[k][0] == "tag" and nodes[k][1].startswith("open")), next((k for k in starts if nodes[k][0] != "text"), None))
+            if at is not None:
+                n = 1 + (walked - at) // size
+                out += [*nodes[done:at], _unit(nodes, at, size, n)]
+                done = at + n * size
+        if done:
+            return out + nodes[done:]
+    return nodes
+
+
 def _meet(a: tuple, b: tuple) -> tuple:
     """One node for two with equal keys: texts that differ become a slot."""
     if a[0] == "tag":
@@ -549,7 +627,7 @@ def count_parts(pages: DataFrame) -> DataFrame:
                     page = Page(page.as_py() or "")
                     bit = text_key(page.text()) & 63
                     bit = (1 << bit) - (1 << 64 if bit == 63 else 0)
-                    rows += [(host, key, text_key(text), 2 * links > chars, within, bit) for key, text, chars, links, within in page.parts()]
+                    rows += [(host, key, text, 2 * links > chars, within, bit) for key, text, chars, links, within in page.parts()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()))],
                     ["host", "key", "text", "links", "within", "bit"],
