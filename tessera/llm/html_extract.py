@@ -290,50 +290,55 @@ def _key(node: tuple):
 
 
 def fold(nodes: list[tuple], short: int = 12) -> list[tuple]:
-    """Units that follow themselves become a repeated group, shorter units first, whatever their length.
+    """Units of tags and texts that follow themselves become a repeated group, shorter units first, whatever their length.
 
     Units of up to `short` nodes are looked for at every place, longer ones where a node comes again.
     """
+    numbers: dict = {}
+    keys = [numbers.setdefault(_key(x), len(numbers)) for x in nodes]
     while True:
-        before, nodes = len(nodes), _fold_long(_fold_short(nodes, short), short)
+        before = len(nodes)
+        nodes, keys = _fold_long(*_fold_short(nodes, keys, numbers, short), numbers, short)
         if len(nodes) == before:
             return nodes
 
 
-def _unit(nodes: list[tuple], at: int, size: int, n: int) -> tuple:
-    """One group for the n units of `size` nodes from a place on."""
+def _unit(nodes: list[tuple], keys: list[int], numbers: dict, at: int, size: int, n: int) -> tuple[tuple, int]:
+    """One group for the n units of `size` nodes from a place on, and its number."""
     unit = nodes[at : at + size]
     for k in range(1, n):
         unit = [_meet(a, b) for a, b in zip(unit, nodes[at + k * size : at + (k + 1) * size])]
-    return unit[0] if size == 1 and unit[0][0] == "rep" else ("rep", unit)
+    if size == 1 and unit[0][0] == "rep":
+        return unit[0], keys[at]
+    return ("rep", unit), numbers.setdefault(("rep", tuple(keys[at : at + size])), len(numbers))
 
 
-def _fold_short(nodes: list[tuple], longest: int) -> list[tuple]:
+def _fold_short(nodes: list[tuple], keys: list[int], numbers: dict, longest: int) -> tuple[list[tuple], list[int]]:
     for size in range(1, longest + 1):
-        numbers: dict = {}
-        out, i, keys = [], 0, [numbers.setdefault(_key(x), len(numbers)) for x in nodes]
-        while i < len(nodes):
-            n = 1
-            while keys[i : i + size] == keys[i + n * size : i + (n + 1) * size] and len(keys[i : i + size]) == size:
-                n += 1
-            if n > 1 and nodes[i][0] != "text":
-                out.append(_unit(nodes, i, size, n))
-                i += n * size
-            else:
-                out.append(nodes[i])
+        out, named, i, done = [], [], 0, 0
+        last = len(nodes) - size
+        while i < last:
+            if keys[i] != keys[i + size] or nodes[i][0] == "text" or keys[i : i + size] != keys[i + size : i + 2 * size]:
                 i += 1
-        nodes = out
-    return nodes
+                continue
+            n = 2
+            while keys[i : i + size] == keys[i + n * size : i + (n + 1) * size]:
+                n += 1
+            unit, number = _unit(nodes, keys, numbers, i, size, n)
+            out += [*nodes[done:i], unit]
+            named += [*keys[done:i], number]
+            i = done = i + n * size
+        if done:
+            nodes, keys = out + nodes[done:], named + keys[done:]
+    return nodes, keys
 
 
-def _fold_long(nodes: list[tuple], short: int) -> list[tuple]:
+def _fold_long(nodes: list[tuple], keys: list[int], numbers: dict, short: int) -> tuple[list[tuple], list[int]]:
     """Folds the units of the smallest length above `short` that follow themselves.
 
     Some node of such a unit comes again at just that distance, so only distances from a node to its next equal one are
     tried, and each stretch that is equal at a distance is walked once. A unit begins with an opening tag if it can.
     """
-    numbers: dict = {}
-    keys = [numbers.setdefault(_key(x), len(numbers)) for x in nodes]
     seen: dict[int, int] = {}
     ways: dict[int, list[int]] = {}
     for i in range(len(keys) - 1, -1, -1):
@@ -341,7 +346,7 @@ def _fold_long(nodes: list[tuple], short: int) -> list[tuple]:
             ways.setdefault(far, []).append(i)
         seen[keys[i]] = i
     for size in sorted(ways):
-        out, done, walked = [], 0, 0
+        out, named, done, walked = [], [], 0, 0
         for i in reversed(ways[size]):
             if i < walked:
                 continue
@@ -355,11 +360,13 @@ def _fold_long(nodes: list[tuple], short: int) -> list[tuple]:
             at = next((k for k in starts if nodes[k][0] == "tag" and nodes[k][1].startswith("open")), next((k for k in starts if nodes[k][0] != "text"), None))
             if at is not None:
                 n = 1 + (walked - at) // size
-                out += [*nodes[done:at], _unit(nodes, at, size, n)]
+                unit, number = _unit(nodes, keys, numbers, at, size, n)
+                out += [*nodes[done:at], unit]
+                named += [*keys[done:at], number]
                 done = at + n * size
         if done:
-            return out + nodes[done:]
-    return nodes
+            return out + nodes[done:], named + keys[done:]
+    return nodes, keys
 
 
 def _meet(a: tuple, b: tuple) -> tuple:
