@@ -317,6 +317,32 @@ def name_pattern(names: Column) -> Column:
     return F.transform(names, lambda x: F.array_position(names, x))
 
 
+def one_to_one_windows(pairs: DataFrame, least: int) -> DataFrame:
+    """(pair, first, length): the longest stretches of pairs(pair, pos, left, right) in which names map one-to-one.
+
+    A place conflicts with the last place before it that has one of its two names but not the other one. A stretch that
+    ends at a place begins behind the last conflict so far, and is maximal where the next place moves that on. Places
+    without a name on either side (null) conflict with nothing but count for the length. Positions of a pair follow on
+    each other from 0; stretches of fewer than `least` places are left out. All steps are ordered by pair.
+    """
+    named = F.col("left").isNotNull() & F.col("right").isNotNull()
+
+    def conflict(own: str, other: str):
+        w = Window.partitionBy("pair", named, own).orderBy("pos")
+        changed = F.when(named & (F.lag(other).over(w) != F.col(other)), F.lag("pos").over(w))
+        return changed, w.rowsBetween(Window.unboundedPreceding, 0)
+
+    rows = pairs.select("pair", F.col("pos").cast("long").alias("pos"), "left", "right")
+    for own, other in (("left", "right"), ("right", "left")):
+        changed, so_far = conflict(own, other)
+        rows = rows.withColumn(f"by_{own}", changed).withColumn(f"by_{own}", F.last(f"by_{own}", ignorenulls=True).over(so_far))
+    w = Window.partitionBy("pair").orderBy("pos")
+    start = F.max(F.coalesce(F.greatest("by_left", "by_right") + 1, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("pair", "pos", start.alias("first"))
+    found = rows.groupBy("pair", "first").agg((F.max("pos") + 1 - F.col("first")).alias("length"))
+    return found.filter(F.col("length") >= least)
+
+
 def line_and_column(text: Column, offset: Column) -> Column:
     """(line, column) of a character offset, lines from 1 and columns from 0."""
     before = F.substr(text, F.lit(1), offset)

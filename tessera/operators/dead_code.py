@@ -9,8 +9,15 @@ from .graphs import reach, subclass_index
 
 # fixed values: names that frameworks call themselves
 LIFECYCLE = {
-    "angular": "ngOnInit ngOnChanges ngDoCheck ngAfterContentInit ngAfterContentChecked ngAfterViewInit ngAfterViewChecked ngOnDestroy".split(),
-    "react": "render componentDidMount componentDidUpdate componentWillUnmount shouldComponentUpdate getSnapshotBeforeUpdate getDerivedStateFromProps getDerivedStateFromError componentDidCatch".split(),
+    "angular": (
+        "ngOnInit ngOnDestroy ngOnChanges ngDoCheck ngAfterContentInit ngAfterContentChecked ngAfterViewInit ngAfterViewChecked ngAcceptInputType "
+        "canActivate canDeactivate canActivateChild canMatch resolve intercept transform validate registerOnChange registerOnTouched writeValue setDisabledState"
+    ).split(),
+    "react": (
+        "render componentDidMount componentDidUpdate componentWillUnmount shouldComponentUpdate getSnapshotBeforeUpdate getDerivedStateFromProps "
+        "getDerivedStateFromError componentDidCatch componentWillMount componentWillReceiveProps componentWillUpdate UNSAFE_componentWillMount "
+        "UNSAFE_componentWillReceiveProps UNSAFE_componentWillUpdate getChildContext contextType"
+    ).split(),
 }
 
 

@@ -175,6 +175,88 @@ def impact_closure(edges: DataFrame, changed: DataFrame) -> DataFrame:
     return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), changed)
 
 
+def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, slice) of nodes(node): what edges(src, dst) join in either direction, named by its smallest node.
+
+    Each node takes the smallest name among its neighbours, then that of the node it is named by, until nothing changes:
+    the rounds grow with the logarithm of the longest chain about. Edges to other nodes don't count.
+    """
+    e = edges.filter("src <> dst").select("src", "dst").distinct()
+    both = cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    label = cut(nodes.select("node").distinct().withColumn("slice", F.col("node")))
+    while True:
+        own = label.select("node", "slice", F.col("slice").alias("own"))
+        sent = both.join(label, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "slice", F.lit(None).alias("own"))
+        near = own.unionByName(sent.withColumn("own", F.col("own").cast(own.schema["own"].dataType))).groupBy("node").agg(F.min("slice").alias("slice"), F.min("own").alias("own"))
+        near = cut(near.filter("own IS NOT NULL"))
+        # the node that one was named by tells its own, smaller name, and one's new name is told to it as well
+        far = near.select(F.col("node").alias("slice"), F.col("slice").alias("far"))
+        back = near.groupBy(F.col("own").alias("node")).agg(F.min("slice").alias("back"))
+        new = near.join(far, "slice", "left").join(back, "node", "left").select("node", F.least("slice", "far", "back").alias("slice"), "own")
+        label = cut(new)
+        if label.filter("slice <> own").isEmpty():
+            return label.select("node", "slice")
+        label = label.select("node", "slice")
+
+
+def partition_order(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """(slice, layer, node): in what order to look at what a change reaches, over edges(src, dst), src depending on dst.
+
+    The nodes are those that depend on changed(node), these included. Independent slices, which no edge between such nodes
+    joins, are named by their smallest node. Within a slice a node's layer is the length of the longest way down its
+    dependencies there, nodes that depend on each other being one: layer 0 depends on nothing else that is affected.
+    """
+    hit = cut(impact_closure(edges, changed).select("node"))
+    inside = edges.filter("src <> dst").select("src", "dst").distinct()
+    inside = cut(inside.join(hit.toDF("src"), "src", "left_semi").join(hit.toDF("dst"), "dst", "left_semi"))
+    whole = hit.join(strong_components(inside), "node", "left")
+    whole = cut(whole.select("node", F.coalesce("component", "node").alias("component")))
+    slices = connected(inside, hit)
+    left = inside.join(whole.toDF("src", "a"), "src").join(whole.toDF("dst", "b"), "dst").filter("a <> b").select("a", "b").distinct()
+    left, todo, layer, found = cut(left), cut(whole.select("component").distinct()), 0, None
+    while not todo.isEmpty():
+        ready = cut(todo.join(left.select(F.col("a").alias("component")).distinct(), "component", "left_anti"))
+        level = ready.withColumn("layer", F.lit(layer).cast("long"))
+        found = level if found is None else found.unionByName(level)
+        todo = cut(todo.join(ready, "component", "left_anti"))
+        left, layer = cut(left.join(ready.select(F.col("component").alias("b")), "b", "left_anti")), layer + 1
+    if found is None:
+        return slices.select("slice", F.lit(0).cast("long").alias("layer"), "node")
+    return whole.join(found, "component").join(slices, "node").select("slice", "layer", "node")
+
+
+def update_reach(edges: DataFrame, reached: DataFrame, roots: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """(node): what roots(node) reach over edges(src, dst), from what they reached before edges changed.
+
+    edges are those after the change; added(src, dst) and removed(src, dst) say what changed, reached(node) what was
+    known. Only what hung on a removed edge is looked at again: it is suspect, with all it led to, until an edge from a node
+    that isn't suspect, or a root, brings it back. Then what added edges and such nodes lead to is followed, as far as it
+    is new. An edge in both lists counts by whether edges has it.
+    """
+    edges, gone = edges.select("src", "dst"), removed.select("src", "dst").distinct().join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    roots, known = roots.select("node").distinct(), reached.select("node").distinct()
+    cut_off = gone.join(known.toDF("src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(known, "node", "left_semi")
+    firm, start = known.unionByName(roots).distinct(), None
+    if not cut_off.isEmpty():
+        before = edges.unionByName(removed.select("src", "dst")).join(known.toDF("src"), "src", "left_semi")
+        suspect = cut(reach(before, cut_off).select("node").join(roots, "node", "left_anti"))
+        firm = cut(firm.join(suspect, "node", "left_anti"))
+        start = edges.join(suspect.toDF("dst"), "dst", "left_semi").join(firm.toDF("src"), "src", "left_semi").select(F.col("dst").alias("node"))
+    news = edges.join(added.select("src", "dst").distinct(), ["src", "dst"], "left_semi").join(firm.toDF("src"), "src", "left_semi").select(F.col("dst").alias("node"))
+    news = news.unionByName(roots.join(known, "node", "left_anti"))
+    news = (news if start is None else news.unionByName(start)).distinct()
+    seen = _Seen(firm)
+    seen.frontier = cut(news.join(firm.join(roots.join(known, "node", "left_anti"), "node", "left_anti"), "node", "left_anti"))
+    if seen.frontier.isEmpty():
+        return firm
+    seen.parts.append(seen.frontier)
+    e = cut(edges.distinct())
+    while True:
+        step = seen.frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        if not seen.grow(step.join(seen.rows(), "node", "left_anti")):
+            return seen.rows().distinct()
+
+
 def lifted(edges: DataFrame, owners: DataFrame) -> DataFrame:
     """(src, dst): edges between the owners(node, owner) of edges between nodes, without those inside one owner."""
     e = edges.join(owners.toDF("src", "a"), "src").join(owners.toDF("dst", "b"), "dst").filter("a <> b")

@@ -37,18 +37,25 @@ def severity(hot: Column, crosses: Column, entry: Column, sourced: Column, untru
     return F.when(hot | crosses | (entry & sourced), "high").when(sourced | untrusted, "medium").otherwise("low")
 
 
-# fixed values: prefixes, names and parts of names of variables that tools or frameworks make public
-PUBLIC_PREFIXES = "NEXT_PUBLIC_ VITE_ REACT_APP_ NUXT_PUBLIC_ PUBLIC_ EXPO_PUBLIC_ GATSBY_ STORYBOOK_".split()
-PUBLIC_NAMES = "NODE_ENV MODE DEV PROD SSR BASE_URL CI TZ".split()
-METADATA_PARTS = "NAME LENGTH TTL EXPIRY EXPIRES HEADER TYPE COUNT LIMIT VERSION".split()
-
-
-def secret_name(name: Column) -> Column:
-    """Whether a variable's name tells of a secret, and neither a convention makes it public nor a last part says that it
-    only describes one (a token's length or header)."""
-    public = name.isin(PUBLIC_NAMES) | name.rlike("^(" + "|".join(PUBLIC_PREFIXES) + ")")
-    describes = name.rlike("(?i)_(" + "|".join(METADATA_PARTS) + ")$")
-    return name.rlike("(?i)(^|_)(secret|token|password|passwd|private_key|api_?key|credentials?)(_|$)") & ~public & ~describes
+# fixed values: what makes the name of a variable public by convention, and the parts that tell of a secret all the same
+PUBLIC_PREFIXES = "NEXT_PUBLIC_ VITE_ NUXT_PUBLIC_ REACT_APP_ PUBLIC_ GATSBY_ EXPO_PUBLIC_ STORYBOOK_".split()
+PUBLIC_NAMES = ["NODE_ENV"]
+METADATA_PARTS = "BRANCH ENVIRONMENT MODE REF SHA TAG".split()
+SECRET_PARTS = "AUTH CREDENTIAL CREDENTIALS KEY PASS PASSWORD PRIVATE SECRET TOKEN".split()
+
+
+def public_variable(name: Column) -> Column:
+    """Whether a variable of the environment is public: by its whole name or its prefix, or as it has a part, between
+    signs that are neither letters nor digits, that describes a build and none that tells of a secret."""
+    has = lambda parts: F.arrays_overlap(F.split(name, "[^A-Za-z0-9]+"), F.array(*map(F.lit, parts)))
+    named = name.isin(PUBLIC_NAMES) | name.rlike("^(" + "|".join(PUBLIC_PREFIXES) + ")")
+    return named | (has(METADATA_PARTS) & ~has(SECRET_PARTS))
+
+
+def secret_source(path: Column) -> Column:
+    """Whether a member path reads a variable of the environment that isn't public."""
+    name = F.regexp_extract(path, r"^(?:process\.env|import\.meta\.env)\.(.+)$", 1)
+    return (name != "") & ~public_variable(name)
 
 
 def stable_ids(findings: DataFrame, keys: list[str], position: list[str], suppressed: str) -> DataFrame:

@@ -86,6 +86,26 @@ def re_export_cycles(t, spark, d):
     return graphs.re_export_cycles(edges(t, "view").select("src", "dst"), t("customer").filter("c_acctbal < -960").select(F.col("c_custkey").alias("node")))
 
 
+@query("WITH RECURSIVE " + EDGES_SQL + """, d AS (SELECT DISTINCT src, dst FROM e WHERE kind IN ('error', 'view') AND src <> dst AND (src > dst AND (src + dst) % 11 = 0 OR src + 2 = dst AND src % 5 < 3)),
+  h AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal < -800 UNION SELECT src FROM h JOIN d ON dst = node), i AS (SELECT * FROM d WHERE src IN (SELECT node FROM h) AND dst IN (SELECT node FROM h)),
+  r AS (SELECT src, dst FROM i UNION SELECT r.src, i.dst FROM r JOIN i ON r.dst = i.src), c AS (SELECT h.node, coalesce(min(b.src), h.node) AS component FROM h LEFT JOIN (SELECT a.src AS node, a.dst AS src FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src UNION SELECT node, node FROM h) b USING (node) GROUP BY h.node),
+  q AS (SELECT DISTINCT a.component AS a, b.component AS b FROM i JOIN c a ON a.node = src JOIN c b ON b.node = dst WHERE a.component <> b.component),
+  l AS (SELECT component, 0::BIGINT AS layer FROM c UNION SELECT q.a, layer + 1 FROM l JOIN q ON q.b = component), u AS (SELECT src AS x, dst AS y FROM i UNION SELECT dst, src FROM i), w AS (SELECT node, node AS slice FROM h UNION SELECT y, slice FROM w JOIN u ON x = node)
+  SELECT min(slice) AS slice, (SELECT max(layer) FROM l WHERE l.component = c.component) AS layer, node FROM w JOIN c USING (node) GROUP BY node, component""")
+def partition_order(t, spark, d):
+    e = edges(t, "error", "view").filter("src <> dst AND (src > dst AND (src + dst) % 11 = 0 OR src + 2 = dst AND src % 5 < 3)")
+    return graphs.partition_order(e, t("customer").filter("c_acctbal < -800").select(F.col("c_custkey").alias("node")))
+
+
+@query("WITH RECURSIVE " + EDGES_SQL + """, n AS (SELECT DISTINCT src, dst FROM e WHERE kind = 'click' OR kind = 'view' AND dst % 3 > 0), r AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 500 = 1 UNION SELECT dst FROM r JOIN n ON node = src) SELECT node FROM r""")
+def updated_reach(t, spark, d):
+    roots, e = t("customer").filter("c_custkey % 500 = 1").select(F.col("c_custkey").alias("node")), edges(t, "click", "view")
+    after = e.filter("kind = 'click' OR dst % 3 > 0").select("src", "dst").distinct()
+    before = e.filter("kind = 'view'").select("src", "dst").distinct()
+    known = graphs.reach(before, roots).select("node")
+    return graphs.update_reach(after, known, roots, after.join(before, ["src", "dst"], "left_anti"), before.join(after, ["src", "dst"], "left_anti"))
+
+
 @query("WITH " + EDGES_SQL + """, s AS (SELECT src, dst, min(ts) AS span FROM (SELECT user_id AS src, json_extract_string(props, '$.k')::BIGINT AS dst, event_id AS ts FROM events) GROUP BY 1, 2), a AS (SELECT DISTINCT src, dst FROM e WHERE kind = 'click'),
   c AS (SELECT x.src || '>' || x.dst AS cycle, x.src, x.dst FROM a x JOIN a y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst) SELECT cycle, src, dst, span FROM (SELECT * FROM c UNION ALL SELECT cycle, dst, src FROM c) JOIN s USING (src, dst)""")
 def cycle_anchors(t, spark, d):

@@ -69,6 +69,21 @@ def unused_members(t, spark, d):
     return dead_code.unused_members(declared, accesses.unionByName(far).unionByName(probed))
 
 
+#: names of members by number: those that frameworks call, and each with a mark behind it, which they don't
+NAMES = [n + mark for names in dead_code.LIFECYCLE.values() for n in names for mark in ("", "2")]
+NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
+
+
+@query(f"""WITH m AS (SELECT DISTINCT user_id AS owner, ({NAMES_SQL})[event_id % {len(NAMES)} + 1] AS member FROM events WHERE event_type = 'signup'), a AS (SELECT user_id AS owner, ({NAMES_SQL})[event_id % {len(NAMES)} + 1] AS member FROM events WHERE event_type = 'click'),
+  l AS (SELECT 'angular' AS framework, unnest({str(dead_code.LIFECYCLE["angular"])}) AS name UNION ALL SELECT 'react', unnest({str(dead_code.LIFECYCLE["react"])}))
+  SELECT f AS framework, owner, member FROM m, (VALUES ('angular'), ('react')) v(f) WHERE (owner, member) NOT IN (SELECT owner, member FROM a) AND (f, member) NOT IN (SELECT framework, name FROM l)""")
+def unused_members_of_frameworks(t, spark, d):
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("event_id") % len(NAMES) + 1).cast("int")).alias("member")
+    of = lambda kind: t("events").filter(F.col("event_type") == kind).select(F.col("user_id").alias("owner"), name).distinct()
+    every = [dead_code.unused_members(of("signup"), of("click"), f).select(F.lit(f).alias("framework"), "owner", "member") for f in dead_code.LIFECYCLE]
+    return every[0].unionByName(every[1])
+
+
 @query("WITH " + PAIRS_SQL + """ SELECT DISTINCT b.owner AS owner, a.name AS member FROM pairs a JOIN (SELECT owner AS holder, name AS prop, name + 1 AS owner FROM pairs WHERE kind = 'view') b ON a.owner = b.holder AND a.name = b.prop WHERE a.kind = 'click'""")
 def typed_property_accesses(t, spark, d):
     props = pairs(t, "view").selectExpr("owner AS holder", "name AS prop", "name + 1 AS owner")

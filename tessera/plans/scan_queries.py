@@ -45,6 +45,21 @@ def renamed_clones(t, spark, d):
     return p.groupBy(key.alias("pattern")).agg(F.count(F.lit(1)).alias("instances"), F.countDistinct("doc_id").alias("files")).filter("instances > 1")
 
 
+@query("WITH " + LINES_SQL + """, v AS (SELECT doc_id, pos, list_filter(string_split_regex(lower(line), '[^a-z]+'), lambda x: x <> '') AS w FROM lines),
+  p AS (SELECT a.doc_id || ':' || a.pos AS pair, unnest(range(least(len(a.w), len(b.w)))) AS pos, a.w AS a, b.w AS b FROM v a JOIN v b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1),
+  n AS (SELECT pair, pos, nullif(a[pos + 1], 'the') AS l, nullif(b[pos + 1], 'the') AS r FROM p), m AS (SELECT pair, list(l ORDER BY pos) AS l, list(r ORDER BY pos) AS r FROM n GROUP BY 1),
+  c AS (SELECT n.pair, n.pos, coalesce(list_max(list_filter(range(n.pos), lambda i: n.l IS NOT NULL AND n.r IS NOT NULL AND m.l[i + 1] IS NOT NULL AND m.r[i + 1] IS NOT NULL AND (m.l[i + 1] = n.l) <> (m.r[i + 1] = n.r))) + 1, 0) AS c FROM n JOIN m USING (pair)),
+  s AS (SELECT pair, pos, max(c) OVER (PARTITION BY pair ORDER BY pos) AS first FROM c) SELECT pair, first, max(pos) + 1 - first AS length FROM s GROUP BY 1, 2 HAVING max(pos) + 1 - first >= 12""")
+def renamed_windows(t, spark, d):
+    w = F.array_remove(F.split(F.lower("line"), "[^a-z]+"), "")
+    v = lines(spark, d).select("doc_id", "pos", w.alias("w"))
+    both = v.toDF("doc_id", "at", "a").join(v.select("doc_id", (F.col("pos") - 1).alias("at"), F.col("w").alias("b")), ["doc_id", "at"])
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("at").cast("string"))
+    p = both.select(name.alias("pair"), F.posexplode(F.arrays_zip("a", "b")).alias("pos", "x"), F.least(F.size("a"), F.size("b")).alias("n")).filter("pos < n")
+    side = lambda c: F.when(F.col(c) != "the", F.col(c))
+    return clones.one_to_one_windows(p.select("pair", "pos", side("x.a").alias("left"), side("x.b").alias("right")), 12)
+
+
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey % 100 AS first, l_partkey % 100 + l_quantity::BIGINT AS last FROM lineitem)
   SELECT * FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.doc_id = b.doc_id AND b.first <= a.first AND b.last >= a.last AND (b.first, b.last) <> (a.first, a.last))""")
 def maximal_spans(t, spark, d):
@@ -143,3 +158,18 @@ def misplaced_directives(t, spark, d):
 def split_findings(t, spark, d):
     moved, kept = detectors.split(t("lineitem").groupBy("l_partkey").agg(F.bool_and(F.col("l_returnflag") == "R").alias("m"), F.count(F.lit(1)).alias("n")), F.col("m"))
     return moved.select("l_partkey", F.lit("moved").alias("part"), "n").unionByName(kept.select("l_partkey", F.lit("kept").alias("part"), "n"))
+
+
+VARIABLE = "concat(CASE p_partkey % 7 WHEN 0 THEN 'VITE_' WHEN 1 THEN 'PUBLIC' WHEN 2 THEN 'GIT_' WHEN 3 THEN 'NODE_' ELSE 'APP.' END, {parts}, CASE p_size % 4 WHEN 0 THEN '_SHA' WHEN 1 THEN '' WHEN 2 THEN '-MODE' ELSE '_ID' END)"
+SOURCE = "concat(CASE p_partkey % 3 WHEN 0 THEN 'process.env.' WHEN 1 THEN 'import.meta.env.' ELSE 'req.query.' END, {variable})"
+_LISTED = "['AUTH', 'KEY', 'ENV', 'NAME', 'REF', 'TOKENS', 'TOKEN', 'TAG']"
+
+
+@query("""WITH v AS (SELECT p_partkey, %s AS path, %s AS name FROM part), x AS (SELECT *, string_split_regex(name, '[^A-Za-z0-9]+') AS w FROM v),
+  p AS (SELECT *, name = 'NODE_ENV' OR starts_with(name, 'VITE_') OR starts_with(name, 'PUBLIC_') OR (list_has_any(w, %s) AND NOT list_has_any(w, %s)) AS public FROM x)
+  SELECT p_partkey AS id, path, public, NOT public AND NOT starts_with(path, 'req.') AS secret FROM p""" % (
+    SOURCE.format(variable=VARIABLE.format(parts=_LISTED + "[p_partkey % 8 + 1]")), VARIABLE.format(parts=_LISTED + "[p_partkey % 8 + 1]"), security.METADATA_PARTS, security.SECRET_PARTS))
+def secret_sources(t, spark, d):
+    name = VARIABLE.format(parts="element_at(array" + _LISTED.replace("[", "(").replace("]", ")") + ", cast(p_partkey % 8 + 1 AS int))")
+    p = t("part").select(F.col("p_partkey").alias("id"), F.expr(SOURCE.format(variable=name)).alias("path"), F.expr(name).alias("name"))
+    return p.select("id", "path", security.public_variable(F.col("name")).alias("public"), security.secret_source(F.col("path")).alias("secret"))

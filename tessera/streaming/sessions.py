@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import cut, update_reach
+from ..sources.generations import Generations
+
 
 def quiet_runs(events: DataFrame, quiet: str = "200 milliseconds", late: str = "1 minute") -> DataFrame:
     """(start, end, key, events): bursts of events(ts, key) that end with a quiet time: one rerun each. Stream or table."""
@@ -47,3 +50,24 @@ def upsert(path: str, keys: list[str], order: str):
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}"), True)
 
     return write
+
+
+def keep_reached(state: Generations, roots: DataFrame):
+    """A function for foreachBatch over edits(seq, src, dst, there): keeps what roots(node) reach as edges come and go.
+
+    The state holds the tables `edges` and `reached`, replaced together. Of a batch's edits of one edge the last counts;
+    only what a changed edge bears on is computed again. A batch that is given again changes nothing.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        at = state.newest()
+        if at and at["notes"].get("batch", -1) >= batch_id:
+            return
+        had = state.read() or {"edges": batch.select("src", "dst").limit(0), "reached": roots.select("node").distinct()}
+        last = cut(batch.groupBy("src", "dst").agg(F.max_by("there", "seq").alias("there")))
+        edges = had["edges"].join(last, ["src", "dst"], "left_anti").unionByName(last.filter("there").select("src", "dst"))
+        edges = cut(edges.distinct())
+        reached = update_reach(edges, had["reached"], roots, last.filter("there"), last.filter("NOT there"))
+        state.commit({"edges": edges, "reached": reached}, batch=batch_id)
+
+    return apply

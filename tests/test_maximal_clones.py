@@ -66,3 +66,22 @@ def test_groups_by_lines_and_null_files(spark):
     rows = clones.long_enough(found, lines, 3).collect()
     assert {(r["doc_id"], r["first"], r["last"]) for r in rows} == {("a", 0, 4), ("b", 1, 5)} and {r["of_doc"] for r in rows} == {"a"}
     assert clones.maximal_groups(words.limit(0), 3).count() == 0
+
+
+def test_one_to_one_windows_are_the_longest(spark):
+    """Against all stretches: those without a conflict that no longer one holds."""
+    rng, rows, expected = random.Random(8), [], set()
+    for pair in range(25):
+        n = rng.randint(0, 14)
+        both = [(rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", "z", None])) for _ in range(n)]
+        rows += [(pair, i, a, b) for i, (a, b) in enumerate(both)]
+
+        def fits(s, e, both=both):
+            seen = [(a, b) for a, b in both[s:e] if a and b]
+            return all((a == c) == (b == d) for a, b in seen for c, d in seen)
+
+        good = [(s, e) for s in range(n) for e in range(s + 1, n + 1) if fits(s, e)]
+        expected |= {(pair, s, e - s) for s, e in good if e - s >= 2 and not any(a <= s and e <= b and (a, b) != (s, e) for a, b in good)}
+    pairs = spark.createDataFrame(rows, "pair int, pos int, left string, right string")
+    assert {tuple(r) for r in clones.one_to_one_windows(pairs, 2).collect()} == expected and len(expected) > 20
+    assert clones.one_to_one_windows(pairs.limit(0), 2).count() == 0

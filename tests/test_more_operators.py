@@ -126,8 +126,10 @@ def test_styles(spark):
 
 def test_mutants_and_secrets(spark):
     assert one(spark, mutation.pattern_mutants(F.col("s")), s=r"^[a-z]+\d$") == [r"[a-z]+\d$", r"^[a-z]+\d", r"^[a-z]*\d$", r"^[a-z]+\D$", r"^[^a-z]+\d$"]
-    names = {"API_KEY": True, "apiToken": False, "NEXT_PUBLIC_TOKEN": False, "DB_PASSWORD": True, "MONKEY": False}
-    assert {n: one(spark, security.secret_name(F.col("s")), s=n) for n in names} == names
+    public = {"API_KEY": False, "apiToken": False, "NEXT_PUBLIC_TOKEN": True, "DB_PASSWORD": False, "NODE_ENV": True, "GIT_SHA": True, "MY.REF": True, "REF_TOKEN": False, "BASIC_AUTH_TAG": False, "TAGS": False, "git_sha": False}
+    assert {n: one(spark, security.public_variable(F.col("s")), s=n) for n in public} == public
+    paths = {"process.env.AWS_ACCESS_KEY_ID": True, "import.meta.env.VITE_X": False, "import.meta.env.DB_PASS": True, "req.query.id": False, "process.env.MODE": False}
+    assert {n: one(spark, security.secret_source(F.col("s")), s=n) for n in paths} == paths
 
 
 def test_hints_by_line(spark):
