@@ -21,6 +21,26 @@ def shared_names(df: DataFrame, name: str, owner: str, least: int = 2) -> DataFr
     return df.groupBy(name).agg(F.countDistinct(owner).alias("owners")).filter(F.col("owners") >= least)
 
 
+def export_aliases(exports: DataFrame, ignored: DataFrame) -> DataFrame:
+    """(file, local, source, names): one binding that a file exports under two names or more, names by place.
+
+    exports(file, name, local, source, type_only, place): local is what the name stands for, the name itself where it is
+    null; a default without a local, a star and a row without a place name no binding. source is null for the file's own.
+    A type and a value of one name are two bindings, but a name that the file exports plainly as a type alone makes every
+    export of that local one of the type. ignored(file, name) drops the whole binding of such a name, or all of a file
+    with '*'. A name that is there twice counts at its first place.
+    """
+    e = exports.filter("place IS NOT NULL AND name <> '*' AND (local IS NOT NULL OR name <> 'default')").withColumn("local", F.coalesce("local", "name"))
+    plain = e.filter("source IS NULL AND name = local").groupBy("file", "local").agg(F.bool_and("type_only").alias("__type"))
+    e = e.join(plain, ["file", "local"], "left")
+    typed = F.col("type_only") | (F.col("source").isNull() & F.coalesce("__type", F.lit(False)))
+    out = ignored.select("file", "name").distinct()
+    e = e.join(out.filter("name = '*'").select("file"), "file", "left_anti").join(out.withColumn("__out", F.lit(True)), ["file", "name"], "left")
+    each = e.groupBy("file", "local", "source", typed.alias("typed"), "name").agg(F.min("place").alias("place"), F.max("__out").alias("out"))
+    found = each.groupBy("file", "local", "source", "typed").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("at"), F.max("out").alias("out"))
+    return found.filter("size(at) > 1 AND out IS NULL").select("file", "local", "source", F.col("at.name").alias("names"))
+
+
 def always(df: DataFrame, key: str, flag: Column) -> DataFrame:
     """Keys all of whose uses have the flag: type-only and test-only dependencies."""
     return df.groupBy(key).agg(F.bool_and(flag).alias("always"), F.count(F.lit(1)).alias("uses")).filter("always").drop("always")

@@ -13,6 +13,22 @@ def crap(complexity: Column, covered: Column) -> Column:
     return complexity * complexity * F.pow(1 - covered, 3) + complexity
 
 
+def crap_or_estimate(functions: DataFrame, measured: DataFrame, reach: DataFrame) -> DataFrame:
+    """(path, name, crap, model): scores of functions(path, name, exported, complexity) by their measured(path, name,
+    covered, statements), else by an estimate from reach(path, name): what tests import, name null where they reach the file.
+
+    Estimates are fixed values: 0.85 for an export that a test imports, 0.4 for other code of a reached file, 0 for the
+    rest. A function that is measured twice adds up; one without statements falls back to the estimate.
+    """
+    m = measured.groupBy("path", "name").agg((F.sum("covered") / F.nullif(F.sum("statements"), F.lit(0))).alias("share"))
+    files = reach.select("path").distinct().withColumn("__file", F.lit(True))
+    names = reach.filter("name IS NOT NULL").select("path", "name").distinct().withColumn("__name", F.lit(True))
+    f = functions.join(m, ["path", "name"], "left").join(files, "path", "left").join(names, ["path", "name"], "left")
+    guess = F.when(F.col("exported") & F.col("__name"), 0.85).when(F.col("__file"), 0.4).otherwise(0.0)
+    score = crap(F.col("complexity"), F.coalesce("share", guess))
+    return f.select("path", "name", score.alias("crap"), F.when(F.col("share").isNotNull(), "measured").otherwise("estimated").alias("model"))
+
+
 def trend(df: DataFrame, key: str, ts: str, middle: str) -> DataFrame:
     """Events in the older and recent half and their trend; without older events any recent one is accelerating."""
     recent = F.col(ts) >= F.lit(middle).cast("timestamp")

@@ -34,6 +34,23 @@ def head_minus_base(head: DataFrame, base: DataFrame, keys: list[str]) -> DataFr
     return head.select(*keys).exceptAll(base.select(*keys))
 
 
+def introduced_cycles(head: DataFrame, base: DataFrame) -> DataFrame:
+    """(key): cycles(cycle, file) of head that base has not, known by their sorted files, wherever they begin.
+
+    A cycle of head that is there several times gives one key; null files don't count, a cycle without files has none.
+    """
+    key = F.array_join(F.array_sort(F.collect_set(F.col("file").cast("string"))), "|").alias("key")
+    keyed = [c.filter("file IS NOT NULL").groupBy("cycle").agg(key).select("key") for c in (head, base)]
+    return keyed[0].distinct().join(keyed[1].distinct(), "key", "left_anti")
+
+
+def introduced_zone_pairs(head: DataFrame, base: DataFrame) -> DataFrame:
+    """(from_zone, to_zone, imports): pairs of zones that head crosses and base doesn't; a second import across a pair
+    that base has is nothing new."""
+    pair = ["from_zone", "to_zone"]
+    return head.groupBy(*pair).agg(F.count(F.lit(1)).alias("imports")).join(base.select(*pair).distinct(), pair, "left_anti")
+
+
 def bucket_overflow(current: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, found, allowed, over): findings of each bucket beyond those that a baseline(keys, n) allows."""
     now = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("found"))

@@ -117,6 +117,23 @@ def history(log: DataFrame) -> DataFrame:
     return rows.filter(F.size(part) == 3).select("commit", "ts", "author", part[2].alias("path"), number(0).alias("added"), number(1).alias("deleted"))
 
 
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """(commit, ts, committed, author, path, added, deleted) of logs in files, made by git log --numstat -z with the
+    format '%at|%ct|%H|%aE%x00'.
+
+    Two zero bytes end a commit, so each is a record of its own and a large log is read in splits, no commit apart.
+    Commits without files have no rows; binary files have '-' and count as 0; a path may hold line breaks and tabs.
+    """
+    each = spark.read.text(path, lineSep="\0\0").withColumn("__r", F.split("value", "\0"))
+    head = F.split(F.col("__r")[0], r"\|", 4)
+    rows = each.filter(F.col("__r")[0].rlike(r"^[0-9]+\|[0-9]+\|[0-9a-f]{7,64}\|")).select(head.alias("h"), F.explode(F.slice("__r", 2, 1 << 30)).alias("r"))
+    part = F.split(F.regexp_replace("r", r"^\n", ""), "\t", 3)
+    number = lambda i: F.coalesce(F.expr("try_cast(nullif(p[%d], '-') AS bigint)" % i), F.lit(0).cast("long"))
+    at = lambda i: F.timestamp_seconds(F.col("h")[i].cast("long"))
+    rows = rows.withColumn("p", part).filter(F.size("p") == 3)
+    return rows.select(F.col("h")[2].alias("commit"), at(0).alias("ts"), at(1).alias("committed"), F.col("h")[3].alias("author"), F.col("p")[2].alias("path"), number(0).alias("added"), number(1).alias("deleted"))
+
+
 def coverage(reports: DataFrame) -> DataFrame:
     """(path, statements, covered) of coverage reports (value): JSON objects of path -> {s: {id: count}}."""
     files = F.from_json("value", "map<string, struct<s: map<string, bigint>>>")
