@@ -69,16 +69,14 @@ def value_origins(wanted: DataFrame, bindings: DataFrame, depth: int = 128) -> D
     b = bindings.filter("file IS NOT NULL AND name IS NOT NULL")
     b = cut(b.select(_text("file").alias("file"), "scope", "name", "imported", "source", _text("target").alias("target")).distinct())
     asked = wanted.select(_text("file").alias("file"), "symbol").filter("file IS NOT NULL AND symbol <> ''").distinct()
-    new = cut(asked.select("file", F.lit("local").alias("scope"), "symbol"))
-    seen, edges = new, None
+    new, edges = asked.select("file", F.lit("local").alias("scope"), "symbol"), None
     for _ in range(depth):
         step = cut(_steps(new, b))
         edges = step if edges is None else edges.unionByName(step)
         reached = step.filter("origin IS NULL").select(*[F.col(f"next_{c}").alias(c) for c in KEY]).distinct()
-        new = cut(reached.join(seen, KEY, "left_anti"))
+        new = reached.join(edges.select(*KEY), KEY, "left_anti")
         if new.isEmpty():
             break
-        seen = seen.unionByName(new)
     told, waiting = None, edges
     for _ in range(depth):
         known = F.nullif("origin", F.lit(MISSING))
