@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,34 +143,41 @@ def generated_offsets(segments: tuple[np.ndarray, ...], lengths: np.ndarray, lin
 
 
 COUNTS = "path string, kind string, id string, count bigint"
+ROWS = pa.schema([("path", pa.string()), ("kind", pa.string()), ("id", pa.string()), ("count", pa.int64())])
 
 
-def _counted(key: tuple, script: pd.DataFrame, spots: pd.DataFrame) -> pd.DataFrame:
+def _counted(key: tuple, script: pa.Table, spots: pa.Table) -> pa.Table:
     """Counts of the statements and functions of one script's sources."""
-    if not len(script) or not len(spots):
-        return pd.DataFrame(columns=["path", "kind", "id", "count"])
-    one = script.iloc[0]
-    ranges = np.array([(r["startOffset"], r["endOffset"], r["count"]) for r in one["ranges"]], dtype=np.int64).reshape(-1, 3)
-    segments = decode(one["mappings"]) if one["mappings"] is not None else None
-    made = []
-    for (path, source), part in spots.groupby(["path", spots["source"].fillna(-1)], sort=False):
-        part = part.sort_values(["line", "column"], kind="stable")
-        if segments is None:
-            offsets = part["offset"].fillna(-1).to_numpy(dtype=np.int64)
+    if not script.num_rows or not spots.num_rows:
+        return ROWS.empty_table()
+    one = {c: script.column(c).combine_chunks() for c in ("starts", "ends", "counts", "mappings", "lengths")}
+    ranges = np.column_stack([one[c].flatten().to_numpy(zero_copy_only=False) for c in ("starts", "ends", "counts")])
+    col = {c: pc.fill_null(pc.cast(spots.column(c), pa.int64()), -1).to_numpy() for c in ("source", "line", "column", "end_line", "end_column", "offset")}
+    order = np.lexsort((col["column"], col["line"], col["source"]))
+    col = {c: x[order] for c, x in col.items()}
+    function = pc.equal(spots.column("kind"), "function").to_numpy()[order]
+    place, until = (col["line"] << 32) | col["column"], (col["end_line"] << 32) | np.maximum(col["end_column"], 0)
+    plain = one["mappings"][0].as_py() is None
+    segments = None if plain else decode(one["mappings"][0].as_py())
+    lengths = one["lengths"].flatten().to_numpy(zero_copy_only=False)
+    counts, sure = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=bool)
+    bounds = np.flatnonzero(np.r_[True, col["source"][1:] != col["source"][:-1], True])
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        part = slice(lo, hi)
+        if plain:
+            offsets = col["offset"][part]
         else:
-            mine = segments[2] == int(source)
-            lengths = np.asarray(one["lengths"], dtype=np.int64)
-            offsets = generated_offsets(tuple(s[mine] for s in segments), lengths, part["line"].to_numpy(dtype=np.int64) - 1, part["column"].to_numpy(dtype=np.int64))
-        counts, sure = innermost(ranges, offsets), offsets >= 0
-        place = (part["line"].to_numpy(dtype=np.int64) << 32) | part["column"].to_numpy(dtype=np.int64)
-        function = (part["kind"] == "function").to_numpy()
-        known = sure & ~function
-        inside = np.searchsorted(place[known], place)
-        until = (part["end_line"].fillna(0).to_numpy(dtype=np.int64) << 32) | part["end_column"].fillna(0).to_numpy(dtype=np.int64)
-        held = np.r_[place[known], np.iinfo(np.int64).max][inside] < until
-        counts = np.where(function & ~sure, np.where(held, np.r_[counts[known], 0][inside], 0), counts)
-        made.append(pd.DataFrame({"path": path, "kind": part["kind"].to_numpy(), "id": part["id"].to_numpy(), "count": counts})[sure | function])
-    return pd.concat(made, ignore_index=True)
+            mine = segments[2] == col["source"][lo]
+            offsets = generated_offsets(tuple(x[mine] for x in segments), lengths, col["line"][part] - 1, col["column"][part])
+        n, told, of = innermost(ranges, offsets), offsets >= 0, function[part]
+        known = told & ~of
+        inside = np.searchsorted(place[part][known], place[part])
+        held = np.r_[place[part][known], np.iinfo(np.int64).max][inside] < until[part]
+        counts[part] = np.where(of & ~told, np.where(held, np.r_[n[known], 0][inside], 0), n)
+        sure[part] = told | of
+    kept = order[sure]
+    columns = [spots.column(c).take(pa.array(kept)) for c in ("path", "kind", "id")]
+    return pa.Table.from_arrays([*columns, pa.array(counts[sure])], schema=ROWS)
 
 
 def script_counts(dumps: DataFrame, files: DataFrame, spots: DataFrame) -> DataFrame:
@@ -188,8 +196,9 @@ def script_counts(dumps: DataFrame, files: DataFrame, spots: DataFrame) -> DataF
     told = spots.dropna(subset=["path", "kind", "id", "line", "column"]).dropDuplicates(["path", "kind", "id"])
     asked = script_sources(found, files).join(told, "path")
     asked = asked.select("dump", "script", "path", "source", "kind", F.col("id").cast("string").alias("id"), "line", "column", "end_line", "end_column", "offset")
-    ran = found.select(F.col("dump").alias("ran_dump"), F.col("script").alias("ran_script"), "ranges", F.col("map.data.mappings").alias("mappings"), F.col("map.lineLengths").alias("lengths"))
-    each = ran.groupBy("ran_dump", "ran_script").cogroup(asked.groupBy("dump", "script")).applyInPandas(_counted, COUNTS)
+    bounds = [F.expr(f"transform(ranges, r -> coalesce(r.{c}, 0L))").alias(n) for c, n in (("startOffset", "starts"), ("endOffset", "ends"), ("count", "counts"))]
+    ran = found.select(F.col("dump").alias("ran_dump"), F.col("script").alias("ran_script"), *bounds, F.col("map.data.mappings").alias("mappings"), F.col("map.lineLengths").alias("lengths"))
+    each = ran.groupBy("ran_dump", "ran_script").cogroup(asked.groupBy("dump", "script")).applyInArrow(_counted, COUNTS)
     return each.groupBy("path", "kind", "id").agg(F.sum("count").alias("count"))
 
 
