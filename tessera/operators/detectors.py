@@ -79,6 +79,22 @@ def boundary_violations(edges: DataFrame, zones: DataFrame, allowed: DataFrame)
     return e.join(allowed, ["zone_a", "zone_b"], "left_anti").select("src", "dst", "zone_a", "zone_b")
 
 
+def boundary_findings(edges: DataFrame, zones: DataFrame, allowed: DataFrame, public: DataFrame, suppressed: DataFrame) -> DataFrame:
+    """(src, dst, line, zone_a, zone_b): imports(src, dst, line, type_only) across zones(node, zone) that aren't allowed.
+
+    allowed(zone_a, zone_b, type_only) lets every import pass, or only those of types; files of public(node) may be
+    imported from any zone; suppressed(src, line) hides one line of a file, all where line is null. A file is in one zone
+    at most; one in none is free, as is an import inside a zone. A null flag counts as a value.
+    """
+    at = [zones.select(F.col("node").alias(n), F.col("zone").alias(z)) for n, z in (("src", "zone_a"), ("dst", "zone_b"))]
+    e = edges.select("src", "dst", "line", F.coalesce("type_only", F.lit(False)).alias("type_only")).join(at[0], "src").join(at[1], "dst").filter("zone_a <> zone_b")
+    rules = allowed.groupBy("zone_a", "zone_b").agg(F.bool_and("type_only").alias("__types"))
+    e = e.join(rules, ["zone_a", "zone_b"], "left").filter("__types IS NULL OR (__types AND NOT type_only)")
+    e = e.join(public.select(F.col("node").alias("dst")).distinct(), "dst", "left_anti")
+    e = e.join(suppressed.filter("line IS NULL").select("src").distinct(), "src", "left_anti")
+    return e.join(suppressed.filter("line IS NOT NULL").select("src", "line").distinct(), ["src", "line"], "left_anti").select("src", "dst", "line", "zone_a", "zone_b").distinct()
+
+
 def shared_shapes(df: DataFrame, owner: str, prop: str, least_props: int = 4, least_owners: int = 3) -> DataFrame:
     """Sets of at least `least_props` properties that at least `least_owners` owners have in common as a whole."""
     shape = df.groupBy(owner).agg(F.array_sort(F.collect_set(F.col(prop))).alias("s")).filter(F.size("s") >= least_props)

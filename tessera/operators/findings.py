@@ -21,6 +21,17 @@ def in_diff(findings: DataFrame, ranges: DataFrame, width: int = 64) -> DataFram
     return hit.unionByName(whole).unionByName(f.filter("path IS NULL")).drop("__id").select(*findings.columns)
 
 
+def groups_in_diff(instances: DataFrame, ranges: DataFrame, width: int = 64) -> DataFrame:
+    """(group) of instances(group, path, first, last) one of which at least overlaps a line of ranges(path, first, last):
+    a group stays whole. An instance without a path can't be told and keeps its group."""
+    cells = F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))).alias("__bin")
+    told = "path IS NOT NULL AND first <= last"
+    added = ranges.filter(told).select("path", cells, F.col("first").alias("__a"), F.col("last").alias("__b"))
+    each = instances.filter(told).select("group", "path", "first", "last", cells)
+    near = (each["path"] == added["path"]) & (each["__bin"] == added["__bin"]) & (F.col("first") <= F.col("__b")) & (F.col("__a") <= F.col("last"))
+    return each.join(added, near, "left_semi").select("group").unionByName(instances.filter("path IS NULL").select("group")).distinct()
+
+
 def baseline_slots(findings: DataFrame, base: DataFrame, key: str) -> DataFrame:
     """New findings by key(s) and level after greedy use of the baseline's slots.
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import matches_globs
+
 
 def crap(complexity: Column, covered: Column) -> Column:
     """Change-risk score of a complexity and a share of coverage."""
@@ -162,3 +164,33 @@ def similar_pairs(vectors: DataFrame, ident: str, vector: str, least: float, siz
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return v.groupBy("i", "j").applyInPandas(pairs, "a long, b long")
+
+
+def handle(author: Column) -> Column:
+    """The name that tells a person, in small letters: the part of an address before '@', of a code host's hidden address
+    without its number, of a declared owner without its '@'."""
+    name = F.regexp_replace(F.lower(author), "^@+", "")
+    local = F.substring_index(name, "@", 1)
+    return F.when(name.rlike(r"@users\.noreply\."), F.regexp_replace(local, r"^[0-9]+\+", "")).otherwise(local)
+
+
+def review_routes(changes: DataFrame, declared: DataFrame, reviewer: list[str], bots: list[str]) -> DataFrame:
+    """(path, experts, bus_factor_one): whom to ask about each path, never the reviewer, who is known by any of its names.
+
+    declared(path, owner) counts first and alone. Else it is who made most of changes(path, author) and the next two,
+    ties by name; those three are taken before the reviewer goes. Authors that a glob of bots matches, by address or by
+    the part before '@', make no changes here. A path without changes of others than bots, or with no one left to ask,
+    has no row. bus_factor_one: one author made half of the changes or more. Authors of one name in two cases are two.
+    """
+    local = F.substring_index("author", "@", 1)
+    bot = matches_globs(F.col("author"), bots) | matches_globs(local, bots) if bots else F.lit(False)
+    n = changes.filter("path IS NOT NULL AND author IS NOT NULL").filter(~bot).groupBy("path", "author").agg(F.count(F.lit(1)).alias("n"))
+    most = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("n"), "author"))
+    n = n.withColumns({"rank": most, "total": F.sum("n").over(Window.partitionBy("path"))}).filter("rank <= 3")
+    names = F.array_sort(F.collect_list(F.struct("rank", "author")))["author"]
+    asked = n.groupBy("path").agg(names.alias("authors"), (F.max("n") * 2 >= F.max("total")).alias("bus_factor_one"))
+    owner = declared.filter("owner IS NOT NULL").groupBy("path").agg(F.max("owner").alias("owner"))
+    own = [r.lower().lstrip("@") for r in reviewer]
+    mine = lambda x: handle(x).isin(own) | F.regexp_replace(F.lower(x), "^@+", "").isin(own)
+    experts = F.filter(F.when(F.col("owner").isNotNull(), F.array("owner")).otherwise(F.col("authors")), lambda x: ~mine(x))
+    return asked.join(owner, "path", "left").select("path", experts.alias("experts"), "bus_factor_one").filter("size(experts) > 0")

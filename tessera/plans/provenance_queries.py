@@ -1,10 +1,10 @@
-"""Queries of origins, deltas, aliases and estimates on the driver's tables, with their SQL."""
+"""Queries of origins, deltas, aliases, estimates, routes and boundaries on the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detectors, metrics, provenance, results
+from ..operators import detectors, findings, metrics, provenance, results
 from .registry import query
 
 
@@ -63,3 +63,33 @@ def estimated_crap(t, spark, d):
     measured = lines.filter("l_quantity > 48").selectExpr("path", "name", "l_linenumber AS covered", "7 AS statements")
     out = metrics.crap_or_estimate(part, measured, lines.filter("l_quantity < 2 AND l_discount < 0.02").select("path", "name"))
     return out.withColumn("crap", F.round("crap", 6))
+
+
+@query("""WITH n AS (SELECT l_partkey AS path, 'S' || l_suppkey || '@x' AS author, count(*) AS n FROM lineitem WHERE NOT ('S' || l_suppkey) LIKE 'S9%' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, author) AS rank, sum(n) OVER (PARTITION BY path) AS total FROM n),
+  a AS (SELECT path, list(author ORDER BY rank) FILTER (rank <= 3) AS authors, max(n) * 2 >= max(total) AS bus_factor_one FROM r GROUP BY 1), e AS (SELECT path, bus_factor_one, list_filter(CASE WHEN p_size < 10 THEN ['@s' || (path % 40)] ELSE authors END, lambda x: lower(x) NOT IN ('s7@x', '@s7', 's13@x', '@s13')) AS e FROM a JOIN part ON path = p_partkey)
+  SELECT path, array_to_string(e, ',') AS experts, bus_factor_one FROM e WHERE len(e) > 0""")
+def review_routes(t, spark, d):
+    changes = t("lineitem").selectExpr("l_partkey AS path", "concat('S', l_suppkey, '@x') AS author")
+    declared = t("part").filter("p_size < 10").selectExpr("p_partkey AS path", "concat('@s', p_partkey % 40) AS owner")
+    out = metrics.review_routes(changes, declared, ["@S7", "s13@X", "s13"], ["S9*"])
+    return out.withColumn("experts", F.array_join("experts", ","))
+
+
+@query("""SELECT DISTINCT l_orderkey AS "group" FROM lineitem JOIN (SELECT DISTINCT c_custkey AS path, c_nationkey * 12 AS a, c_nationkey * 12 + 4 AS b FROM customer) ON l_suppkey = path AND l_linenumber * 40 <= b AND a <= l_linenumber * 40 + 5""")
+def clone_groups_in_diff(t, spark, d):
+    instances = t("lineitem").selectExpr("l_orderkey AS group", "l_suppkey AS path", "l_linenumber * 40 AS first", "l_linenumber * 40 + 5 AS last")
+    return findings.groups_in_diff(instances, t("customer").selectExpr("c_custkey AS path", "c_nationkey * 12 AS first", "c_nationkey * 12 + 4 AS last"))
+
+
+@query("""WITH e AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s, l_linenumber AS line, l_returnflag = 'N' AS type_only FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  z AS (SELECT e.*, a.n_regionkey AS zone_a, b.n_regionkey AS zone_b, s_acctbal FROM e JOIN customer ON c = c_custkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN supplier ON s = s_suppkey JOIN nation b ON s_nationkey = b.n_nationkey)
+  SELECT DISTINCT 'c' || c AS src, 's' || s AS dst, line, zone_a, zone_b FROM z WHERE zone_a <> zone_b AND zone_b <> zone_a + 1 AND NOT (zone_b = zone_a + 2 AND type_only) AND s_acctbal < 8000
+    AND (c, line) NOT IN (SELECT (user_id, (event_id % 7 + 1)::INTEGER) FROM events WHERE event_type = 'click') AND c NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')""")
+def boundary_findings(t, spark, d):
+    edges = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("concat('c', o_custkey) AS src", "concat('s', l_suppkey) AS dst", "l_linenumber AS line", "l_returnflag = 'N' AS type_only")
+    nodes = t("customer").selectExpr("concat('c', c_custkey) AS node", "c_nationkey AS n").union(t("supplier").selectExpr("concat('s', s_suppkey)", "s_nationkey"))
+    zones = nodes.join(t("nation"), F.col("n") == F.col("n_nationkey")).select("node", F.col("n_regionkey").alias("zone"))
+    allowed = t("region").selectExpr("r_regionkey AS zone_a", "r_regionkey + 1 AS zone_b", "false AS type_only").union(t("region").selectExpr("r_regionkey", "r_regionkey + 2", "true"))
+    public = t("supplier").filter("s_acctbal >= 8000").selectExpr("concat('s', s_suppkey) AS node")
+    hidden = t("events").filter("event_type IN ('click', 'signup')").selectExpr("concat('c', user_id) AS src", "if(event_type = 'click', int(event_id % 7 + 1), null) AS line")
+    return detectors.boundary_findings(edges, zones, allowed, public, hidden)

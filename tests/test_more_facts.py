@@ -2,7 +2,7 @@
 
 import subprocess
 
-from tessera.operators import detectors, metrics, results
+from tessera.operators import detectors, findings, metrics, results
 from tessera.sources import code
 
 
@@ -77,3 +77,29 @@ def test_estimated_scores(spark):
     got = {r.name: (round(r.crap, 6), r.model) for r in metrics.crap_or_estimate(f, measured, reach).collect()}
     score = lambda share: round(25 * (1 - share) ** 3 + 5, 6)
     assert got == {"f": (score(0.85), "estimated"), "g": (score(0.4), "estimated"), "h": (30.0, "estimated"), "m": (score(0.5), "measured"), "z": (score(0.4), "estimated")}
+
+
+def test_routes(spark):
+    """The reviewer by address, handle and hidden address; a declared owner, bots, ties, and files with no one to ask."""
+    who = {"a": "x@m y@m y@m z@m w@m", "b": "me@work", "c": "ci-bot@m bot@m", "d": "1+me@users.noreply.host y@m", "e": "y@m", "f": "y@m", "g": "bot@m", "h": "ME@other z@m"}
+    changes = [(p, a) for p, v in who.items() for a in v.split()] + [(None, "x"), ("a", None)]
+    declared = spark.createDataFrame([("e", "@team"), ("f", "@ME"), ("g", "@team"), ("a", None)], "path string, owner string")
+    got = metrics.review_routes(spark.createDataFrame(changes, "path string, author string"), declared, ["me", "me@work"], ["*bot"])
+    assert {r.path: (r.experts, r.bus_factor_one) for r in got.collect()} == {"a": (["y@m", "w@m", "x@m"], False), "d": (["y@m"], True), "e": (["@team"], True), "h": (["z@m"], True)}
+    assert metrics.review_routes(spark.createDataFrame(changes[:1], "path string, author string"), declared, [], []).count() == 1
+
+
+def test_groups_stay_whole(spark):
+    rows = [(1, "a", 1, 9), (1, "b", 100, 300), (2, "a", 10, 12), (3, None, 1, 1), (4, "c", 1, 500), (5, "a", 5, 4)]
+    instances = spark.createDataFrame(rows, "group long, path string, first long, last long")
+    ranges = spark.createDataFrame([("b", 250, 250), ("a", 13, 20), ("c", 70, 71), (None, 1, 9)], "path string, first long, last long")
+    assert sorted(r.group for r in findings.groups_in_diff(instances, ranges).collect()) == [1, 3, 4]
+
+
+def test_boundaries(spark):
+    edges = spark.createDataFrame([("a1", "b1", 1, False), ("a1", "b1", 1, False), ("a1", "b1", 2, True), ("a1", "b2", 3, None), ("a1", "c1", 4, True), ("a1", "a2", 5, False), ("a2", "b1", 6, False), ("n", "b1", 7, False), ("c1", "b1", 8, False), ("c1", "p", 9, False)], "src string, dst string, line int, type_only boolean")
+    zones = spark.createDataFrame([(x, x[0]) for x in ("a1", "a2", "b1", "b2", "c1")] + [("p", "b")], "node string, zone string")
+    allowed = spark.createDataFrame([("a", "b", True)], "zone_a string, zone_b string, type_only boolean")
+    hidden = spark.createDataFrame([("a2", None), ("a1", 3)], "src string, line int")
+    got = detectors.boundary_findings(edges, zones, allowed, spark.createDataFrame([("p",)], "node string"), hidden)
+    assert sorted(tuple(r) for r in got.collect()) == [("a1", "b1", 1, "a", "b"), ("a1", "c1", 4, "a", "c"), ("c1", "b1", 8, "c", "b")]
