@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import cut
+
 #: roles of a plugin's patterns that keep a file, and the roles that credit a name
 FILE_ROLES, NAME_ROLES = ("entry", "config", "always-used"), ("used-export", "used-member", "tooling-dependency")
 
@@ -40,17 +42,27 @@ def gated_rules(findings: DataFrame, rules: DataFrame, default: str) -> DataFram
     return out.filter(F.coalesce("__on", F.lit(True)) & (F.col("level") != "off")).drop("__on", "__l")
 
 
+def running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """df with the sum of value over all rows up to each one in the order of columns; rows alike in these share theirs.
+
+    Rows are dealt out by ranges of the order and written, as ranges may be drawn anew if a task is lost. Each range is
+    summed on its own and goes on from the sum of those before it: one window has a row a range, no task has more. Nulls
+    of the order come first, null values count as 0.
+    """
+    dealt = cut(df.withColumn("__v", F.coalesce(value, F.lit(0))).repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    ranges = dealt.groupBy("__p").agg(F.sum("__v").alias("__s"))
+    before = ranges.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__b"))
+    inside = F.sum("__v").over(Window.partitionBy("__p").orderBy(*order))
+    return dealt.join(before, "__p").withColumn(name, inside + F.col("__b")).drop("__p", "__v", "__b")
+
+
 def limited_functions(functions: DataFrame, least_lines: int, most_bytes: int, budget: int) -> DataFrame:
     """(fn, reason): null for functions(fn, path, lines, bytes) that are taken, else why not: too short, too large, or
     beyond the budget of bytes, which is spent by path and function."""
     reason = F.when(F.col("lines") < least_lines, "too-short").when(F.col("bytes") > most_bytes, "too-large")
     own = functions.withColumn("reason", reason)
     taken = F.when(F.col("reason").isNull(), F.col("bytes")).otherwise(0)
-    # sums by path first, so that the window over all rows has a row a path
-    paths = own.groupBy("path").agg(F.sum(taken).alias("b"))
-    before = paths.select("path", (F.sum("b").over(Window.orderBy("path")) - F.col("b")).alias("before"))
-    spent = F.sum(taken).over(Window.partitionBy("path").orderBy("fn")) + F.col("before")
-    out = own.join(before, "path").withColumn("spent", spent)
+    out = running_sum(own, ["path", "fn"], taken, "spent")
     return out.select("fn", F.coalesce("reason", F.when(F.col("spent") > budget, "over-budget")).alias("reason"))
 
 

@@ -1,8 +1,11 @@
 """Logs read in splits, deltas of cycles and zones, aliases of one binding, and estimated coverage."""
 
+import random
 import subprocess
 
-from tessera.operators import detectors, findings, metrics, results
+from pyspark.sql import functions as F
+
+from tessera.operators import detectors, extensions, findings, metrics, results
 from tessera.sources import code
 
 
@@ -103,3 +106,18 @@ def test_boundaries(spark):
     hidden = spark.createDataFrame([("a2", None), ("a1", 3)], "src string, line int")
     got = detectors.boundary_findings(edges, zones, allowed, spark.createDataFrame([("p",)], "node string"), hidden)
     assert sorted(tuple(r) for r in got.collect()) == [("a1", "b1", 1, "a", "b"), ("a1", "c1", 4, "a", "c"), ("c1", "b1", 8, "c", "b")]
+
+
+def test_running_sum(spark):
+    """One key with a third of the rows, ties, nulls in the order and in the values; many ranges."""
+    r = random.Random(5)
+    rows = [("hot" if r.random() < 0.4 else r.choice(["a", "z", None]), r.choice([None, *range(400)]), r.choice([None, *range(9)])) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "path string, fn long, n long")
+    place = lambda x: ((x[0] is not None, x[0] or ""), (x[1] is not None, x[1] or 0))
+    sums, total = {}, 0
+    for x in sorted(rows, key=place):
+        total += x[2] or 0
+        sums[place(x)] = total
+    got = extensions.running_sum(df, ["path", "fn"], F.col("n"), "so_far").collect()
+    assert len(got) == len(rows) and all(x.so_far == sums[place(x)] for x in got)
+    assert extensions.running_sum(df.limit(0), ["path", "fn"], F.col("n"), "so_far").count() == 0
