@@ -58,6 +58,34 @@ def constant_values(df: DataFrame, key: str, value: str, least: int = 2) -> Data
     return found.filter((F.col("n") == 1) & F.col("known") & (F.col("calls") >= least)).select(key, "value", "calls")
 
 
+def constant_parameters(params: DataFrame, calls: DataFrame, args: DataFrame, least: int = 2) -> DataFrame:
+    """(fn, index, key, reason, value, calls): parameters, and options of an object parameter, that every call gives alike.
+
+    params(fn, index, key, optional): key null is the parameter itself, optional says that it may be omitted; for a key it
+    says that the whole object may be. calls(fn, call), at least `least` of them; args(call, index, key, kind, value): kind
+    'same' hands the caller's own parameter on in a call of itself, which tells nothing and isn't counted; 'object' is an
+    object whose keys have rows of their own; 'undefined' is as if omitted for keys; 'unknown' forbids a verdict; all
+    other kinds are values, equal if kind and value are. Without a row an argument is omitted, and so is a key of an
+    object; an omitted object leaves its keys omitted if it may be, else unknown. Reasons: never-passed, if omitting is
+    allowed, and identical-argument. A parameter or argument that is there twice counts once, by the greatest row.
+    """
+    p = params.groupBy("fn", "index", "key").agg(F.bool_or(F.coalesce("optional", F.lit(False))).alias("optional"))
+    a = args.groupBy("call", "index", "key").agg(F.max(F.struct("kind", "value")).alias("arg"))
+    whole = a.filter("key IS NULL").select("call", "index", F.col("arg").alias("whole"))
+    keyed = a.filter("key IS NOT NULL")
+    each = p.join(calls.select("fn", "call").distinct(), "fn").join(whole, ["call", "index"], "left").join(keyed, ["call", "index", "key"], "left")
+    none, of_key = F.col("whole").isNull() | (F.col("whole.kind") == "undefined"), F.col("key").isNotNull()
+    seen = F.when(~of_key, F.col("whole")).when(F.col("whole.kind") == "object", F.col("arg"))
+    unknown = F.when(of_key & none, ~F.col("optional")).when(of_key & (F.col("whole.kind") != "object"), True).otherwise(F.coalesce(F.col("seen.kind").isin("unknown", "object"), F.lit(False)))
+    each = each.withColumn("seen", seen).filter("seen IS NULL OR seen.kind <> 'same'").withColumn("unknown", unknown)
+    found = each.groupBy("fn", "index", "key").agg(
+        F.count(F.lit(1)).alias("calls"), F.count("seen").alias("given"), F.min("seen").alias("least"), F.max("seen").alias("most"), F.bool_or("unknown").alias("unknown"), F.bool_or("optional").alias("optional")
+    )
+    reason = F.when((F.col("given") == 0) & (F.col("optional") | F.col("key").isNotNull()), "never-passed").when((F.col("given") == F.col("calls")) & F.col("least").eqNullSafe(F.col("most")), "identical-argument")
+    found = found.filter(~F.col("unknown") & (F.col("calls") >= least)).withColumn("reason", reason).filter("reason IS NOT NULL")
+    return found.select("fn", "index", "key", "reason", F.col("least.value").alias("value"), "calls")
+
+
 def collisions(df: DataFrame, keys: list[str], member: str) -> DataFrame:
     """Members that share a key with others, and how many others: route collisions."""
     w = Window.partitionBy(*keys)

@@ -93,3 +93,22 @@ def boundary_findings(t, spark, d):
     public = t("supplier").filter("s_acctbal >= 8000").selectExpr("concat('s', s_suppkey) AS node")
     hidden = t("events").filter("event_type IN ('click', 'signup')").selectExpr("concat('c', user_id) AS src", "if(event_type = 'click', int(event_id % 7 + 1), null) AS line")
     return detectors.boundary_findings(edges, zones, allowed, public, hidden)
+
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS fn, l_linenumber AS n, l_linenumber % 4 AS k FROM lineitem), l AS (SELECT l_orderkey AS fn, l_linenumber AS n, max(l_returnflag) AS v, min(l_quantity) AS q, min(l_discount) AS d, max(l_linestatus) AS s, min(l_tax) AS t FROM lineitem GROUP BY 1, 2),
+  a AS (SELECT fn, n, 0 AS index, NULL AS key, CASE WHEN q < 20 THEN NULL WHEN q > 49 THEN '?' ELSE v END AS arg, true AS may FROM l WHERE NOT q BETWEEN 30 AND 34
+    UNION ALL SELECT fn, n, 1, NULL, CASE WHEN d > 0.02 THEN s END, false FROM l
+    UNION ALL SELECT fn, n, 2, 'x', CASE WHEN d > 0.08 THEN CASE WHEN fn % 2 = 0 THEN NULL ELSE '?' END WHEN t > 0.05 THEN v END, true FROM l),
+  g AS (SELECT fn, index, key, count(*) AS calls, count(arg) AS given, min(arg) AS value, max(arg) AS most, coalesce(bool_or(arg = '?'), false) AS lost, bool_and(may) AS may FROM a GROUP BY 1, 2, 3)
+  SELECT fn, index, coalesce(key, '-') AS key, CASE WHEN given = 0 THEN 'never-passed' ELSE 'identical-argument' END AS reason, coalesce(value, '-') AS value, calls FROM g
+  WHERE NOT lost AND calls >= 2 AND ((given = 0 AND may) OR (given = calls AND value = most))""")
+def constant_arguments(t, spark, d):
+    line = t("lineitem").groupBy(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").alias("n")).agg(
+        F.max("l_returnflag").alias("v"), F.min("l_quantity").alias("q"), F.min("l_discount").alias("d"), F.max("l_linestatus").alias("s"), F.min("l_tax").alias("t")
+    ).withColumn("call", F.concat_ws("/", "fn", "n"))
+    params = line.select("fn").distinct().selectExpr("fn", "inline(array(named_struct('index', 0, 'key', string(null), 'optional', true), named_struct('index', 1, 'key', null, 'optional', false), named_struct('index', 2, 'key', 'x', 'optional', fn % 2 = 0)))")
+    one = line.filter("q >= 20").selectExpr("call", "0 AS index", "string(null) AS key", "CASE WHEN q > 49 THEN 'unknown' WHEN q BETWEEN 30 AND 34 THEN 'same' ELSE 'literal' END AS kind", "v AS value")
+    two = line.filter("d > 0.02").selectExpr("call", "1", "string(null)", "'literal'", "s")
+    three = line.filter("d <= 0.08").selectExpr("call", "2", "string(null)", "'object'", "string(null)").union(line.filter("t > 0.05").selectExpr("call", "2", "'x'", "'literal'", "v"))
+    found = detectors.constant_parameters(params, line.select("fn", "call"), one.union(two).union(three))
+    return found.withColumns({"key": F.coalesce("key", F.lit("-")), "value": F.coalesce("value", F.lit("-"))})

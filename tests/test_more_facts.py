@@ -121,3 +121,18 @@ def test_running_sum(spark):
     got = extensions.running_sum(df, ["path", "fn"], F.col("n"), "so_far").collect()
     assert len(got) == len(rows) and all(x.so_far == sums[place(x)] for x in got)
     assert extensions.running_sum(df.limit(0), ["path", "fn"], F.col("n"), "so_far").count() == 0
+
+
+def test_constant_parameters(spark):
+    """Kinds of values, calls of itself, keys of objects that are omitted or unknown, and a function called once."""
+    params = [("f", 0, None, True), ("f", 1, None, False), ("f", 2, "k", True), ("f", 2, "m", True), ("g", 0, None, True), ("g", 1, "k", False), ("h", 0, None, True), ("i", 0, None, True), ("i", 0, None, None)]
+    calls = [("f", "1"), ("f", "2"), ("f", "2"), ("f", "3"), ("g", "4"), ("g", "5"), ("h", "6"), (None, "7")]
+    args = [
+        ("1", 0, None, "literal", "1"), ("2", 0, None, "literal", "1"), ("3", 0, None, "same", None), ("2", 1, None, "unknown", None),
+        ("1", 2, None, "object", None), ("1", 2, "k", "binding", "K"), ("2", 2, None, "object", None), ("2", 2, "k", "binding", "K"), ("3", 2, None, "object", None), ("3", 2, "k", "binding", "K"),
+        ("4", 0, None, "literal", "1"), ("5", 0, None, "string", "1"), ("4", 1, None, "undefined", None), ("6", 0, None, "literal", "1"),
+    ]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    p, c = frame(params, "fn string, index int, key string, optional boolean"), frame(calls, "fn string, call string")
+    got = detectors.constant_parameters(p, c, frame(args, "call string, index int, key string, kind string, value string"))
+    assert {(r.fn, r["index"], r.key): (r.reason, r.value, r.calls) for r in got.collect()} == {("f", 0, None): ("identical-argument", "1", 2), ("f", 2, "k"): ("identical-argument", "K", 3), ("f", 2, "m"): ("never-passed", None, 3)}
