@@ -14,11 +14,10 @@ def in_diff(findings: DataFrame, ranges: DataFrame, width: int = 64) -> DataFram
     """findings(path, line, ...) on a line of ranges(path, first, last); those without a path stay, without a line if the file is touched."""
     cell = F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width)))
     bins = ranges.select("path", "first", "last", cell.alias("__bin"))
-    f = findings.withColumn("__id", F.monotonically_increasing_id())
-    on_line = f.withColumn("__bin", F.floor(F.col("line") / width)).join(bins, ["path", "__bin"]).filter("line BETWEEN first AND last")
-    hit = f.filter("path IS NOT NULL AND line IS NOT NULL").join(on_line.select("path", "line").distinct(), ["path", "line"], "left_semi")
-    whole = f.filter("path IS NOT NULL AND line IS NULL").join(ranges.select("path").distinct(), "path", "left_semi")
-    return hit.unionByName(whole).unionByName(f.filter("path IS NULL")).drop("__id").select(*findings.columns)
+    on_line = findings.withColumn("__bin", F.floor(F.col("line") / width)).join(bins, ["path", "__bin"]).filter("line BETWEEN first AND last")
+    hit = findings.filter("path IS NOT NULL AND line IS NOT NULL").join(on_line.select("path", "line").distinct(), ["path", "line"], "left_semi")
+    whole = findings.filter("path IS NOT NULL AND line IS NULL").join(ranges.select("path").distinct(), "path", "left_semi")
+    return hit.unionByName(whole).unionByName(findings.filter("path IS NULL")).select(*findings.columns)
 
 
 def groups_in_diff(instances: DataFrame, ranges: DataFrame, width: int = 64) -> DataFrame:

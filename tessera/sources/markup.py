@@ -22,8 +22,16 @@ def template_components(files: DataFrame) -> DataFrame:
 
 
 def query_imports(files: DataFrame) -> DataFrame:
-    """(file, source) of query documents (path, content): lines `#import "source"`."""
-    return files.select(F.col("path").alias("file"), F.explode(F.array_distinct(_all(F.col("content"), r"""(?m)^\s*#\s*import\s+["']([^"'\n]+)["']"""))).alias("source"))
+    """(file, source) of query documents (path, content): comments that begin with the word import and a quoted relative
+    path. A quote that isn't closed on its line, an empty path or a name of something else than a file gives nothing."""
+    bare = lambda c: F.btrim(c, F.lit(" \t\r"))
+    lines = files.select(F.col("path").alias("file"), F.explode(F.split("content", "\n")).alias("line")).select("file", bare(F.col("line")).alias("line")).filter("startswith(line, '#')")
+    said = lines.select("file", bare(F.expr("substring(line, 2)")).alias("said")).filter("startswith(said, 'import')")
+    after = said.select("file", F.expr("substring(said, 7)").alias("rest")).filter(F.substring("rest", 1, 1).isin(" ", "\t")).select("file", bare(F.col("rest")).alias("rest"))
+    sign = F.substring("rest", 1, 1)
+    closed = after.filter(sign.isin("'", '"') & F.expr("instr(substring(rest, 2), left(rest, 1)) > 0"))
+    source = F.split_part("rest", sign, F.lit(2))
+    return closed.select("file", source.alias("source")).filter("startswith(source, './') OR startswith(source, '../')").distinct()
 
 
 def sheet_references(files: DataFrame) -> DataFrame:

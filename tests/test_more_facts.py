@@ -6,7 +6,7 @@ import subprocess
 from pyspark.sql import functions as F
 
 from tessera.operators import detectors, extensions, findings, metrics, results
-from tessera.sources import code
+from tessera.sources import code, markup
 
 
 def test_log_read_in_splits(spark, tmp_path):
@@ -136,3 +136,9 @@ def test_constant_parameters(spark):
     p, c = frame(params, "fn string, index int, key string, optional boolean"), frame(calls, "fn string, call string")
     got = detectors.constant_parameters(p, c, frame(args, "call string, index int, key string, kind string, value string"))
     assert {(r.fn, r["index"], r.key): (r.reason, r.value, r.calls) for r in got.collect()} == {("f", 0, None): ("identical-argument", "1", 2), ("f", 2, "k"): ("identical-argument", "K", 3), ("f", 2, "m"): ("never-passed", None, 3)}
+
+
+def test_imports_of_query_documents(spark):
+    text = "#import './a.graphql'\n  \t#  import \t\"../b c.gql\"  # more\r\n# import 'pkg/c.graphql'\n#imports './no'\n#import'./no'\t\n#import './open\n#import \"./it's.gql\"\nimport './no'\n# see #import './no'\n#import ''\n#import './a.graphql'\n#import './x\"\n#"
+    files = spark.createDataFrame([("q", text), ("n", None), ("e", "")], "path string, content string")
+    assert sorted(r.source for r in markup.query_imports(files).collect()) == ["../b c.gql", "./a.graphql", "./it's.gql"]
