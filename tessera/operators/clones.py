@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from .graphs import cut
 
 # fixed values: what a run of tokens must have to count
+WORDS_AT_ONCE = 1 << 17  # words that a task holds hashes of at a time, if no file has more
 DEFAULTS = {"least_tokens": 50, "least_lines": 5, "threshold_percent": 0.0, "skip_local": False}
 
 
@@ -82,21 +81,25 @@ def window_hashes(words: DataFrame, width: int, apart: bool = False, marked: boo
     behind whose equal one stay, with that one's place as `before`, which is null for the others.
 
     The words' hashes are summed with powers of an odd number, so that a window's hash is a difference of two sums,
-    brought back by the inverse power.
+    brought back by the inverse power. Words come to Python as their hashes, and files are taken few at a time.
     """
 
+    def parts(batches):
+        for batch in batches:
+            ends = np.cumsum(np.array(batch.column("w").value_lengths().fill_null(0), np.int64))
+            low = 0
+            while low < batch.num_rows:
+                upto = (ends[low - 1] if low else 0) + WORDS_AT_ONCE
+                high = max(low + 1, int(np.searchsorted(ends, upto, side="right")))
+                yield batch.slice(low, high - low)
+                low = high
+
     def run(batches):
-        known: dict[str, int] = {}
         base = np.uint64(0x9E3779B97F4A7C15)
         inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-        for batch in batches:
+        for batch in parts(batches):
             column = batch.column("w")
-            each = column.flatten().to_pylist()
-            if len(known) > 500_000:
-                known.clear()
-            for x in set(each) - known.keys():
-                known[x] = int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little")
-            h = np.array([known[x] for x in each], np.uint64)
+            h = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             n = np.array(column.value_lengths().fill_null(0), np.int64)
             powers, back = (np.full(len(h) + 1, x, np.uint64) for x in (base, inverse))
             powers[0] = back[0] = 1
@@ -126,7 +129,8 @@ def window_hashes(words: DataFrame, width: int, apart: bool = False, marked: boo
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "pos", "h", "before"][: len(cols)])
 
     kind = words.schema["doc_id"].dataType.simpleString()
-    return dealt(words.select("doc_id", "w")).mapInArrow(run, f"doc_id {kind}, pos int, h long" + (", before int" if marked else ""))
+    hashed = dealt(words.select("doc_id", "w")).select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    return hashed.mapInArrow(run, f"doc_id {kind}, pos int, h long" + (", before int" if marked else ""))
 
 
 def words_of(text: Column) -> Column:
