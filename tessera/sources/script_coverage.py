@@ -16,6 +16,8 @@ SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 #: fixed values: the digits of a map's numbers in order, and the names of a virtual source that are no folder
 DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 NO_FOLDER = ("", ".", "_N_E")
+#: fixed value: scripts are dealt to so many lots, whose scripts go to Python together
+LOTS = 4096
 
 VALUES = np.full(256, -1, dtype=np.int64)
 VALUES[np.frombuffer(DIGITS, dtype=np.uint8)] = np.arange(64)
@@ -146,25 +148,42 @@ COUNTS = "path string, kind string, id string, count bigint"
 ROWS = pa.schema([("path", pa.string()), ("kind", pa.string()), ("id", pa.string()), ("count", pa.int64())])
 
 
-def _counted(key: tuple, script: pa.Table, spots: pa.Table) -> pa.Table:
-    """Counts of the statements and functions of one script's sources."""
-    if not script.num_rows or not spots.num_rows:
+def _counted_lot(key: tuple, ran: pa.Table, spots: pa.Table) -> pa.Table:
+    """Counts of the statements and functions of the sources of a lot's scripts, each script worked on alone."""
+    if not ran.num_rows or not spots.num_rows:
         return ROWS.empty_table()
-    one = {c: script.column(c).combine_chunks() for c in ("starts", "ends", "counts", "mappings", "lengths")}
-    ranges = np.column_stack([one[c].flatten().to_numpy(zero_copy_only=False) for c in ("starts", "ends", "counts")])
+    names = pc.unique(ran.column("ran_dump"))
+    code = lambda dump, script: (pc.index_in(dump, value_set=names).to_numpy().astype(np.int64) << 32) | script.to_numpy().astype(np.int64)
+    own, of = code(ran.column("ran_dump"), ran.column("ran_script")), code(spots.column("dump"), spots.column("script"))
     col = {c: pc.fill_null(pc.cast(spots.column(c), pa.int64()), -1).to_numpy() for c in ("source", "line", "column", "end_line", "end_column", "offset")}
-    order = np.lexsort((col["column"], col["line"], col["source"]))
-    col = {c: x[order] for c, x in col.items()}
-    function = pc.equal(spots.column("kind"), "function").to_numpy()[order]
-    place, until = (col["line"] << 32) | col["column"], (col["end_line"] << 32) | np.maximum(col["end_column"], 0)
-    plain = one["mappings"][0].as_py() is None
-    segments = None if plain else decode(one["mappings"][0].as_py())
-    lengths = one["lengths"].flatten().to_numpy(zero_copy_only=False)
+    order = np.lexsort((col["column"], col["line"], col["source"], of))
+    col, of = {c: x[order] for c, x in col.items()}, of[order]
+    col["function"] = pc.equal(spots.column("kind"), "function").to_numpy()[order]
+    low, high = np.searchsorted(of, own), np.searchsorted(of, own, side="right")
+    lists = {c: ran.column(c).combine_chunks() for c in ("starts", "ends", "counts", "lengths")}
+    bounds = {c: np.r_[0, np.cumsum(x.value_lengths().fill_null(0).to_numpy())] for c, x in lists.items()}
+    values = {c: x.flatten().fill_null(0).to_numpy() for c, x in lists.items()}
+    mappings = ran.column("mappings")
     counts, sure = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=bool)
+    for i in np.flatnonzero(high > low):
+        one = {c: x[bounds[c][i] : bounds[c][i + 1]] for c, x in values.items()}
+        part = slice(low[i], high[i])
+        counts[part], sure[part] = _counted(np.column_stack([one[c] for c in ("starts", "ends", "counts")]), mappings[int(i)].as_py(), one["lengths"], {c: x[part] for c, x in col.items()})
+    kept = order[sure]
+    columns = [spots.column(c).take(pa.array(kept)) for c in ("path", "kind", "id")]
+    return pa.Table.from_arrays([*columns, pa.array(counts[sure])], schema=ROWS)
+
+
+def _counted(ranges: np.ndarray, mappings: str | None, lengths: np.ndarray, col: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the spots of one script's sources, in order of source, line and column, and which of these have one."""
+    function = col["function"]
+    place, until = (col["line"] << 32) | col["column"], (col["end_line"] << 32) | np.maximum(col["end_column"], 0)
+    segments = None if mappings is None else decode(mappings)
+    counts, sure = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=bool)
     bounds = np.flatnonzero(np.r_[True, col["source"][1:] != col["source"][:-1], True])
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         part = slice(lo, hi)
-        if plain:
+        if segments is None:
             offsets = col["offset"][part]
         else:
             mine = segments[2] == col["source"][lo]
@@ -175,9 +194,7 @@ def _counted(key: tuple, script: pa.Table, spots: pa.Table) -> pa.Table:
         held = np.r_[place[part][known], np.iinfo(np.int64).max][inside] < until[part]
         counts[part] = np.where(of & ~told, np.where(held, np.r_[n[known], 0][inside], 0), n)
         sure[part] = told | of
-    kept = order[sure]
-    columns = [spots.column(c).take(pa.array(kept)) for c in ("path", "kind", "id")]
-    return pa.Table.from_arrays([*columns, pa.array(counts[sure])], schema=ROWS)
+    return counts, sure
 
 
 def script_counts(dumps: DataFrame, files: DataFrame, spots: DataFrame) -> DataFrame:
@@ -190,7 +207,8 @@ def script_counts(dumps: DataFrame, files: DataFrame, spots: DataFrame) -> DataF
     takes the count of the first mapped statement inside, or 0. Counts of scripts and dumps add up. Spots without line,
     column, kind or id have no row, and repeated ones count once.
 
-    Each script with its map, which is one cell of its dump, is worked on alone; spots come as rows of its sources.
+    Each script with its map, which is one cell of its dump, is worked on alone; spots come as rows of its sources. Scripts
+    go to Python in lots, each with about a 4,096th of all.
     """
     found = scripts(dumps)
     told = spots.dropna(subset=["path", "kind", "id", "line", "column"]).dropDuplicates(["path", "kind", "id"])
@@ -198,7 +216,8 @@ def script_counts(dumps: DataFrame, files: DataFrame, spots: DataFrame) -> DataF
     asked = asked.select("dump", "script", "path", "source", "kind", F.col("id").cast("string").alias("id"), "line", "column", "end_line", "end_column", "offset")
     bounds = [F.expr(f"transform(ranges, r -> coalesce(r.{c}, 0L))").alias(n) for c, n in (("startOffset", "starts"), ("endOffset", "ends"), ("count", "counts"))]
     ran = found.select(F.col("dump").alias("ran_dump"), F.col("script").alias("ran_script"), *bounds, F.col("map.data.mappings").alias("mappings"), F.col("map.lineLengths").alias("lengths"))
-    each = ran.groupBy("ran_dump", "ran_script").cogroup(asked.groupBy("dump", "script")).applyInArrow(_counted, COUNTS)
+    lot = lambda df, *of: df.withColumn("lot", F.pmod(F.xxhash64(*of), F.lit(LOTS))).groupBy("lot")
+    each = lot(ran, "ran_dump", "ran_script").cogroup(lot(asked, "dump", "script")).applyInArrow(_counted_lot, COUNTS)
     return each.groupBy("path", "kind", "id").agg(F.sum("count").alias("count"))
 
 
