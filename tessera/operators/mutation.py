@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: operator, token, replacement
@@ -36,11 +36,15 @@ def pattern_mutants(pattern: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*rewrites), lambda x: x != pattern))
 
 
-def widen(lines: DataFrame, functions: DataFrame, width: int = 64) -> DataFrame:
-    """functions(file, name, first, last) that hold one of lines(file, line)."""
-    bins = functions.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
-    hit = lines.select("file", "line", F.floor(F.col("line") / width).alias("__bin")).join(bins, ["file", "__bin"])
-    return hit.filter("line BETWEEN first AND last").select(*functions.columns).distinct()
+def widen(lines: DataFrame, functions: DataFrame) -> DataFrame:
+    """functions(file, name, first, last) that hold one of lines(file, line): the next line from their first one on is not
+    behind their last one. Lines and functions are ordered together by file, once."""
+    each = functions.filter("file IS NOT NULL AND first IS NOT NULL").distinct()
+    each = each.select("file", F.col("first").alias("at"), F.lit(None).cast(lines.schema["line"].dataType).alias("line"), F.struct(*functions.columns).alias("f"))
+    every = each.unionByName(lines.filter("file IS NOT NULL AND line IS NOT NULL").select("file", F.col("line").alias("at"), "line"), allowMissingColumns=True)
+    w = Window.partitionBy("file").orderBy(F.desc("at"), F.col("f").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = every.withColumn("next", F.last("line", ignorenulls=True).over(w))
+    return found.filter("f IS NOT NULL AND next <= f.last").select("f.*")
 
 
 def hinted(mutants_: DataFrame, hints: DataFrame, width: int = 64) -> DataFrame:
