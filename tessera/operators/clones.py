@@ -370,27 +370,63 @@ def name_pattern(names: Column) -> Column:
 def one_to_one_windows(pairs: DataFrame, least: int) -> DataFrame:
     """(pair, first, length): the longest stretches of pairs(pair, pos, left, right) in which names map one-to-one.
 
+    Positions of a pair follow on each other from 0. A pair's places are gathered in one row, for one_to_one_stretches.
+    """
+    places = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "left", "right")))
+    rows = pairs.groupBy("pair").agg(places.alias("x"))
+    return one_to_one_stretches(rows.select("pair", F.col("x.left").alias("left"), F.col("x.right").alias("right")), least)
+
+
+def one_to_one_stretches(pairs: DataFrame, least: int) -> DataFrame:
+    """(pair, first, length): the longest stretches of pairs(pair, left, right), arrays of names, that map one-to-one.
+
     A place conflicts with the last place before it that has one of its two names but not the other one. A stretch that
     ends at a place begins behind the last conflict so far, and is maximal where the next place moves that on. Places
-    without a name on either side (null) conflict with nothing but count for the length. Positions of a pair follow on
-    each other from 0; stretches of fewer than `least` places are left out. All steps are ordered by pair.
+    without a name on either side (null) conflict with nothing but count for the length; what one array has beyond the
+    other counts for nothing. Stretches of fewer than `least` places are left out. A row is a pair of its own and needs no
+    shuffle; rows are taken few at a time.
     """
-    named = F.col("left").isNotNull() & F.col("right").isNotNull()
-
-    def conflict(own: str, other: str):
-        w = Window.partitionBy("pair", named, own).orderBy("pos")
-        changed = F.when(named & (F.lag(other).over(w) != F.col(other)), F.lag("pos").over(w))
-        return changed, w.rowsBetween(Window.unboundedPreceding, 0)
-
-    rows = pairs.select("pair", F.col("pos").cast("long").alias("pos"), "left", "right")
-    for own, other in (("left", "right"), ("right", "left")):
-        changed, so_far = conflict(own, other)
-        rows = rows.withColumn(f"by_{own}", changed).withColumn(f"by_{own}", F.last(f"by_{own}", ignorenulls=True).over(so_far))
-    w = Window.partitionBy("pair").orderBy("pos")
-    start = F.max(F.coalesce(F.greatest("by_left", "by_right") + 1, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select("pair", "pos", start.alias("first"))
-    found = rows.groupBy("pair", "first").agg((F.max("pos") + 1 - F.col("first")).alias("length"))
-    return found.filter(F.col("length") >= least)
+
+    def slices(batch):
+        ends = np.cumsum(np.array(batch.column("left").value_lengths().fill_null(0), np.int64))
+        low = 0
+        while low < batch.num_rows:
+            upto = (ends[low - 1] if low else 0) + WORDS_AT_ONCE
+            high = max(low + 1, int(np.searchsorted(ends, upto, side="right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+    def behind_conflict(row, pos, own, other):
+        """For each place one more than the last conflict that its name of `own` makes, 0 without any."""
+        at = np.flatnonzero((own >= 0) & (other >= 0))
+        at = at[np.lexsort((pos[at], own[at], row[at]))]
+        same = (row[at[1:]] == row[at[:-1]]) & (own[at[1:]] == own[at[:-1]])
+        changed = np.zeros(len(at), np.int64)
+        changed[1:] = np.where(same & (other[at[1:]] != other[at[:-1]]), pos[at[:-1]] + 1, 0)
+        group = np.concatenate([[0], np.cumsum(~same)])[: len(at)] * (pos.max(initial=0) + 2)
+        out = np.zeros(len(row), np.int64)
+        out[at] = np.maximum.accumulate(changed + group) - group
+        return out
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole):
+                n = np.array(batch.column("left").value_lengths(), np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                left, right = (np.array(batch.column(c).flatten().dictionary_encode().indices.fill_null(-1), np.int64) for c in ("left", "right"))
+                step = row * (pos.max(initial=0) + 2)
+                first = np.maximum.accumulate(np.maximum(behind_conflict(row, pos, left, right), behind_conflict(row, pos, right, left)) + step) - step
+                ends = np.ones(len(row), bool)
+                ends[:-1] = (row[1:] != row[:-1]) | (first[1:] != first[:-1])
+                length = pos + 1 - first
+                kept = np.flatnonzero(ends & (length >= least))
+                yield pa.RecordBatch.from_arrays([batch.column("pair").take(pa.array(row[kept])), pa.array(first[kept]), pa.array(length[kept])], ["pair", "first", "length"])
+
+    both = F.least(*[F.coalesce(F.size(c), F.lit(0)) for c in ("left", "right")])
+    cut_off = [F.slice(c, F.lit(1), both).alias(c) for c in ("left", "right")]
+    rows = pairs.filter(both >= max(least, 1)).select("pair", *cut_off)
+    return rows.mapInArrow(run, f"pair {pairs.schema['pair'].dataType.simpleString()}, first long, length long")
 
 
 def line_and_column(text: Column, offset: Column) -> Column:

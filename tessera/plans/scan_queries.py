@@ -51,13 +51,13 @@ def renamed_clones(t, spark, d):
   c AS (SELECT n.pair, n.pos, coalesce(list_max(list_filter(range(n.pos), lambda i: n.l IS NOT NULL AND n.r IS NOT NULL AND m.l[i + 1] IS NOT NULL AND m.r[i + 1] IS NOT NULL AND (m.l[i + 1] = n.l) <> (m.r[i + 1] = n.r))) + 1, 0) AS c FROM n JOIN m USING (pair)),
   s AS (SELECT pair, pos, max(c) OVER (PARTITION BY pair ORDER BY pos) AS first FROM c) SELECT pair, first, max(pos) + 1 - first AS length FROM s GROUP BY 1, 2 HAVING max(pos) + 1 - first >= 12""")
 def renamed_windows(t, spark, d):
-    w = F.array_remove(F.split(F.lower("line"), "[^a-z]+"), "")
-    v = lines(spark, d).select("doc_id", "pos", w.alias("w"))
-    both = v.toDF("doc_id", "at", "a").join(v.select("doc_id", (F.col("pos") - 1).alias("at"), F.col("w").alias("b")), ["doc_id", "at"])
-    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("at").cast("string"))
-    p = both.select(name.alias("pair"), F.posexplode(F.arrays_zip("a", "b")).alias("pos", "x"), F.least(F.size("a"), F.size("b")).alias("n")).filter("pos < n")
-    side = lambda c: F.when(F.col(c) != "the", F.col(c))
-    return clones.one_to_one_windows(p.select("pair", "pos", side("x.a").alias("left"), side("x.b").alias("right")), 12)
+    names = F.transform(F.split("text", "\n", -1), lambda line: F.array_remove(F.split(F.lower(line), "[^a-z]+"), ""))
+    each = t("documents").filter("doc_id IS NOT NULL").select("doc_id", F.transform(names, lambda w: F.transform(w, lambda x: F.when(x != "the", x))).alias("w"))
+    # a line and the next one stand in one row of a document, so nothing is joined; an empty line has no names
+    beside = F.arrays_zip(F.col("w").alias("left"), F.slice("w", 2, F.size("w")).alias("right"))
+    both = clones.dealt(each).select("doc_id", F.posexplode(beside).alias("at", "x"))
+    pair = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("at").cast("string"))
+    return clones.one_to_one_stretches(both.select(pair.alias("pair"), "x.left", "x.right"), 12)
 
 
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey % 100 AS first, l_partkey % 100 + l_quantity::BIGINT AS last FROM lineitem)
