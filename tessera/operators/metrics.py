@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lots import lots
 from ..functions.text import matches_globs
 
 
@@ -64,10 +65,12 @@ def change_coupling(changes: DataFrame, static: DataFrame | Column, least_shared
 
 def ownership(changes: DataFrame, path: str, author: str) -> DataFrame:
     """Top author of each path, share of changes, number of authors, and the authors that make up half of the changes."""
-    n = changes.groupBy(path, author).agg(F.count(F.lit(1)).alias("n"))
+    n = lots(changes.select(path, author), path).groupBy(path, author).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(path)
-    n = n.withColumns({"total": F.sum("n").over(w), "rank": F.row_number().over(w.orderBy(F.desc("n"), author)), "authors": F.count(F.lit(1)).over(w)})
-    n = n.withColumn("before", F.sum("n").over(w.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    most = w.orderBy(F.desc("n"), author)  # one order for both, so that rows are sorted once
+    so_far = F.sum("n").over(most.rowsBetween(Window.unboundedPreceding, 0))
+    n = n.withColumns({"rank": F.row_number().over(most), "before": so_far - F.col("n")})
+    n = n.withColumns({"total": F.sum("n").over(w), "authors": F.count(F.lit(1)).over(w)})
     out = n.groupBy(path).agg(
         F.max(F.when(F.col("rank") == 1, F.col(author))).alias("top"), F.max(F.when(F.col("rank") == 1, F.round(F.col("n") / F.col("total"), 4))).alias("share"),
         F.max("authors").alias("authors"), F.sum(F.when(2 * F.col("before") < F.col("total"), 1).otherwise(0)).alias("bus_factor"),
