@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lots import lots
 from ..functions.text import matches_globs
 
 LEVELS = ("low", "medium", "high")
@@ -48,11 +49,16 @@ def baseline_slots(findings: DataFrame, base: DataFrame, key: str) -> DataFrame:
 
 def moved(base: DataFrame, head: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, base_path, head_path): findings gone from one path and new on another with equal keys, one to one in order."""
-    gone = base.join(head, [*keys, "path"], "left_anti").select(*keys, "path").distinct()
-    new = head.join(base, [*keys, "path"], "left_anti").select(*keys, "path").distinct()
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("path"))
-    a, b = gone.withColumn("r", rank).withColumnRenamed("path", "base_path"), new.withColumn("r", rank).withColumnRenamed("path", "head_path")
-    return a.join(b, [*keys, "r"]).drop("r")
+    side = lambda df, new: df.select(*keys, "path", F.lit(new).alias("new"))
+    every = lots(side(base, False).unionByName(side(head, True)).na.drop(subset=keys), *keys)
+    each = every.groupBy(*keys, "path").agg(F.bool_or("new").alias("in_head"), F.bool_and("new").alias("not_in_base"))
+    # a path without a name equals no other, so it is gone and new; else rows of both sides are neither
+    sides = F.array(F.when(~F.col("in_head") | (F.col("path").isNull() & ~F.col("not_in_base")), False), F.when(F.col("not_in_base") | (F.col("path").isNull() & F.col("in_head")), True))
+    told = each.select(*keys, "path", F.explode(F.array_compact(sides)).alias("new"))
+    told = told.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "new").orderBy("path")))
+    of = lambda new: F.max(F.when(F.col("new") == new, F.col("path")))
+    pairs = told.groupBy(*keys, "r").agg(of(False).alias("base_path"), of(True).alias("head_path"), F.count(F.lit(1)).alias("n"))
+    return pairs.filter("n = 2").drop("r", "n")
 
 
 def loans(buckets: DataFrame) -> DataFrame:

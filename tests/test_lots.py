@@ -37,3 +37,17 @@ def test_ownership_sorts_once(spark, few):
         assert got[path] == (order[0], round(n[order[0]] / total, 4), len(n), sum(2 * b < total for b in before))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert len(exchanges(df)) == 1 and sum(" Sort [" in line for line in plan.split("== Initial")[0].split("\n")) == 1
+
+
+def test_moved_with_nulls(spark, few):
+    rng = random.Random(3)
+    rows = lambda n: [(maybe(rng, 1, 2), maybe(rng, "x"), maybe(rng, *"abcdefgh")) for _ in range(n)]
+    base, head = rows(60), rows(60)
+    gone = {r for r in base if r not in head or None in r}
+    new = {r for r in head if r not in base or None in r}
+    side = lambda found, k: sorted((r[2] for r in found if r[:2] == k), key=lambda p: (p is not None, p or ""))
+    expected = sorted((str(k), str(a), str(b)) for k in {r[:2] for r in base} if None not in k for a, b in zip(side(gone, k), side(new, k)))
+    frame = lambda r: spark.createDataFrame(r, "part int, rule string, path string")
+    df = findings.moved(frame(base), frame(head), ["part", "rule"])
+    assert sorted((str((r["part"], r["rule"])), str(r["base_path"]), str(r["head_path"])) for r in df.collect()) == expected and expected
+    assert df.columns == ["part", "rule", "base_path", "head_path"] and len(exchanges(df)) == 1
