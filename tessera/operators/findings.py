@@ -11,14 +11,19 @@ from ..functions.text import matches_globs
 LEVELS = ("low", "medium", "high")
 
 
-def in_diff(findings: DataFrame, ranges: DataFrame, width: int = 64) -> DataFrame:
-    """findings(path, line, ...) on a line of ranges(path, first, last); those without a path stay, without a line if the file is touched."""
-    cell = F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width)))
-    bins = ranges.select("path", "first", "last", cell.alias("__bin"))
-    on_line = findings.withColumn("__bin", F.floor(F.col("line") / width)).join(bins, ["path", "__bin"]).filter("line BETWEEN first AND last")
-    hit = findings.filter("path IS NOT NULL AND line IS NOT NULL").join(on_line.select("path", "line").distinct(), ["path", "line"], "left_semi")
-    whole = findings.filter("path IS NOT NULL AND line IS NULL").join(ranges.select("path").distinct(), "path", "left_semi")
-    return hit.unionByName(whole).unionByName(findings.filter("path IS NULL")).select(*findings.columns)
+def in_diff(findings: DataFrame, ranges: DataFrame) -> DataFrame:
+    """findings(path, line, ...) on a line of ranges(path, first, last); those without a path stay, without a line if the file is touched.
+
+    Findings and ranges of a file are ordered together, a range by its first line: a line is in one if one of those that
+    began before it reaches so far. Findings without a line come last, behind all ranges.
+    """
+    told = "path IS NOT NULL"
+    each = findings.filter(told).select("path", F.col("line").alias("at"), F.lit(None).cast(ranges.schema["last"].dataType).alias("last"), F.struct(*findings.columns).alias("f"))
+    spans = ranges.filter(told).select("path", F.col("first").alias("at"), "last", F.lit(None).cast(each.schema["f"].dataType).alias("f"))
+    so_far = Window.partitionBy("path").orderBy(F.asc_nulls_last("at"), F.col("f").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = lots(each.unionByName(spans), "path").withColumns({"reach": F.max("last").over(so_far), "touched": F.bool_or(F.col("f").isNull()).over(so_far)})
+    hit = seen.filter("f IS NOT NULL AND if(f.line IS NULL, touched, reach >= f.line)").select("f.*")
+    return hit.unionByName(findings.filter("path IS NULL")).select(*findings.columns)
 
 
 def groups_in_diff(instances: DataFrame, ranges: DataFrame, width: int = 64) -> DataFrame:

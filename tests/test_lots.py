@@ -51,3 +51,15 @@ def test_moved_with_nulls(spark, few):
     df = findings.moved(frame(base), frame(head), ["part", "rule"])
     assert sorted((str((r["part"], r["rule"])), str(r["base_path"]), str(r["head_path"])) for r in df.collect()) == expected and expected
     assert df.columns == ["part", "rule", "base_path", "head_path"] and len(exchanges(df)) == 1
+
+
+def test_lines_in_a_diff_with_nulls(spark, few):
+    rng = random.Random(4)
+    ranges = [(maybe(rng, 1, 2, 3), maybe(rng, a := rng.randint(0, 300)), maybe(rng, a + rng.randint(-20, 60))) for _ in range(15)] + [(9, None, None)]
+    rows = [(i, maybe(rng, 1, 2, 3, 4, 9), maybe(rng, rng.randint(0, 380))) for i in range(300)]
+    rows += rows[:40]
+    hit = lambda p, x: p is None or any(p == q and (x is None or (None not in (a, b) and a <= x <= b)) for q, a, b in ranges)
+    df = findings.in_diff(spark.createDataFrame(rows, "id int, path int, line long"), spark.createDataFrame(ranges, "path int, first long, last long"))
+    expected = Counter(r for r in rows if hit(*r[1:]))
+    assert Counter(map(tuple, df.collect())) == expected and df.columns == ["id", "path", "line"] and 50 < len(expected) < 290
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
