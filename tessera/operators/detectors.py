@@ -114,13 +114,15 @@ def boundary_findings(edges: DataFrame, zones: DataFrame, allowed: DataFrame, pu
     imported from any zone; suppressed(src, line) hides one line of a file, all where line is null. A file is in one zone
     at most; one in none is free, as is an import inside a zone. A null flag counts as a value.
     """
-    at = [zones.select(F.col("node").alias(n), F.col("zone").alias(z)) for n, z in (("src", "zone_a"), ("dst", "zone_b"))]
-    e = edges.select("src", "dst", "line", F.coalesce("type_only", F.lit(False)).alias("type_only")).join(at[0], "src").join(at[1], "dst").filter("zone_a <> zone_b")
+    imported = zones.select(F.col("node").alias("dst"), F.col("zone").alias("zone_b")).join(public.select(F.col("node").alias("dst")).distinct(), "dst", "left_anti")
+    hidden = suppressed.groupBy("src").agg(F.bool_or(F.col("line").isNull()).alias("__all"), F.collect_set("line").alias("__lines"))
+    importing = zones.select(F.col("node").alias("src"), F.col("zone").alias("zone_a")).join(hidden, "src", "left").filter("__all IS NULL OR NOT __all").drop("__all")
+    # what is told of a file is told before the imports are joined to it, so these are dealt out once by each of their ends
+    e = edges.select("src", "dst", "line", F.coalesce("type_only", F.lit(False)).alias("type_only")).join(imported, "dst").join(importing, "src")
+    e = e.filter("zone_a <> zone_b").filter(~F.coalesce(F.array_contains("__lines", F.col("line")), F.lit(False))).drop("__lines")
     rules = allowed.groupBy("zone_a", "zone_b").agg(F.bool_and("type_only").alias("__types"))
     e = e.join(rules, ["zone_a", "zone_b"], "left").filter("__types IS NULL OR (__types AND NOT type_only)")
-    e = e.join(public.select(F.col("node").alias("dst")).distinct(), "dst", "left_anti")
-    e = e.join(suppressed.filter("line IS NULL").select("src").distinct(), "src", "left_anti")
-    return e.join(suppressed.filter("line IS NOT NULL").select("src", "line").distinct(), ["src", "line"], "left_anti").select("src", "dst", "line", "zone_a", "zone_b").distinct()
+    return e.select("src", "dst", "line", "zone_a", "zone_b").distinct()
 
 
 def shared_shapes(df: DataFrame, owner: str, prop: str, least_props: int = 4, least_owners: int = 3) -> DataFrame:

@@ -63,3 +63,37 @@ def test_lines_in_a_diff_with_nulls(spark, few):
     expected = Counter(r for r in rows if hit(*r[1:]))
     assert Counter(map(tuple, df.collect())) == expected and df.columns == ["id", "path", "line"] and 50 < len(expected) < 290
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_boundaries_with_nulls_and_repeats(spark):
+    rng = random.Random(6)
+    edges = [(rng.choice("abcde"), rng.choice("vwxyz"), maybe(rng, 1, 2, 3), maybe(rng, True, False)) for _ in range(150)]
+    zone = {"a": 0, "b": 1, "c": 0, "d": 2, "v": 1, "w": 0, "x": 2, "y": 1}
+    allowed = [(0, 1, True), (1, 2, True), (1, 2, False), (2, 0, True)]
+    public, hidden = ["w", "w"], [("a", 1), ("a", 1), ("b", 2), ("d", None), ("d", 1), (None, 1)]
+    passes = {(0, 1): True, (1, 2): False, (2, 0): True}
+    expected = set()
+    for s, d, line, types in edges:
+        za, zb = zone.get(s), zone.get(d)
+        if None in (za, zb) or za == zb or d in public or (s, None) in hidden or (line is not None and (s, line) in hidden):
+            continue
+        if (za, zb) in passes and (not passes[za, zb] or types):
+            continue
+        expected.add((s, d, line, za, zb))
+    frame = spark.createDataFrame
+    df = detectors.boundary_findings(
+        frame(edges, "src string, dst string, line int, type_only boolean"), frame(list(zone.items()), "node string, zone int"), frame(allowed, "zone_a int, zone_b int, type_only boolean"),
+        frame([(p,) for p in public], "node string"), frame(hidden, "src string, line int"),
+    )
+    rows = df.collect()
+    assert len(rows) == len(expected) > 8 and {tuple(r) for r in rows} == expected
+
+
+def test_imports_are_dealt_out_twice(spark, sf_dir):
+    """Joins of the imports themselves: one by each end, behind the one with orders."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["boundary_findings"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(src#" in plan and not re.search(r"hashpartitioning\(src#\d+, \w+#", plan)
