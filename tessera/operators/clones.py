@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lots import lots
 from .graphs import cut
 
 # fixed values: what a run of tokens must have to count
@@ -451,13 +452,16 @@ def without_ignored(spans: DataFrame, ignored: DataFrame, width: int = 64) -> Da
     return spans.join(hit.select("doc_id", "first", "last").distinct(), ["doc_id", "first", "last"], "left_anti")
 
 
-def dead_clones(spans: DataFrame, unused_files: DataFrame, unused_exports: DataFrame, width: int = 64) -> DataFrame:
-    """(doc_id, first, last, reason): spans in unused_files(doc_id), else with a line of unused_exports(doc_id, line, name),
-    by bins of lines."""
-    dead = spans.join(unused_files.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("reason", F.lit("file"))
-    e = unused_exports.select("doc_id", "line", "name").withColumn("bin", F.floor(F.col("line") / width))
-    rest = spans.join(unused_files.select("doc_id"), "doc_id", "left_anti")
-    rest = rest.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
-    hit = rest.join(e, ["doc_id", "bin"]).filter("line BETWEEN first AND last")
-    hit = hit.groupBy("doc_id", "first", "last").agg(F.min_by("name", F.struct("line", "name")).alias("reason"))
-    return dead.select("doc_id", "first", "last", "reason").unionByName(hit)
+def dead_clones(spans: DataFrame, unused_files: DataFrame, unused_exports: DataFrame) -> DataFrame:
+    """(doc_id, first, last, reason): spans in unused_files(doc_id), else with a line of unused_exports(doc_id, line, name).
+
+    All three are ordered together by file, from its last line back, so a span's reason is the nearest export that came
+    before it and doesn't lie behind it; spans of one file with equal lines count once, but for those of an unused file.
+    """
+    row = lambda df, kind, first, last, name: df.select("doc_id", F.lit(kind).alias("kind"), F.expr(first).cast("long").alias("first"), F.expr(last).cast("long").alias("last"), F.expr(name).cast("string").alias("name"))
+    every = row(unused_files, 0, "null", "null", "null").unionByName(row(unused_exports.filter("line IS NOT NULL"), 1, "line", "line", "name")).unionByName(row(spans, 2, "first", "last", "null"))
+    so_far = Window.partitionBy("doc_id").orderBy(F.desc_nulls_first("first"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    nearest = F.min(F.when(F.col("kind") == 1, F.struct(F.col("first").alias("line"), "name"))).over(so_far)
+    seen = lots(every.filter("doc_id IS NOT NULL"), "doc_id").withColumns({"dead": F.bool_or(F.col("kind") == 0).over(so_far), "export": nearest}).filter("kind = 2")
+    found = seen.filter("dead OR (first IS NOT NULL AND export.line <= last)").groupBy("doc_id", "first", "last", F.expr("if(dead, 'file', export.name)").alias("reason"), "dead")
+    return found.agg(F.count(F.lit(1)).alias("n")).select("doc_id", "first", "last", "reason", F.explode(F.expr("array_repeat(0, if(dead, int(n), 1))"))).drop("col")

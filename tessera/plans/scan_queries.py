@@ -66,9 +66,13 @@ def maximal_spans(t, spark, d):
     return clones.without_contained(spans(t))
 
 
-def spans(t):
+def line_spans(t):
     first = F.col("l_partkey") % 100
-    return t("lineitem").select(F.col("l_orderkey").alias("doc_id"), first.alias("first"), (first + F.col("l_quantity").cast("long")).alias("last")).distinct()
+    return t("lineitem").select(F.col("l_orderkey").alias("doc_id"), first.alias("first"), (first + F.col("l_quantity").cast("long")).alias("last"))
+
+
+def spans(t):
+    return line_spans(t).distinct()
 
 
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey % 100 AS first, l_partkey % 100 + l_quantity::BIGINT AS last FROM lineitem)
@@ -82,7 +86,7 @@ def unmasked_spans(t, spark, d):
   SELECT doc_id, first, last, CASE WHEN o_orderstatus = 'F' THEN 'file' ELSE o_orderpriority END AS reason FROM s JOIN orders ON o_orderkey = doc_id WHERE o_orderstatus = 'F' OR o_custkey % 100 BETWEEN first AND last""")
 def dead_clones(t, spark, d):
     o = t("orders")
-    return clones.dead_clones(spans(t), o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id")), o.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 100).alias("line"), F.col("o_orderpriority").alias("name")))
+    return clones.dead_clones(line_spans(t), o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id")), o.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 100).alias("line"), F.col("o_orderpriority").alias("name"))).distinct()
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(range(len(x))) AS pos, x FROM (SELECT doc_id, regexp_extract_all(text, '"[^"\\n]*"|''[^''\\n]*''|[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_ \\t\\r\\n]') AS x FROM documents)),

@@ -65,6 +65,24 @@ def test_lines_in_a_diff_with_nulls(spark, few):
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_dead_clones_with_nulls(spark, few):
+    rng = random.Random(5)
+    spans = [(maybe(rng, 1, 2, 3, 4), maybe(rng, a := rng.randint(0, 300)), maybe(rng, a + rng.randint(-3, 90))) for _ in range(150)]
+    spans += spans[:30]
+    exports = [(maybe(rng, 1, 2, 3, 4), maybe(rng, rng.randint(0, 350)), rng.choice("abcd")) for _ in range(25)]
+    files, expected, once = [1, None], Counter(), set()
+    for d, a, b in spans:
+        near = sorted((line, n) for f, line, n in exports if f == d and None not in (d, line, a, b) and a <= line <= b)
+        if d == 1:
+            expected[d, a, b, "file"] += 1
+        elif near:
+            once.add((d, a, b, near[0][1]))
+    frame = spark.createDataFrame
+    df = clones.dead_clones(frame(spans, "doc_id int, first long, last long"), frame([(f,) for f in files], "doc_id int"), frame(exports, "doc_id int, line long, name string"))
+    assert Counter(map(tuple, df.collect())) == expected + Counter(once) and len(once) > 20 and df.columns == ["doc_id", "first", "last", "reason"]
+    assert len(exchanges(df)) == 1
+
+
 def test_boundaries_with_nulls_and_repeats(spark):
     rng = random.Random(6)
     edges = [(rng.choice("abcde"), rng.choice("vwxyz"), maybe(rng, 1, 2, 3), maybe(rng, True, False)) for _ in range(150)]
