@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lots import lots
 
 #: levels of a closure that are kept apart before what was seen is written as one table again
 LEVELS = 16
@@ -413,6 +414,7 @@ def stack_frames(frames: DataFrame, files: DataFrame) -> DataFrame:
 
     A frame without `path:line`, or of no known file, has null path and line.
     """
+    frames = lots(frames.select("trace", "pos", "frame"), "trace", "pos")
     parsed = frames.select("trace", "pos", F.regexp_extract("frame", r"([^\s():]+):(\d+)(?::\d+)?\)?\s*$", 1).alias("raw"), F.regexp_extract("frame", r":(\d+)(?::\d+)?\)?\s*$", 1).alias("line"))
     parts = F.split("raw", "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))

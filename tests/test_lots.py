@@ -115,3 +115,10 @@ def test_imports_are_dealt_out_twice(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(src#" in plan and not re.search(r"hashpartitioning\(src#\d+, \w+#", plan)
+
+
+def test_frames_in_many_lots(spark, few):
+    frames = [(i, i % 3, f"at f (/app/src/{x}.ts:{i}:7)") for i, x in enumerate("abcabcz")] + [(1, 1, "no place"), (None, 0, "at (/app/src/a.ts:4:1)")]
+    df = graphs.stack_frames(spark.createDataFrame(frames, "trace int, pos int, frame string"), spark.createDataFrame([("src/a.ts",), ("a.ts",), ("b.ts",)], "path string"))
+    got = {(r["trace"], r["pos"]): (r["path"], r["line"]) for r in df.collect() if r["trace"] not in (1, None)}
+    assert got == {(0, 0): ("src/a.ts", 0), (2, 2): (None, None), (3, 0): ("src/a.ts", 3), (4, 1): ("b.ts", 4), (5, 2): (None, None), (6, 0): (None, None)} and df.count() == 9
