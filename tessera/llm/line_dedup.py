@@ -20,6 +20,8 @@ where that one isn't within the bound it is set against the others before it, by
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,6 +37,9 @@ MAX_EDITS = 1
 FAR_WORDS = 20
 #: texts, about, and buckets of hashes, from which the order of grams is taken
 SAMPLE_TEXTS, BUCKET_BITS = 4096, 18
+#: long lines meet in so many slices of their keys, one after the other, so that shuffles of one are on disk at a time;
+#: so many lines, or fewer, meet in one
+KEY_SLICES, FEW_LINES = 4, 20_000
 
 
 def _words(line: Column) -> Column:
@@ -245,8 +250,8 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, max_
     return drops
 
 
-def _far_members(rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, x, leader, open): different lines of FAR_WORDS words or more that share a key, as (at, n, s0, s1, prev); prev
+def _far_members(rows: DataFrame, first: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """(key, x, leader, open), a table for each slice of keys: different lines of FAR_WORDS words or more that share a key, as (at, n, s0, s1, prev); prev
     is the line's key before this one. leader is the place of the earliest line of the key, where x may be near it.
 
     open tells the lines that another line than the leader may come before or behind, so the key has three or more of
@@ -257,16 +262,24 @@ def _far_members(rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFra
     lines = scratch.save(lines.withColumn("line", F.xxhash64("d", "k", "pos")), "far")
     keys = lines.select("line", F.explode(F.arrays_zip("keys", F.concat(F.array(F.lit(0).cast("long")), F.slice("keys", 1, F.size("keys") - 1)).alias("before"))).alias("x"))
     keys = keys.select("line", F.col("x.keys").alias("key"), F.col("x.before").alias("prev"))
-    # keys of one line only are dropped before the lines' places are joined
-    keys = keys.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("lines > 1").drop("lines")
-    keys = scratch.save(keys, "keys")
-    scratch.tidy()
     info = lines.select("line", F.struct("d", "k", "pos").alias("at"), "n", "s0", "s1")
-    far = keys.join(info.hint("merge"), "line").select("key", F.struct("at", "n", "s0", "s1", "prev").alias("x"))
-    group, later = Window.partitionBy("key"), F.col("x.at") != F.col("l.at")
-    far = far.select("key", "x", F.min("x").over(group).alias("l"), F.count(F.lit(1)).over(group).alias("lines"))
-    far = far.select("key", "x", F.when(later & _may_be_near("x", "l"), F.col("l.at")).alias("leader"), (later & (F.col("lines") > 2)).alias("open"))
-    return scratch.save(far.filter("leader IS NOT NULL OR open"), "members")
+    n = KEY_SLICES if lines.count() > FEW_LINES else 1
+    members = []
+    for i in range(n):
+        some = keys.filter(F.pmod("key", F.lit(n)) == i) if n > 1 else keys
+        # keys of one line only are dropped before the lines' places are joined
+        some = some.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("lines > 1").drop("lines")
+        some = scratch.save(some, "keys")
+        scratch.tidy()
+        far = some.join(info.hint("merge"), "line").select("key", F.struct("at", "n", "s0", "s1", "prev").alias("x"))
+        group, later = Window.partitionBy("key"), F.col("x.at") != F.col("l.at")
+        far = far.select("key", "x", F.min("x").over(group).alias("l"), F.count(F.lit(1)).over(group).alias("lines"))
+        far = far.select("key", "x", F.when(later & _may_be_near("x", "l"), F.col("l.at")).alias("leader"), (later & (F.col("lines") > 2)).alias("open"))
+        members.append(scratch.save(far.filter("leader IS NOT NULL OR open"), f"members{i or ''}"))
+        scratch.drop("keys")
+        scratch.tidy()
+    scratch.drop("far")
+    return members
 
 
 def _may_be_near(x: str, y: str) -> Column:
@@ -323,9 +336,8 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
     members = led = None
     if "n_words" in first.columns:
         members = _far_members(rows, first, scratch)
-        scratch.drop("keys", "far")
-        led = members.filter("leader IS NOT NULL").select("x.at", F.col("leader").alias("other")).distinct()
-        led = scratch.save(led, "led")
+        led = [m.filter("leader IS NOT NULL").select("x.at", F.col("leader").alias("other")) for m in members]
+        led = scratch.save(reduce(DataFrame.unionByName, led).distinct(), "led")
         scratch.tidy()
         shared = shared.unionByName(_places(led)).distinct()
     # the words of those lines, from the document where each occurs first
@@ -357,15 +369,21 @@ def _near_lines(spark: SparkSession, rows: DataFrame, first: DataFrame, scratch:
         checked = scratch.save(checked.unionByName(_verified(led, texts)).distinct(), "near1")
         scratch.drop("words")
         scratch.tidy()
-        members = members.filter("open").select("key", "x")
-        rest = members.join(checked.hint("merge"), F.col("x.at") == checked["at"], "left_anti")
-        other = members.select("key", F.col("x").alias("y"))
-        rest = rest.join(other.hint("merge"), "key").filter("y.at < x.at").filter("x.prev = 0 OR x.prev <> y.prev").filter(_may_be_near("x", "y"))
-        rest = scratch.save(rest.select("x.at", F.col("y.at").alias("other")).distinct(), "rest")
-        scratch.tidy()
+        rest = []
+        for i, m in enumerate(members):
+            mine = m.filter("open").select("key", "x")
+            left = mine.join(checked.hint("merge"), F.col("x.at") == checked["at"], "left_anti")
+            other = mine.select("key", F.col("x").alias("y"))
+            left = left.join(other.hint("merge"), "key").filter("y.at < x.at").filter("x.prev = 0 OR x.prev <> y.prev").filter(_may_be_near("x", "y"))
+            rest.append(scratch.save(left.select("x.at", F.col("y.at").alias("other")).distinct(), f"rest{i or ''}"))
+            scratch.drop(f"members{i or ''}")
+            scratch.tidy()
+        # a pair may share keys of two slices
+        rest = reduce(DataFrame.unionByName, rest).distinct() if len(rest) > 1 else rest[0]
         checked = checked.unionByName(_verified(rest, _words_at(rows, _places(rest), scratch, "more")))
     checked = scratch.save(checked.join(first.select("at", "a", "b").hint("merge"), "at").select("a", "b").distinct(), "near")
-    scratch.drop("words", "more", "pairs", "members", "led", "near1", "rest")
+    scratch.drop("words", "more", "pairs", "led", "near1", *(f"rest{i or ''}" for i in range(KEY_SLICES)))
+    scratch.tidy()
     return checked
 
 

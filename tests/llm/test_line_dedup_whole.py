@@ -115,3 +115,22 @@ def test_only_rows_that_are_used_are_joined_again(spark, monkeypatch):
     # the last of three is near the second only, and the earliest line of the keys is near neither
     three, dropped = check([f(line) for line in base for f in (str, lambda x: changed(x, 2, 14, 27), lambda x: changed(x, 2, 8, 14, 20, 27))])
     assert any(r["open"] for r in three) and all(r["leader"] or r["open"] for r in three) and dropped == 6
+
+
+def test_keys_meet_in_slices(spark, monkeypatch):
+    """Of many lines a slice of the keys is written at a time, and no pair is lost; before, all keys met at once."""
+    monkeypatch.setattr(line_dedup, "FEW_LINES", 10, raising=False)
+    rows, save, keys = texts(), Scratch.save, []
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        if name == "keys":
+            keys.append({r["key"] for r in out.select("key").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(rows)), "text": rows}))
+    got = line_dedup.dedup_lines(spark, docs, Scratch(spark, "lines"), whole=True).toPandas()
+    assert dict(zip(got["doc_id"], got["text"])) == kept(rows)
+    every = set().union(*keys)
+    assert len(keys) > 1 and all(0 < len(k) < len(every) / 2 for k in keys) and sum(map(len, keys)) == len(every)
