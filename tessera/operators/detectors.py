@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lots import lots
+
 
 def unused(declared: DataFrame, used: DataFrame, *on: str) -> DataFrame:
     """Declarations without any use; add credits to `used` with unionByName."""
@@ -69,11 +71,20 @@ def constant_parameters(params: DataFrame, calls: DataFrame, args: DataFrame, le
     object; an omitted object leaves its keys omitted if it may be, else unknown. Reasons: never-passed, if omitting is
     allowed, and identical-argument. A parameter or argument that is there twice counts once, by the greatest row.
     """
-    p = params.groupBy("fn", "index", "key").agg(F.bool_or(F.coalesce("optional", F.lit(False))).alias("optional"))
-    a = args.groupBy("call", "index", "key").agg(F.max(F.struct("kind", "value")).alias("arg"))
-    whole = a.filter("key IS NULL").select("call", "index", F.col("arg").alias("whole"))
-    keyed = a.filter("key IS NOT NULL")
-    each = p.join(calls.select("fn", "call").distinct(), "fn").join(whole, ["call", "index"], "left").join(keyed, ["call", "index", "key"], "left")
+    a = args.groupBy("call").agg(F.collect_list(F.struct("index", "key", "kind", "value")).alias("args"))
+    made = calls.select("fn", "call").distinct().join(a, "call", "left").select("fn", "args")
+    return constant_in_calls(params, lots(made, "fn"), least)
+
+
+def constant_in_calls(params: DataFrame, calls: DataFrame, least: int = 2) -> DataFrame:
+    """As constant_parameters, of calls(fn, args), a row a call with its arguments as an array of (index, key, kind, value).
+
+    Calls that are dealt out by function in lots aren't dealt out again.
+    """
+    p = lots(params, "fn").groupBy("fn", "index", "key").agg(F.bool_or(F.coalesce("optional", F.lit(False))).alias("optional"))
+    each = calls.join(p.hint("merge"), "fn")
+    last = lambda key: F.array_max(F.transform(F.filter("args", lambda x: (x["index"] == F.col("index")) & key(x["key"])), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))
+    each = each.select("fn", "index", "key", "optional", last(lambda k: k.isNull()).alias("whole"), F.when(F.col("key").isNotNull(), last(lambda k: k == F.col("key"))).alias("arg"))
     none, of_key = F.col("whole").isNull() | (F.col("whole.kind") == "undefined"), F.col("key").isNotNull()
     seen = F.when(~of_key, F.col("whole")).when(F.col("whole.kind") == "object", F.col("arg"))
     unknown = F.when(of_key & none, ~F.col("optional")).when(of_key & (F.col("whole.kind") != "object"), True).otherwise(F.coalesce(F.col("seen.kind").isin("unknown", "object"), F.lit(False)))
