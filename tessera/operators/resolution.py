@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lots import lots
+
 EXTENSIONS = ("ts", "tsx", "js", "jsx")
 #: written extension -> extensions of the sources that it may stand for
 ALIASES = {"js": ("ts", "tsx"), "jsx": ("tsx",), "mjs": ("mts",), "cjs": ("cts",)}
@@ -84,13 +86,9 @@ def candidates(path: Column, extensions=EXTENSIONS) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("prio"), F.lit(s).alias("strategy"), p.alias("path")) for i, (s, p) in enumerate(out)])
 
 
-def resolve(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """imports(file, source) with (target, strategy): relative, root-relative and aliased specifiers; null where none.
-
-    Each distinct pair of folder and specifier is looked up once.
-    """
-    source = strip_query(F.col("source"))
-    asked = imports.select(folder(F.col("file")).alias("dir"), "source").distinct()
+def _candidates_of(asked: DataFrame, files: DataFrame, aliases: DataFrame | None, how: str) -> DataFrame:
+    """asked(dir, source, ...), different ones, with c, each candidate of theirs that is a file; how 'left': null if none."""
+    columns, source = asked.columns, strip_query(F.col("source"))
     asked = apply_aliases(asked, aliases) if aliases is not None else asked.withColumn("aliased", F.lit(None).cast("string"))
     kind = specifier_kind(source)
     base = F.when(kind == "relative", normalise(F.concat_ws("/", "dir", source))).when(kind == "absolute", normalise(source))
@@ -100,20 +98,49 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = No
     # each candidate; which candidate it is, and the first of them, is told after the join
     bare = lambda c: F.regexp_replace(c, r"\.(ts|tsx|js|jsx|mts|cts|mjs|cjs)$", "")
     known = files.select("path").distinct().withColumn("key", F.explode(F.array_distinct(F.array("path", bare(F.col("path")), F.regexp_replace(bare(F.col("path")), "/index$", "")))))
-    tried = asked.filter("base IS NOT NULL").select("dir", "source", "base", F.explode(F.array_distinct(F.array("base", bare(F.col("base"))))).alias("key"))
-    each = candidates(F.col("base"))
-    found = tried.join(known, "key").withColumn("c", F.element_at(F.filter(each, lambda c: c["path"] == F.col("path")), 1)).filter("c IS NOT NULL")
+    if how == "inner":
+        tried = asked.filter("base IS NOT NULL").select(*columns, "base", F.explode(F.array_distinct(F.array("base", bare(F.col("base"))))).alias("key"))
+    else:  # what can't be looked up has keys of its own, so that it doesn't meet in one lot
+        place = F.coalesce("base", F.concat(F.lit("\n"), "source"))
+        tried = asked.withColumn("place", place).select(*columns, "base", F.explode(F.array_distinct(F.array("place", bare(F.col("place"))))).alias("key"))
+    hit = F.get(F.filter(candidates(F.col("base")), lambda c: c["path"] == F.col("path")), F.lit(0))
+    return lots(tried, "key").join(known, "key", how).select(*columns, F.when(F.col("path").isNotNull(), hit).alias("c"))
+
+
+def resolve(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """imports(file, source) with (target, strategy): relative, root-relative and aliased specifiers; null where none.
+
+    Each distinct pair of folder and specifier is looked up once.
+    """
+    asked = lots(imports.select(folder(F.col("file")).alias("dir"), "source"), "dir", "source").distinct()
+    found = lots(_candidates_of(asked, files, aliases, "inner").filter("c IS NOT NULL"), "dir", "source")
     found = found.groupBy("dir", "source").agg(F.min_by(F.struct(F.col("c.path").alias("target"), F.col("c.strategy").alias("strategy")), "c.prio").alias("r"))
-    asking = imports.withColumn("dir", folder(F.col("file")))
+    asking = lots(imports.withColumn("dir", folder(F.col("file"))), "dir", "source")
     return asking.join(found.select("dir", "source", "r.*"), ["dir", "source"], "left").drop("dir").select(*imports.columns, "target", "strategy")
 
 
-def unresolved(resolved: DataFrame, silent: list[str] = ()) -> DataFrame:
-    """Rows of resolve() without a target whose specifier is a path, but for the prefixes in `silent`."""
-    out = resolved.filter(F.col("target").isNull() & specifier_kind(F.col("source")).isin("relative", "absolute", "private"))
+def _loud_paths(imports: DataFrame, silent: list[str]) -> DataFrame:
+    """Imports whose specifier is a path, but for the prefixes in `silent`."""
+    out = imports.filter(specifier_kind(F.col("source")).isin("relative", "absolute", "private"))
     for prefix in silent:
         out = out.filter(~F.col("source").startswith(prefix))
-    return out.drop("target", "strategy")
+    return out
+
+
+def unresolved(resolved: DataFrame, silent: list[str] = ()) -> DataFrame:
+    """Rows of resolve() without a target whose specifier is a path, but for the prefixes in `silent`."""
+    return _loud_paths(resolved.filter(F.col("target").isNull()), silent).drop("target", "strategy")
+
+
+def unresolved_sites(imports: DataFrame, files: DataFrame, silent: list[str] = (), aliases: DataFrame | None = None) -> DataFrame:
+    """(source, sites): specifiers of unresolved() and their number of imports.
+
+    Imports are counted by folder and specifier before these are looked up, so that none is joined again.
+    """
+    each = lots(_loud_paths(imports, silent).select(folder(F.col("file")).alias("dir"), "source"), "dir", "source")
+    each = each.groupBy("dir", "source").agg(F.count(F.lit(1)).alias("sites"))
+    tried = lots(_candidates_of(each, files, aliases, "left"), "dir", "source").groupBy("dir", "source").agg(F.max("sites").alias("sites"), F.bool_or(F.col("dir").isNotNull() & F.col("c").isNotNull()).alias("found"))
+    return tried.filter("NOT found").groupBy("source").agg(F.sum("sites").alias("sites"))
 
 
 def pattern_imports(patterns: DataFrame, files: DataFrame) -> DataFrame:

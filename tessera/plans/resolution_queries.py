@@ -39,7 +39,7 @@ def resolved_imports(t, spark, d):
 
 @query(f"WITH {MODULES_SQL} SELECT source, count(*) AS sites FROM i LEFT JOIN f USING (p, m) WHERE target IS NULL AND source NOT LIKE '../m0%' GROUP BY 1")
 def unresolved_imports(t, spark, d):
-    return R.unresolved(R.resolve(module_imports(t), module_files(t)), ["../m0"]).groupBy("source").agg(F.count(F.lit(1)).alias("sites"))
+    return R.unresolved_sites(module_imports(t), module_files(t), ["../m0"])
 
 
 @query(f"""WITH {PATHS_SQL}, r AS (SELECT DISTINCT root FROM (SELECT string_split(path, '/')[1] AS root FROM paths UNION SELECT string_split(path, '/')[1] || '/en' FROM paths))
