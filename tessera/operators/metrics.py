@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,32 +143,47 @@ def similar_search(queries: DataFrame, vectors: DataFrame, ident: str, vector: s
     return q.unionByName(v).groupBy("i", "j").applyInPandas(hits, "a long, b long")
 
 
-def similar_pairs(vectors: DataFrame, ident: str, vector: str, least: float, size: int = 2048) -> DataFrame:
+def _packed(items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors, as rows of a matrix, of a block's array of (id, x)."""
+    x = items.field("x")
+    n = np.unique(pc.list_value_length(x).to_numpy(zero_copy_only=False))
+    if len(n) > 1:
+        raise ValueError("vectors have different lengths")
+    return items.field("id").to_numpy(), x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(items), -1)
+
+
+def similar_pairs(vectors: DataFrame, ident: str, vector: str, least: float, size: int = 4096) -> DataFrame:
     """(a, b), a < b: all pairs of vectors, of whatever label, whose dot product is at least `least`.
 
-    Vectors fall into blocks of about `size`; each pair of blocks is one matrix product, whose hits are summed again in order.
+    Vectors fall into blocks of about `size`, a row each; each pair of blocks is a matrix product, some rows of it at a
+    time. Only products so near `least` that rounding may decide are summed again in order.
     """
     v = vectors.select(F.col(ident).alias("id"), F.col(vector).alias("x")).filter("id IS NOT NULL AND x IS NOT NULL")
     n = max(1, -(-v.count() // size))
-    v = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    v = v.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), "x")).alias("items"))
     both = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    v = v.select("id", "x", "block", F.explode(both).alias("p")).select("id", "x", "block", "p.i", "p.j")
-
-    def pairs(key, rows):
-        i, j = key
-        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        x, y = (np.array(side["x"].tolist(), np.float64) for side in (left, right))
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        at, to = np.nonzero(x @ y.T >= least - 1e-6)
-        once = a[at] < b[to] if i == j else a[at] != b[to]
-        at, to = at[once], to[once]
-        hit = np.array([np.cumsum(x[p] * y[q])[-1] >= least for p, q in zip(at, to)], bool)
-        a, b = a[at[hit]], b[to[hit]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return v.groupBy("i", "j").applyInPandas(pairs, "a long, b long")
+    v = v.select("items", "block", F.explode(both).alias("p")).select("items", "block", "p.i", "p.j")
+
+    def pairs(key, table):
+        i, j = (k.as_py() for k in key)
+        blocks = {b: _packed(items.values) for b, items in zip(table.column("block").to_pylist(), (s for c in table.column("items").chunks for s in c))}
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if i in blocks and j in blocks:
+            (a, x), (b, y) = blocks[i], blocks[j]
+            off = 1e-6 * max(1.0, np.linalg.norm(x, axis=1).max() * np.linalg.norm(y, axis=1).max())
+            for start in range(0, len(a), 512):
+                product = x[start : start + 512] @ y.T
+                at, to = np.nonzero(product >= least - off)
+                close = product[at, to] < least + off
+                at = at + start
+                hit = np.ones(len(at), bool)
+                hit[close] = np.cumsum(x[at[close]] * y[to[close]], axis=1)[:, -1] >= least
+                hit &= a[at] < b[to] if i == j else a[at] != b[to]
+                found.append((a[at[hit]], b[to[hit]]))
+        a, b = (np.concatenate(side) for side in zip(*found))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return lots(v, "i", "j").groupBy("i", "j").applyInArrow(pairs, "a long, b long")
 
 
 def handle(author: Column) -> Column:
