@@ -9,6 +9,8 @@ from .graphs import cut
 
 #: an origin that can't be told, and one that is declared nowhere
 UNKNOWN, MISSING = "?", "-"
+#: keys of a level, at most, that go to the bindings instead of the bindings being dealt out for them
+FEW_KEYS = 50_000
 
 
 KEY = ["file", "scope", "symbol"]
@@ -68,15 +70,18 @@ def value_origins(wanted: DataFrame, bindings: DataFrame, depth: int = 128) -> D
     """
     b = bindings.filter("file IS NOT NULL AND name IS NOT NULL")
     b = cut(b.select(_text("file").alias("file"), "scope", "name", "imported", "source", _text("target").alias("target")).distinct())
-    asked = wanted.select(_text("file").alias("file"), "symbol").filter("file IS NOT NULL AND symbol <> ''").distinct()
+    # what is read again is written once: the wanted names, and each level's new keys, which take all edges to be told
+    asked = cut(wanted.select(_text("file").alias("file"), "symbol").filter("file IS NOT NULL AND symbol <> ''").distinct())
     new, edges = asked.select("file", F.lit("local").alias("scope"), "symbol"), None
     for _ in range(depth):
         step = cut(_steps(new, b))
         edges = step if edges is None else edges.unionByName(step)
         reached = step.filter("origin IS NULL").select(*[F.col(f"next_{c}").alias(c) for c in KEY]).distinct()
-        new = reached.join(edges.select(*KEY), KEY, "left_anti")
-        if new.isEmpty():
+        new = cut(reached.join(edges.select(*KEY), KEY, "left_anti"))
+        n = new.count()
+        if not n:
             break
+        new = F.broadcast(new) if n <= FEW_KEYS else new
     told, waiting = None, edges
     for _ in range(depth):
         known = F.nullif("origin", F.lit(MISSING))
